@@ -177,9 +177,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """docs with one row of each class of near_duplicates: the one with the smallest key. Rows that share
-    that key stay together; texts without n-grams all stay."""
-    found = near_duplicates(docs, key, text, **more)
+    """docs with one row of each class of near_duplicates, the one with the smallest key. Rows that are equal in key and
+    text become one. Texts without n-grams stay, and so do rows with a null key, which no class can be named after."""
     (k,) = fresh(docs, "kept_key")
-    kept = found.where("kept").select(F.col(key).alias(k)).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col(k)), "left_semi")
+    kept = near_duplicates(docs, key, text, **more).where("kept").select(F.col(key).alias(k)).where(F.col(k).isNotNull()).distinct()
+    one = docs.join(kept, F.col(key) == F.col(k), "left_semi").dropDuplicates([key, text])
+    return one.unionByName(docs.where(F.col(key).isNull()))

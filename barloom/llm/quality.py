@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bucket, hash_share
+from .common import bucket, fresh, hash_share
 
 PART = 2048  # bytes that are compressed at a time, so that a text's own history doesn't drown the dictionary
 LEVEL = 3
@@ -100,14 +100,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, size: int = 6
     return Model(good, bad, float(slope), float(offset), n[1] / (n[0] + n[1]))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """docs with score (0 to 1, how likely label 1 is) and predicted (1 if score >= threshold, else 0).
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score (0 to 1, how likely label 1 is) and predicted (1 if score >= threshold, else 0), or as `into` names them.
 
     Null texts and those of white space only get the share of good rows among the labelled. Columns of docs with these
     names are replaced. Equal texts get equal scores; no row is dropped or merged."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in into])
     at = docs.columns.index(text)
-    schema = StructType(list(docs.schema.fields)).add("score", "double").add("predicted", "integer")
+    schema = StructType(list(docs.schema.fields)).add(into[0], "double").add(into[1], "integer")
     names = [f.name for f in schema]
 
     def run(batches):
@@ -133,3 +133,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fits on labels that aren't held out and scores all: doc_id, held_out, score, predicted."""
     model = fit(docs, labels.where(~held_out()))
     return score(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs that a model of the labels doesn't reject, with their columns; those without a text stay."""
+    names = tuple(fresh(docs, "q_score", "q_predicted"))
+    found = score(docs, fit(docs, labels), text, threshold, names)
+    return found.where((F.col(names[1]) == 1) | F.col(text).isNull() | (F.trim(text) == "")).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, langid, ngram_join, packing, quality
+from . import embedding_dedup, langid, media, mixing, ngram_join, packing, quality, secrets, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +33,35 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_media_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op8_token_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.training_order(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), evenness=0.95)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_language_id, op4_embedding_near_dedup, op5_quality_classifier)}
+    ops = (op1_ngram_jaccard_join, op2_best_fit_packing, op3_language_id, op4_embedding_near_dedup, op5_quality_classifier)
+    ops += (op6_media_lossless_webp, op7_warc_normaliser, op8_token_training_order, op9_secret_scans, op10_temperature_mixing)
+    return {f.__name__: f for f in ops}
 
 
 _OP1 = """
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\s\\x{85}\\x{A0}\\x{1C}-\\x{1F}]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\s\\x{85}\\x{A0}\\x{1C}-\\x{1F}]+'), lambda x: x <> '') AS w FROM documents),
 g AS (
   SELECT DISTINCT doc_id, CASE WHEN len(w) <= 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS gram
   FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(i) WHERE len(w) > 0),
@@ -53,8 +75,8 @@ SELECT c.doc_id, c.class_id, (SELECT count(*) FROM link WHERE a = c.doc_id) AS n
 _OP4 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0
-    AND len(list_filter(embedding, e -> e <> 0)) > 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
 link AS (
   SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.x) = len(q.x)
   WHERE list_cosine_similarity(p.x, q.x) >= 0.93),
@@ -63,5 +85,41 @@ c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT c.vec_id, (SELECT count(*) FROM link WHERE a = c.vec_id) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c"""
 
 
+_OP7 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+q AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS last FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to FROM r"""
+
+_OP10 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS tokens, md5(concat_ws('|', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))) AS doc FROM documents),
+per AS (SELECT source, count(*) AS docs, sum(tokens)::BIGINT AS total FROM d GROUP BY source),
+one AS (SELECT sum(total)::DOUBLE AS t, list(total::DOUBLE ORDER BY total) AS v FROM per WHERE total > 0),
+sh AS (SELECT t, list_transform(v, lambda x: x / t) AS p FROM one),
+h(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN e.entropy >= e.least THEN (lo + hi) / 2 ELSE lo END, CASE WHEN e.entropy >= e.least THEN hi ELSE (lo + hi) / 2 END
+  FROM h, LATERAL (SELECT ln(list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2)))) - (lo + hi) / 2 * list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2) * ln(x))) / list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2))) AS entropy, 0.95 * ln(len(p)) - 1e-12 AS least FROM sh) e
+  WHERE i < 50),
+ex AS (SELECT t, p, CASE WHEN -list_sum(list_transform(p, lambda x: x * ln(x))) >= 0.95 * ln(len(p)) - 1e-12 THEN 1.0::DOUBLE ELSE round((SELECT lo FROM h WHERE i = 50), 9) END AS a FROM sh),
+z AS (SELECT t, a, list_sum(list_transform(p, lambda x: pow(x, a))) AS z FROM ex),
+plan AS (
+  SELECT source, total, floor(CASE WHEN total > 0 THEN round(pow(total / t, a) / z * t, 3) ELSE 0 END)::BIGINT AS budget, ceil(docs / 4096)::BIGINT AS blocks FROM per, z),
+plan2 AS (SELECT *, CASE WHEN total > 0 THEN budget // total ELSE 0 END AS passes FROM plan),
+e AS (SELECT d.*, passes, budget - passes * total AS rest, (('0x' || doc[1:8])::BIGINT % blocks)::INTEGER AS block FROM d JOIN plan2 p ON d.source IS NOT DISTINCT FROM p.source),
+b AS (
+  SELECT source, block, sum(n) OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '1', coalesce(source, ''), passes, block)), block ROWS UNBOUNDED PRECEDING) - n AS before
+  FROM (SELECT source, block, passes, sum(tokens) AS n FROM e GROUP BY ALL)),
+c AS (SELECT e.*, before, unnest(range(0, passes + 1)) AS epoch FROM e JOIN b ON e.block = b.block AND e.source IS NOT DISTINCT FROM b.source),
+w AS (
+  SELECT *, row_number() OVER o AS place, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS run FROM c
+  WINDOW o AS (PARTITION BY source, block, epoch ORDER BY md5(concat_ws('|', '1', epoch, doc)), doc_id))
+SELECT doc_id, source, tokens::BIGINT AS tokens, epoch::INTEGER AS epoch, block, place::INTEGER AS place FROM w
+WHERE epoch < passes OR before + run <= rest"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _OP1, "op4_embedding_near_dedup": _OP4}
+    return {"op1_ngram_jaccard_join": _OP1, "op4_embedding_near_dedup": _OP4, "op7_warc_normaliser": _OP7, "op10_temperature_mixing": _OP10}
