@@ -1,9 +1,240 @@
-"""Named queries over the driver's tables, and SQL with the same results."""
+"""Named queries over the driver's tables, each paired with SQL in oracle.py."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from barloom.config import LEGACY_TAG, TB_TAG
+from barloom.functions.numeric import rnd
+from barloom.operators import exits, ledger, replay, report, sets, shape, signals
+from barloom.operators import indicators as ind
+from barloom.sources import bars as src
+
+from .oracle import SQL
+
+FLOOR = 3e5  # the fixture's prices and sizes are small; the rule's own floor is config.LIMITS.min_amount
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def bars(spark: SparkSession, sf: str) -> DataFrame:
+    return src.daily_bars(src.table(spark, sf, "lineitem"))
+
+
+def shaped(spark: SparkSession, sf: str) -> DataFrame:
+    return shape.with_shape(ind.series(bars(spark, sf)))
+
+
+def six(df: DataFrame, *cols: str, also: tuple = ()) -> DataFrame:
+    return df.select("code", "d", *[rnd(c, 6).alias(c) for c in cols], *also)
+
+
+def listing(spark: SparkSession, sf: str) -> DataFrame:
+    s, n = src.table(spark, sf, "supplier"), src.table(spark, sf, "nation")
+    market = F.when(F.col("n_regionkey") % 2 == 0, "KOSPI").otherwise("KOSDAQ GLOBAL")
+    return s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"), market.alias("market"), (F.col("s_acctbal") * 100).alias("marcap"), (F.col("s_acctbal") + 500).alias("close"))
+
+
+def candidates(s: DataFrame) -> DataFrame:
+    old = signals.legacy_candidates(s, least=FLOOR).select(F.lit(LEGACY_TAG).alias("strategy"), "code", "d", "score", F.lit("").alias("grade"))
+    new = signals.tb_candidates(s, least=FLOOR).select(F.lit(TB_TAG).alias("strategy"), "code", "d", "score", "grade")
+    return signals.ranked(old.unionByName(new), ["strategy", "d"])
+
+
+def ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return candidates(shaped(spark, sf))
+
+
+def held(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshots with made-up positions, opened ten bars before."""
+    s = shaped(spark, sf)
+    entry = ind.back("o", 10)
+    peak = F.greatest(entry, F.max("c").over(ind.rows(10)))
+    days = 10 + (F.col("code") + F.col("i")) % 40
+    pos = ind.indexed(bars(spark, sf)).select("code", "d", entry.cast("long").alias("entry"), days.alias("days"), peak.cast("long").alias("peak"))
+    return signals.snapshot(s).join(pos.where("entry is not null"), ["code", "d"])
+
+
+def trades(spark: SparkSession, sf: str) -> DataFrame:
+    """Closed trades out of every signal: bought at the next open, sold ten opens later."""
+    b = ind.indexed(bars(spark, sf))
+    ahead = lambda x, k: F.lead(x, k).over(ind.in_order())
+    b = b.select("code", "d", "i", ahead("o", 1).cast("long").alias("entry"), ahead("o", 11).cast("long").alias("exit"), ahead("d", 1).alias("entry_date"), ahead("d", 11).alias("exit_date"))
+    t = ranked(spark, sf).join(b, ["code", "d"]).where("exit is not null")
+    reasons = F.array(*[F.lit(x) for x in ("장중 손절 (기준)", "장중 익절", "청선 8.1 — 5선 이탈", "보유 40일 경과 — 기간 청산", "T 19.9 < 20 이탈", "강제")])
+    t = t.select("strategy", "grade", "code", "entry_date", "exit_date", "entry", "exit", rnd((F.col("exit") / F.col("entry") - 1) * 100, 2).alias("pnl"), (10 + F.col("i") % 3).cast("int").alias("days"), F.get(reasons, (F.col("i") % 6).cast("int")).alias("reason"))
+    return t.withColumn("seq", F.row_number().over(W.orderBy("exit_date", "code", "strategy", "entry_date")).cast("long"))  # the log's order
+
+
+def log_of_trades(spark: SparkSession, sf: str) -> DataFrame:
+    """The trades as rows of a signal log, numbers as texts."""
+    text = lambda c: F.col(c).cast("string")
+    t = trades(spark, sf)
+    return t.select("strategy", "grade", "code", F.lit("").alias("name"), F.lit("").alias("market"), "entry_date", F.col("exit_date").alias("date"), F.lit("SELL").alias("action"), text("entry").alias("entry_price"), text("exit").alias("price"), text("pnl").alias("pnl_pct"), text("days").alias("days_held"), F.concat("reason", F.lit(" → 종가신호, 시가 체결")).alias("reason"), F.lit("").alias("severity"), "seq")
+
+
+def replay_days(spark: SparkSession, sf: str) -> DataFrame:
+    s = shaped(spark, sf)
+    return replay.ever(signals.snapshot(s), candidates(s))
+
+
+def replayed(*tags: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return replay.replay(replay_days(spark, sf).where(F.col("strategy").isin(*tags)))
+
+    return run
+
+
+def cum_volume(spark: SparkSession, sf: str) -> DataFrame:
+    e = src.table(spark, sf, "events")
+    w = W.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    total = F.sum(F.col("event_id") % 7).over(w) - F.when(F.col("event_id") % 11 == 0, 9).otherwise(0)
+    e = e.select(F.col("event_type").alias("code"), F.to_date("ts").alias("d"), "ts", "event_id", total.alias("total"))
+    return src.volume_steps(e, "total", ["code", "d"], ["ts", "event_id"]).drop("ts")
+
+
+def universe_counts(spark: SparkSession, sf: str) -> DataFrame:
+    market = F.when(F.col("market").startswith("KOSPI"), "KOSPI").otherwise("KOSDAQ")
+    return listing(spark, sf).groupBy(market.alias("market")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def common_shares(spark: SparkSession, sf: str) -> DataFrame:
+    ends = F.array(*[F.lit(x) for x in ("", "스팩1호", "리츠", "우", "우B", "우C", "우D")])
+    nm = F.concat("p_name", F.get(ends, (F.floor(F.col("p_partkey") / 10) % 7).cast("int")))
+    return src.table(spark, sf, "part").select("p_partkey", nm.alias("nm")).withColumn("ok", signals.is_common("nm", "p_partkey"))
+
+
+def overridden(spark: SparkSession, sf: str) -> DataFrame:
+    s = ind.series(bars(spark, sf))
+    ext = ind.indexed(bars(spark, sf)).where(F.col("code") % 3 == 0)
+    ext = ext.select("code", F.col("i").alias("seq"), F.when(F.col("i") % 5 != 0, F.col("c") % 90).alias("T"), (F.col("h") % 70).alias("B"))
+    short = ind.indexed(bars(spark, sf)).where((F.col("code") % 3 == 1) & (F.col("i") > 0)).select("code", F.col("i").alias("seq"), F.lit(1.0).alias("T"), F.lit(1.0).alias("B"))
+    return six(ind.override(s, ext.unionByName(short)), "t", "b")
+
+
+def ordered(spark: SparkSession, sf: str) -> DataFrame:
+    r = ranked(spark, sf)
+    part = lambda tag: r.where(F.col("strategy") == tag).groupBy("code").agg(F.min("rank").alias("at"))
+    return sets.ordered_union([part(TB_TAG), part(LEGACY_TAG)], "code", "at")
+
+
+def upserted(spark: SparkSession, sf: str) -> DataFrame:
+    e = src.table(spark, sf, "events").select(F.col("event_type").alias("code"), F.date_trunc("hour", "ts").alias("hour"), "value", "event_id")
+    bar = lambda df: df.groupBy("code", "hour").agg(F.max("value").alias("px"))
+    return sets.upsert(bar(e), bar(e.where(F.col("event_id") % 2 == 1)), "code", "hour", 240)
+
+
+def breadth(spark: SparkSession, sf: str) -> DataFrame:
+    up = F.avg(F.when(F.col("chg20") > 0, 1.0).otherwise(0.0))
+    return ind.returns(bars(spark, sf)).where("chg20 is not null").groupBy("d").agg(rnd(up, 4).alias("breadth"), (up >= 0.55).alias("open"))
+
+
+def weekly_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Days on which both the day's and the last whole week's lines are calm and have risen."""
+    b = bars(spark, sf)
+    week = ind.with_golden(src.weekly_bars(b).withColumnRenamed("w", "d")).select("code", F.date_add("d", 7).alias("wk"), F.col("gb").alias("wgb"), F.col("gs").alias("wgs"))
+    day = ind.with_golden(b).withColumn("wk", F.to_date(F.date_trunc("week", "d")))
+    hit = day.join(week, ["code", "wk"]).where("gs <= 5 and wgs <= 5 and gb >= 15 and wgb >= 15")
+    return signals.ranked(hit, ["d"], score="gb").select("code", "d", rnd("gb", 6).alias("gb"), "rank")
+
+
+def not_held(spark: SparkSession, sf: str) -> DataFrame:
+    r = ranked(spark, sf)
+    pos = r.where((F.col("code") + F.dayofmonth("d")) % 4 == 0).select("code", "strategy", "d")
+    return sets.not_held(r, pos, ["code", "strategy", "d"], "rank", 5).select("strategy", "d", "code", "order")
+
+
+def with_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    s = shaped(spark, sf)
+    return sets.flagged(candidates(s), signals.legacy_candidates(s, least=FLOOR), ["code", "d"], "ordered").select("strategy", "d", "code", "ordered")
+
+
+def timing(spark: SparkSession, sf: str) -> DataFrame:
+    h = src.hourly_bars(src.table(spark, sf, "events")).withColumnRenamed("hour", "d")
+    return signals.timing(h)
+
+
+def _registry() -> dict[str, Query]:
+    b = lambda f: lambda s, d: f(bars(s, d))
+    x = lambda f: lambda s, d: f(shaped(s, d))
+    return {
+        "daily_bars": bars,
+        "hourly_bars": lambda s, d: src.hourly_bars(src.table(s, d, "events")),
+        "cum_to_delta_volume": cum_volume,
+        "weekly_bars": b(src.weekly_bars),
+        "universe_topn": lambda s, d: signals.universe(listing(s, d)),
+        "universe_counts": universe_counts,
+        "common_share_filter": common_shares,
+        "min_history": b(lambda f: src.enough(f, 520).select("code", "d", "n")),
+        "sma": b(lambda f: ind.indexed(f).select("code", "d", *[rnd(ind.sma("c", n), 6).alias(f"sma{n}") for n in (5, 20, 30)])),
+        "mesh": b(lambda f: six(ind.mesh(ind.indexed(f)), "ma10", "ma35", "top", "bottom", also=("red",))),
+        "golden_ratio": b(lambda f: six(ind.with_golden(f), "gb", "gs")),
+        "golden_symmetric": b(lambda f: six(ind.with_golden(f, 25, "symmetric"), "gb", "gs")),
+        "ultimate": b(lambda f: six(ind.ultimate(ind.indexed(f)), "u", "u_sig")),
+        "returns": b(lambda f: six(ind.returns(f), "chg1", "chg5", "chg20")),
+        "slope5": b(lambda f: six(ind.with_golden(f).withColumn("slope5", F.col("gb") - ind.back("gb", 5)), "slope5")),
+        "ema": b(lambda f: six(ind.recursive(f), "ema")),
+        "tsi": b(lambda f: six(ind.recursive(f), "t", "t_sig")),
+        "rsi_b": b(lambda f: six(ind.recursive(f), "b")),
+        "wick": b(lambda f: six(f.withColumn("wick", shape.wick()), "wick")),
+        "bad_wick": b(lambda f: f.withColumn("wick", shape.wick()).select("code", "d", shape.lately((F.col("wick") > 0.5) & (F.col("h") > F.col("c")), 3).alias("bad_wick"))),
+        "big_down": b(lambda f: ind.returns(f).select("code", "d", shape.lately(F.col("chg1") <= -4, 3).alias("big_down"))),
+        "gs_streak": b(lambda f: ind.with_golden(ind.indexed(f)).select("code", "d", shape.streak(F.col("gs") <= 5, 15).alias("gs_hold"))),
+        "tb_streak": b(lambda f: ind.indexed(ind.recursive(f)).withColumn("tb_ok", shape.tb_ok()).select("code", "d", "tb_ok", shape.streak(F.col("tb_ok"), 60).alias("tb_hold"))),
+        "segment_stats": b(lambda f: six(shape.with_shape(ind.with_golden(ind.indexed(f))), "gs_mean", "gs_std")),
+        "spike": b(lambda f: shape.with_shape(ind.with_golden(ind.indexed(f))).select("code", "d", "spike")),
+        "month_boundary": b(lambda f: ind.month_marks(f).select("code", "d", "new_month")),
+        "sign_runs": b(lambda f: ind.signs(ind.recursive(f).where("t is not null"), "t").groupBy("code", "run").agg(F.count(F.lit(1)).alias("bars"), F.min("d").alias("first"), F.max("d").alias("last"))),
+        "extents": b(lambda f: ind.extent(ind.ultimate(ind.indexed(f)), "u").select("code", rnd("low", 6).alias("low"), rnd("high", 6).alias("high"))),
+        "snapshot": x(signals.snapshot),
+        "legacy_candidates": x(lambda f: signals.legacy_candidates(f, least=FLOOR).select("code", "d", "score", "gs_hold")),
+        "tb_candidates": x(lambda f: signals.tb_candidates(f, least=FLOOR).select("code", "d", "score", "tb_hold", "grade", "timely", "r20")),
+        "legacy_score": x(lambda f: signals.complete(f).select("code", "d", signals.legacy_score().alias("score"))),
+        "tb_score": x(lambda f: signals.complete(f).select("code", "d", signals.tb_score().alias("score"))),
+        "tb_grade": x(lambda f: signals.complete(f).where("tb_ok").select("code", "d", signals.grade(5.0).alias("grade"))),
+        "evaluate_lenient": x(lambda f: signals.evaluate(f, strict=False).select("code", "d", "score", "reject")),
+        "timing_60m": timing,
+        "day_rank": lambda s, d: ranked(s, d).select("strategy", "d", "code", "score", "rank"),
+        "topk_per_day": lambda s, d: ranked(s, d).where("rank <= 3").select("strategy", "d", "code", "rank"),
+        "legacy_exit_flags": lambda s, d: exits.with_legacy_exit(held(s, d)).select("code", "d", "rule", "action", "severity"),
+        "tb_exit_flags": lambda s, d: exits.with_tb_exit(held(s, d)).select("code", "d", "action", "reason", "severity"),
+        "stop_take_fill": lambda s, d: exits.stop_take(held(s, d), -7.0, 10.0).select("code", "d", "kind", "fill"),
+        "candidate_meta_join": lambda s, d: sets.with_meta(ranked(s, d), listing(s, d).where(F.col("code") % 3 != 0)).select("strategy", "d", "code", "rank", "name", "market"),
+        "held_anti_join": not_held,
+        "ordered_flag": with_ordered,
+        "indicator_override": overridden,
+        "latest_trading_days": b(lambda f: sets.latest_days(f, 20, F.lit("1998-06-30").cast("date"))),
+        "date_difference": b(lambda f: sets.minus(f.select("d").distinct(), f.where(F.col("code") % 2 == 0), ["d"])),
+        "ordered_union": ordered,
+        "keyed_upsert": upserted,
+        "fifo_closed": lambda s, d: ledger.fifo_closed(src.fills(src.table(s, d, "lineitem"))),
+        "fifo_open": lambda s, d: ledger.fifo_open(src.fills(src.table(s, d, "lineitem"))),
+        "ledger_kpis": lambda s, d: ledger.kpis(src.fills(src.table(s, d, "lineitem"))),
+        "closed_trades": lambda s, d: ledger.closed_trades(log_of_trades(s, d)).drop("name", "market", "severity"),
+        "trade_stats": lambda s, d: ledger.trade_stats(trades(s, d)),
+        "stats_by_strategy": lambda s, d: ledger.stats_by_strategy(trades(s, d)),
+        "by_reason": lambda s, d: ledger.by_reason(trades(s, d)),
+        "equity_curve": lambda s, d: ledger.equity(trades(s, d)).select("strategy", "seq", "cum"),
+        "breadth_gate": breadth,
+        "weekly_signals": weekly_signals,
+        "similarity_windows": b(lambda f: report.windows(f).select("code", "d", rnd("from_high", 6).alias("from_high"), rnd("from_low", 6).alias("from_low"), "bars_since_low")),
+        "chart_documents": b(report.charts),
+        "replay_legacy": replayed(LEGACY_TAG),
+        "replay_tb": replayed(TB_TAG),
+        "trade_log": replayed(LEGACY_TAG, TB_TAG),
+        "day_counters": lambda s, d: report.counters(replayed(LEGACY_TAG, TB_TAG)(s, d)),
+        "day_report": lambda s, d: report.day_report(replayed(LEGACY_TAG, TB_TAG)(s, d)),
+    }
+
+
+def queries() -> dict[str, Query]:
+    return _registry()
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in SQL.items() if k in _registry()}
 
 
-def oracle_sql() -> dict:
-    return {}
