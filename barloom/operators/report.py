@@ -30,7 +30,7 @@ def charts(bars: DataFrame, most: int = LIMITS.chart_bars, least: int = 30) -> D
     rows = bars.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("d")))).where((F.col("n") >= least) & (F.col("r") <= most))
     one = F.struct("d", *[F.col(x).cast("long").alias(x) for x in "ohlcv"])
     out = rows.groupBy("code").agg(F.array_sort(F.collect_list(one)).alias("rows"))  # at most `most` a code
-    return out.select("code", F.size("rows").alias("n"), F.transform("rows", lambda r: F.date_format(r["d"], "yyyy-MM-dd")).alias("t"), *[F.transform("rows", lambda r, x=x: r[x]).alias(x) for x in "ohlcv"])
+    return out.select("code", F.size("rows").alias("n"), F.transform("rows", lambda r: F.date_format(r["d"], "yyyy-MM-dd")).alias("t"), *[F.col("rows")[x].alias(x) for x in "ohlcv"])
 
 
 def write_log(log: DataFrame, path: str) -> None:

@@ -14,7 +14,7 @@ from barloom.operators import exits, ledger, replay, report, sets, shape, signal
 from barloom.operators import indicators as ind
 from barloom.sources import bars as src
 
-from .oracle import SQL
+from .oracle import told
 
 FLOOR = 3e5  # the fixture's prices and sizes are small; the rule's own floor is config.LIMITS.min_amount
 Query = Callable[[SparkSession, str], DataFrame]
@@ -230,11 +230,19 @@ def _registry() -> dict[str, Query]:
     }
 
 
-def queries() -> dict[str, Query]:
-    return _registry()
+def dated(query: Query) -> Query:
+    """A query whose dates are texts, as in the SQL."""
 
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = query(spark, sf)
+        return df.withColumns({f.name: F.col(f.name).cast("string") for f in df.schema.fields if f.dataType.typeName() == "date"})
 
-def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k in _registry()}
+    return run
 
 
+def queries() -> dict[str, Query]:
+    return {k: dated(q) for k, q in _registry().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return told()
