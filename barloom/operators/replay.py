@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.config import LEGACY, LEGACY_TAG, LIMITS, MOMENTUM, TB_TAG, Legacy
@@ -161,10 +162,12 @@ def replay(days: DataFrame) -> DataFrame:
     return days.groupBy("strategy").applyInPandas(run, LOG)
 
 
-def ever(snapshots: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Snapshots with the candidates' score, rank and grade, of those codes only that are candidates on some day, from
-    their first such day on. candidates: strategy, code, d, score, rank, grade."""
-    first = candidates.groupBy("strategy", F.col("code").alias("fc")).agg(F.min("d").alias("first"))
-    rows = snapshots.join(first, (F.col("code") == F.col("fc")) & (F.col("d") >= F.col("first"))).drop("fc", "first")
-    out = rows.join(candidates.select("strategy", "code", "d", "score", "rank", "grade"), ["strategy", "code", "d"], "left")
-    return out.select("strategy", *[F.col(c.split()[0]).cast(c.split()[1]) for c in DAY.split(", ")])
+def ever(both: DataFrame) -> DataFrame:
+    """Days of those codes only that are candidates on some day, from their first such day on, with the rank by falling
+    score on days on which they are. both: snapshot columns with strategy, ok, score, grade (signals.both)."""
+    code = W.partitionBy("strategy", "code")
+    rows = both.withColumn("first", F.min(F.when(F.col("ok"), F.col("d"))).over(code)).where("d >= first")
+    rank = F.row_number().over(W.partitionBy("strategy", "d", "ok").orderBy(F.desc("score"), "code"))
+    rows = rows.withColumn("rank", F.when(F.col("ok"), rank))
+    rows = rows.withColumns({"score": F.when(F.col("ok"), F.col("score")), "grade": F.when(F.col("ok"), F.col("grade"))})
+    return rows.select("strategy", *[F.col(c.split()[0]).cast(c.split()[1]) for c in DAY.split(", ")])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.config import HOMERUN, LEGACY, LIMITS, MOMENTUM, NORMAL, TB, Legacy
+from barloom.config import HOMERUN, LEGACY, LEGACY_TAG, LIMITS, MOMENTUM, NORMAL, TB, TB_TAG, Legacy
 from barloom.functions.numeric import rnd
 
 
@@ -23,9 +23,8 @@ def complete(shaped: DataFrame, first: int = LIMITS.first_index) -> DataFrame:
     return shaped.where((F.col("i") >= first) & F.col("t").isNotNull() & F.col("b").isNotNull() & F.col("u").isNotNull() & F.col("ma30").isNotNull())
 
 
-def snapshot(shaped: DataFrame) -> DataFrame:
-    """The day's rounded indicators of each code, which exits are decided by."""
-    return complete(shaped).select(
+def snapshot_columns() -> list:
+    return [
         "code", "d",
         trunc("c").alias("close"), trunc("o").alias("open"), trunc("h").alias("high"), trunc("l").alias("low"),
         rnd("gb", 1).alias("gbuy"), rnd("gs", 1).alias("gsell"), rnd("slope5", 1).alias("gb_slope5"), "gs_hold",
@@ -34,7 +33,12 @@ def snapshot(shaped: DataFrame) -> DataFrame:
         "red", trunc("ma30").alias("ma30"), (F.col("c") >= F.col("ma30")).alias("above_ma30"),
         rnd("chg1", 2).alias("chg1"), rnd("chg5", 2).alias("chg5"), rnd(F.coalesce("chg20", F.lit(0.0)), 2).alias("chg20"),
         rnd("wick", 2).alias("wick"), trunc("v").alias("vol"), (F.col("c") * F.col("v")).cast("long").alias("amount"),
-    )
+    ]
+
+
+def snapshot(shaped: DataFrame) -> DataFrame:
+    """The day's rounded indicators of each code, which exits are decided by."""
+    return complete(shaped).select(*snapshot_columns())
 
 
 def liquid(df: DataFrame, least: float = LIMITS.min_amount) -> DataFrame:
@@ -104,6 +108,19 @@ def tb_candidates(shaped: DataFrame, p: TB = MOMENTUM, least: float = LIMITS.min
     return out.withColumns({"grade": grade(p.homerun), "timely": F.col("tb_hold") <= p.hold_timely, "score": tb_score(), "r20": rnd(F.coalesce("chg20", F.lit(0.0)), 1)})
 
 
+def both(shaped: DataFrame, least: float = LIMITS.min_amount, p: Legacy = LEGACY, tb: TB = MOMENTUM) -> DataFrame:
+    """snapshot's columns, a row a strategy, with ok (is it a candidate that day), score and grade: one pass over the
+    bars serves both rules and, later, the replay."""
+    liquid_ = F.floor(F.col("c") * F.col("v")) >= least
+    old = liquid_
+    for reject in legacy_rejects(p).values():
+        old = old & ~reject
+    new = liquid_ & F.col("tb_ok") & (F.col("tb_hold") >= tb.hold_min) & (F.col("gs") <= tb.gs_entry)
+    one = lambda tag, ok, score, g: F.struct(F.lit(tag).alias("strategy"), ok.alias("ok"), score.alias("score"), g.alias("grade"))
+    rows = F.array(one(LEGACY_TAG, old, legacy_score(p), F.lit("")), one(TB_TAG, new, tb_score(), grade(tb.homerun)))
+    return complete(shaped).select(*snapshot_columns(), F.inline(rows))
+
+
 def ranked(candidates: DataFrame, keys: list[str], most: int | None = None, score: str = "score", tie: str = "code") -> DataFrame:
     """Adds rank, from 1: by falling score, ties by a key that is told; cut to the best `most` where given."""
     out = candidates.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(score), tie)))

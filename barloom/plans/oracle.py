@@ -217,9 +217,9 @@ FROM (SELECT *, entry * (1 + (-7.0)::DOUBLE / 100) AS st, entry * (1 + 10.0::DOU
   SELECT code, i, CASE WHEN i % 5 <> 0 THEN c % 90 END AS xt, h % 70 AS xb FROM x1 WHERE code % 3 = 0) e ON s.code = e.code AND s.i = e.i""", *FULL),
     "latest_trading_days": over("SELECT DISTINCT d FROM bars WHERE code = (SELECT code FROM bars GROUP BY code ORDER BY count(*) DESC, code LIMIT 1) AND d <= DATE '1998-06-30' ORDER BY d DESC LIMIT 20", *BASE),
     "date_difference": over("SELECT DISTINCT d FROM bars WHERE d NOT IN (SELECT d FROM bars WHERE code % 2 = 0)", *BASE),
-    "ordered_union": over("""SELECT code, row_number() OVER (ORDER BY part, at, code)::INTEGER AS place FROM (
-  SELECT code, part, at, row_number() OVER (PARTITION BY code ORDER BY part, at) AS k FROM (
-    SELECT code, CASE strategy WHEN 'TB' THEN 0 ELSE 1 END AS part, min(rank) AS at FROM ranked GROUP BY ALL)) WHERE k = 1""", *FULL, CANDS),
+    "ordered_union": over("""SELECT code, row_number() OVER (ORDER BY part, pos, code)::INTEGER AS place FROM (
+  SELECT code, part, pos, row_number() OVER (PARTITION BY code ORDER BY part, pos) AS k FROM (
+    SELECT code, CASE strategy WHEN 'TB' THEN 0 ELSE 1 END AS part, min(rank) AS pos FROM ranked GROUP BY ALL)) WHERE k = 1""", *FULL, CANDS),
     "keyed_upsert": "SELECT code, hour, px FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY hour DESC) AS k FROM (SELECT event_type AS code, date_trunc('hour', ts) AS hour, CASE WHEN count_if(event_id % 2 = 1) > 0 THEN max(value) FILTER (event_id % 2 = 1) ELSE max(value) END AS px FROM events GROUP BY ALL)) WHERE k <= 240",
     "fifo_closed": over(f"SELECT *, (sell_price - buy_price) * qty AS pnl, {rnd('(sell_price / buy_price - 1) * 100', 4)} AS pct, datediff('day', buy_d, sell_d)::INTEGER AS days FROM fc", BARS, FILLS),
     "fifo_open": over("SELECT * FROM fo", BARS, FILLS),

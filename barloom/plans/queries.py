@@ -39,9 +39,8 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidates(s: DataFrame) -> DataFrame:
-    old = signals.legacy_candidates(s, least=FLOOR).select(F.lit(LEGACY_TAG).alias("strategy"), "code", "d", "score", F.lit("").alias("grade"))
-    new = signals.tb_candidates(s, least=FLOOR).select(F.lit(TB_TAG).alias("strategy"), "code", "d", "score", "grade")
-    return signals.ranked(old.unionByName(new), ["strategy", "d"])
+    """Both rules' candidates out of one pass over the bars, ranked within each day."""
+    return signals.ranked(signals.both(s, FLOOR).where("ok"), ["strategy", "d"]).select("strategy", "code", "d", "score", "grade", "rank")
 
 
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,8 +76,7 @@ def log_of_trades(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replay_days(spark: SparkSession, sf: str) -> DataFrame:
-    s = shaped(spark, sf)
-    return replay.ever(signals.snapshot(s), candidates(s))
+    return replay.ever(signals.both(shaped(spark, sf), FLOOR))
 
 
 def replayed(*tags: str) -> Query:
