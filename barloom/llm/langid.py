@@ -101,7 +101,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         middle = (margins[words[:, k] > 0].min() + margins[words[:, k] < 0].max()) / 2 if len(yes) and len(no) else 0.0
         w = w - middle
         weights.append(w)
-        scale.append(max(1e-6, np.abs(margins - middle).mean()))
+        scale.append(max(1e-6, np.abs(margins - middle).mean()) if len(margins) else 1.0)
     return Model(langs, words, np.array(weights, np.float32).T.copy(), np.array(scale))
 
 
