@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -162,6 +164,65 @@ def replay(days: DataFrame) -> DataFrame:
     return days.groupBy("strategy").applyInPandas(run, LOG)
 
 
+def _plain(x):
+    return x.isoformat() if isinstance(x, date) else int(x)
+
+
+def to_text(book: Book, last: str) -> str:
+    """A book and the last day it has played, to be kept between runs."""
+    return json.dumps({"last": last, "book": book.state()}, default=_plain)
+
+
+def from_text(strategy: str, text: str | None) -> tuple[Book, str]:
+    if not text:
+        return books(strategy), ""
+    kept = json.loads(text)
+    book = kept["book"]
+    book["held"] = {int(k): v | {"entry_date": date.fromisoformat(v["entry_date"])} for k, v in book["held"].items()}
+    return books(strategy, book), kept["last"]
+
+
+def play(strategy: str, text: str | None, rows: Iterable[dict]) -> tuple[list[tuple], str]:
+    """Plays the days of rows that come after the last one the kept book has played: its log rows and the new text. So a
+    day that is given twice is played once."""
+    book, last = from_text(strategy, text)
+    out: list[tuple] = []
+    for d, day in days_of(rows).items():
+        if str(d) > last:
+            out += book.step(d, day)
+            last = str(d)
+    return out, to_text(book, last)
+
+
+def resume(days: DataFrame, states: DataFrame) -> DataFrame:
+    """replay() from kept books on. states: strategy, state. The log has a column state, filled in one more row a
+    strategy, which has no action: the book to keep."""
+    names = [c.split()[0] for c in LOG.split(", ")]
+
+    def run(key: tuple, pdf: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        text = kept["state"].iloc[0] if len(kept) else None
+        log, text = play(key[0], text, pdf.drop(columns="strategy").to_dict("records"))
+        out = pd.DataFrame(log, columns=names)
+        out["state"] = None
+        return pd.concat([out, pd.DataFrame([{**dict.fromkeys(names), "strategy": key[0], "state": text}])], ignore_index=True).astype({"rank": "Int64", "code": "Int64", "seq": "Int64", "price": "Int64", "entry_price": "Int64", "days_held": "Int64", "score": "Float64", "pnl_pct": "Float64"})
+
+    return days.groupBy("strategy").cogroup(states.groupBy("strategy")).applyInPandas(run, f"{LOG}, state string")
+
+
+#: Indicators that a full log row copies from the day's snapshot.
+COPIED = ("gbuy", "gsell", "gs_hold", "gs_mean", "gs_std", "gb_slope5", "t", "b", "u", "red", "ma30", "chg1", "chg5", "chg20", "vol", "amount")
+
+
+def log_rows(log: DataFrame, snapshots: DataFrame, meta: DataFrame) -> DataFrame:
+    """The log in its full form of 32 columns: with name and market (the code itself, and none, where unknown) and the
+    day's indicators. meta: code, name, market."""
+    from .sets import with_meta
+
+    out = with_meta(log.join(snapshots.select("code", "d", *COPIED), ["code", "d"], "left"), meta)
+    first = ["strategy", "seq", F.col("d").alias("date"), "code", "name", "market", "action", "severity", "reason", "price", "score", "rank", "grade", "entry_date", "entry_price", "days_held", "pnl_pct"]
+    return out.select(*first, *COPIED)
+
+
 def ever(both: DataFrame) -> DataFrame:
     """Days of those codes only that are candidates on some day, from their first such day on, with the rank by falling
     score on days on which they are. both: snapshot columns with strategy, ok, score, grade (signals.both)."""

@@ -33,14 +33,14 @@ def charts(bars: DataFrame, most: int = LIMITS.chart_bars, least: int = 30) -> D
     return out.select("code", F.size("rows").alias("n"), F.transform("rows", lambda r: F.date_format(r["d"], "yyyy-MM-dd")).alias("t"), *[F.col("rows")[x].alias(x) for x in "ohlcv"])
 
 
-def write_log(log: DataFrame, path: str) -> None:
+def write_log(log: DataFrame, path: str, day: str = "d") -> None:
     """Appends a log as Parquet, a folder a day."""
-    log.write.mode("append").partitionBy("d").parquet(path)
+    log.write.mode("append").partitionBy(day).parquet(path)
 
 
-def write_days(log: DataFrame, path: str) -> None:
+def write_days(log: DataFrame, path: str, day: str = "d") -> None:
     """Writes a log's days anew, and no others: running a day twice leaves one copy."""
-    log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("d").parquet(path)
+    log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -51,6 +51,16 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def hour_label(hour="hour"):
+    """MM/DD HH and the word for hour."""
+    return F.concat(F.date_format(hour, "MM/dd HH"), F.lit("시"))
+
+
+def lot_sizes(orders: DataFrame, assets: float, slots: int = LIMITS.max_positions) -> DataFrame:
+    """Adds qty: whole shares that an equal share of all assets buys at the price."""
+    return orders.withColumn("qty", F.when(F.col("price") > 0, F.floor(F.lit(assets / slots) / F.col("price"))).otherwise(0))
+
+
 def reset(spark, schema: str, *paths: str) -> None:
     """Empties tables of state."""
     for p in paths:

@@ -143,6 +143,13 @@ def universe(listing: DataFrame, per_market: tuple = LIMITS.per_market, min_pric
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("code", "name", "market", F.col("marcap").cast("long").alias("marcap"), "rank")
 
 
+def weekly_exit(df: DataFrame, most: float = 25.0, stop: float = -12.0) -> DataFrame:
+    """The documented weekly variant's exits: the week's fall line above `most`, or the close below the stop; no take.
+    df: wgs, close, entry."""
+    stopped = (F.col("close").cast("double") / F.col("entry") - 1) * 100 <= stop
+    return df.withColumn("rule", F.when(stopped, "stop").when(F.col("wgs") > most, "weekly"))
+
+
 def timing(hourly: DataFrame, p: Legacy = LEGACY) -> DataFrame:
     """A code's latest 60-minute bar: g rise and fall over 100 bars if it has 120, else 32; hold over the last 29 bars;
     ready if it holds, is calm, has risen and rises. hourly: code, d (the hour), c and the rest; codes with 60 bars."""

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barloom.operators.replay import LOG, books, days_of
+from barloom.operators.replay import LOG, play
 
 
 def hourly(ticks: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -43,27 +41,14 @@ def upsert_batches(path: str, key: list[str], day: str):
     return run
 
 
-def _plain(x):
-    return x.isoformat() if isinstance(x, date) else int(x) if hasattr(x, "__int__") and not isinstance(x, (int, float, bool)) else x
-
-
 def replay_stream(days: DataFrame) -> DataFrame:
     """replay() over a stream whose batches hold whole days in order: the book of a strategy is its state, kept as JSON.
     A day that is not after the last one played is passed over, so a day delivered twice is played once."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {"last": "", "book": None}
-        book = kept["book"]
-        if book:
-            book["held"] = {int(k): v | {"entry_date": date.fromisoformat(v["entry_date"])} for k, v in book["held"].items()}
-        book = books(key[0], book)
         rows = [r for f in frames for r in f.drop(columns="strategy").to_dict("records")]
-        out: list[tuple] = []
-        for d, day in days_of(rows).items():
-            if str(d) > kept["last"]:
-                out += book.step(d, day)
-                kept["last"] = str(d)
-        state.update((json.dumps({"last": kept["last"], "book": book.state()}, default=_plain),))
+        out, text = play(key[0], state.get[0] if state.exists else None, rows)
+        state.update((text,))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in LOG.split(", ")])
 
     return days.groupBy("strategy").applyInPandasWithState(run, LOG, "state string", "append", GroupStateTimeout.NoTimeout)

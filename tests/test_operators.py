@@ -300,3 +300,35 @@ def test_sets_and_charts(spark):
 def test_common_shares(spark, name, ok):
     df = spark.createDataFrame([(name, "005930")], "name string, code string")
     assert df.select(signals.is_common()).first()[0] is ok
+
+
+def test_daily_run_resumes_and_is_idempotent(spark, sf, tmp_path):
+    from barloom.plans import daily
+    from barloom.plans.queries import bars
+
+    b = bars(spark, sf).persist()
+    days = [r.d for r in sets.latest_days(b, 60).orderBy("d").collect()]
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    assert daily.run(spark, b, one, backfill=60, min_amount=3e5) == 60
+    assert daily.run(spark, b, two, until=str(days[29]), backfill=30, min_amount=3e5) == 30
+    daily.run(spark, b, two, backfill=30, min_amount=3e5)
+    read = lambda p: sorted(map(tuple, spark.read.parquet(f"{p}/log").select("strategy", "seq", "d", "code", "action", "price", "pnl_pct").collect()))
+    whole = read(one)
+    assert whole and read(two) == whole
+    n = daily.run(spark, b, one, backfill=60, min_amount=3e5)
+    assert read(one) == whole and n < 60
+    assert spark.read.parquet(f"{one}/stats").where("strategy = 'ALL'").count() == 1
+
+
+def test_full_log_rows_and_labels(spark, sf):
+    from barloom.plans.queries import FLOOR, listing, shaped
+
+    s = shaped(spark, sf)
+    log = replay.replay(replay.ever(signals.both(s, FLOOR)))
+    rows = replay.log_rows(log, signals.snapshot(s), listing(spark, sf).where("code > 5"))
+    assert len(rows.columns) == 33 and rows.count() == log.count() and rows.where("gbuy is null or name is null").count() == 0
+    t = spark.createDataFrame([(datetime.datetime(2024, 3, 5, 9), 300.0, 1)], "hour timestamp, price double, k int")
+    assert t.select(report.hour_label()).first()[0] == "03/05 09시"
+    assert report.lot_sizes(t, 10_000.0).first().qty == 3
+    w = spark.createDataFrame([(1.0, 100, 80), (26.0, 100, 100), (1.0, 100, 100)], "wgs double, entry long, close long")
+    assert [r.rule for r in signals.weekly_exit(w).collect()] == ["stop", "weekly", None]
