@@ -15,8 +15,15 @@ LEVEL = 3
 
 
 class Model:
-    def __init__(self, good: bytes, bad: bytes, slope: float, offset: float, prior: float):
-        self.good, self.bad, self.slope, self.offset, self.prior = good, bad, slope, offset, prior
+    """Two dictionaries, the calibration's weights (of 1 and the three values of `terms`) and the share of good labels."""
+
+    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray, prior: float):
+        self.good, self.bad, self.weights, self.prior = good, bad, weights, prior
+
+    def score(self, text: str | None) -> float:
+        if not self.good or not (text or "").strip():
+            return self.prior
+        return float(1 / (1 + np.exp(-np.clip(terms(text, self.good, self.bad) @ self.weights, -30, 30))))
 
 
 _compressors: dict[tuple[bytes, bytes], tuple] = {}
@@ -31,33 +38,40 @@ def _pair(good: bytes, bad: bytes) -> tuple:
     return _compressors[good, bad]
 
 
-def difference(text: str | None, good: bytes, bad: bytes) -> float:
-    """(size with the bad dictionary - size with the good one) / their sum, over all parts of the whole text; 0 if empty."""
-    data = (text or "").encode("utf-8", "replace")
-    if not data.strip():
-        return 0.0
+def sizes(text: str, good: bytes, bad: bytes) -> tuple[int, int, int]:
+    """Bytes of a text, of its parts compressed with the good dictionary, and with the bad one: of the whole text."""
+    data = text.encode("utf-8", "replace")
     g, b = _pair(good, bad)
     with_good = with_bad = 0
     for at in range(0, len(data), PART):
         part = data[at : at + PART]
         with_good += len(g.compress(part))
         with_bad += len(b.compress(part))
-    return (with_bad - with_good) / (with_bad + with_good)
+    return len(data), with_good, with_bad
+
+
+def terms(text: str, good: bytes, bad: bytes) -> np.ndarray:
+    """1, the difference of the compressed sizes over their sum (positive: nearer to good text), and the logarithm of the
+    share that the smaller one is of the text, with its square. The latter two make the calibration depend on how far a
+    text compresses at all: text that repeats itself leaves little of either size to tell by."""
+    n, a, b = sizes(text, good, bad)
+    left = np.log(min(a, b) / n)
+    return np.array([1.0, (b - a) / (b + a), left, left * left])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset by Newton's method, with a small ridge."""
-    m, s = x.mean(), max(x.std(), 1e-9)
-    z = np.c_[(x - m) / s, np.ones(len(x))]
-    w = np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Weights by Newton's method with a small ridge; the first column of x is 1."""
+    m, s = x[:, 1:].mean(0), np.maximum(x[:, 1:].std(0), 1e-9)
+    z = np.c_[np.ones(len(x)), (x[:, 1:] - m) / s]
+    w = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
+        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(len(w))
         step = np.linalg.solve(h, z.T @ (y - p) - 1e-3 * w)
         w += step
         if abs(step).max() < 1e-9:
             break
-    return w[0] / s, w[1] - w[0] * m / s
+    return np.r_[w[0] - (w[1:] * m / s).sum(), w[1:] / s]
 
 
 def dictionary(texts: list[str], size: int) -> bytes:
@@ -76,11 +90,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, size: int = 6
     all if there are fewer. Half of them make the dictionaries, the other half calibrates; priors are those of all
     labelled rows. A document labelled twice counts once, as the worse of its labels; null labels don't count."""
     marks = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("quality"))
-    sizes = {r[0]: r[1] for r in marks.groupBy("quality").count().collect()}
-    n = {q: sizes.get(q, 0) for q in (0, 1)}
+    counted = {r[0]: r[1] for r in marks.groupBy("quality").count().collect()}
+    n = {q: counted.get(q, 0) for q in (0, 1)}
     if not n[0] or not n[1]:
-        share = 1.0 if n[1] and not n[0] else 0.0 if n[0] else 0.5
-        return Model(b"", b"", 0.0, {1.0: 6.0, 0.0: -6.0, 0.5: 0.0}[share], share)
+        return Model(b"", b"", np.zeros(4), 1.0 if n[1] else 0.0 if n[0] else 0.5)
     keep = F.lit(False)
     for q in (0, 1):
         keep = keep | ((F.col("quality") == q) & hash_share(F.col(key).cast("string"), per_class / n[q]))
@@ -89,15 +102,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, size: int = 6
     rows = docs.select(key, "text").join(F.broadcast(small), key).where("text is not null").orderBy(key).collect()
     texts = {q: [r["text"] for r in rows if r["quality"] == q] for q in (0, 1)}
     if min(map(len, texts.values())) < 2:
-        p = n[1] / (n[0] + n[1])
-        return Model(b"", b"", 0.0, float(np.log(p / (1 - p))), p)
+        return Model(b"", b"", np.zeros(4), n[1] / (n[0] + n[1]))
     good, bad = dictionary(texts[1][::2], size), dictionary(texts[0][::2], size)
-    x = np.array([difference(t, good, bad) for q in (0, 1) for t in texts[q][1::2]])
-    y = np.array([q for q in (0, 1) for _ in texts[q][1::2]], float)
-    slope, offset = _logistic(x, y)
+    rest = [(t, q) for q in (0, 1) for t in texts[q][1::2] if t.strip()]
+    y = np.array([q for _, q in rest], float)
+    weights = _logistic(np.array([terms(t, good, bad) for t, _ in rest]).reshape(-1, 4), y)
     # the sample's share of good text isn't that of all labelled rows
-    offset += np.log(n[1] / n[0]) - np.log(max(1, y.sum()) / max(1, (1 - y).sum()))
-    return Model(good, bad, float(slope), float(offset), n[1] / (n[0] + n[1]))
+    weights[0] += np.log(n[1] / n[0]) - np.log(max(1, y.sum()) / max(1, (1 - y).sum()))
+    return Model(good, bad, weights, n[1] / (n[0] + n[1]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
@@ -112,14 +124,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
     def run(batches):
         for batch in batches:
-            out = []
-            for t in batch.column(at):
-                t = t.as_py()
-                if t is None or not t.strip() or not model.good:
-                    out.append(model.prior)
-                else:
-                    out.append(1 / (1 + np.exp(-np.clip(model.slope * difference(t, model.good, model.bad) + model.offset, -30, 30))))
-            p = np.array(out, float)
+            p = np.array([model.score(t.as_py()) for t in batch.column(at)], float)
             yield pa.record_batch([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names)
 
     return docs.mapInArrow(run, schema)
