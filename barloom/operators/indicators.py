@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,18 +89,28 @@ def returns(bars: DataFrame) -> DataFrame:
 
 
 def recursive(bars: DataFrame, fast: int = 10, slow: int = 30, signal: int = 8, rsi: int = 35, ema: int = 10) -> DataFrame:
-    """Adds ema (of closes), t, t_sig and b. A value depends on the one before it, which no window gives; a code's bars
-    are one group of bounded size and are passed once for all seven averages."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bars.schema.fields)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("d", kind="stable")
-        c = pdf["c"].tolist()
-        t, t_sig = tsi_lists(c, fast, slow, signal)
-        out = {"ema": ema_list(c, ema), "t": t, "t_sig": t_sig, "b": rsi_list(c, rsi)}
-        return pdf.assign(**{k: pd.array(v, dtype="Float64") for k, v in out.items()})
-
-    return bars.groupBy("code").applyInPandas(run, f"{schema}, ema double, t double, t_sig double, b double")
+    """Adds ema (of closes), t, t_sig and b. A value depends on the one before it, which no window gives: a code's bars,
+    an array of bounded size in order of date, are passed once for all seven averages. Only closes are unpacked; the
+    other columns go through as they came."""
+    rest = ["d", *[c for c in bars.columns if c not in ("code", "d")]]
+    packed = bars.groupBy("code").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("bars"))
+    names = ("ema", "t", "t_sig", "b")
+
+    def run(batches):
+        for batch in batches:
+            cols: list[list] = [[] for _ in names]
+            for one in batch.column(1):
+                c = one.values.field("c").to_pylist()
+                t, t_sig = tsi_lists(c, fast, slow, signal)
+                for col_, v in zip(cols, (ema_list(c, ema), t, t_sig, rsi_list(c, rsi)), strict=True):
+                    col_.append(v)
+            kind = pa.list_(pa.float64())
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(v, kind) for v in cols)], ["code", "bars", *names])
+
+    code, arrays = (packed.schema[c].dataType.simpleString() for c in ("code", "bars"))
+    out = packed.mapInArrow(run, f"code {code}, bars {arrays}, " + ", ".join(f"{n} array<double>" for n in names))
+    z = out.select("code", F.explode(F.arrays_zip("bars", *names)).alias("z"))
+    return z.select("code", *[F.col(f"z.bars.{c}").alias(c) for c in rest], *[F.col(f"z.{n}").alias(n) for n in names])
 
 
 def override(series: DataFrame, external: DataFrame) -> DataFrame:
