@@ -105,3 +105,14 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = {r.node: r.comp for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[k] for k in range(100, 161)} == {100} and {got[k] for k in range(600, 700)} == {500} and 7 not in got
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stored_tables_can_be_dropped(spark):
+    import os
+
+    df = common.stored(spark.range(5), "five")
+    where = df._barloom_path.removeprefix("file://")
+    assert df.count() == 5 and os.path.isdir(where)
+    common.forget(df)
+    assert not os.path.exists(where)
+    assert common.own_dir(spark).startswith(common.shared_dir(spark))
