@@ -10,40 +10,41 @@ from barloom.config import HOMERUN, LIMITS, OTHER, REASONS
 from barloom.functions.numeric import over, rnd
 
 
-def _sides(fills: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Buys and sells as intervals of a code's running quantity. A sale beyond what is held is dropped: running net less
-    its running least (0 at most) is what is held, so the fall of that least is what a sale couldn't find."""
+def _segments(fills: DataFrame) -> DataFrame:
+    """(code, buy, sell, qty): a code's quantities cut where a buy lot or a sale ends, each piece with its lot and its
+    sale, if any. A sale beyond what is held is dropped: the running net less its running least (0 at most) is what is
+    held, so the fall of that least is what a sale couldn't find. Lots and sales then lie end to end on one line of
+    quantities, and one pass over their ends, from the last on, knows the lot and the sale that each piece belongs to: no
+    lot is compared with every sale."""
     w = W.partitionBy("code").orderBy("d", "k")
     run = w.rowsBetween(W.unboundedPreceding, 0)
-    f = fills.where(F.col("code").isNotNull() & (F.col("qty") > 0)).withColumn("buy", F.col("side") == "buy")
-    f = f.withColumn("net", F.sum(F.when(F.col("buy"), F.col("qty")).otherwise(-F.col("qty"))).over(run))
+    f = fills.where(F.col("code").isNotNull() & (F.col("qty") > 0)).withColumn("bought", F.col("side") == "buy")
+    f = f.withColumn("net", F.sum(F.when(F.col("bought"), F.col("qty")).otherwise(-F.col("qty"))).over(run))
     f = f.withColumn("floor", F.least(F.lit(0.0), F.min("net").over(run)))
     missed = F.coalesce(F.lag("floor").over(w), F.lit(0.0)) - F.col("floor")
-    f = f.withColumn("eff", F.when(F.col("buy"), F.col("qty")).otherwise(F.col("qty") - missed))
-    side = W.partitionBy("code", "buy").orderBy("d", "k").rowsBetween(W.unboundedPreceding, 0)
-    f = f.withColumn("hi", F.sum("eff").over(side)).withColumn("lo", F.col("hi") - F.col("eff"))
-    pick = lambda b: f.where(F.col("buy") == b).where("eff > 0")
-    return pick(True), pick(False)
+    f = f.withColumn("eff", F.when(F.col("bought"), F.col("qty")).otherwise(F.col("qty") - missed))
+    part = lambda b: F.sum(F.when(F.col("bought") == b, F.col("eff")).otherwise(0.0)).over(run)
+    f = f.withColumn("hi", F.when(F.col("bought"), part(True)).otherwise(part(False))).where("eff > 0")
+    one = F.struct("d", "k", "price")
+    f = f.select("code", "hi", F.when(F.col("bought"), one).alias("b"), F.when(~F.col("bought"), one).alias("s"))
+    down = W.partitionBy("code").orderBy(F.desc("hi"))
+    seen = down.rowsBetween(W.unboundedPreceding, 0)
+    qty = F.col("hi") - F.coalesce(F.lead("hi").over(down), F.lit(0.0))
+    f = f.select("code", F.last("b", True).over(seen).alias("buy"), F.last("s", True).over(seen).alias("sell"), qty.alias("qty"))
+    return f.where("qty > 0 and buy is not null")
 
 
 def fifo_closed(fills: DataFrame) -> DataFrame:
     """One row for each buy lot (or part) and the sale that closes it."""
-    b, s = _sides(fills)
-    b = b.select("code", F.col("d").alias("buy_d"), F.col("k").alias("buy_k"), F.col("price").alias("buy_price"), F.col("lo").alias("bl"), F.col("hi").alias("bh"))
-    s = s.select(F.col("code").alias("sc"), F.col("d").alias("sell_d"), F.col("k").alias("sell_k"), F.col("price").alias("sell_price"), F.col("lo").alias("sl"), F.col("hi").alias("sh"))
-    m = b.join(s, (F.col("code") == F.col("sc")) & (F.col("bl") < F.col("sh")) & (F.col("sl") < F.col("bh")))
-    qty = F.least("bh", "sh") - F.greatest("bl", "sl")
-    m = m.withColumn("qty", qty)
+    m = _segments(fills).where("sell is not null")
+    m = m.select("code", F.col("buy.d").alias("buy_d"), F.col("buy.k").alias("buy_k"), F.col("sell.d").alias("sell_d"), F.col("sell.k").alias("sell_k"), F.col("buy.price").alias("buy_price"), F.col("sell.price").alias("sell_price"), "qty")
     pct = over(F.col("sell_price"), F.col("buy_price")) - 1
-    return m.select("code", "buy_d", "buy_k", "sell_d", "sell_k", "buy_price", "sell_price", "qty", ((F.col("sell_price") - F.col("buy_price")) * F.col("qty")).alias("pnl"), rnd(pct * 100, 4).alias("pct"), F.datediff("sell_d", "buy_d").alias("days"))
+    return m.select("*", ((F.col("sell_price") - F.col("buy_price")) * F.col("qty")).alias("pnl"), rnd(pct * 100, 4).alias("pct"), F.datediff("sell_d", "buy_d").alias("days"))
 
 
 def fifo_open(fills: DataFrame) -> DataFrame:
     """What is left of each buy lot."""
-    b, s = _sides(fills)
-    sold = s.groupBy(F.col("code").alias("sc")).agg(F.max("hi").alias("sold"))
-    left = F.col("hi") - F.greatest(F.col("lo"), F.coalesce("sold", F.lit(0.0)))
-    return b.join(sold, F.col("code") == F.col("sc"), "left").withColumn("left", left).where("left > 0").select("code", "d", "k", "price", F.col("left").alias("qty"))
+    return _segments(fills).where("sell is null").select("code", F.col("buy.d").alias("d"), F.col("buy.k").alias("k"), F.col("buy.price").alias("price"), "qty")
 
 
 def kpis(fills: DataFrame) -> DataFrame:

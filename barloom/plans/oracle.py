@@ -120,7 +120,7 @@ log0 AS (
     {rnd("(trunc(f.ex) / trunc(f.en) - 1) * 100", 2)} AS pnl, (10 + f.i % 3)::INTEGER AS days,
     ['장중 손절 (기준)', '장중 익절', '청선 8.1 — 5선 이탈', '보유 40일 경과 — 기간 청산', 'T 19.9 < 20 이탈', '강제'][(f.i % 6)::INTEGER + 1] AS reason
   FROM ranked r JOIN fwd f USING (code, d) WHERE f.ex IS NOT NULL),
-trades AS (SELECT *, row_number() OVER (ORDER BY exit_date, code, strategy, entry_date) AS seq FROM log0)"""
+trades AS (SELECT *, (exit_date - DATE '1970-01-01')::BIGINT * 10000000 + code * 10 + CASE WHEN strategy = '기존' THEN 1 ELSE 0 END AS seq FROM log0)"""
 
 FILLS = """fills AS (SELECT code, d, tick AS k, CASE WHEN k2 % 2 = 1 THEN 'buy' ELSE 'sell' END AS side, q AS qty, px AS price FROM p),
 f1 AS (SELECT *, sum(CASE WHEN side = 'buy' THEN qty ELSE -qty END) OVER (PARTITION BY code ORDER BY d, k) AS net FROM fills WHERE qty > 0),
