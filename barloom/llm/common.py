@@ -74,8 +74,9 @@ def bucket(col: Column | str, m: int) -> Column:
 
 
 def hash_share(col: Column, share: float) -> Column:
-    """A predicate that holds for about this share of the values, the same ones in every run."""
-    return F.pmod(F.xxhash64(col), F.lit(1 << 20)) < F.lit(int(min(1.0, share) * (1 << 20)))
+    """A predicate that holds for about this share of the values, the same ones in every run; shares down to 2^-40."""
+    h, half = F.xxhash64(col), F.lit(1 << 20)
+    return F.pmod(h, half) * half + F.pmod(F.shiftright(h, 20), half) < F.lit(int(min(1.0, share) * (1 << 40)))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
