@@ -55,6 +55,18 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def tidy() -> None:
+    """Gives memory that a Python worker has freed back to the system; workers stay for the next stage's tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """A free column name for each of names, whatever columns df has already."""
     taken = {c.lower() for c in df.columns}

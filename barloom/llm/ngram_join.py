@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, fresh, pair_blocks, stored
+from .common import Forest, components, fresh, pair_blocks, stored, tidy
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -27,7 +27,7 @@ class Hashes(dict):
         import xxhash
 
         h = xxhash.xxh64_intdigest(word)
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         if len(word) <= 40:
             self[word] = h
@@ -118,6 +118,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
                     for i, row in zip(real, band_keys(min_hashes([sets[i] for i in real], bands * rows), bands, rows), strict=True):
                         keys[i] = row
                 yield pa.record_batch([part.column(0), part.column(2), pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "tk", "set", "bands"])
+        tidy()
 
     signed = stored(rest.mapInArrow(sign, f"id {id_type}, tk long, set binary, bands array<bigint>"), "signatures")
     # one row a class of equal sets; any of its texts stands for it
@@ -162,6 +163,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
                     if forest.join(i, int(j)):
                         out.append((names[i], names[j], 0))
             out += [(names[i], None, int(links[i])) for i in np.flatnonzero(links)]
+        tidy()
         return pd.DataFrame(out, columns=["a", "b", "links"])
 
     found = stored(pair_blocks(nodes, "comp", "set", block, compare, "a binary, b binary, links long"), "links")

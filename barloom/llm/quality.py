@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bucket, fresh, hash_share
+from .common import bucket, fresh, hash_share, tidy
 
 PART = 2048  # bytes that are compressed at a time, so that a text's own history doesn't drown the dictionary
 LEVEL = 3
@@ -126,6 +126,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         for batch in batches:
             p = np.array([model.score(t.as_py()) for t in batch.column(at)], float)
             yield pa.record_batch([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names)
+        tidy()
 
     return docs.mapInArrow(run, schema)
 

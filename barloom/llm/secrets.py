@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from .common import fresh
+from .common import tidy
 
 # The base patterns, the least lengths of what they find, and the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -236,6 +236,14 @@ def told(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
+def all_spans(text: str | None, model: Model) -> list[tuple[int, int, str, bool]]:
+    """(start, end, kind, base) of a text, by start, then kind in the order of KINDS, then formats."""
+    text = text or ""
+    base = base_spans(text)
+    spans = [(*x, True) for x in base] + [(*x, False) for x in more_spans(text, base, model)]
+    return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]) if x[3] else len(KINDS), x[2]))
+
+
 def scan(docs: DataFrame, text: str = "text", model: Model | None = None, into: str = "secrets") -> DataFrame:
     """docs with secrets (or as `into` names it): an array of (start, end, kind, base), by start, then kind in the order of KINDS, then formats.
 
@@ -254,11 +262,9 @@ def scan(docs: DataFrame, text: str = "text", model: Model | None = None, into:
         for batch in batches:
             out = []
             for t in batch.column(at):
-                t = t.as_py() or ""
-                base = base_spans(t)
-                spans = [(*x, True) for x in base] + [(*x, False) for x in more_spans(t, base, m)]
-                out.append([{"start": a, "end": b, "kind": k, "base": f} for a, b, k, f in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]) if x[3] else len(KINDS), x[2]))])
+                out.append([{"start": a, "end": b, "kind": k, "base": f} for a, b, k, f in all_spans(t.as_py(), m)])
             yield pa.record_batch([*batch.columns, pa.array(out, arrow)], names)
+        tidy()
 
     return docs.mapInArrow(run, schema)
 
@@ -272,29 +278,25 @@ def digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"), F.size(F.filter("secrets", lambda s: ~s["base"])).cast("long").alias("n_more"))
 
 
-def hide(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
+def hidden(text: str | None, spans: list[tuple[int, int, str, bool]], mark: str) -> str | None:
+    parts, end = [], 0
+    for a, b, _, _ in spans:
+        if a >= end:
+            parts += [text[end:a], mark]
+        end = max(end, b)
+    return "".join([*parts, text[end:]]) if spans else text
+
+
+def hide(docs: DataFrame, text: str = "text", mark: str = "[secret]", model: Model | None = None) -> DataFrame:
     """docs with every span of `scan` in the text replaced by `mark`, overlapping spans by one; all rows stay, and a
     null text stays null."""
-    (into,) = fresh(docs, "hidden")
-    found = scan(docs, text, into=into)
-    names = [f.name for f in docs.schema]
-    at, spans = names.index(text), len(names)
+    names, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
+        m = model or default_model()
         for batch in batches:
-            texts = []
-            for t, s in zip(batch.column(at), batch.column(spans), strict=True):
-                t, s = t.as_py(), s.as_py()
-                if s:
-                    parts, end = [], 0
-                    for x in s:
-                        if x["start"] >= end:
-                            parts += [t[end : x["start"]], mark]
-                        end = max(end, x["end"])
-                    t = "".join([*parts, t[end:]])
-                texts.append(t)
-            cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:spans])]
-            yield pa.record_batch(cols, names)
-
-    return found.mapInArrow(run, docs.schema)
+            texts = [hidden(t, all_spans(t, m), mark) for t in (x.as_py() for x in batch.column(at))]
+            yield pa.record_batch([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names)
+        tidy()
 
+    return docs.mapInArrow(run, docs.schema)

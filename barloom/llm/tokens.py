@@ -47,11 +47,10 @@ class Ids:
     A space before a character that isn't white space always starts a new word of SPLIT, so words between such spaces
     can be looked up one by one. What isn't Latin-1, or holds the special token's text, goes to `tokenizers` whole."""
 
-    def __init__(self, vocabulary: str, most: int = 400_000):
+    def __init__(self, vocabulary: str, most: int = 150_000):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(vocabulary)
+        self.vocabulary, self._whole = vocabulary, None
         of = byte_of()
         with open(vocabulary, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
@@ -59,6 +58,14 @@ class Ids:
         self.ordinary = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.words = Words(self.ordinary, most)
 
+    def whole(self, text: str) -> list[int]:
+        """Ids by `tokenizers`, which is loaded when it is first needed."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.vocabulary)
+        return self._whole.encode(text, add_special_tokens=False).ids
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -68,7 +75,7 @@ class Ids:
         except UnicodeEncodeError:
             plain = False
         if not plain:
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+            return array("I", self.whole(text)).tobytes()
         if "  " in text or " \n" in text or " \t" in text or text[-1] == " " or any(c in text for c in ODD_SPACE):
             return array("I", self.ordinary(text)).tobytes()
         words = text.split(" ")
