@@ -59,15 +59,15 @@ def terms(text: str, good: bytes, bad: bytes) -> np.ndarray:
     return np.array([1.0, (b - a) / (b + a), left, left * left])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Weights by Newton's method with a small ridge; the first column of x is 1."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 80) -> np.ndarray:
+    """Weights by Newton's method; the first column of x is 1. The ridge on the slopes of the standardised terms keeps
+    them bounded where few texts of a class can be parted without error."""
     m, s = x[:, 1:].mean(0), np.maximum(x[:, 1:].std(0), 1e-9)
     z = np.c_[np.ones(len(x)), (x[:, 1:] - m) / s]
-    w = np.zeros(z.shape[1])
+    w, r = np.zeros(z.shape[1]), ridge * np.diag([1e-3] + [1.0] * (x.shape[1] - 1))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(h, z.T @ (y - p) - 1e-3 * w)
+        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + r + 1e-6 * np.eye(len(w)), z.T @ (y - p) - r @ w)
         w += step
         if abs(step).max() < 1e-9:
             break
