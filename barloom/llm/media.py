@@ -18,18 +18,28 @@ PAD = 32
 
 
 def padded(data: bytes) -> bytes:
-    return data + bytes([PAD]) * (max(1, -(-len(data) // STEP)) * STEP - len(data))
+    return data + bytes([PAD]) * (payload_length(len(data)) - len(data))
 
 
 def width_of(n: int) -> int:
-    """The width of the image of n samples: STEP, or so many times that as keep the height within the format's limit."""
+    """The width of the image of n samples: STEP, or so many times that as keep the height within the format's limit. Where
+    no such width divides n, the least one is taken, and `filled` fills the last row of the image."""
     rows = n // STEP
-    times = -(-rows // MOST_SIDE)
-    while rows % times:
-        times += 1
-    if times * STEP > MOST_SIDE:
-        raise ValueError("the payload doesn't fit in an image of this width")
-    return times * STEP
+    least = -(-rows // MOST_SIDE)
+    times = next((t for t in range(least, MOST_SIDE // STEP + 1) if rows % t == 0), least)
+    width = min(times * STEP, MOST_SIDE)
+    if n > width * MOST_SIDE:
+        raise ValueError("the payload doesn't fit in an image")
+    return width
+
+
+def filled(data: bytes, width: int) -> bytes:
+    return data + bytes([PAD]) * (-len(data) % width)
+
+
+def payload_length(n_bytes: int) -> int:
+    """The length of the payload of a text of n_bytes; what an image holds beyond it fills its last row."""
+    return max(1, -(-n_bytes // STEP)) * STEP
 
 
 def feature(pixels: np.ndarray) -> str:
@@ -46,8 +56,9 @@ def feature(pixels: np.ndarray) -> str:
 def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with media in place of the text: the payload of each whole text as a lossless WebP file, and n_bytes, the
     text's length in UTF-8. A null text is an empty one. Columns of docs with these names are replaced; rows are neither
-    dropped nor merged; equal texts give equal files. A text of up to 16 MB is stored as one image; only one beyond the
-    format's sides (over 268 MB) is refused."""
+    dropped nor merged; equal texts give equal files. Every text is stored as one image, whose pixels begin with the
+    payload; the payload's length is payload_length(n_bytes). Only a text beyond the format's sides (over 2^28 bytes) is
+    refused."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("media", "n_bytes") and c != text])
     at = docs.columns.index(text)
     rest = [f for i, f in enumerate(docs.schema.fields) if i != at]
@@ -61,7 +72,8 @@ def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
                 data = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 size.append(len(data))
                 data = padded(data)
-                media.append(encode_grey(np.frombuffer(data, np.uint8), width_of(len(data))))
+                width = width_of(len(data))
+                media.append(encode_grey(np.frombuffer(filled(data, width), np.uint8), width))
             cols = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.record_batch([*cols, pa.array(media, pa.binary()), pa.array(size, pa.int64())], names)
 
@@ -69,7 +81,8 @@ def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_media(rows: DataFrame, media: str = "media") -> DataFrame:
-    """rows with pixels, width and height of each image: green samples, row after row; null for a null image."""
+    """rows with pixels, width and height of each image: green samples, row after row; null for a null image. The first
+    n_bytes of the pixels are the text, the first payload_length(n_bytes) its payload."""
     at = rows.columns.index(media)
     schema = StructType(list(rows.schema.fields)).add("pixels", "binary").add("width", "integer").add("height", "integer")
     names = [f.name for f in schema]
@@ -85,17 +98,17 @@ def read_media(rows: DataFrame, media: str = "media") -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; all but n_bytes and
-    the media columns come from the pixels that were read back."""
+    the media columns come from the pixels that were read back, the feature from those of the whole image."""
     stored = to_media(docs.select("doc_id", F.col("text").cast("string").alias("text")))
 
     def run(batches):
         for batch in batches:
             doc, media, size = batch.columns
             rows = []
-            for m in media:
+            for m, n in zip(media, size, strict=True):
                 m = m.as_py()
                 pixels = decode(m)[..., 2]
-                data = pixels.tobytes()
+                data = pixels.tobytes()[: payload_length(n.as_py())]
                 rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(pixels)))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

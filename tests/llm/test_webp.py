@@ -236,3 +236,25 @@ def test_media_and_pixel_columns(spark):
     assert rows[0].pixels == b"ab" + b" " * 190 and (rows[0].width, rows[0].height, rows[0].n_bytes) == (192, 1, 2)
     nothing = media.read_media(spark.createDataFrame([(None,)], "media binary")).first()
     assert nothing.pixels is None and nothing.width is None
+
+
+def test_every_length_fits(spark):
+    rows = 16411  # a prime number, too many rows for an image 192 wide
+    text = "plain " * (rows * 32 - 1) + "ending"
+    df = spark.createDataFrame([(1, text), (2, text[:-1]), (3, text + "z"), (4, "short")], "doc_id long, text string")
+    got = {r.doc_id: r for r in media.digest(df).collect()}
+    for i, t in ((1, text), (2, text[:-1]), (3, text + "z"), (4, "short")):
+        full = media.padded(t.encode())
+        assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(t), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
+    assert got[1].payload_bytes == rows * 192 and got[1].feature.startswith("384x8206;")
+    read = media.read_media(media.to_media(df.where("doc_id = 1"))).first()
+    assert read.pixels[: read.n_bytes] == text.encode() and len(read.pixels) == read.width * read.height
+
+
+def test_widths():
+    for rows in (*range(1, 90_000, 7), 16384, 16385, 16411, 85 * 16384, 85 * 16384 + 1, (1 << 28) // 192):
+        width = media.width_of(rows * 192)
+        assert width <= 16384 and -(-rows * 192 // width) <= 16384
+        assert rows > 16384 or width == 192
+    with pytest.raises(ValueError):
+        media.width_of(((1 << 28) // 192 + 1) * 192)
