@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,16 +59,16 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     def code(batches):
         for batch in batches:
-            frame = batch.to_pandas()
-            out = []
-            for dim, g in frame.groupby(frame["v"].map(len)):
-                x = np.stack(g["v"].to_numpy())
-                x = x / np.abs(x).max(1, keepdims=True)
+            lengths = pc.list_value_length(batch.column("v")).to_numpy()
+            for dim in np.unique(lengths):
+                # the columns stay Arrow's, as pandas would turn whole numbers with nulls into floats
+                g = batch.take(pa.array(np.flatnonzero(lengths == dim)))
+                v = g.column("v").flatten().to_numpy().reshape(-1, dim)
+                x = v / np.abs(v).max(1, keepdims=True)
                 unit = x / np.sqrt((x * x).sum(1, keepdims=True))
                 bits, factor = codes(unit, rotation(dim))
-                out.append(pd.DataFrame({"group": [f"{dim}:{a}" for a in g["label"]], "node": g["node"], "size": g["size"], "low": g["low"], "bits": [b.tobytes() for b in bits], "factor": factor, "data": [a.tobytes() for a in np.stack(g["v"].to_numpy())]}))
-            if out:
-                yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
+                group = pa.array([f"{dim}:{a}" for a in g.column("label").to_pylist()], pa.string())
+                yield pa.record_batch([group, g.column("node"), g.column("size"), g.column("low"), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(factor), pa.array([a.tobytes() for a in v], pa.binary())], ["group", "node", "size", "low", "bits", "factor", "data"])
 
     # h is all but sure to be unique; a second hash makes it so for any number of rows that can be
     node = F.concat_ws(":", F.col("h").cast("string"), F.hash("label", "v").cast("string"))

@@ -54,6 +54,16 @@ def test_empty_table(spark):
     assert ed.near_vectors(table(spark, [])).count() == 0
 
 
+def test_null_keys(spark):
+    big = (1 << 60) + 1  # no float holds it
+    rows = [(None, [1.0, 0.0, 0.0], 1), (big, [0.0, 1.0, 0.0], 1), (None, [0.0, 1.0, 0.1], 1), (big + 1, [0.0, 1.0, 0.0], 1), (None, [0.0, 0.0, 1.0], 2), (7, [0.0, 0.0, 1.0], 2)]
+    got = ed.near_vectors(table(spark, rows).coalesce(1)).collect()
+    want = [(None, 0, None, True), (big, 2, big, True), (None, 2, big, False), (big + 1, 2, big, False), (None, 1, 7, False), (7, 1, 7, True)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    words = ed.near_vectors(table(spark, rows).selectExpr("cast(vec_id as string) as vec_id", "embedding", "label")).collect()
+    assert {r.component_id for r in words} == {None, str(big), "7"}
+
+
 def test_estimates_are_unbiased_and_bounded():
     r = np.random.default_rng(0)
     x = r.standard_normal((400, 64))
