@@ -23,7 +23,7 @@ KINDS = ("assign", "access", "hex")
 LEAST_VALUE = 6
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]+")
-LEAST, MOST = 20, 512  # characters of a candidate that is scored; longer ones are scored over all their parts
+LEAST, MOST = 20, 512  # characters of a candidate that is scored; longer ones are scored whole, then in windows of MOST
 
 END = "$"
 SHAPES = "".join("0" if c.isdigit() else "h" if c in "abcdef" else "l" if c.islower() else "H" if c in "ABCDEF" else "U" if c.isupper() else c for c in map(chr, range(128)))
@@ -213,9 +213,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def found_in(word: str, model: Model) -> list[tuple[int, int, str]]:
+    """(start, end, format) of what looks like a credential in a candidate: the whole of it, or else, where it is longer
+    than MOST, its windows that do. Windows begin every half of MOST, one more ends with the candidate, and what is left
+    of the last whole MOST is one too; those that touch or overlap make one span, of the first one's format."""
+    if kind := model.kind(word):
+        return [(0, len(word), kind)]
+    if len(word) <= MOST:
+        return []
+    n = len(word)
+    windows = {(at, min(n, at + MOST)) for at in range(0, n, MOST // 2)} | {(n - MOST, n)}
+    out: list[tuple[int, int, str]] = []
+    for a, b in sorted(windows):
+        if b - a >= LEAST and (kind := model.kind(word[a:b])):
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2])
+            else:
+                out.append((a, b, kind))
+    return out
+
+
 def more_spans(text: str, base: list[tuple[int, int, str]], model: Model) -> list[tuple[int, int, str]]:
     """(start, end, format) of other words that look like a credential; none overlaps a base span. Every run of
-    candidate characters of LEAST or more, with a digit and a letter in it, is scored; one of over MOST in parts."""
+    candidate characters of LEAST or more, with a digit and a letter in it, is scored over its whole length."""
     if max(map(len, text.split()), default=0) < LEAST:
         return []
     out = []
@@ -225,10 +245,7 @@ def more_spans(text: str, base: list[tuple[int, int, str]], model: Model) -> lis
         word = m[0]
         if word.isalpha() or not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
             continue
-        for at in range(0, len(word), MOST):
-            part = word[at : at + MOST]
-            if len(part) >= LEAST and (kind := model.kind(part)):
-                out.append((m.start() + at, m.start() + at + len(part), kind))
+        out += [(m.start() + a, m.start() + b, kind) for a, b, kind in found_in(word, model)]
     return out
 
 

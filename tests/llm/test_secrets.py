@@ -68,3 +68,27 @@ def test_hide(spark):
     df = spark.createDataFrame([(1, f"token = abcdef {KEY}!", "k"), (2, None, "k"), (3, "clean", "k"), (4, "token=" + "0a" * 15, "k")], "doc_id long, text string, hidden string")
     got = {r.doc_id: r for r in secrets.hide(df).collect()}
     assert got[1].text == "[secret] [secret]!" and got[2].text is None and got[3].text == "clean" and got[4].text == "[secret]" and got[1].hidden == "k"
+
+
+def test_long_credentials_are_one_span():
+    r, model = random.Random(9), secrets.default_model()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    draw = lambda n: "".join(r.choice(letters) for _ in range(n))
+    for n in (513, 520, 531, 700, 1024, 1035, 2000, 5000):
+        token = f"eyJ{draw(33)}.eyJ{draw(n - 36 - 5 - 342)}.{draw(342)}"
+        assert len(token) == n
+        for word in (token, draw(n)):
+            text = f"see {word} there"
+            assert [(a, b) for a, b, _ in secrets.more_spans(text, [], model)] == [(4, 4 + n)], n
+            assert secrets.hidden(text, secrets.all_spans(text, model), "[secret]") == "see [secret] there"
+
+
+def test_credentials_inside_long_words():
+    r, model = random.Random(10), secrets.default_model()
+    key = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(600))
+    for before in (2000, 2048, 2300):
+        text = ("some-plain-words/and-more-of-them/" * 100)[:before] + key
+        spans = secrets.more_spans(text, [], model)
+        assert len(spans) == 1 and spans[0][0] <= before + 256 and spans[0][1] == len(text)
+    plain = "some-plain-words/and-more-of-them/page-12/" * 60
+    assert secrets.more_spans(plain, [], model) == []
