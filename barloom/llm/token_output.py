@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,25 +24,36 @@ def _stir(x: np.ndarray, key: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+NARROW = 1 << 62  # ranges below it have places that fit in a long
+
+
 def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     """A keyed permutation of range(size), at the given places: a balanced Feistel network over the least even number of
-    bits that holds size, walked again from whatever falls outside until it falls inside."""
-    if not 0 < size < 1 << 62:
-        raise ValueError("size must be from 1 to 2^62")
+    bits that holds size, walked again from whatever falls outside until it falls inside. From NARROW on, places are
+    Python's integers in arrays of objects."""
+    if not 0 < size <= 1 << 128:
+        raise ValueError("size must be from 1 to 2^128")
     half = max(1, -(-(size - 1).bit_length() // 2))
     mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
-    out = np.asarray(index).astype(np.uint64)
-    walk = np.ones(len(out), bool)
-    while walk.any():
-        x = out[walk]
-        left, right = x >> shift, x & mask
+    if size < NARROW:
+        index = np.asarray(index).astype(np.uint64)
+        left, right = index >> shift, index & mask
+    else:
+        left = np.array([int(x) >> half for x in index], np.uint64)
+        right = np.array([int(x) & int(mask) for x in index], np.uint64)
+    last = np.uint64((size - 1) >> half), np.uint64((size - 1) & int(mask))
+    walk = np.arange(len(left))
+    while len(walk):
+        x, y = left[walk], right[walk]
         for r in range(ROUNDS):
-            left, right = right, left ^ (_stir(right, key * 1_000_003 + r) & mask)
-        out[walk] = (left << shift) | right
-        again = np.zeros(len(out), bool)
-        again[walk] = out[walk] >= np.uint64(size)
-        walk = again
-    return out.astype(np.int64)
+            x, y = y, x ^ (_stir(y, key * 1_000_003 + r) & mask)
+        left[walk], right[walk] = x, y
+        walk = walk[(x > last[0]) | ((x == last[0]) & (y > last[1]))]
+    if size < NARROW:
+        return ((left << shift) | right).astype(np.int64)
+    out = np.empty(len(left), object)
+    out[:] = [x << half | y for x, y in zip(left.tolist(), right.tolist(), strict=True)]
+    return out
 
 
 def write_shards(docs: DataFrame, path: str, stride: int = 512, key: int = 20_240_601, shards: int | None = None, vocabulary: str | None = None, id_bytes: int = 2, pad: int = 0, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,7 +67,8 @@ def write_shards(docs: DataFrame, path: str, stride: int = 512, key: int = 20_24
     a task that is run again after a loss leaves the same file. Documents are tokenised once and shuffled once.
 
     A null text is an empty one (a sequence of the one id 0); a null doc_id is numbered before all others. Rows with
-    equal doc_ids have equal numbers: all are kept, next to each other. An empty table writes no shard."""
+    equal doc_ids have equal numbers: all are kept, next to each other. An empty table writes no shard. Any doc_ids do: a
+    range of 2^62 numbers or more, as of hashes, has its places in 16 bytes instead of a long."""
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
     rest = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -69,6 +80,8 @@ def write_shards(docs: DataFrame, path: str, stride: int = 512, key: int = 20_24
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (seen[3] or 0) // (256 << 20) + 1)
     wide = -(-size // shards)
     kind = {2: "<u2", 4: "<u4"}[id_bytes]
+    narrow = size < NARROW
+    kept = np.int64 if narrow else object
 
     def cut(batches):
         import zstandard
@@ -80,9 +93,10 @@ def write_shards(docs: DataFrame, path: str, stride: int = 512, key: int = 20_24
                 data = np.frombuffer(ids.encode(t.as_py()) + b"\0\0\0\0", "<u4").astype(kind)
                 rows += [(d, k, at, min(stride, len(data) - at), squeeze.compress(data[at : at + stride].tobytes())) for k, at in enumerate(range(0, len(data), stride))]
             d, k, at, n, data = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [], [])
-            number = np.array([(least if x is None else x) - least for x in d], np.int64) * pieces + np.array(k, np.int64)
-            slot = permuted(number, size, key) if rows else number
-            yield pa.record_batch([pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(slot), pa.array((slot // wide).astype(np.int32)), pa.array(data, pa.binary())], ["doc_id", "piece", "start", "length", "slot", "shard", "data"])
+            number = np.array([(least if x is None else x) - least for x in d], kept) * pieces + np.array(k, kept)
+            slot = permuted(number, size, key)
+            place = pa.array(slot) if narrow else pa.array([x.to_bytes(16, "big") for x in slot], pa.binary())
+            yield pa.record_batch([pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), place, pa.array((slot // wide).astype(np.int32)), pa.array(data, pa.binary())], ["doc_id", "piece", "start", "length", "slot", "shard", "data"])
 
     def write(batches):
         import zstandard
@@ -109,7 +123,7 @@ def write_shards(docs: DataFrame, path: str, stride: int = 512, key: int = 20_24
             if out is not None:
                 out.dropped()
 
-    rows = rest.mapInArrow(cut, "doc_id long, piece int, start long, length int, slot long, shard int, data binary")
+    rows = rest.mapInArrow(cut, "doc_id long, piece int, start long, length int, slot " + ("long" if narrow else "binary") + ", shard int, data binary")
     dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot", "doc_id", "data")
     return stored(dealt.mapInArrow(write, "doc_id long, piece int, start long, length int, shard int, place long"), "index")
 
@@ -134,16 +148,17 @@ def read_back(index: DataFrame, path: str, stride: int = 512, id_bytes: int = 2)
     """The index with ids_crc32 of what the shards hold, read one after the other, by a task a shard."""
     fields = ["doc_id", "piece", "start", "length", "shard", "place", "slot"]
 
-    def read(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place")
-        shard, crc = int(frame["shard"].iloc[0]), []
-        for at in range(0, len(frame), 4096):
-            n = frame["length"].to_numpy()[at : at + 4096]
-            data = read_shard(path, shard, int(frame["place"].iloc[at]), len(n), stride, id_bytes).astype("<u4")
-            crc += [zlib.crc32(row[:k].tobytes()) for row, k in zip(data, n, strict=True)]
-        return frame[fields].assign(ids_crc32=crc)
-
-    return index.select(*fields).groupBy("shard").applyInPandas(read, "doc_id long, piece int, start long, length int, shard int, place long, slot long, ids_crc32 long")
+    def read(table: pa.Table) -> pa.Table:
+        # Arrow and not pandas, which would turn doc_ids beside a null into floats
+        table = table.select(fields).sort_by("place")
+        shard, crc = table["shard"][0].as_py(), []
+        for at in range(0, len(table), 4096):
+            part = table.slice(at, 4096)
+            data = read_shard(path, shard, part["place"][0].as_py(), len(part), stride, id_bytes).astype("<u4")
+            crc += [zlib.crc32(row[:k].tobytes()) for row, k in zip(data, part["length"].to_pylist(), strict=True)]
+        return table.append_column("ids_crc32", pa.array(crc, pa.int64()))
+
+    return index.select(*fields).groupBy("shard").applyInArrow(read, "doc_id long, piece int, start long, length int, shard int, place long, slot long, ids_crc32 long")
 
 
 def training_order(docs: DataFrame, stride: int = 512, **more) -> DataFrame:

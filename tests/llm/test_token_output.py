@@ -49,3 +49,35 @@ def test_shards_hold_every_sequence_once(spark):
 
 def test_empty_table(spark):
     assert out.training_order(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_wide_permutation():
+    # the same network whatever the places are kept in
+    for size in (1000, 4097):
+        narrow = out.permuted(np.arange(size), size, 5).tolist()
+        limit, out.NARROW = out.NARROW, 1
+        try:
+            assert out.permuted(np.arange(size), size, 5).tolist() == narrow
+        finally:
+            out.NARROW = limit
+    for size in (1 << 62, (1 << 63) + 12345, 3 << 90, 1 << 128):
+        places = [*range(500), *range(size - 500, size), size // 2]
+        got = out.permuted(np.array(places, object), size, 5).tolist()
+        assert len(set(got)) == len(places) and all(0 <= x < size for x in got)
+
+
+def test_sparse_keys(spark):
+    keys = [-(1 << 63), (1 << 63) - 1, 0, None, 10**15, *(k * 0x9E3779B97F4A7C15 % (1 << 63) for k in range(1, 40))]
+    df = spark.createDataFrame([(k, f"text {i} " * (1 + i * 7)) for i, k in enumerate(keys)], "doc_id long, text string")
+    path = shared_path(spark, "t")
+    index = out.write_shards(df, path, stride=64, shards=3)
+    got = out.read_back(out.slots(index), path, 64).collect()
+    ids = tokens.Ids(tokens.default_vocabulary())
+    want = {}
+    for i, k in enumerate(keys):
+        data = np.frombuffer(ids.encode(f"text {i} " * (1 + i * 7)) + b"\0\0\0\0", "<u4")
+        want |= {(k, p): zlib.crc32(data[p * 64 : p * 64 + 64].tobytes()) for p in range(-(-len(data) // 64))}
+    assert {(r.doc_id, r.piece): r.ids_crc32 for r in got} == want and len(got) == len(want)
+    assert sorted(r.slot for r in got) == list(range(len(want))) and {r.shard for r in got} == {0, 1, 2}
+    again = out.slots(out.write_shards(df.repartition(5), shared_path(spark, "t"), stride=64, shards=3)).collect()
+    assert sorted((r.slot, r.doc_id or 0, r.piece) for r in got) == sorted((r.slot, r.doc_id or 0, r.piece) for r in again)
