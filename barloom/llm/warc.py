@@ -21,7 +21,8 @@ CHUNK = 1 << 20
 #: Fixed value: the profile of a revisit with an equal payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-LINE_MOST = 1 << 16
+LINE_MOST = (1 << 31) + (1 << 10)  # a field's name and the longest text that a column holds
+FIRST_MOST = 1 << 16  # bytes in which a record's first line ends
 
 
 def record_id(page: int | None, copy: int) -> str:
@@ -79,12 +80,12 @@ class Inflated:
         del self.ready[:n]
         return out
 
-    def line(self) -> bytes:
-        """Up to a line feed, included; what is left at the end."""
+    def line(self, most: int = LINE_MOST) -> bytes:
+        """Up to a line feed, included; what is left at the end. A line may have `most` bytes and is refused if longer."""
         seen = 0
         while (at := self.ready.find(b"\n", seen)) < 0:
             seen = len(self.ready)
-            if seen > LINE_MOST:
+            if seen > most:
                 raise ValueError("a header line is too long")
             if not self._more():
                 return self.take(len(self.ready))
@@ -95,9 +96,9 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields by lower-case name, the record's bytes) of every record of a gzip file, however its members lie."""
     data = Inflated(stream)
     while True:
-        first = data.line()
+        first = data.line(FIRST_MOST)
         while first in (b"\r\n", b"\n"):  # between records
-            first = data.line()
+            first = data.line(FIRST_MOST)
         if not first:
             return
         if not first.startswith(b"WARC/"):

@@ -65,3 +65,19 @@ def test_damaged_streams_are_told(tmp_path):
             warc.normalise(str(tmp_path / "bad.gz"), str(tmp_path / "out.gz"))
         assert not (tmp_path / "out.gz").exists() and not list(tmp_path.glob("*.part"))
     assert list(warc.records(io.BytesIO(b""))) == []
+
+
+def test_long_urls(spark):
+    urls = ["u" * 70_000, "v" * 3_000_000, "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(90_000)), "w"]
+    data = [(i, u, f"page {i}") for i, u in enumerate(urls)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1)
+    assert sorted(map(tuple, warc.archive(df).collect())) == brute(data)
+
+
+def test_long_lines_are_kept_or_told(tmp_path):
+    for url in ("u" * 70_000, "v" * 9_000_000):
+        (tmp_path / "one.gz").write_bytes(gzip.compress(warc.page_record(1, url, b"x", "d", None)))
+        row, = warc.normalise(str(tmp_path / "one.gz"), str(tmp_path / "many.gz"))
+        assert row["uri"] == url
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(gzip.compress(b"z" * 9_000_000))))
