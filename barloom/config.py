@@ -50,6 +50,14 @@ class TB:
     take: float = 30.0
 
 
+@dataclass(frozen=True)
+class Weekly:
+    """The weekly rule: calm drop lines and high rise lines on the day and in the last whole week."""
+
+    gs_max: float = 5.0
+    gb_min: float = 40.0
+
+
 @dataclass(frozen=True)
 class Limits:
     min_bars: int = 130
@@ -65,7 +73,7 @@ class Limits:
     min_price: float = 1000.0
 
 
-LEGACY, MOMENTUM, LIMITS = Legacy(), TB(), Limits()
+LEGACY, MOMENTUM, WEEKLY, LIMITS = Legacy(), TB(), Weekly(), Limits()
 #: Strategy tags, and the keywords of exit reasons in the order in which they are looked for.
 LEGACY_TAG, TB_TAG, OTHER = "기존", "TB", "기타"
 REASONS = ("손절", "익절", "청선", "장대음봉", "30일선", "적선", "고점", "기간", "이탈")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.config import HOMERUN, LEGACY, LEGACY_TAG, LIMITS, MOMENTUM, NORMAL, TB, TB_TAG, Legacy
+from barloom.config import HOMERUN, LEGACY, LEGACY_TAG, LIMITS, MOMENTUM, NORMAL, TB, TB_TAG, WEEKLY, Legacy
 from barloom.functions.numeric import rnd
 
 
@@ -143,6 +143,14 @@ def universe(listing: DataFrame, per_market: tuple = LIMITS.per_market, min_pric
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("code", "name", "market", F.col("marcap").cast("long").alias("marcap"), "rank")
 
 
+def weekly_entries(day: DataFrame, week: DataFrame, gb_min: float = WEEKLY.gb_min, gs_max: float = WEEKLY.gs_max) -> DataFrame:
+    """Days on which both the day's and the last whole week's lines are calm and have risen to `gb_min`, ranked by the
+    day's rise line. day, week: code, d, gb and gs; a week's d is its Monday."""
+    last = week.select("code", F.date_add("d", 7).alias("wk"), F.col("gb").alias("wgb"), F.col("gs").alias("wgs"))
+    both = day.withColumn("wk", F.to_date(F.date_trunc("week", "d"))).join(last, ["code", "wk"])
+    return ranked(both.where((F.col("gs") <= gs_max) & (F.col("wgs") <= gs_max) & (F.col("gb") >= gb_min) & (F.col("wgb") >= gb_min)), ["d"], score="gb")
+
+
 def weekly_exit(df: DataFrame, most: float = 25.0, stop: float = -12.0) -> DataFrame:
     """The documented weekly variant's exits: the week's fall line above `most`, or the close below the stop; no take.
     df: wgs, close, entry."""

@@ -17,6 +17,7 @@ from barloom.sources import bars as src
 from .oracle import told
 
 FLOOR = 3e5  # the fixture's prices and sizes are small; the rule's own floor is config.LIMITS.min_amount
+RISE = 15.0  # the fixture's moves are small; the rule's own rise line is config.WEEKLY.gb_min
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -132,12 +133,10 @@ def breadth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weekly_signals(spark: SparkSession, sf: str) -> DataFrame:
-    """Days on which both the day's and the last whole week's lines are calm and have risen."""
+    """The weekly rule's days, with the fixture's rise line."""
     b = bars(spark, sf)
-    week = ind.with_golden(src.weekly_bars(b).withColumnRenamed("w", "d")).select("code", F.date_add("d", 7).alias("wk"), F.col("gb").alias("wgb"), F.col("gs").alias("wgs"))
-    day = ind.with_golden(b).withColumn("wk", F.to_date(F.date_trunc("week", "d")))
-    hit = day.join(week, ["code", "wk"]).where("gs <= 5 and wgs <= 5 and gb >= 15 and wgb >= 15")
-    return signals.ranked(hit, ["d"], score="gb").select("code", "d", rnd("gb", 6).alias("gb"), "rank")
+    week = ind.with_golden(src.weekly_bars(b).withColumnRenamed("w", "d"))
+    return signals.weekly_entries(ind.with_golden(b), week, RISE).select("code", "d", rnd("gb", 6).alias("gb"), "rank")
 
 
 def not_held(spark: SparkSession, sf: str) -> DataFrame:

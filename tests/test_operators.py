@@ -332,3 +332,11 @@ def test_full_log_rows_and_labels(spark, sf):
     assert report.lot_sizes(t, 10_000.0).first().qty == 3
     w = spark.createDataFrame([(1.0, 100, 80), (26.0, 100, 100), (1.0, 100, 100)], "wgs double, entry long, close long")
     assert [r.rule for r in signals.weekly_exit(w).collect()] == ["stop", "weekly", None]
+
+
+def test_weekly_entries_ask_for_the_documented_rise(spark):
+    day = spark.createDataFrame([(c, DAY + datetime.timedelta(days=9), gb, gs) for c, gb, gs in ((1, 40.0, 5.0), (2, 39.9, 0.0), (3, 60.0, 0.0), (4, 90.0, 5.1), (5, 50.0, 0.0), (6, 50.0, 0.0))], "code long, d date, gb double, gs double")
+    week = spark.createDataFrame([(c, DAY, gb, gs) for c, gb, gs in ((1, 40.0, 5.0), (2, 90.0, 0.0), (3, 41.0, 0.0), (4, 90.0, 0.0), (5, 39.9, 0.0), (6, 50.0, 5.1))], "code long, d date, gb double, gs double")
+    got = signals.weekly_entries(day, week).collect()
+    assert sorted((r.rank, r.code) for r in got) == [(1, 3), (2, 1)]
+    assert {r.code for r in signals.weekly_entries(day, week, 15.0).collect()} == {1, 2, 3, 5}
