@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir, or what SparkContext.setCheckpointDir was given. Where
+    neither is set, a folder of our own serves in local mode, in which there is one machine only; a cluster is refused."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="barloom-")
-        spark.sparkContext.setCheckpointDir(found)
+        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -79,6 +83,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows that a scan, and an exchange with Python, take at a time (and Spark's own numbers): rows of whole texts are long,
+#: and a batch of thousands of them fills an executor's heap with large arrays.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": ("512", "4096"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("1000", "10000")}
+
+
+def long_rows(df: DataFrame) -> DataFrame:
+    """df, and its session set to batches that suit rows of whole texts, unless it has numbers of its own."""
+    conf = df.sparkSession.conf
+    for key, (few, usual) in BATCHES.items():
+        if conf.get(key, usual) == usual:
+            conf.set(key, few)
+    return df
+
+
 def bucket(col: Column | str, m: int) -> Column:
     """crc32 of a value as text, modulo m; a null counts as the empty text."""
     c = F.col(col) if isinstance(col, str) else col

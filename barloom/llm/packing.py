@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tidy
+from .common import long_rows, stored, tidy
 from .tokens import default_vocabulary, ids_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, room: int = 2048, vocabulary: str | None = Non
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
         tidy()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 # --- the genetic algorithm; a solution is an array with a bin number for each item

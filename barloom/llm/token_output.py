@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored
+from .common import long_rows, shared_path, stored, tidy
 from .files import opened, replaced
 from .tokens import default_vocabulary, ids_of
 
 ROUNDS = 6
+ROWS = 1000  # sequences that a task hands on at a time
 
 
 def _stir(x: np.ndarray, key: int) -> np.ndarray:
@@ -67,11 +68,12 @@ def write_shards(docs: DataFrame, path: str, stride: int = 512, key: int = 20_24
     a task that is run again after a loss leaves the same file. Documents are tokenised once and shuffled once.
 
     A null text is an empty one (a sequence of the one id 0); a null doc_id is numbered before all others. Rows with
-    equal doc_ids have equal numbers: all are kept, next to each other. An empty table writes no shard. Any doc_ids do: a
-    range of 2^62 numbers or more, as of hashes, has its places in 16 bytes instead of a long."""
+    equal doc_ids have equal numbers: all are kept, next to each other. An empty table writes no shard. Any whole numbers
+    do as doc_ids (texts that aren't numbers are refused by the cast): a range of 2^62 numbers or more, as of hashes, has
+    its places in 16 bytes instead of a long. An id that doesn't fit in id_bytes is refused."""
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
-    rest = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rest = long_rows(docs).select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     seen = rest.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text")), F.sum(F.octet_length("text"))).first()
     least, most = (seen[0] if seen[0] is not None else 0) - 1, seen[1] if seen[1] is not None else 0
     pieces = ((seen[2] or 0) + 1 + stride - 1) // stride  # an id stands for a byte at least
@@ -79,7 +81,7 @@ def write_shards(docs: DataFrame, path: str, stride: int = 512, key: int = 20_24
     if shards is None:
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (seen[3] or 0) // (256 << 20) + 1)
     wide = -(-size // shards)
-    kind = {2: "<u2", 4: "<u4"}[id_bytes]
+    kind, top = {2: ("<u2", 1 << 16), 4: ("<u4", 1 << 32)}[id_bytes]
     narrow = size < NARROW
     kept = np.int64 if narrow else object
 
@@ -87,32 +89,45 @@ def write_shards(docs: DataFrame, path: str, stride: int = 512, key: int = 20_24
         import zstandard
 
         ids, squeeze = ids_of(vocabulary), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            rows: list[tuple] = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = np.frombuffer(ids.encode(t.as_py()) + b"\0\0\0\0", "<u4").astype(kind)
-                rows += [(d, k, at, min(stride, len(data) - at), squeeze.compress(data[at : at + stride].tobytes())) for k, at in enumerate(range(0, len(data), stride))]
-            d, k, at, n, data = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [], [])
+
+        def told(d, k, at, n, tie, data):
             number = np.array([(least if x is None else x) - least for x in d], kept) * pieces + np.array(k, kept)
             slot = permuted(number, size, key)
             place = pa.array(slot) if narrow else pa.array([x.to_bytes(16, "big") for x in slot], pa.binary())
-            yield pa.record_batch([pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), place, pa.array((slot // wide).astype(np.int32)), pa.array(data, pa.binary())], ["doc_id", "piece", "start", "length", "slot", "shard", "data"])
+            return pa.record_batch([pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), place, pa.array((slot // wide).astype(np.int32)), pa.array(tie, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "piece", "start", "length", "slot", "shard", "tie", "data"])
+
+        rows: list[tuple] = []
+        for batch in batches:
+            for d, t, tie in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                data = np.frombuffer(ids.encode(t.as_py()) + b"\0\0\0\0", "<u4")
+                if id_bytes < 4 and int(data.max()) >= top:
+                    raise ValueError(f"an id of {int(data.max())} doesn't fit in {id_bytes} bytes")
+                data = data.astype(kind)
+                for k, at in enumerate(range(0, len(data), stride)):
+                    part = data[at : at + stride]
+                    rows.append((d, k, at, len(part), tie, squeeze.compress(part)))
+                    if len(rows) == ROWS:
+                        yield told(*zip(*rows, strict=True))
+                        rows = []
+        if rows:
+            yield told(*zip(*rows, strict=True))
+        tidy()
 
     def write(batches):
         import zstandard
 
-        plain = zstandard.ZstdDecompressor()
+        plain, padding = zstandard.ZstdDecompressor(), np.full(stride, pad, kind).tobytes()
         shard, out, place = None, None, 0
         try:
             for batch in batches:
                 places = []
-                for s, data in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                for s, data in zip(batch.column(5).to_pylist(), batch.column(7), strict=True):
                     if s != shard:
                         if out is not None:
                             out.done()
                         shard, out, place = s, replaced(f"{path}/shard-{s:06d}.bin"), 0
-                    raw = plain.decompress(data, max_output_size=stride * id_bytes)
-                    out.write(raw + np.full(stride - len(raw) // id_bytes, pad, kind).tobytes())
+                    raw = plain.decompress(data.as_buffer(), max_output_size=stride * id_bytes)
+                    out.write(raw + padding[len(raw) :])
                     places.append(place)
                     place += 1
                 yield pa.record_batch([*batch.columns[:4], batch.column(5), pa.array(places, pa.int64())], ["doc_id", "piece", "start", "length", "shard", "place"])
@@ -122,9 +137,11 @@ def write_shards(docs: DataFrame, path: str, stride: int = 512, key: int = 20_24
         finally:
             if out is not None:
                 out.dropped()
+        tidy()
 
-    rows = rest.mapInArrow(cut, "doc_id long, piece int, start long, length int, slot " + ("long" if narrow else "binary") + ", shard int, data binary")
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot", "doc_id", "data")
+    rows = rest.withColumn("tie", F.xxhash64("text")).mapInArrow(cut, "doc_id long, piece int, start long, length int, slot " + ("long" if narrow else "binary") + ", shard int, tie long, data binary")
+    # a slot is one document's piece; the tie orders the texts of rows with equal doc_ids, so that a task that is run again leaves the same file
+    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot", "tie")
     return stored(dealt.mapInArrow(write, "doc_id long, piece int, start long, length int, shard int, place long"), "index")
 
 
@@ -156,6 +173,7 @@ def read_back(index: DataFrame, path: str, stride: int = 512, id_bytes: int = 2)
             part = table.slice(at, 4096)
             data = read_shard(path, shard, part["place"][0].as_py(), len(part), stride, id_bytes).astype("<u4")
             crc += [zlib.crc32(row[:k].tobytes()) for row, k in zip(data, part["length"].to_pylist(), strict=True)]
+        tidy()
         return table.append_column("ids_crc32", pa.array(crc, pa.int64()))
 
     return index.select(*fields).groupBy("shard").applyInArrow(read, "doc_id long, piece int, start long, length int, shard int, place long, slot long, ids_crc32 long")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
-#: White space besides the plain space, tab and line feed; the vocabulary's special token.
-ODD_SPACE = "\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
+#: The vocabulary's special token, and the pattern by which it splits text before it merges bytes.
 SPECIAL = "<|endoftext|>"
-#: Fixed value: the pattern by which this vocabulary splits text before it merges bytes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for text in which no two white characters meet: without a look ahead, which takes most of the time.
+SPLIT_SINGLE = SPLIT.replace(r"\s+(?!\S)|\s+", r"\s")
+RUN = re.compile(r"\s\s")
 
 
 def default_vocabulary() -> str:
@@ -25,29 +27,13 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Words(dict):
-    """Ids of a space and a word, as bytes; grows up to `most` entries, then starts anew."""
-
-    def __init__(self, encode, most: int):
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def __missing__(self, word: str) -> bytes:
-        out = array("I", self.encode(" " + word)).tobytes()
-        if len(word) <= 40:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = out
-        return out
-
-
 class Ids:
     """encode(text): the text's ids as little-endian unsigned 32-bit bytes, equal to those of the `tokenizers` library.
 
-    A space before a character that isn't white space always starts a new word of SPLIT, so words between such spaces
-    can be looked up one by one. What isn't Latin-1, or holds the special token's text, goes to `tokenizers` whole."""
+    What isn't Latin-1, or holds the special token's text, goes to `tokenizers`; the rest to `tiktoken`, by the pattern
+    that suffices for it."""
 
-    def __init__(self, vocabulary: str, most: int = 150_000):
+    def __init__(self, vocabulary: str):
         import tiktoken
 
         self.vocabulary, self._whole = vocabulary, None
@@ -55,8 +41,7 @@ class Ids:
         with open(vocabulary, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         ranks = {bytes(of[c] for c in word): i for word, i in vocab.items() if word != SPECIAL}
-        self.ordinary = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.words = Words(self.ordinary, most)
+        self.single, self.ordinary = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (SPLIT_SINGLE, SPLIT))
 
     def whole(self, text: str) -> list[int]:
         """Ids by `tokenizers`, which is loaded when it is first needed."""
@@ -76,11 +61,7 @@ class Ids:
             plain = False
         if not plain:
             return array("I", self.whole(text)).tobytes()
-        if "  " in text or " \n" in text or " \t" in text or text[-1] == " " or any(c in text for c in ODD_SPACE):
-            return array("I", self.ordinary(text)).tobytes()
-        words = text.split(" ")
-        first = array("I", self.ordinary(words[0])).tobytes() if words[0] else b""
-        return first + b"".join(map(self.words.__getitem__, words[1:]))
+        return array("I", (self.ordinary if RUN.search(text) else self.single)(text)).tobytes()
 
 
 _loaded: dict[str, Ids] = {}
