@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored
+from .common import long_rows, shared_path, stored, tidy
 from .files import opened, replaced
 
 BREAK = b"\r\n"
@@ -36,9 +36,10 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return VERSION + BREAK + head + BREAK + block + BREAK + BREAK
 
 
-def page_record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, copy: int = 0) -> bytes:
-    """A response with its payload, or a revisit with none, which tells the payload's length and the page it equals."""
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page, copy)), ("WARC-Date", DATE), ("WARC-Target-URI", url or ""), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", "" if page is None else str(page)), ("X-Payload-Length", str(len(payload)))]
+def page_record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, copy: int = 0, size: int | None = None) -> bytes:
+    """A response with its payload, or a revisit with none, which tells the payload's length (`size` where the payload
+    isn't given) and the page it equals."""
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page, copy)), ("WARC-Date", DATE), ("WARC-Target-URI", url or ""), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", "" if page is None else str(page)), ("X-Payload-Length", str(len(payload) if size is None else size))]
     http = b"HTTP/1.1 200 OK" + BREAK + b"Content-Type: text/html; charset=utf-8" + BREAK
     if refers_to is None:
         return record([*fields, ("Content-Type", "application/http;msgtype=response")], http + b"Content-Length: " + str(len(payload)).encode() + BREAK * 2 + payload)
@@ -153,17 +154,40 @@ def payload_of(block: bytes) -> bytes:
     return block.partition(BREAK * 2)[2]
 
 
-def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """page_id, url, html, payload_digest, refers_to: of rows with equal payloads of `least` bytes or more, the one with
-    the largest page_id is the response and the others refer to it; refers_to is null for responses. Digests meet by
-    an aggregate with partial results, so a payload that very many pages share costs a row a task."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("payload_digest", F.sha1(F.col("html").cast("binary")))
-    big = F.octet_length("html") >= least
-    last = rows.where(big & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    last = last.select(F.col("payload_digest").alias("same"), "last")
-    rows = rows.join(last, (F.col("payload_digest") == F.col("same")) & big, "left")
-    return rows.select("page_id", "url", "html", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+KNOWN_MOST = 200_000  # copies' digests that are broadcast, of about 100 bytes each
+
+
+def with_revisits(pages: DataFrame, least: int = 1000, known_most: int = KNOWN_MOST) -> DataFrame:
+    """page_id, url, html, payload_digest, payload_bytes, refers_to: of rows with equal payloads of `least` bytes or more,
+    the one with the largest page_id is the response and the others refer to it; refers_to is null for responses, html
+    is null for the others.
+
+    Only digests are shuffled to find copies, by an aggregate with partial results: a row a digest and task. Where at
+    most `known_most` digests have copies, they are broadcast and pages stay in the partitions they were read in. Beyond
+    that, the digests that more rows share than a partition should hold are broadcast (as many as there are partitions
+    at most), which decides their rows; all others meet in a join by digest, where rows that are decided already, or
+    too small, are dealt by a hash of their own. So no task gets the rows of a payload that very many pages share."""
+    spark = pages.sparkSession
+    rows = long_rows(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = rows.withColumns({"payload_digest": F.sha1(F.col("html").cast("binary")), "payload_bytes": F.octet_length("html").cast("long")})
+    big = F.col("payload_bytes") >= least
+    sizes = rows.where(big & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    copies = stored(sizes.where("n > 1").select(F.col("payload_digest").alias("same"), "last", "n"), "copies")
+    seen = copies.agg(F.count(F.lit(1)), F.sum("n")).first()
+    known = copies
+    if seen[0] > known_most:
+        most = max(2, seen[1] // int(spark.conf.get("spark.sql.shuffle.partitions")))
+        known = copies.where(F.col("n") >= most)  # a partition's rows each, so no more than there are partitions
+        copies = copies.where(F.col("n") < most).select(F.col("same").alias("same_too"), F.col("last").alias("last_too"))
+    known = F.broadcast(known.select("same", "last"))
+    rows = rows.join(known, (F.col("payload_digest") == F.col("same")) & big, "left")
+    rows = rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
+    if seen[0] > known_most:
+        own = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))  # no digest
+        rows = rows.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
+        rows = rows.withColumn("by", F.when(big & F.col("last").isNull(), F.col("payload_digest")).otherwise(own)).join(copies, F.col("by") == F.col("same_too"), "left")
+        rows = rows.withColumn("refers_to", F.coalesce("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("last_too")), F.col("last_too"))))
+    return rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "payload_digest", "payload_bytes", "refers_to")
 
 
 def write_archives(rows: DataFrame, path: str) -> DataFrame:
@@ -174,13 +198,15 @@ def write_archives(rows: DataFrame, path: str) -> DataFrame:
         from pyspark import TaskContext
 
         name = f"{path}/part-{TaskContext.get().partitionId():05d}.warc.gz"
-        out, squeeze, n = None, zlib.compressobj(6, zlib.DEFLATED, 31), 0
+        # what is to be written anew isn't worth much work
+        out, squeeze, n = None, zlib.compressobj(1, zlib.DEFLATED, 31), 0
         try:
             for batch in batches:
-                for page, url, html, digest, refers in zip(*(batch.column(i) for i in range(5)), strict=True):
+                for page, url, html, digest, size, refers in zip(*batch.columns, strict=True):
                     if out is None:
                         out = replaced(name)
-                    out.write(squeeze.compress(page_record(page.as_py(), url.as_py(), html.as_py().encode("utf-8", "replace"), digest.as_py(), refers.as_py(), n)))
+                    payload = (html.as_py() or "").encode("utf-8", "replace")
+                    out.write(squeeze.compress(page_record(page.as_py(), url.as_py(), payload, digest.as_py(), refers.as_py(), n, size.as_py())))
                     n += 1
             if out is not None:
                 out.write(squeeze.flush())
@@ -190,6 +216,7 @@ def write_archives(rows: DataFrame, path: str) -> DataFrame:
         finally:
             if out is not None:
                 out.dropped()
+        tidy()
 
     return stored(rows.mapInArrow(run, "file string, records long"), "archives")
 
@@ -203,6 +230,7 @@ def normalise_archives(files: DataFrame, path: str) -> DataFrame:
                 target = f"{path}/{f.rpartition('/')[2]}"
                 index = normalise(f, target)
                 yield pa.record_batch([pa.array([target] * len(index)), pa.array([r["offset"] for r in index], pa.int64()), pa.array([r["length"] for r in index], pa.int64()), pa.array([r["type"] for r in index])], ["file", "offset", "length", "type"])
+        tidy()
 
     return stored(spread(files.select("file"), "file").mapInArrow(run, "file string, offset long, length long, type string"), "index")
 
@@ -218,20 +246,27 @@ def read_pages(index: DataFrame) -> DataFrame:
 
     def run(batches):
         name, stream = None, None
-        for batch in batches:
-            out: list[tuple] = []
-            for f, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if f != name:
-                    name, stream = f, opened(f)
-                fields, block = read_at(stream, offset, length)
-                page = int(fields["x-page-id"]) if fields["x-page-id"] else None
-                if fields["warc-type"] == "response":
-                    payload = payload_of(block)
-                    out.append((page, len(payload), hashlib.sha1(payload).hexdigest(), "response", None))
-                else:
-                    out.append((page, int(fields["x-payload-length"]), fields["warc-payload-digest"].rpartition(":")[2], "revisit", int(fields["x-refers-to-page-id"])))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        try:
+            for batch in batches:
+                out: list[tuple] = []
+                for f, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    if f != name:
+                        if stream is not None:
+                            stream.close()
+                        name, stream = f, opened(f)
+                    fields, block = read_at(stream, offset, length)
+                    page = int(fields["x-page-id"]) if fields["x-page-id"] else None
+                    if fields["warc-type"] == "response":
+                        payload = payload_of(block)
+                        out.append((page, len(payload), hashlib.sha1(payload).hexdigest(), "response", None))
+                    else:
+                        out.append((page, int(fields["x-payload-length"]), fields["warc-payload-digest"].rpartition(":")[2], "revisit", int(fields["x-refers-to-page-id"])))
+                cols = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        finally:
+            if stream is not None:
+                stream.close()
+        tidy()
 
     cut = F.floor(F.col("offset") / (32 << 20))  # a large archive is read by several tasks
     dealt = spread(index.select("file", "offset", "length").withColumn("cut", cut), "file", "cut").sortWithinPartitions("file", "offset")

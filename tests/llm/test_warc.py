@@ -36,6 +36,25 @@ def test_archive_equals_brute_force(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_copies_meet_without_a_broadcast_of_all(spark):
+    big = "<p>same</p>" * 200
+    data = [*rows(), *((100 + i, f"u{i}", big) for i in range(300)), *((500 + i, None, f"{i // 2} " * 700) for i in range(80)), (None, None, big), (None, "n", "7 " * 700)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(6)
+    want = brute(data)
+    for most in (0, 10, 1000):
+        out = warc.with_revisits(df, known_most=most)
+        got = out.collect()
+        assert all((r.html is None) == (r.refers_to is not None) for r in got)
+        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, "response" if r.refers_to is None else "revisit", r.refers_to) for r in got), key=repr) == want
+    # no task gets the rows of the payload that two thirds of the rows share
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = warc.with_revisits(df, known_most=0).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(sizes) < 0.5 * len(data)
+
+
 def whole(parts):
     return b"".join(warc.page_record(k, "u", p, hashlib.sha1(p).hexdigest(), None) for k, p in enumerate(parts))
 
