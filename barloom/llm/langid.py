@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bucket, hash_share
+from .common import bucket, hash_share, long_rows, tidy
 
 LETTER = re.compile(r"[^\W\d_]")
 BITS = 15  # of a hashed n-gram
@@ -67,6 +67,7 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
         for l, at in sums.items():
             k = np.flatnonzero(at)
             yield pa.record_batch([pa.array([l] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(at[k])], ["lang", "gram", "n"])
+        tidy()
 
     return docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -78,11 +79,12 @@ class Model:
         self.langs, self.words, self.weights, self.scale = langs, words, weights, scale
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 4000) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 4000, most_langs: int = 400) -> Model:
     """Learns from whole texts whose lang isn't null. per_lang bounds the sample: about that many rows of each language,
-    chosen by a hash of the key, or all if there are fewer. Counts of 2^15 n-grams a language come to the driver."""
+    chosen by a hash of the key, or all if there are fewer; and most_langs the languages learnt, the commonest ones.
+    Counts of 2^15 n-grams a language come to the driver."""
     docs = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = {r[0]: r[1] for r in docs.groupBy(lang).count().collect()}
+    sizes = {r[0]: r[1] for r in docs.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_langs).collect()}
     langs = sorted(sizes)
     keep = F.lit(False)
     for l in langs:
@@ -139,7 +141,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doubt: float = 0.
     of docs with these names are replaced; others stay as they are. Equal texts get equal values; rows are neither
     dropped nor merged."""
     drop = [c for c in docs.columns if c.lower() in ("lang_pred", "score", "ambiguous")]
-    docs = docs.drop(*drop)
+    docs = long_rows(docs).drop(*drop)
     at = docs.columns.index(text)
     schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
     names = [f.name for f in schema]
@@ -155,6 +157,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doubt: float = 0.
                     lang[i] = model.langs[k]
                 score[real], doubtful[real] = p, lead < doubt
             yield pa.record_batch([*batch.columns, pa.array(lang), pa.array(score), pa.array(doubtful)], names)
+        tidy()
 
     return docs.mapInArrow(run, schema)
 

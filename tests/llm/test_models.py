@@ -57,9 +57,27 @@ def test_quality_held_out_accuracy(spark, docs):
     held = got[got.held_out]
     assert (held.quality == held.predicted).mean() > 0.9
     assert held[held.quality == 1].score.mean() > held[held.quality == 0].score.mean() + 0.4
+    ranks, yes = held.score.rank(), held.quality == 1
+    assert (ranks[yes].sum() - yes.sum() * (yes.sum() + 1) / 2) / (yes.sum() * (~yes).sum()) > 0.9  # area under the curve
     assert ((got.score >= 0.7) == (got.predicted == 1)).all()
 
 
+def test_quality_is_a_function_of_the_difference(spark, docs):
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = [r.text for r in docs.where("length(text) > 0").limit(60).collect()]
+    far = np.array([quality.difference(t, model.good, model.bad) for t in texts])
+    score = np.array([model.score(t) for t in texts])
+    by = np.argsort(far)
+    assert (np.diff(score[by]) >= 0).all() and score.max() > score.min()
+
+
+def test_quality_sample_is_bounded(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert quality.fit(docs, labels, most_bytes=10).good == b""
+    model = quality.fit(docs, labels, per_class=60, most_bytes=100_000)
+    assert 0 < len(model.good) <= 100_000 and 0 < len(model.bad) <= 100_000
+
+
 def test_quality_edges(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     assert quality.classify(docs.limit(0), labels).count() == 0
