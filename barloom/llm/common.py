@@ -42,10 +42,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts lineage, survives lost executors, and is read only as needed."""
+ROWS_A_FILE = 20_000  # of tables of short rows
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: cuts lineage, survives lost executors, and is read only as needed.
+    rows: about how many short rows there are at most, where that is known and their work is small; few of them make few
+    files instead of one a shuffle partition."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if rows is not None and (files := -(-rows // ROWS_A_FILE)) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(max(1, files))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._barloom_path = path
@@ -109,27 +116,73 @@ def hash_share(col: Column, share: float) -> Column:
     return F.pmod(h, half) * half + F.pmod(F.shiftright(h, 20), half) < F.lit(int(min(1.0, share) * (1 << 40)))
 
 
+HOT_LEAST = 1000  # rows of a key that any task may have
+
+
+def hot_keys(counts: DataFrame, key: str, rows: str = "rows") -> DataFrame | None:
+    """The keys with more rows than a quarter of an even partition, or None if there are none. counts: a row a key, with
+    its rows. There can't be more than four of them a partition, so they may be broadcast."""
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = counts.agg(F.sum(rows).alias("n"), F.max(rows).alias("top")).first()
+    most = max(HOT_LEAST, (seen["n"] or 0) // (4 * parts))
+    return counts.where(F.col(rows) > most).select(key) if (seen["top"] or 0) > most else None
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "inner", rows: str = "rows") -> DataFrame:
+    """left joined by `key` to right, which has a row a key at most, so that no task gets all rows of a key that very many
+    of left's have: hot_keys of `counts` (a row a key, with left's rows of it) meet their row of right by a broadcast,
+    the others by a shuffle. Null keys match nothing; how="left" keeps them, where they are."""
+    new = [f for f in right.schema.fields if f.name != key]
+    real = left.where(F.col(key).isNotNull())
+    hot = hot_keys(counts, key, rows)
+    if hot is None:
+        out = real.join(right, key, how)
+    else:
+        out = real.join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key)
+        if how == "left":  # a hot key that right lacks
+            lost = hot.join(right.select(key), key, "left_anti")
+            out = out.unionByName(real.join(F.broadcast(lost), key, "left_semi").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in new]))
+        out = out.unionByName(real.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
+    if how == "left":
+        bare = left.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in new])
+        out = out.unionByName(bare)
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) for every node of the edges; comp is the smallest node that links reach.
 
-    Each round takes the smallest label among a node and its neighbours (an aggregate with partial results, so a node
-    with very many links costs one row a task), then follows labels once more. Rounds are about the logarithm of the
-    longest path, and each is stored in the shared folder; nothing but a count comes to the driver."""
+    Each round takes the smallest label among a node and its neighbours, then follows labels once more. Aggregates have
+    partial results; a node with very many links, and a label that very many nodes have, meet their rows by a broadcast
+    of such nodes only (hot_keys), so neither costs a task all of its rows. Rounds are about the logarithm of the
+    longest path, and each is stored in the shared folder; nothing but counts comes to the driver."""
     one = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = stored(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp")), "labels")
+    n = both.count()
+    degrees = stored(both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows")), "degrees", n)
+    labels = stored(degrees.select(F.col("v").alias("node"), F.least("v", "m").alias("comp")), "labels", n)
+    many_nodes = degrees.count() > HOT_LEAST
+    hubs = hot_keys(degrees, "v") if many_nodes else None
+    few = both.join(F.broadcast(hubs), "v", "left_anti") if hubs is not None else both
+    many = both.join(F.broadcast(hubs), "v", "left_semi") if hubs is not None else None
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("comp").alias("m"))
-        step = labels.join(near, labels.node == near.u).select("node", F.least("comp", "m").alias("c"), F.col("comp").alias("old"))
-        step = stored(step, "step")
+        at = labels.select(F.col("node").alias("v"), "comp")
+        near = few.join(at, "v").select("u", "comp")
+        if hubs is not None:
+            near = near.unionByName(many.join(F.broadcast(at.join(F.broadcast(hubs), "v", "left_semi")), "v").select("u", "comp"))
+        near = near.groupBy("u").agg(F.min("comp").alias("m"))
+        step = stored(labels.join(near, labels.node == near.u).select("node", F.least("comp", "m").alias("c"), F.col("comp").alias("old")), "step", n)
         root = step.select(F.col("node").alias("c"), F.col("c").alias("cc"))
         # a label is a node of the same component, so the second look-up never misses
-        new = stored(step.join(root, "c").select("node", F.col("cc").alias("comp"), (F.col("cc") != F.col("old")).alias("moved")), "labels")
+        sizes = step.groupBy("c").agg(F.count(F.lit(1)).alias("rows"))
+        found = hot_join(step, root, "c", sizes) if many_nodes else step.join(root, "c")
+        new = stored(found.select("node", F.col("cc").alias("comp"), (F.col("cc") != F.col("old")).alias("moved")), "labels", n)
         forget(step)
         forget(labels)
         labels = new
         if not labels.where("moved").limit(1).count():
             forget(both)
+            forget(degrees)
             out = labels.select("node", "comp")
             out._barloom_path = labels._barloom_path
             return out
@@ -139,17 +192,16 @@ def pair_blocks(nodes: DataFrame, group: str, key: str, size: int, fn: Callable,
     """Runs fn over pairs of blocks, so that every two rows of one group meet in exactly one call or more.
 
     A group of over `size` rows is dealt by a hash of the key into blocks of about `size` rows, and every two blocks
-    meet in a task of their own; smaller groups are gathered, many to a call. fn gets a frame with columns gr (the
+    meet in a task of their own; smaller groups are gathered, some to a call. fn gets a frame with columns gr (the
     group), side (0, 1: the row's block is the first, the second of the two; 2: both, compare inside) and the nodes'
     columns, and compares rows within a group only: inside side 2, or side 0 with side 1. No group is ever gathered in
     one task, and fn returns counts and spanning links, never all pairs."""
-    spark = nodes.sparkSession
     n = F.count(F.lit(1))
-    sizes = nodes.groupBy(F.col(group).alias("gr")).agg(n.alias("rows")).withColumn("nb", F.ceil(F.col("rows") / size).cast("int"))
-    sizes = stored(sizes, "sizes")
+    sizes = nodes.groupBy(group).agg(n.alias("rows")).withColumn("nb", F.ceil(F.col("rows") / size).cast("int"))
+    sizes = stored(sizes, "sizes", nodes.count())
     small = sizes.where("nb = 1").agg(F.sum("rows").alias("n")).first()["n"] or 0
-    parts = max(1, -(-small // size))
-    at = nodes.join(sizes.select("gr", "nb"), F.col(group) == F.col("gr"))
+    parts = max(1, -(-4 * small // size))
+    at = hot_join(nodes, sizes.select(group, "nb"), group, sizes).withColumnRenamed(group, "gr")
     at = at.withColumn("blk", F.pmod(F.xxhash64(key), F.col("nb")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     at = at.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other"))
