@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,15 +11,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, pair_blocks, stored
+from .common import Forest, components, hot_join, pair_blocks, stored, tidy
+
+CODE = 512  # bits of a code at least
+
 
+def unit_of(v: np.ndarray) -> np.ndarray:
+    x = v / np.abs(v).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
+
+@lru_cache(32)
 def rotation(dim: int, seed: int = 3) -> np.ndarray:
     """A random orthogonal matrix, the same in every task."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
 
+def turns(dim: int) -> int:
+    """How many rotations a vector is coded by: codes of short vectors are made of several, up to CODE bits in all."""
+    return max(1, -(-CODE // dim))
+
+
 def codes(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For unit vectors (rows): the signs of the rotated vectors, packed to bits, and the correction factor, which is the
     inner product of the rotated vector with its own code, taken as a unit vector."""
@@ -36,16 +51,48 @@ def bound(factor: np.ndarray, dim: int, sure: float) -> np.ndarray:
     return sure * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / np.sqrt(max(1, dim - 1))
 
 
-def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, sure: float = 6.0, block: int = 2048) -> DataFrame:
+def rounded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors (rows) in whole numbers of a byte, and the length of each vector's step."""
+    step = np.maximum(np.abs(unit).max(1) / 127, 1e-300)
+    return np.rint(unit / step[:, None]).astype(np.int8), step
+
+
+class Codes:
+    """What stands for vectors until a pair needs exact work: for each rotation bits and correction factors, and the
+    vector itself rounded to bytes, as the other side of estimates."""
+
+    def __init__(self, bits: np.ndarray, factor: np.ndarray, small: np.ndarray, step: np.ndarray):
+        self.bits, self.factor, self.unit, self.step = bits, factor, small.astype(np.float32) * step[:, None].astype(np.float32), step
+        self.dim = small.shape[1]
+
+    def may(self, rows: slice, cols: slice, threshold: float, sure: float) -> np.ndarray:
+        """Which pairs of rows and columns reach the threshold, as far as estimates and their bounds can tell: the mean of
+        the rotations' unbiased estimates, plus a bound that falls with the root of their number, plus what rounding
+        takes at most."""
+        dim, wide = self.dim, -(-self.dim // 8)
+        total, off = 0.0, 0.0
+        for k in range(self.factor.shape[1]):
+            factor = self.factor[rows, k]
+            total = total + estimates(self.bits[rows, k * wide : (k + 1) * wide], factor, self.unit[cols] @ rotation(dim, 3 + k).T, dim)
+            off = off + bound(factor, dim, sure) ** 2
+        n = self.factor.shape[1]
+        # a rounded vector lies within half a step of each coordinate, and a code estimates by a vector of length 1 / factor
+        rest = self.step[cols][None, :] / 2 * np.sqrt(dim) / self.factor[rows].min(1)[:, None]
+        return total / n + (np.sqrt(off) / n)[:, None] + rest + 1e-5 >= threshold
+
+
+def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, sure: float = 6.0, block: int = 1024) -> DataFrame:
     """key, n_links, component_id, kept: one row a row of vectors.
 
     Two vectors are linked when their labels are equal and not null, their lengths are equal, and their cosine in double
     precision is `threshold` or more. Equal vectors of a label are one class and are never expanded to pairs. Each class
-    is coded once: bits of its rotated vector and a correction factor, stored with it. Within a label, blocks of at most
-    `block` classes meet in tasks of their own (common.pair_blocks); there a pair whose estimated cosine plus confidence
-    bound stays below the threshold is done with, and every other pair is computed exactly. Tasks return counts and
-    spanning links only. The work within one label grows with the square of its distinct vectors, as the task compares
-    all of them; at `sure` = 6 the chance to miss a link is about 1e-8.
+    is coded once: bits of its rotated vector and a correction factor, for so many rotations as make CODE bits, and the
+    vector rounded to bytes. Within a label, blocks of at most `block` classes meet in tasks of their own
+    (common.pair_blocks), which get codes only and tell which vectors have a partner whose estimated cosine plus
+    confidence bound reaches the threshold. Only those vectors then go whole to the task of their two blocks, where the
+    pairs that the bound leaves open are computed exactly. Tasks return counts and spanning links only. The work within
+    one label grows with the square of its distinct vectors, as all of them are compared; at `sure` = 6 the chance to
+    miss a link is about 1e-8.
 
     Vectors that are null, empty, all zero or hold a null, NaN or infinite component link with nothing, nor does a null
     label. Rows with equal keys stay rows of their own; null keys are passed over when the smallest is chosen. Other
@@ -54,8 +101,10 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     fine = F.col(label).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     # a text of the vector would be long: a hash stands for it, and equal vectors are told by the whole of both
     rows = vectors.select(F.col(key).alias("id"), F.when(F.coalesce(fine, F.lit(False)), F.xxhash64(F.col(label).cast("string"), v)).alias("h"), F.col(label).cast("string").alias("label"), v.alias("v"))
-    rows = stored(rows, "vectors")
-    classes = rows.where("h is not null").groupBy("h", "label", "v").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"))
+    # h is all but sure to be unique; a second hash makes it so for any number of rows that can be
+    node = F.concat_ws(":", F.col("h").cast("string"), F.hash("label", "v").cast("string"))
+    rows = stored(rows.withColumn("node", F.when(F.col("h").isNotNull(), node)), "vectors")
+    classes = rows.where("h is not null").groupBy("node", "label", "v").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"))
 
     def code(batches):
         for batch in batches:
@@ -64,61 +113,76 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 # the columns stay Arrow's, as pandas would turn whole numbers with nulls into floats
                 g = batch.take(pa.array(np.flatnonzero(lengths == dim)))
                 v = g.column("v").flatten().to_numpy().reshape(-1, dim)
-                x = v / np.abs(v).max(1, keepdims=True)
-                unit = x / np.sqrt((x * x).sum(1, keepdims=True))
-                bits, factor = codes(unit, rotation(dim))
+                unit = unit_of(v)
+                coded = [codes(unit, rotation(dim, 3 + k)) for k in range(turns(dim))]
+                small, step = rounded(unit)
                 group = pa.array([f"{dim}:{a}" for a in g.column("label").to_pylist()], pa.string())
-                yield pa.record_batch([group, g.column("node"), g.column("size"), g.column("low"), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(factor), pa.array([a.tobytes() for a in v], pa.binary())], ["group", "node", "size", "low", "bits", "factor", "data"])
+                many = lambda x: pa.array([a.tobytes() for a in x], pa.binary())
+                yield pa.record_batch([group, g.column("node"), g.column("size"), g.column("low"), many(np.hstack([b for b, _ in coded])), many(np.stack([f for _, f in coded], 1)), many(small), pa.array(step), many(v)], ["group", "node", "size", "low", "bits", "factor", "small", "step", "data"])
+        tidy()
 
-    # h is all but sure to be unique; a second hash makes it so for any number of rows that can be
-    node = F.concat_ws(":", F.col("h").cast("string"), F.hash("label", "v").cast("string"))
     low_type = rows.schema["id"].dataType.simpleString()
-    coded = classes.select(node.alias("node"), "label", "v", "size", "low").mapInArrow(code, f"group string, node string, size long, low {low_type}, bits binary, factor double, data binary")
+    coded = classes.select("node", "label", "v", "size", "low").mapInArrow(code, f"group string, node string, size long, low {low_type}, bits binary, factor binary, small binary, step double, data binary")
     coded = stored(coded, "codes")
 
+    def codes_of(g: pd.DataFrame) -> Codes:
+        whole = lambda c, kind: np.frombuffer(b"".join(g[c]), kind).reshape(len(g), -1)
+        return Codes(whole("bits", np.uint8), whole("factor", np.float64), whole("small", np.int8), g["step"].to_numpy())
+
+    def blocks(g: pd.DataFrame):
+        """(first row, first column, which pairs may reach the threshold), some rows at a time. g: by side."""
+        c, inside = codes_of(g), g["side"].iloc[0] == 2
+        cut = len(g) if inside else int((g["side"] == 0).sum())
+        for at in range(0, cut, 512):
+            to = min(cut, at + 512)
+            first = at if inside else cut
+            if first < len(g):
+                may = c.may(slice(at, to), slice(first, len(g)), threshold, sure)
+                yield at, first, np.triu(may, 1) if inside else may
+
+    def look(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for gr, g in frame.groupby("gr", sort=False):
+            g = g.sort_values("side", kind="stable")
+            found = np.zeros(len(g), bool)
+            for at, first, may in blocks(g):
+                found[at : at + len(may)] |= may.any(1)
+                found[first:] |= may.any(0)
+            g = g[found]
+            out.append(pd.DataFrame({"many": g["many"], "job": g["job"], "gr": gr, "side": g["side"], "me": g["node"]}))
+        tidy()
+        return pd.concat(out, ignore_index=True)
+
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         for _, g in frame.groupby("gr", sort=False):
             g = g.sort_values("side", kind="stable")
-            inside = g["side"].iloc[0] == 2
-            cut = len(g) if inside else int((g["side"] == 0).sum())
-            x = np.frombuffer(b"".join(g["data"]), np.float64).reshape(len(g), -1)
-            dim = x.shape[1]
-            small = x / np.abs(x).max(1, keepdims=True)
-            unit = small / np.sqrt((small * small).sum(1, keepdims=True))
-            bits = np.frombuffer(b"".join(g["bits"]), np.uint8).reshape(len(g), -1)
-            factor, names, size = g["factor"].to_numpy(), g["node"].to_numpy(), g["size"].to_numpy()
-            turned = (unit @ rotation(dim).T).astype(np.float32)
-            off = (bound(factor, dim, sure) + 1e-5).astype(np.float32)
+            unit = unit_of(np.frombuffer(b"".join(g["data"]), np.float64).reshape(len(g), -1))
+            names, size = g["me"].to_numpy(), g["size"].to_numpy()
             links, forest = np.zeros(len(g), np.int64), Forest(len(g))
-            for at in range(0, cut, 512):
-                to = min(cut, at + 512)
-                first = at + 1 if inside else cut
-                if first >= len(g):
-                    break
-                may = estimates(bits[at:to], factor[at:to], turned[first:], dim) >= threshold - off[at:to, None]
+            for at, first, may in blocks(g):
                 i, j = np.nonzero(may)
-                i, j = i + at, j + first
-                if inside:
-                    i, j = i[i < j], j[i < j]
                 for k in range(0, len(i), 1 << 16):
-                    a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                    cosine = np.einsum("ij,ij->i", unit[a], unit[b])
-                    hit = cosine >= threshold
+                    a, b = i[k : k + (1 << 16)] + at, j[k : k + (1 << 16)] + first
+                    hit = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
                     a, b = a[hit], b[hit]
                     np.add.at(links, a, size[b])
                     np.add.at(links, b, size[a])
                     out += [(names[p], names[q], 0) for p, q in zip(a.tolist(), b.tolist(), strict=True) if forest.join(p, q)]
             out += [(names[p], None, int(links[p])) for p in np.flatnonzero(links)]
+        tidy()
         return pd.DataFrame(out, columns=["a", "b", "links"])
 
-    found = stored(pair_blocks(coded.drop("low"), "group", "node", block, compare, "a string, b string, links long"), "links")
+    lean = coded.select("group", "node", "bits", "factor", "small", "step")
+    open_ = stored(pair_blocks(lean, "group", "node", block, look, "many boolean, job long, gr string, side int, me string"), "open")
+    whole = open_.join(coded.drop("low", "group"), F.col("me") == F.col("node")).drop("node")
+    found = stored(whole.groupBy("many", "job").applyInPandas(compare, "a string, b string, links long"), "links")
     joined = components(found.where("b is not null"))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     of = coded.select(F.col("node").alias("me"), "size", "low").join(links, F.col("me") == F.col("a"), "left").join(joined, F.col("me") == F.col("node"), "left")
-    of = stored(of.select("me", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("comp", "me").alias("comp"), "low"), "answers")
-    least = of.groupBy("comp").agg(F.min("low").alias("component_id"))
-    of = of.join(least, "comp").select("me", "n_links", "component_id")
-    done = rows.withColumn("mine", F.when(F.col("h").isNotNull(), node)).select("id", "mine").join(of, F.col("mine") == F.col("me"), "left")
-    done = done.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("mine").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    of = stored(of.select("me", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("comp", "me").alias("comp"), "low"), "answers", coded.count())
+    least = of.groupBy("comp").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    of = hot_join(of.select("me", "n_links", "comp"), least.drop("rows"), "comp", least).select(F.col("me").alias("node"), "n_links", "component_id")
+    done = hot_join(rows.select("id", "node"), of, "node", coded.select("node", "size"), "left", "size")
+    done = done.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return done.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
