@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import long_rows, tidy
 from .webp import MOST_SIDE, decode, encode_grey
 
 STEP = 192  # a payload's length is a positive multiple of this
@@ -59,7 +60,7 @@ def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
     dropped nor merged; equal texts give equal files. Every text is stored as one image, whose pixels begin with the
     payload; the payload's length is payload_length(n_bytes). Only a text beyond the format's sides (over 2^28 bytes) is
     refused."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("media", "n_bytes") and c != text])
+    docs = long_rows(docs).drop(*[c for c in docs.columns if c.lower() in ("media", "n_bytes") and c != text])
     at = docs.columns.index(text)
     rest = [f for i, f in enumerate(docs.schema.fields) if i != at]
     schema = StructType(rest).add("media", "binary").add("n_bytes", "long")

@@ -1,16 +1,16 @@
-"""Lossless WebP: a decoder of the whole format, and an encoder of grey samples."""
+"""Lossless WebP: a decoder of the whole format, and an encoder of grey samples by palette, references or differences."""
 
 from __future__ import annotations
 
 import heapq
 import struct
-from functools import lru_cache
 
 import numpy as np
 
 # Fixed values of the format.
 SIGNATURE = 0x2F
 PREDICT, CROSS, GREEN, PALETTE = range(4)
+LEFT, TOP = 1, 2  # modes of prediction
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 CACHE_FACTOR = 0x1E35A7BD
 LENGTHS, DISTANCES = 24, 40
@@ -232,8 +232,10 @@ def _pixels(bits: Bits, width: int, height: int, spatial: bool) -> np.ndarray:
                 far = max(1, dx + dy * width)
             if far > at or at + length > n:
                 raise Damaged("a reference outside the image")
-            for k in range(at, at + length):
-                out[k] = out[k - far]
+            if far >= length:
+                out[at : at + length] = out[at - far : at - far + length]
+            else:  # it repeats what it writes itself
+                out[at : at + length] = (out[at - far : at] * (length // far + 1))[:length]
             at += length
         else:
             while kept < at:
@@ -290,8 +292,17 @@ def predicted(mode: int, left, top, right, corner):
 
 def unpredict(image: np.ndarray, modes: np.ndarray, block: int, back: bool = True) -> np.ndarray:
     """Adds predictions to residuals, or with back=False takes them from pixels. modes: a row of the blocks' modes each.
-    Modes that look only at the row above are done a row at a time; the first row and column have modes of their own."""
+    The first row and column have modes of their own. Where all blocks look to the left, or all look up, sums along the
+    rows or columns give all pixels at once."""
     height, width = image.shape[:2]
+    if back and len(kinds := np.unique(modes)) == 1 and kinds[0] in (LEFT, TOP):
+        out = image.copy()
+        out[0, 0] += np.array([255, 0, 0, 0], np.uint8)
+        if kinds[0] == LEFT:
+            out[:, 0] = np.cumsum(out[:, 0], 0, dtype=np.uint8)
+            return np.cumsum(out, 1, dtype=np.uint8)
+        out[0] = np.cumsum(out[0], 0, dtype=np.uint8)
+        return np.cumsum(out, 0, dtype=np.uint8)
     done = image.astype(int).tolist()
     src = [[list(p) for p in row] for row in done] if back else done
     out = [[[0] * 4 for _ in range(width)] for _ in range(height)]
@@ -480,19 +491,136 @@ def put_prefix(w: Writer, lengths: np.ndarray) -> None:
         w.put(extra, bits)
 
 
-@lru_cache(1)
-def _zero_codes() -> tuple[int, int]:
-    w = Writer()
-    for only in (0, 0, 255, 0):  # red, blue, alpha, distance
+def put_lone(w: Writer, *symbols: int) -> None:
+    """Prefix codes of one symbol each, which take no bits later."""
+    for only in symbols:
         one = np.zeros(256, np.int64)
         one[only] = 1
         put_prefix(w, one)
-    return w.value, w.n
+
+
+def put_flat(w: Writer, green: int) -> None:
+    """An image of one colour inside the stream: no cache, and five codes of one symbol."""
+    w.put(0, 1)
+    put_lone(w, green, 0, 0, 255, 0)
+
+
+def put_palette(w: Writer, greys: np.ndarray) -> None:
+    """A palette of greys: each entry less the one before it."""
+    w.put(1 | PALETTE << 1, 3)
+    w.put(len(greys) - 1, 8)
+    w.put(0, 1)
+    step = np.diff(greys.astype(np.int64), prepend=0) & 255
+    code = code_lengths(np.bincount(step, minlength=256 + LENGTHS))
+    alpha = np.zeros(256, np.int64)
+    alpha[[0, 255] if len(greys) > 1 else [255]] = 1
+    for lengths in (code, code[:256], code[:256], alpha):
+        put_prefix(w, lengths)
+    put_lone(w, 0)
+    bits, lone = canonical(code), (code > 0).sum() == 1
+    for k, g in enumerate(step.tolist()):
+        for _ in range(3):  # green, red, blue
+            w.put(int(bits[g]), 0 if lone else int(code[g]))
+        if len(greys) > 1:
+            w.put(int(k == 0), 1)
+
+
+def joined(w: Writer, values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """What w holds and then values of so many bits each, lowest bit first."""
+    parts, rest = [], (w.value, w.n)
+    for at in range(0, len(values), 1 << 16):
+        n = sizes[at : at + (1 << 16)]
+        ends = np.cumsum(n, dtype=np.int64)
+        place = np.arange(int(ends[-1]), dtype=np.int32) - np.repeat((ends - n).astype(np.int32), n)
+        own = (np.repeat(values[at : at + (1 << 16)], n) >> place.astype(values.dtype)) & values.dtype.type(1)
+        value, k = rest
+        head = np.unpackbits(np.frombuffer(value.to_bytes(-(-k // 8) or 1, "little"), np.uint8), bitorder="little")[:k]
+        bits = np.concatenate([head, own.astype(np.uint8)])
+        whole = len(bits) // 8 * 8
+        parts.append(np.packbits(bits[:whole], bitorder="little").tobytes())
+        left = bits[whole:]
+        rest = (int(np.packbits(left, bitorder="little")[0]) if len(left) else 0, len(left))
+    parts.append(rest[0].to_bytes(-(-rest[1] // 8), "little"))
+    return b"".join(parts)
+
+
+def symbol_of(value: int) -> tuple[int, int, int]:
+    """Prefix symbol, extra bits and their number for a length or distance."""
+    if value <= 4:
+        return value - 1, 0, 0
+    v = value - 1
+    n = v.bit_length() - 2
+    return 2 * (n + 1) + (v >> n & 1), v & ((1 << n) - 1), n
+
+
+def references(data: bytes) -> list[tuple[int, int]]:
+    """(length, distance) of back references and (0, byte) of literals that make up the data: at each place the longest
+    of the repeats of what the latest place with the same KEY bytes began."""
+    out, at, seen, n = [], 0, {}, len(data)
+    while at < n:
+        key = data[at : at + KEY]
+        found, seen[key] = seen.get(key), at
+        length = 0
+        if found is not None and len(key) == KEY:
+            length, most, step = KEY, min(4096, n - at), 64
+            while length < most and data[at + length : at + length + step] == data[found + length : found + length + step]:
+                length += step
+            length = min(length, most)
+            while length < most and data[at + length] == data[found + length]:
+                length += 1
+            out.append((length, at - found))
+        else:
+            out.append((0, data[at]))
+        at += length or 1
+    return out
+
+
+def encode_repeats(w: Writer, data: bytes, most: int) -> bytes | None:
+    """The pixels as literals and back references, or None where there are more than `most` of these."""
+    ops = references(data)
+    if len(ops) > most:
+        return None
+    green, far = [], []
+    for length, x in ops:
+        green.append(symbol_of(length) if length else (x, 0, 0))
+        far.append(symbol_of(x + len(NEAR)) if length else (0, 0, 0))
+    copies = np.array([length > 0 for length, _ in ops])
+    g, d = np.array(green, np.int64), np.array(far, np.int64)
+    g[copies, 0] += 256
+    own = code_lengths(np.bincount(g[:, 0], minlength=256 + LENGTHS))
+    away = code_lengths(np.bincount(d[copies, 0], minlength=DISTANCES)) if copies.any() else np.eye(1, DISTANCES, dtype=np.int64)[0]
+    put_prefix(w, own)
+    put_lone(w, 0, 0, 255)
+    put_prefix(w, away)
+    put = lambda lengths, k: (canonical(lengths)[k], np.where((lengths > 0).sum() == 1, 0, lengths[k]))
+    (gc, gn), (dc, dn) = put(own, g[:, 0]), put(away, d[:, 0])
+    # a literal is one code; a copy is its length's code and extra bits, then its distance's
+    values = np.stack([gc, g[:, 1], np.where(copies, dc, 0), d[:, 1]], 1).reshape(-1).astype(np.uint32)
+    sizes = np.stack([gn, g[:, 2], np.where(copies, dn, 0), d[:, 2]], 1).reshape(-1).astype(np.uint8)
+    return joined(w, values, sizes)
+
+
+def entropy(samples: np.ndarray) -> float:
+    p = np.bincount(samples.reshape(-1), minlength=256)
+    p = p[p > 0] / samples.size
+    return float(-(p * np.log2(p)).sum())
+
+
+KEY = 8  # bytes that a back reference repeats at least
+REPEATS = 6  # how many times smaller a text must get by its repeats to be written by back references
 
 
 def encode_grey(samples: np.ndarray, width: int) -> bytes:
-    """A lossless WebP file of grey samples, row after row: red and blue are green (by the transform that takes green
-    from both, so their codes take no bits), and green has a prefix code made for these samples."""
+    """A lossless WebP file of grey samples, row after row, by what suits them:
+
+    - a palette, several samples to a pixel, where there are few different ones;
+    - literals and back references, where a fast compressor tells that the samples repeat themselves very much;
+    - differences to the left or to the row above, where those have a clearly lower entropy than the samples;
+    - otherwise the samples with a prefix code made for them.
+
+    In all but the first red and blue are green, by the transform that takes green from both, so their codes take no bits."""
+    import zstandard
+
     height = len(samples) // width
     if width * height != len(samples) or not 0 < width <= MOST_SIDE or not 0 < height <= MOST_SIDE:
         raise ValueError("samples don't fill an image")
@@ -501,31 +629,47 @@ def encode_grey(samples: np.ndarray, width: int) -> bytes:
     w.put(width - 1, 14)
     w.put(height - 1, 14)
     w.put(0, 4)
-    w.put(1 | GREEN << 1, 3)
-    w.put(0, 3)  # no more transforms, no colour cache, one group of codes
-    lengths = code_lengths(np.bincount(samples, minlength=256 + LENGTHS))
-    put_prefix(w, lengths)
-    w.put(*_zero_codes())
-    lead = w.n
-    if (lengths > 0).sum() == 1:
-        body = w.value.to_bytes(-(-lead // 8), "little")
+    image, alpha, body = samples.reshape(height, width), 255, None
+    greys = np.flatnonzero(np.bincount(samples, minlength=256))
+    if len(greys) <= 16:
+        put_palette(w, greys)
+        packed = 3 if len(greys) <= 2 else 2 if len(greys) <= 4 else 1
+        index = np.zeros((height, -(-width // (1 << packed)) << packed), np.uint8)
+        index[:, :width] = np.searchsorted(greys, image)
+        steps = (np.arange(1 << packed) * (8 >> packed)).astype(np.uint8)
+        image = np.bitwise_or.reduce(index.reshape(height, -1, 1 << packed) << steps, 2)
     else:
-        codes, size = canonical(lengths).astype(np.uint16), lengths.astype(np.uint8)
-        parts, rest = [], (w.value, lead)
-        for at in range(0, len(samples), 1 << 16):
-            part = samples[at : at + (1 << 16)]
-            n = size[part]
-            ends = np.cumsum(n, dtype=np.int64)
-            place = np.arange(int(ends[-1]), dtype=np.int32) - np.repeat((ends - n).astype(np.int32), n)
-            own = (np.repeat(codes[part], n) >> place.astype(np.uint16)) & np.uint16(1)
-            value, k = rest
-            head = np.unpackbits(np.frombuffer(value.to_bytes(-(-k // 8) or 1, "little"), np.uint8), bitorder="little")[:k]
-            bits = np.concatenate([head, own.astype(np.uint8)])
-            whole = len(bits) // 8 * 8
-            parts.append(np.packbits(bits[:whole], bitorder="little").tobytes())
-            left = bits[whole:]
-            rest = (int(np.packbits(left, bitorder="little")[0]) if len(left) else 0, len(left))
-        parts.append(bytes([rest[0]]) if rest[1] else b"")
-        body = b"".join(parts)
+        data = samples.tobytes()
+        if len(zstandard.ZstdCompressor(level=1).compress(data)) * REPEATS < len(data):
+            lead = w.value, w.n
+            w.put(1 | GREEN << 1, 3)
+            w.put(0, 3)
+            body = encode_repeats(w, data, len(data) // REPEATS)
+            if body is None:
+                w.value, w.n = lead
+        if body is None:
+            flat = image.copy()
+            flat[1:, 0] -= image[:-1, 0]
+            side, up = flat.copy(), flat.copy()
+            side[:, 1:] -= image[:, :-1]
+            up[1:, 1:] -= image[:-1, 1:]
+            side[0, 0], up[0, 1:] = image[0, 0], side[0, 1:]
+            least, mode, best = min((entropy(image), 0, 0), (entropy(side) + 0.05, 1, LEFT), (entropy(up) + 0.05, 2, TOP))
+            if mode:
+                w.put(1 | PREDICT << 1, 3)
+                w.put(7, 3)  # blocks of 512
+                put_flat(w, best)
+                image, alpha = (side, up)[mode - 1], 0
+            w.put(1 | GREEN << 1, 3)
+    if body is None:
+        w.put(0, 3)  # no more transforms, no colour cache, one group of codes
+        flat = image.reshape(-1)
+        lengths = code_lengths(np.bincount(flat, minlength=256 + LENGTHS))
+        put_prefix(w, lengths)
+        put_lone(w, 0, 0, alpha, 0)
+        if (lengths > 0).sum() == 1:
+            body = w.value.to_bytes(-(-w.n // 8), "little")
+        else:
+            body = joined(w, canonical(lengths).astype(np.uint16)[flat], lengths.astype(np.uint8)[flat])
     chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk

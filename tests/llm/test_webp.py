@@ -258,3 +258,69 @@ def test_widths():
         assert rows > 16384 or width == 192
     with pytest.raises(ValueError):
         media.width_of(((1 << 28) // 192 + 1) * 192)
+
+
+def test_encoder_takes_what_suits_the_samples(monkeypatch):
+    rng = np.random.default_rng(3)
+    used = []
+    for name in ("put_palette", "put_flat", "encode_repeats"):
+        old = getattr(webp, name)
+        monkeypatch.setattr(webp, name, lambda *a, f=old, n=name: (used.append(n), f(*a))[1])
+    cases = [
+        (b"x" * 4800, ["put_palette"]),
+        (bytes(rng.choice(list(b"ab"), 2880).astype(np.uint8)), ["put_palette"]),
+        (bytes(rng.choice(list(b"abcd"), 2880).astype(np.uint8)), ["put_palette"]),
+        (bytes(rng.choice(list(b"0123456789ABCDEF"), 2880).astype(np.uint8)), ["put_palette"]),
+        (b"the quick brown fox jumps over the lazy dog. " * 3000, ["encode_repeats"]),
+        (bytes(range(17)) * 100, ["encode_repeats"]),
+        (np.cumsum(rng.integers(0, 3, 30_000)).astype(np.uint8).tobytes(), ["put_flat"]),
+        ((np.tile(rng.integers(0, 256, 192), (100, 1)) + rng.integers(0, 2, (100, 192)).cumsum(0)).astype(np.uint8).tobytes(), ["put_flat"]),
+        (rng.integers(0, 256, 30_000).astype(np.uint8).tobytes(), []),
+        ("eine Zeile mit Wörtern und Zahlen 12345, dann noch eine. ".encode() + bytes(rng.integers(32, 127, 900).astype(np.uint8)), []),
+    ]
+    for data, want in cases:
+        used.clear()
+        data = media.padded(data)
+        width = media.width_of(len(data))
+        file = webp.encode_grey(np.frombuffer(media.filled(data, width), np.uint8), width)
+        assert used == want, data[:20]
+        image = webp.decode(file)
+        assert image[..., 2].tobytes()[: len(data)] == data
+        assert (image[..., 0] == 255).all() and (image[..., 1] == image[..., 2]).all() and (image[..., 3] == image[..., 2]).all()
+
+
+def test_encoder_round_trips_of_random_samples():
+    r = random.Random(6)
+    for _ in range(250):
+        some = r.choice([2, 3, 5, 16, 17, 60, 256])
+        data = bytes(r.randrange(some) for _ in range(r.randint(0, 2000))) * r.choice([1, 1, 3, 20])
+        data = media.padded(data)
+        width = media.width_of(len(data))
+        assert webp.decode(webp.encode_grey(np.frombuffer(data, np.uint8), width))[..., 2].tobytes() == data
+
+
+def test_fast_predictions_equal_the_slow_ones():
+    rng = np.random.default_rng(4)
+    for shape in ((1, 1), (1, 7), (7, 1), (9, 13)):
+        image = rng.integers(0, 256, (*shape, 4)).astype(np.uint8)
+        for mode in (webp.LEFT, webp.TOP):
+            modes = np.full((-(-shape[0] // 4), -(-shape[1] // 4)), mode, np.uint8)
+            rest = webp.unpredict(image, modes, 2, back=False)
+            assert (webp.unpredict(rest, modes, 2) == image).all()
+            mixed = np.pad(modes, ((0, 1), (0, 0)), constant_values=0)  # a mode that no pixel has: the slow way
+            assert (webp.unpredict(rest, mixed, 2) == image).all()
+
+
+def test_references_spell_the_data():
+    r = random.Random(8)
+    for _ in range(60):
+        data = (bytes(r.randrange(4) for _ in range(r.randint(0, 60))) * r.randint(1, 200))[:9000]
+        out = bytearray()
+        for length, x in webp.references(data):
+            if length:
+                assert 8 <= length <= 4096 and 0 < x <= len(out)
+                for _ in range(length):
+                    out.append(out[-x])
+            else:
+                out.append(x)
+        assert bytes(out) == data
