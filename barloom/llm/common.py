@@ -116,7 +116,7 @@ def hash_share(col: Column, share: float) -> Column:
     return F.pmod(h, half) * half + F.pmod(F.shiftright(h, 20), half) < F.lit(int(min(1.0, share) * (1 << 40)))
 
 
-HOT_LEAST = 1000  # rows of a key that any task may have
+HOT_LEAST = 256  # rows of a key that any task may have
 
 
 def hot_keys(counts: DataFrame, key: str, rows: str = "rows") -> DataFrame | None:

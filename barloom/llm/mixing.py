@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import fresh, long_rows, stored
 
 MOST_SOURCES = 100_000  # that are broadcast; with more, the tables meet by a shuffle
 
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, evenness: float | None = None, max_repeats: float | Non
     including the last. Repeated rows are documents of their own; rows equal in key and text may take either's
     place. An empty table gives an empty mixture."""
     tokens, block, doc, epoch, place, run, full, rest, blocks, total, before, same, here = fresh(docs, *(f"mx_{n}" for n in ("tokens", "block", "doc", "epoch", "place", "run", "full", "rest", "blocks", "total", "before", "same", "here")))
-    sized = docs.withColumn(tokens, words(F.col(text))).withColumn(doc, order_key(F.col(key), F.col(text)))
+    sized = long_rows(docs).withColumn(tokens, words(F.col(text))).withColumn(doc, order_key(F.col(key), F.col(text)))
     if not carry:
         sized = sized.select(key, source, tokens, doc)
     base = stored(sized.select(source, tokens, doc), "sizes")

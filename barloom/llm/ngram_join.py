@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
             tidy()
             return pd.DataFrame(out, columns=["a", "b"])
 
-        close = stored(pair_blocks(stored(again, "again", total * bands // 2), "band", "set", block, part, "a binary, b binary").distinct(), "close")
+        close = stored(pair_blocks(stored(again, "again", total * bands // 2), "band", "set", max(1, block // 2), part, "a binary, b binary").distinct(), "close")
         near = inside.where("large is null").select("node", "comp").unionByName(components(close))
 
     nodes = classes.join(near, F.col("set") == F.col("node")).select("set", "size", "comp", "bands", F.col("of.id").alias("id"), F.col("of.tk").alias("tk"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -63,6 +64,56 @@ def best_fit(order, lengths, room: int, of: np.ndarray | None = None, left: list
     return of
 
 
+def exchange(of: np.ndarray, lengths: np.ndarray, room: int, out: np.ndarray, left: list[int], rng, tries: int = 64) -> np.ndarray:
+    """Swaps items of some bins for displaced ones that fill those better: one or two of the bin's for one or two of the
+    displaced ones that are longer, but still fit. What is displaced instead is shorter, so best fit places it with less
+    waste. Changes of and left; returns what is displaced now."""
+    free = sorted((int(lengths[i]), int(i)) for i in out)
+    inside: dict[int, list[int]] = {}
+    some = [int(b) for b in rng.permutation(len(left)) if left[b] > 0][:tries]
+    for b in some:
+        inside[b] = []
+    for i in np.flatnonzero(np.isin(of, some)):
+        inside[int(of[i])].append(int(i))
+    for b in some:
+        gap, own = left[b], inside[b]
+        best, pick = 0, None
+        for take in [*((x,) for x in own), *combinations(own, 2)]:
+            held = sum(int(lengths[x]) for x in take)
+            k = bisect_right(free, (held + gap, len(lengths))) - 1
+            if k >= 0 and free[k][0] - held > best:
+                best, pick = free[k][0] - held, (take, (k,))
+            lo, hi = 0, len(free) - 1
+            while lo < hi:  # the best sum of two
+                both = free[lo][0] + free[hi][0]
+                if both > held + gap:
+                    hi -= 1
+                else:
+                    if both - held > best:
+                        best, pick = both - held, (take, (lo, hi))
+                    lo += 1
+            if best == gap:
+                break
+        if pick:
+            take, put = pick
+            for k in sorted(put, reverse=True):
+                of[free.pop(k)[1]] = b
+            for x in take:
+                of[x] = -1
+                insort(free, (int(lengths[x]), x))
+            left[b] -= best
+    return np.array([i for _, i in free], np.int64)
+
+
+def placed(child: np.ndarray, lengths: np.ndarray, room: int, rng) -> np.ndarray:
+    """A solution from one some of whose items have no bin: exchanges, then best fit by falling length."""
+    held = child >= 0
+    child[held] = np.unique(child[held], return_inverse=True)[1]
+    left = (room - np.bincount(child[held], weights=lengths[held])).astype(np.int64).tolist() if held.any() else []
+    out = exchange(child, lengths, room, np.flatnonzero(~held), left, rng)
+    return best_fit(out[np.argsort(-lengths[out], kind="stable")], lengths, room, child, left)
+
+
 def fills(of: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.bincount(of, weights=lengths, minlength=int(of.max()) + 1 if len(of) else 0)
 
@@ -83,26 +134,18 @@ def crossover(mother: np.ndarray, father: np.ndarray, lengths: np.ndarray, room:
     broken = np.zeros(int(mother.max()) + 1, bool)
     broken[mother[new]] = True
     lost = broken[mother] & ~new
-    child = np.full(len(lengths), -1, np.int32)
-    keep = ~new & ~lost
-    key = np.where(new, father + int(mother.max()) + 1, mother)
-    child[keep | new] = np.unique(key[keep | new], return_inverse=True)[1]
-    held = keep | new
-    left = (room - np.bincount(child[held], weights=lengths[held])).astype(np.int64).tolist()
-    out = np.flatnonzero(lost)
-    return best_fit(out[np.argsort(-lengths[out], kind="stable")], lengths, room, child, left)
+    child = np.where(new, father + int(mother.max()) + 1, mother).astype(np.int32)
+    child[lost] = -1
+    return placed(child, lengths, room, rng)
 
 
 def mutate(of: np.ndarray, lengths: np.ndarray, room: int, rng) -> np.ndarray:
     """Dissolves the emptiest bins and a few others and places their items anew."""
     f = fills(of, lengths)
     gone = np.union1d(np.argsort(f)[: max(1, len(f) // 50)], rng.integers(0, len(f), max(1, len(f) // 50)))
-    lost = np.isin(of, gone)
-    child = np.full(len(lengths), -1, np.int32)
-    child[~lost] = np.unique(of[~lost], return_inverse=True)[1]
-    left = (room - np.bincount(child[~lost], weights=lengths[~lost])).astype(np.int64).tolist() if (~lost).any() else []
-    out = np.flatnonzero(lost)
-    return best_fit(out[np.argsort(-lengths[out], kind="stable")], lengths, room, child, left)
+    child = of.copy()
+    child[np.isin(of, gone)] = -1
+    return placed(child, lengths, room, rng)
 
 
 def evolve(people: list[np.ndarray], lengths: np.ndarray, room: int, rng, rounds: int, size: int) -> list[np.ndarray]:
