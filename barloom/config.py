@@ -1,4 +1,4 @@
-"""Parameters of the rules."""
+"""Parameters of the rules. Defaults are fixed values: the rules' own numbers."""
 
 from __future__ import annotations
 
@@ -56,6 +56,13 @@ class Weekly:
 
     gs_max: float = 5.0
     gb_min: float = 40.0
+    # exits: the week's drop line, and a stop within the day; no take
+    week_exit: float = 25.0
+    stop: float = -12.0
+    take: float | None = None
+    # new orders only while so large a share of the largest companies stands above its close of some bars before
+    breadth_min: float = 0.55
+    breadth_codes: int = 200
 
 
 @dataclass(frozen=True)
@@ -69,12 +76,14 @@ class Limits:
     history_days: int = 260
     chart_bars: int = 160
     hourly_bars: int = 240
+    hourly_codes: int = 160
+    chart_codes: int = 60
     per_market: tuple = (("KOSPI", 200), ("KOSDAQ", 150))
     min_price: float = 1000.0
 
 
 LEGACY, MOMENTUM, WEEKLY, LIMITS = Legacy(), TB(), Weekly(), Limits()
 #: Strategy tags, and the keywords of exit reasons in the order in which they are looked for.
-LEGACY_TAG, TB_TAG, OTHER = "기존", "TB", "기타"
+LEGACY_TAG, TB_TAG, WEEKLY_TAG, OTHER = "기존", "TB", "주봉", "기타"
 REASONS = ("손절", "익절", "청선", "장대음봉", "30일선", "적선", "고점", "기간", "이탈")
 HOMERUN, NORMAL = "홈런", "일반"

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.config import LEGACY, LEGACY_TAG, LIMITS, MOMENTUM, TB_TAG, Legacy
+from barloom.config import LEGACY, LEGACY_TAG, LIMITS, MOMENTUM, TB_TAG, WEEKLY, WEEKLY_TAG, Legacy, Weekly
 from barloom.config import TB as Momentum
 
 #: What a day's row needs, for every code that is ever a candidate; rank is null where the code is none that day.
 DAY = "code long, d date, open long, high long, low long, close long, gsell double, gb_slope5 double, t double, b double, chg1 double, above_ma30 boolean, ma30 long, red boolean, wick double, score double, rank int, grade string"
+#: The same for the weekly rule: wgs is the drop line of the last whole week.
+WEEK = "code long, d date, open long, high long, low long, close long, wgs double, score double, rank int, grade string"
 LOG = "strategy string, seq long, d date, code long, action string, severity string, reason string, price long, score double, rank int, grade string, entry_date date, entry_price long, days_held int, pnl_pct double"
 
 
@@ -23,33 +25,70 @@ def pct(a: float, b: float) -> float:
     return (a / b - 1) * 100 if b else 0.0
 
 
+# The words of reasons and severities in the log.
+CALM, WARN, EXIT, AGED, BROKEN = "정상", "주의", "청산", "기간", "이탈"
+KEPT_LEGACY, KEPT_TB, KEPT_WEEKLY = "조건 유지", "T·B 유지", "주봉 유지"
+SAY = {
+    "hard": "청선 {gsell} — {limit}선 초과 급이탈",
+    "down": "장대음봉 {chg1:+.1f}%",
+    "ma30": "30일선 이탈 (종가 {close:,} < {ma30:,})",
+    "exit": "청선 {gsell} — 5선 이탈",
+    "slope": "적선 5일 기울기 {gb_slope5:+.1f} — 상승탄력 꺾임",
+    "trail": "고점 대비 {fall:+.1f}% 되밀림",
+    "aged": "보유 {days}일 경과 — 기간 청산",
+    "wick": "위꼬리 {wick}",
+    "rising": "청선 {gsell} 상승",
+    "mesh": "그물망 상승배열 아님",
+    "below": "{leg} {value} < {limit:.0f}",
+    "near": "{leg} {value} 기준선 근접",
+    "line": "청선 {gsell}",
+    "left": " 이탈",
+    "week": "주봉 청선 {wgs} > {limit:.0f}",
+    "sold": "{reason} → {signal_date} 종가신호, 시가 체결",
+    "bought": "{signal_date} 종가신호 {score}점 {rank}위 → 시가 체결",
+    "entered": "진입",
+    "stopped": "장중 손절 (기준 {stop}%) {pnl:+.1f}%",
+    "taken": "장중 익절 (목표 +{take:.0f}%) {pnl:+.1f}%",
+    "stop": "손절",
+    "take": "익절",
+}
+JOINT = " · "
+
+
 def legacy_exit(s: dict, pos: dict, p: Legacy = LEGACY) -> tuple[str, str, str]:
     """(action, reason, severity) for a held code at the close."""
     fall = pct(s["close"], max(pos["peak"], s["close"]))
     tests = (
-        (s["gsell"] > p.gs_hard, f"청선 {s['gsell']} — {p.gs_hard}선 초과 급이탈", "청산"),
-        (s["chg1"] <= p.exit_down, f"장대음봉 {s['chg1']:+.1f}%", "청산"),
-        (not s["above_ma30"], f"30일선 이탈 (종가 {s['close']:,} < {s['ma30']:,})", "청산"),
-        (s["gsell"] > p.gs_exit, f"청선 {s['gsell']} — 5선 이탈", "청산"),
-        (s["gb_slope5"] <= p.gb_drop, f"적선 5일 기울기 {s['gb_slope5']:+.1f} — 상승탄력 꺾임", "청산"),
-        (fall <= p.trail, f"고점 대비 {fall:+.1f}% 되밀림", "청산"),
-        (pos["days"] >= p.max_days, f"보유 {pos['days']}일 경과 — 기간 청산", "기간"),
+        (s["gsell"] > p.gs_hard, "hard", EXIT),
+        (s["chg1"] <= p.exit_down, "down", EXIT),
+        (not s["above_ma30"], "ma30", EXIT),
+        (s["gsell"] > p.gs_exit, "exit", EXIT),
+        (s["gb_slope5"] <= p.gb_drop, "slope", EXIT),
+        (fall <= p.trail, "trail", EXIT),
+        (pos["days"] >= p.max_days, "aged", AGED),
     )
-    for met, reason, severity in tests:
+    for met, why, severity in tests:
         if met:
-            return "SELL", reason, severity
-    care = [text for met, text in ((s["wick"] > p.wick_max, f"위꼬리 {s['wick']}"), (s["gsell"] > p.gs_warn, f"청선 {s['gsell']} 상승"), (not s["red"], "그물망 상승배열 아님")) if met]
-    return "HOLD", " · ".join(care) or "조건 유지", "주의" if care else "정상"
+            return "SELL", SAY[why].format(**{**s, "fall": fall, "days": pos["days"], "limit": p.gs_hard}), severity
+    care = [SAY[why].format(**s) for met, why in ((s["wick"] > p.wick_max, "wick"), (s["gsell"] > p.gs_warn, "rising"), (not s["red"], "mesh")) if met]
+    return "HOLD", JOINT.join(care) or KEPT_LEGACY, WARN if care else CALM
 
 
 def tb_exit(s: dict, pos: dict, p: Momentum = MOMENTUM) -> tuple[str, str, str]:
     legs = (("T", s["t"], p.t_min, p.t_warn), ("B", s["b"], p.b_min, p.b_warn))
-    broken = [f"{n} {x} < {least:.0f}" for n, x, least, _ in legs if x < least]
+    broken = [SAY["below"].format(leg=n, value=x, limit=least) for n, x, least, _ in legs if x < least]
     if broken:
-        return "SELL", " · ".join(broken) + " 이탈", "이탈"
-    care = [f"{n} {x} 기준선 근접" for n, x, least, near in legs if x < least + near]
-    care += [f"청선 {s['gsell']}"] if s["gsell"] > p.homerun else []
-    return "HOLD", " · ".join(care) or "T·B 유지", "주의" if care else "정상"
+        return "SELL", JOINT.join(broken) + SAY["left"], BROKEN
+    care = [SAY["near"].format(leg=n, value=x) for n, x, least, near in legs if x < least + near]
+    care += [SAY["line"].format(**s)] if s["gsell"] > p.homerun else []
+    return "HOLD", JOINT.join(care) or KEPT_TB, WARN if care else CALM
+
+
+def weekly_rule_exit(s: dict, pos: dict, p: Weekly = WEEKLY) -> tuple[str, str, str]:
+    """The last whole week's drop line above its limit sells; a code without a whole week is kept."""
+    if s["wgs"] is not None and s["wgs"] > p.week_exit:
+        return "SELL", SAY["week"].format(wgs=s["wgs"], limit=p.week_exit), EXIT
+    return "HOLD", KEPT_WEEKLY, CALM
 
 
 class Book:
@@ -77,14 +116,14 @@ class Book:
             if s is None or pos is None:
                 continue  # the order lapses
             del self.held[order["code"]]
-            self._log(out, d, order["code"], "SELL", order["severity"], f"{order['reason']} → {order['signal_date']} 종가신호, 시가 체결", s["open"], pos, round(pct(s["open"], pos["entry"]), 2))
+            self._log(out, d, order["code"], "SELL", order["severity"], SAY["sold"].format(**order), s["open"], pos, round(pct(s["open"], pos["entry"]), 2))
         for order in self.buying:
             code = order["code"]
             s = day.get(code)
             if s is None or code in self.held or len(self.held) >= self.slots:
                 continue
             pos = self.held[code] = {"entry": s["open"], "entry_date": d, "peak": s["open"], "days": 0, "grade": order["grade"]}
-            self._log(out, d, code, "BUY", order["grade"] or "진입", f"{order['signal_date']} 종가신호 {order['score']}점 {order['rank']}위 → 시가 체결", s["open"], pos, 0.0, order["score"], order["rank"])
+            self._log(out, d, code, "BUY", order["grade"] or SAY["entered"], SAY["bought"].format(**order), s["open"], pos, 0.0, order["score"], order["rank"])
 
     def _within(self, d, day: dict, out: list) -> None:
         for code in list(self.held):
@@ -94,14 +133,14 @@ class Book:
             low = None if self.stop is None else pos["entry"] * (1 + self.stop / 100.0)
             high = None if self.take is None else pos["entry"] * (1 + self.take / 100.0)
             if low is not None and s["low"] <= low:
-                price, kind, why = int(min(low, s["open"])), "손절", f"장중 손절 (기준 {self.stop}%)"
+                price, kind, why = int(min(low, s["open"])), "stop", "stopped"
             elif high is not None and s["high"] >= high:
-                price, kind, why = int(max(high, s["open"])), "익절", f"장중 익절 (목표 +{self.take:.0f}%)"
+                price, kind, why = int(max(high, s["open"])), "take", "taken"
             else:
                 continue
             del self.held[code]
             pnl = round(pct(price, pos["entry"]), 2)
-            self._log(out, d, code, "SELL", kind, f"{why} {pnl:+.1f}%", price, pos, pnl)
+            self._log(out, d, code, "SELL", SAY[kind], SAY[why].format(stop=self.stop, take=self.take, pnl=pnl), price, pos, pnl)
 
     def _close(self, d, day: dict, out: list) -> None:
         self.selling, self.buying = [], []
@@ -117,14 +156,22 @@ class Book:
             else:
                 self._log(out, d, code, "HOLD", severity, reason, s["close"], pos, round(pct(s["close"], pos["entry"]), 2))
         room = self.slots - len(self.held) + len(self.selling)
-        for s in sorted((s for s in day.values() if s["rank"] is not None), key=lambda s: s["rank"]):
+        for code in day.ranked():
             if len(self.buying) >= room:
                 break
-            if s["code"] not in self.held:
+            if code not in self.held:
+                s = day.get(code)
                 self.buying.append({"code": s["code"], "score": s["score"], "rank": s["rank"], "grade": s["grade"] or "", "signal_date": str(d)})
 
-    def step(self, d, day: dict) -> list[tuple]:
-        """day: {code: row} of the codes with a bar that day."""
+    def orders(self, d) -> list[tuple]:
+        """What stands to be done at the next open, as log rows."""
+        out = [(o["code"], "SELL", o["severity"], o["reason"], None, None, self.held[o["code"]]["grade"]) for o in self.selling]
+        out += [(o["code"], "BUY", o["grade"] or SAY["entered"], "", o["score"], o["rank"], o["grade"]) for o in self.buying]
+        return [(self.strategy, None, d, code, f"ORDER {side}", severity, reason, None, score, rank, grade, None, None, None, None) for code, side, severity, reason, score, rank, grade in out]
+
+    def step(self, d, day: Day | dict) -> list[tuple]:
+        """day: the rows of the codes with a bar that day, or {code: row}."""
+        day = day if isinstance(day, Day) else Day.of(day.values())
         out: list[tuple] = []
         self._open(d, day, out)
         self._within(d, day, out)
@@ -132,38 +179,97 @@ class Book:
         return out
 
 
-def books(strategy: str, state: dict | None = None) -> Book:
-    if strategy == TB_TAG:
-        return Book(strategy, tb_exit, MOMENTUM.stop, MOMENTUM.take, state=state)
-    if strategy == LEGACY_TAG:
-        return Book(strategy, legacy_exit, LEGACY.stop, LEGACY.take, state=state)
-    raise ValueError(f"no strategy {strategy}")
+def books(strategy: str, state: dict | None = None, slots: int = LIMITS.max_positions) -> Book:
+    rules = {TB_TAG: (tb_exit, MOMENTUM), LEGACY_TAG: (legacy_exit, LEGACY), WEEKLY_TAG: (weekly_rule_exit, WEEKLY)}
+    if strategy not in rules:
+        raise ValueError(f"no strategy {strategy}")
+    exit_rule, p = rules[strategy]
+    return Book(strategy, exit_rule, p.stop, p.take, slots, state)
+
+
+def _value(x):
+    return None if x is None or x is pd.NaT or x is pd.NA or x != x else x
+
+
+WHOLE = {"rank", "open", "high", "low", "close", "ma30", "code"}
+
+
+class Day:
+    """The rows of a day by code. A row is made when it is asked for: few are, as only what is held, ordered or a
+    candidate counts."""
+
+    def __init__(self, cols: dict[str, list], places: dict[int, int], ranks: list[tuple[int, int]]):
+        self.cols, self.places, self.ranks = cols, places, ranks
+
+    @classmethod
+    def of(cls, rows: Iterable[dict]) -> Day:
+        rows = list(rows)
+        cols = {k: [r[k] for r in rows] for k in (rows[0] if rows else ())}
+        return cls(cols, {r["code"]: at for at, r in enumerate(rows)}, [(r["rank"], r["code"]) for r in rows if r["rank"] is not None])
+
+    def get(self, code: int) -> dict | None:
+        """The row of a code; numbers that pandas made of nulls are None again."""
+        at = self.places.get(code)
+        if at is None:
+            return None
+        row = {k: _value(v[at]) for k, v in self.cols.items()}
+        return row | {k: int(row[k]) for k in WHOLE & row.keys() if row[k] is not None}
 
+    def ranked(self) -> list[int]:
+        """The candidates' codes, best first."""
+        return [code for _, code in sorted(self.ranks)]
 
-def days_of(rows: Iterable[dict]) -> dict:
-    """Rows by date, then code; numbers that pandas made of nulls are None again."""
+
+def days_of(cols: dict[str, list]) -> dict[date, Day]:
+    """Columns of rows as days, in order."""
     out: dict = {}
-    for r in rows:
-        r = {k: None if v is None or v is pd.NaT or v is pd.NA or v != v else v for k, v in r.items()}
-        for k in ("rank", "open", "high", "low", "close", "ma30", "code"):
-            if r[k] is not None:
-                r[k] = int(r[k])
-        out.setdefault(r["d"], {})[r["code"]] = r
+    for at, (d, code, rank) in enumerate(zip(cols["d"], cols["code"], cols["rank"], strict=True)):
+        day = out.get(d)
+        if day is None:
+            day = out[d] = Day(cols, {}, [])
+        code = int(code)
+        day.places[code] = at
+        if rank == rank and rank is not None and rank is not pd.NA:
+            day.ranks.append((int(rank), code))
     return dict(sorted(out.items()))
 
 
-def replay(days: DataFrame) -> DataFrame:
-    """The log of each strategy's book over all days. days: strategy and DAY, only of codes that are ever candidates
-    (see ever): capacity couples codes, so a strategy is one sequence of days, and its rows must be few."""
+def columns_of(pdf: pd.DataFrame) -> dict[str, list]:
+    return {c: pdf[c].tolist() for c in pdf.columns if c != "strategy"}
+
+
+def replay(days: DataFrame, orders: bool = False) -> DataFrame:
+    """The log of each strategy's book over all days, with orders also what is ordered at each close. days: strategy and
+    DAY (or WEEK), only of codes that are ever candidates (see ever): capacity couples codes, so a strategy is one
+    sequence of days, and its rows must be few."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         book = books(pdf["strategy"].iloc[0])
-        out = [row for d, day in days_of(pdf.drop(columns="strategy").to_dict("records")).items() for row in book.step(d, day)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in LOG.split(", ")])
+        out: list[tuple] = []
+        for d, day in days_of(columns_of(pdf)).items():
+            out += book.step(d, day)
+            if orders:
+                out += book.orders(d)
+        return _log_frame(out)
 
     return days.groupBy("strategy").applyInPandas(run, LOG)
 
 
+def replay_alone(days: DataFrame, slots: int = 1) -> DataFrame:
+    """The log of a book of its own for each strategy and code: nothing couples codes, so they are played apart."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        book = books(pdf["strategy"].iloc[0], None, slots)
+        return _log_frame([row for d, day in days_of(columns_of(pdf)).items() for row in book.step(d, day)])
+
+    return days.groupBy("strategy", "code").applyInPandas(run, LOG)
+
+
+def _log_frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in LOG.split(", ")])
+    return out.astype({"rank": "Int64", "seq": "Int64", "price": "Int64", "entry_price": "Int64", "days_held": "Int64", "score": "Float64", "pnl_pct": "Float64"})
+
+
 def _plain(x):
     return x.isoformat() if isinstance(x, date) else int(x)
 
@@ -182,26 +288,26 @@ def from_text(strategy: str, text: str | None) -> tuple[Book, str]:
     return books(strategy, book), kept["last"]
 
 
-def play(strategy: str, text: str | None, rows: Iterable[dict]) -> tuple[list[tuple], str]:
-    """Plays the days of rows that come after the last one the kept book has played: its log rows and the new text. So a
+def play(strategy: str, text: str | None, cols: dict[str, list], orders: bool = False) -> tuple[list[tuple], str]:
+    """Plays the days of columns that come after the last one the kept book has played: its log rows and the new text. So a
     day that is given twice is played once."""
     book, last = from_text(strategy, text)
     out: list[tuple] = []
-    for d, day in days_of(rows).items():
+    for d, day in days_of(cols).items():
         if str(d) > last:
-            out += book.step(d, day)
+            out += book.step(d, day) + (book.orders(d) if orders else [])
             last = str(d)
     return out, to_text(book, last)
 
 
 def resume(days: DataFrame, states: DataFrame) -> DataFrame:
-    """replay() from kept books on. states: strategy, state. The log has a column state, filled in one more row a
-    strategy, which has no action: the book to keep."""
+    """replay(), with orders, from kept books on. states: strategy, state. The log has a column state, filled in one more
+    row a strategy, which has no action: the book to keep."""
     names = [c.split()[0] for c in LOG.split(", ")]
 
     def run(key: tuple, pdf: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         text = kept["state"].iloc[0] if len(kept) else None
-        log, text = play(key[0], text, pdf.drop(columns="strategy").to_dict("records"))
+        log, text = play(key[0], text, columns_of(pdf), orders=True)
         out = pd.DataFrame(log, columns=names)
         out["state"] = None
         return pd.concat([out, pd.DataFrame([{**dict.fromkeys(names), "strategy": key[0], "state": text}])], ignore_index=True).astype({"rank": "Int64", "code": "Int64", "seq": "Int64", "price": "Int64", "entry_price": "Int64", "days_held": "Int64", "score": "Float64", "pnl_pct": "Float64"})

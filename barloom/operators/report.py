@@ -6,24 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.config import LIMITS
+from barloom.config import HOMERUN, LIMITS
 
 
 def counters(log: DataFrame) -> DataFrame:
-    """Buys, sales, holds and fills of each strategy and day."""
+    """Buys, sales, holds and fills of each strategy and day, and the positions that are open after it."""
     kind = lambda a: F.count_if(F.col("action") == a)
-    return log.groupBy("strategy", "d").agg(kind("BUY").alias("buys"), kind("SELL").alias("sells"), kind("HOLD").alias("holds"), F.count_if(F.col("action").isin("BUY", "SELL")).alias("fills"))
+    days = log.groupBy("strategy", "d").agg(kind("BUY").alias("buys"), kind("SELL").alias("sells"), kind("HOLD").alias("holds"), F.count_if(F.col("action").isin("BUY", "SELL")).alias("fills"))
+    w = W.partitionBy("strategy").orderBy("d").rowsBetween(W.unboundedPreceding, 0)  # a row a day
+    return days.withColumn("positions", F.sum(F.col("buys") - F.col("sells")).over(w))
 
 
 def day_report(log: DataFrame) -> DataFrame:
-    """(d, doc): a JSON document a day, its strategies each with lists of buys, sales and holds in the log's order."""
+    """(d, doc): a JSON document a day, its strategies each with counters and lists of sales and purchases that were
+    filled, of holds and, where the log has them, of orders for the next open, in the log's order."""
     row = F.struct("seq", "code", "price", "reason", "severity", "pnl_pct")
-    pick = lambda a: F.array_sort(F.collect_list(F.when(F.col("action") == a, row)))
-    per = log.groupBy("d", "strategy").agg(pick("BUY").alias("buys"), pick("SELL").alias("sells"), pick("HOLD").alias("holds"))
-    docs = per.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("strategy", "buys", "sells", "holds"))).alias("strategies"))
+    order = F.struct("code", "rank", "reason", "severity")
+    pick = lambda a, x: F.array_sort(F.collect_list(F.when(F.col("action") == a, x)))
+    lists = {"buys": pick("BUY", row), "sells": pick("SELL", row), "holds": pick("HOLD", row), "order_buy": pick("ORDER BUY", order), "order_sell": pick("ORDER SELL", order)}
+    per = log.groupBy("d", "strategy").agg(*[x.alias(k) for k, x in lists.items()])
+    w = W.partitionBy("strategy").orderBy("d").rowsBetween(W.unboundedPreceding, 0)  # a row a day
+    per = per.withColumn("positions", F.sum(F.size("buys") - F.size("sells")).over(w))
+    counts = F.struct(F.size("buys").alias("buys"), F.size("sells").alias("sells"), F.size("holds").alias("holds"), (F.size("buys") + F.size("sells")).alias("fills"), "positions")
+    docs = per.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("strategy", counts.alias("counts"), *lists))).alias("strategies"))
     return docs.select("d", F.to_json(F.struct(F.col("d").cast("string").alias("date"), "strategies")).alias("doc"))
 
 
+def candidate_lists(ranked: DataFrame, latest: int = LIMITS.top_candidates, older: int = LIMITS.top_history, days: int = LIMITS.history_days) -> DataFrame:
+    """(strategy, d, total, homeruns, codes): each day's best candidates by rank, `latest` of them on the last day and
+    `older` on those before, of the last `days` days; total and homeruns count all."""
+    kept = ranked.select("d").distinct().orderBy(F.desc("d")).limit(days)  # a row a day
+    last = F.max("d").over(W.partitionBy(F.lit(0)))
+    kept = F.broadcast(kept.withColumn("most", F.when(F.col("d") == last, latest).otherwise(older)))
+    best = F.array_sort(F.collect_list(F.when(F.col("rank") <= F.col("most"), F.struct("rank", "code"))))
+    out = ranked.join(kept, "d").groupBy("strategy", "d").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("grade") == HOMERUN).alias("homeruns"), best.alias("best"))
+    return out.select("strategy", "d", "total", "homeruns", F.col("best.code").alias("codes"))
+
+
 def charts(bars: DataFrame, most: int = LIMITS.chart_bars, least: int = 30) -> DataFrame:
     """(code, n, t, o, h, l, c, v): arrays of the last `most` bars, whole numbers; codes with fewer than `least` have none."""
     w = W.partitionBy("code")
@@ -43,8 +62,40 @@ def write_days(log: DataFrame, path: str, day: str = "d") -> None:
     log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+#: The log's columns in the order of its file.
+CSV_COLUMNS = ("date", "strategy", "code", "name", "market", "action", "severity", "grade", "reason", "price", "score", "rank", "entry_date", "entry_price", "days_held", "pnl_pct", "gbuy", "gsell", "gs_hold", "gs_mean", "gs_std", "gb_slope5", "t", "b", "u", "red", "ma30", "chg1", "chg5", "chg20", "vol", "amount")
+MARK = "\ufeff"
+
+
+def append_csv(rows: DataFrame, path: str, columns: tuple = CSV_COLUMNS) -> None:
+    """Appends rows to a log in CSV: a folder of text files, of which the first begins with a byte order mark and the
+    header. Columns come in the file's order, others are left out, missing ones and nulls are empty; fields with commas,
+    quotes or line ends are quoted."""
+    spark = rows.sparkSession
+    have = set(rows.columns)
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("") for c in columns]
+    quoted = [F.when(t.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t) for t in texts]
+    lines = rows.select(F.concat_ws(",", *quoted).alias("value"))
+    if not exists(spark, path):
+        spark.createDataFrame([(MARK + ",".join(columns),)], "value string").coalesce(1).write.text(path)
+    lines.write.mode("append").text(path)
+
+
+def read_csv(spark, path: str, columns: tuple = CSV_COLUMNS) -> DataFrame:
+    """What append_csv has written, as texts."""
+    header = ",".join(columns)  # readers of text take a byte order mark away
+    lines = spark.read.text(path).where(~F.col("value").isin(header, MARK + header))
+    return lines.select(F.from_csv("value", ", ".join(f"`{c}` string" for c in columns), {"escape": '"'}).alias("r")).select("r.*").fillna("")
+
+
+def exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def deleted(spark, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def write_json(df: DataFrame, path: str) -> None:

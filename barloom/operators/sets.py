@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.config import LIMITS
+
 BROADCAST_ROWS = 100_000
 
 
@@ -35,11 +37,25 @@ def minus(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ordered_union(parts: list[DataFrame], key: str, order: str) -> DataFrame:
-    """Distinct keys of several lists, in the order in which they first come: list by list, each by its own order."""
+    """Distinct keys of several lists, in the order in which they first come: list by list, each by its own order, ties by
+    key. Places are counted within a list's position; only the sizes of those, a row each, are summed in one place."""
     tagged = [p.select(F.col(key), F.lit(k).alias("part"), F.col(order).cast("long").alias("at")) for k, p in enumerate(parts)]
     rows = reduce(DataFrame.unionByName, tagged)
     first = rows.groupBy(key).agg(F.min(F.struct("part", "at")).alias("first"))
-    return first.withColumn("place", F.row_number().over(W.orderBy("first", key))).select(key, "place")
+    sizes = first.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("first", (F.sum("n").over(W.orderBy("first").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    own = F.row_number().over(W.partitionBy("first").orderBy(key))
+    return first.withColumn("own", own).join(small(before), "first").select(key, (F.col("before") + F.col("own")).cast("int").alias("place"))
+
+
+def first_codes(parts: list[DataFrame], key: str, order: str, most: int = LIMITS.chart_codes) -> DataFrame:
+    """The first `most` of ordered_union."""
+    return ordered_union(parts, key, order).where(F.col("place") <= most)
+
+
+def date_tail(parts: list[DataFrame], n: int = LIMITS.history_days, day: str = "d") -> DataFrame:
+    """The last n of the days that any of the tables has."""
+    return reduce(DataFrame.unionByName, [p.select(day) for p in parts]).distinct().orderBy(F.desc(day)).limit(n)
 
 
 def upsert(old: DataFrame, new: DataFrame, group: str, key: str, keep: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.config import HOMERUN, LEGACY, LEGACY_TAG, LIMITS, MOMENTUM, NORMAL, TB, TB_TAG, WEEKLY, Legacy
+from barloom.config import HOMERUN, LEGACY, LEGACY_TAG, LIMITS, MOMENTUM, NORMAL, TB, TB_TAG, WEEKLY, WEEKLY_TAG, Legacy
 from barloom.functions.numeric import rnd
 
 
@@ -36,9 +36,9 @@ def snapshot_columns() -> list:
     ]
 
 
-def snapshot(shaped: DataFrame) -> DataFrame:
-    """The day's rounded indicators of each code, which exits are decided by."""
-    return complete(shaped).select(*snapshot_columns())
+def snapshot(shaped: DataFrame, *also: str) -> DataFrame:
+    """The day's rounded indicators of each code, which exits are decided by, and other columns as they are."""
+    return complete(shaped).select(*snapshot_columns(), *also)
 
 
 def liquid(df: DataFrame, least: float = LIMITS.min_amount) -> DataFrame:
@@ -108,9 +108,9 @@ def tb_candidates(shaped: DataFrame, p: TB = MOMENTUM, least: float = LIMITS.min
     return out.withColumns({"grade": grade(p.homerun), "timely": F.col("tb_hold") <= p.hold_timely, "score": tb_score(), "r20": rnd(F.coalesce("chg20", F.lit(0.0)), 1)})
 
 
-def both(shaped: DataFrame, least: float = LIMITS.min_amount, p: Legacy = LEGACY, tb: TB = MOMENTUM) -> DataFrame:
-    """snapshot's columns, a row a strategy, with ok (is it a candidate that day), score and grade: one pass over the
-    bars serves both rules and, later, the replay."""
+def both(shaped: DataFrame, least: float = LIMITS.min_amount, p: Legacy = LEGACY, tb: TB = MOMENTUM, also: tuple = ()) -> DataFrame:
+    """snapshot's columns, and others as they are, a row a strategy, with ok (is it a candidate that day), score and
+    grade: one pass over the bars serves both rules and, later, the replay."""
     liquid_ = F.floor(F.col("c") * F.col("v")) >= least
     old = liquid_
     for reject in legacy_rejects(p).values():
@@ -118,7 +118,7 @@ def both(shaped: DataFrame, least: float = LIMITS.min_amount, p: Legacy = LEGACY
     new = liquid_ & F.col("tb_ok") & (F.col("tb_hold") >= tb.hold_min) & (F.col("gs") <= tb.gs_entry)
     one = lambda tag, ok, score, g: F.struct(F.lit(tag).alias("strategy"), ok.alias("ok"), score.alias("score"), g.alias("grade"))
     rows = F.array(one(LEGACY_TAG, old, legacy_score(p), F.lit("")), one(TB_TAG, new, tb_score(), grade(tb.homerun)))
-    return complete(shaped).select(*snapshot_columns(), F.inline(rows))
+    return complete(shaped).select(*snapshot_columns(), *also, F.inline(rows))
 
 
 def ranked(candidates: DataFrame, keys: list[str], most: int | None = None, score: str = "score", tie: str = "code") -> DataFrame:
@@ -151,7 +151,32 @@ def weekly_entries(day: DataFrame, week: DataFrame, gb_min: float = WEEKLY.gb_mi
     return ranked(both.where((F.col("gs") <= gs_max) & (F.col("wgs") <= gs_max) & (F.col("gb") >= gb_min) & (F.col("wgb") >= gb_min)), ["d"], score="gb")
 
 
-def weekly_exit(df: DataFrame, most: float = 25.0, stop: float = -12.0) -> DataFrame:
+def largest(listing: DataFrame, n: int = WEEKLY.breadth_codes, **more) -> DataFrame:
+    """code of the n largest companies of the universe, by value, ties by code."""
+    return universe(listing, **more).orderBy(F.desc("marcap"), "code").limit(n).select("code")
+
+
+def breadth(returns: DataFrame, codes: DataFrame, least: float = WEEKLY.breadth_min) -> DataFrame:
+    """(d, breadth, open): the share of the given codes that stand above their close of 20 bars before, and whether new
+    orders may be given. Codes without so many bars don't count."""
+    up = F.avg(F.when(F.col("chg20") > 0, 1.0).otherwise(0.0))
+    rows = returns.where("chg20 is not null").join(F.broadcast(codes), "code", "left_semi")  # codes are limited in number
+    return rows.groupBy("d").agg(up.alias("breadth")).withColumn("open", F.col("breadth") >= least)
+
+
+def weekly_days(day: DataFrame, week: DataFrame, gate: DataFrame, gb_min: float = WEEKLY.gb_min) -> DataFrame:
+    """What a replay of the weekly rule needs: strategy, WEEK columns; rank only where the day is an entry and the gate is
+    open; days of codes with such a day, from the first one on. wgs is null until a week is whole. day: bars with gb and
+    gs; week: the same of weekly bars; gate: d, open."""
+    entry = weekly_entries(day, week, gb_min).join(F.broadcast(gate.where("open").select("d")), "d", "left_semi").select("code", "d", "rank")  # a row a day
+    last = week.select("code", F.date_add("d", 7).alias("wk"), rnd("gs", 1).alias("wgs"))
+    rows = day.withColumn("wk", F.to_date(F.date_trunc("week", "d"))).join(last, ["code", "wk"], "left").join(entry, ["code", "d"], "left")
+    first = F.min(F.when(F.col("rank").isNotNull(), F.col("d"))).over(W.partitionBy("code"))
+    rows = rows.withColumn("first", first).where("d >= first")
+    return rows.select(F.lit(WEEKLY_TAG).alias("strategy"), F.col("code").cast("long").alias("code"), "d", trunc("o").alias("open"), trunc("h").alias("high"), trunc("l").alias("low"), trunc("c").alias("close"), "wgs", F.when(F.col("rank").isNotNull(), rnd("gb", 1)).alias("score"), F.col("rank").cast("int").alias("rank"), F.lit("").alias("grade"))
+
+
+def weekly_exit(df: DataFrame, most: float = WEEKLY.week_exit, stop: float = WEEKLY.stop) -> DataFrame:
     """The documented weekly variant's exits: the week's fall line above `most`, or the close below the stop; no take.
     df: wgs, close, entry."""
     stopped = (F.col("close").cast("double") / F.col("entry") - 1) * 100 <= stop

@@ -23,11 +23,26 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def publish(spark: SparkSession, out: str) -> None:
+    """Puts in place what the run that the state names has played: log, CSV log and report. Doing it again changes nothing,
+    so a run that failed after its state was written is finished by the next one."""
+    found = _read(spark, f"{out}/state", STATE).select("version").distinct().collect()  # a row a strategy
+    for (work,) in found:
+        if not work or not report.exists(spark, work):
+            continue
+        log = spark.read.parquet(work).where("action is not null").drop("state")
+        done = log.where(~F.col("action").startswith("ORDER"))
+        report.write_days(done.withColumn("day", F.col("d").cast("string")), f"{out}/log", "day")
+        report.write_json(report.day_report(log), f"{out}/report")
+        report.deleted(spark, work)
+
+
 def run(spark: SparkSession, bars: DataFrame, out: str, until: str | None = None, backfill: int = 1, force: bool = False, reset: bool = False, min_amount: float = LIMITS.min_amount) -> int:
     """Plays the latest `backfill` days up to `until` that haven't been played; how many those are. force and reset begin
-    with empty books (reset also drops the log). Writes log (a folder a day; a day played again replaces itself), state,
-    report (JSON), trades, stats and reasons."""
+    with empty books (reset also drops the log). Writes state (the books, and where the run's rows are), then from those
+    log (a folder a day; a day played again replaces itself) and report (JSON); then trades, stats and reasons."""
     logs = f"{out}/log"
+    publish(spark, out)
     if reset:
         report.reset(spark, f"{replay.LOG}, day string", logs)
     shaped = shape.with_shape(indicators.series(enough(bars, LIMITS.min_bars).drop("n")))
@@ -42,12 +57,9 @@ def run(spark: SparkSession, bars: DataFrame, out: str, until: str | None = None
         today = days.join(F.broadcast(targets), "d", "left_semi")  # a row a day
         work = f"{out}/work-{uuid.uuid4().hex}"
         replay.resume(today, states).write.parquet(work)
-        found = spark.read.parquet(work)
-        log = found.where("action is not null").drop("state")
-        report.write_days(log.withColumn("day", F.col("d").cast("string")), logs, "day")
-        kept = found.where("state is not null").select("strategy", "state", F.lit(work).alias("version"))
+        kept = spark.read.parquet(work).where("state is not null").select("strategy", "state", F.lit(work).alias("version"))
         kept.coalesce(1).write.mode("overwrite").parquet(f"{out}/state")  # a row a strategy
-        report.write_json(report.day_report(log), f"{out}/report")
+        publish(spark, out)
     whole = _read(spark, logs, f"{replay.LOG}, day string")
     sold = whole.where("action = 'SELL'").select("strategy", "grade", "code", "entry_date", F.col("d").alias("exit_date"), F.col("entry_price").alias("entry"), F.col("price").alias("exit"), F.col("pnl_pct").alias("pnl"), F.col("days_held").alias("days"), F.split_part("reason", F.lit(" → "), F.lit(1)).alias("reason"), "severity", "seq")
     for name, df in (("trades", ledger.equity(sold)), ("stats", ledger.stats_by_strategy(sold)), ("reasons", ledger.by_reason(sold))):

@@ -128,9 +128,11 @@ f2 AS (SELECT *, least(0.0, min(net) OVER (PARTITION BY code ORDER BY d, k)) AS
 f3 AS (SELECT *, CASE WHEN side = 'buy' THEN qty ELSE qty - (coalesce(lag(low) OVER (PARTITION BY code ORDER BY d, k), 0) - low) END AS eff FROM f2),
 f4 AS (SELECT *, sum(eff) OVER (PARTITION BY code, side ORDER BY d, k) AS hi FROM f3),
 f5 AS (SELECT *, hi - eff AS lo FROM f4 WHERE eff > 0),
+cut AS (SELECT code, hi, coalesce(lag(hi) OVER (PARTITION BY code ORDER BY hi), 0) AS lo FROM (SELECT DISTINCT code, hi FROM f5)),
+buys AS (SELECT * FROM f5 WHERE side = 'buy'), sells AS (SELECT * FROM f5 WHERE side = 'sell'),
 fc AS (
-  SELECT b.code, b.d AS buy_d, b.k AS buy_k, s.d AS sell_d, s.k AS sell_k, b.price AS buy_price, s.price AS sell_price, least(b.hi, s.hi) - greatest(b.lo, s.lo) AS qty
-  FROM f5 b JOIN f5 s ON b.code = s.code AND b.side = 'buy' AND s.side = 'sell' AND b.lo < s.hi AND s.lo < b.hi),
+  SELECT c.code, b.d AS buy_d, b.k AS buy_k, s.d AS sell_d, s.k AS sell_k, b.price AS buy_price, s.price AS sell_price, c.hi - c.lo AS qty
+  FROM cut c ASOF JOIN buys b ON c.code = b.code AND c.hi <= b.hi ASOF JOIN sells s ON c.code = s.code AND c.hi <= s.hi),
 fo AS (
   SELECT b.code, b.d, b.k, b.price, b.hi - greatest(b.lo, coalesce(s.sold, 0)) AS qty
   FROM f5 b LEFT JOIN (SELECT code, max(hi) AS sold FROM f5 WHERE side = 'sell' GROUP BY code) s USING (code) WHERE b.side = 'buy' AND b.hi > greatest(b.lo, coalesce(s.sold, 0)))"""
@@ -145,6 +147,63 @@ LISTING = """listing AS (
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
+HOURS = f"""hours AS (SELECT event_type AS code, date_trunc('hour', ts) AS d, max_by(value, (ts, event_id)) AS c FROM events GROUP BY ALL),
+h0 AS (SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY code) AS n FROM hours),
+h1 AS (
+  SELECT *, coalesce((c / CASE WHEN n >= 120 THEN min(c) OVER {last(100)} ELSE min(c) OVER {last(32)} END - 1) * 100, 0) AS gb,
+    coalesce((CASE WHEN n >= 120 THEN max(c) OVER {last(100)} ELSE max(c) OVER {last(32)} END / c - 1) * 100, 0) AS gs FROM h0 WHERE n >= 60),
+h2 AS (
+  SELECT *, least(29, i - coalesce(max(CASE WHEN gs > 5 THEN i END) OVER ({W} ROWS UNBOUNDED PRECEDING), -1))::INTEGER AS hold,
+    list(gs) OVER {last(29)} AS gl, lag(gb, 4) OVER ({W}) AS gb4 FROM h1),
+h3 AS (SELECT *, gl[len(gl) - greatest(hold, 1) + 1:] AS seg FROM h2 WHERE i = n - 1),
+h4 AS (SELECT *, CASE WHEN len(seg) < 2 THEN 0.0 ELSE list_stddev_pop(seg) END AS std FROM h3)"""
+
+# a log of each trade's purchase, hold and sale
+LOGGED = """logged AS (
+  SELECT strategy, code, seq * 3 AS seq, entry_date AS d, 'BUY' AS action, entry AS price, 0.0::DOUBLE AS pnl_pct, '' AS reason FROM trades UNION ALL
+  SELECT strategy, code, seq * 3 + 1, entry_date + 1, 'HOLD', entry, 0.0::DOUBLE, '' FROM trades UNION ALL
+  SELECT strategy, code, seq * 3 + 2, exit_date, 'SELL', exit, pnl, reason FROM trades),
+counted AS (SELECT *, sum(buys - sells) OVER (PARTITION BY strategy ORDER BY d)::BIGINT AS positions FROM (
+  SELECT strategy, d, count_if(action = 'BUY') AS buys, count_if(action = 'SELL') AS sells, count_if(action = 'HOLD') AS holds, count_if(action <> 'HOLD') AS fills FROM logged GROUP BY ALL))"""
+
+ROW = "{seq: seq, code: code, price: price, reason: reason, severity: '-', pnl_pct: pnl_pct}"
+
+
+def rows_of(action: str) -> str:
+    return f"coalesce(list({ROW} ORDER BY seq) FILTER (action = '{action}'), [])"
+
+
+# a book of one position for each code: what a day's open, its range and its close do to it, bar after bar
+ONE_SLOT = f"""oks AS (
+  SELECT s.code, s.d, s.open AS op, s.high AS hi, s.low AS lo, s.close AS cl, s.t, s.b,
+    floor(f.c * f.v) >= 3e5 AND f.tb_ok AND f.tb_hold >= 4 AND f.gs <= 1 AS ok FROM snap s JOIN full_ f USING (code, d)),
+fr AS (SELECT *, row_number() OVER ({W}) AS j FROM (SELECT *, min(CASE WHEN ok THEN d END) OVER (PARTITION BY code) AS first FROM oks) WHERE d >= first),
+fs AS MATERIALIZED (SELECT * FROM fr),
+book AS (
+  SELECT code, 0::BIGINT AS j, NULL::DATE AS d, 0::BIGINT AS entry, NULL::DATE AS ed, 0 AS days, false AS selling, false AS buying,
+    NULL::BIGINT AS s1, NULL::BIGINT AS e1, NULL::DATE AS ed1, 0 AS days1, NULL::BIGINT AS buy, NULL::BIGINT AS s2, NULL::BIGINT AS e2, NULL::DATE AS ed2, 0 AS days2, NULL::BIGINT AS kept
+  FROM fs WHERE j = 1
+  UNION ALL
+  SELECT code, j, d, CASE WHEN s2 IS NULL THEN e2 ELSE 0 END, ed2, CASE WHEN s2 IS NULL AND e2 > 0 THEN days2 + 1 ELSE 0 END,
+    s2 IS NULL AND e2 > 0 AND weak, ok AND (s2 IS NOT NULL OR e2 = 0), s1, e1, ed1, days1, buy, s2, e2, ed2, days2, CASE WHEN s2 IS NULL AND e2 > 0 AND NOT weak THEN cl END
+  FROM (
+    SELECT *, CASE WHEN e2 = 0 THEN NULL WHEN lo <= e2 * (1 + (-10.0)::DOUBLE / 100) THEN trunc(least(e2 * (1 + (-10.0)::DOUBLE / 100), op::DOUBLE))::BIGINT
+      WHEN hi >= e2 * (1 + 30.0::DOUBLE / 100) THEN trunc(greatest(e2 * (1 + 30.0::DOUBLE / 100), op::DOUBLE))::BIGINT END AS s2
+    FROM (
+      SELECT f.code, f.j, f.d, f.op, f.hi, f.lo, f.cl, f.ok, f.t < 20 OR f.b < 60 AS weak,
+        CASE WHEN k.selling THEN f.op END AS s1, k.entry AS e1, k.ed AS ed1, k.days AS days1,
+        CASE WHEN k.buying AND (k.selling OR k.entry = 0) THEN f.op END AS buy,
+        CASE WHEN k.buying AND (k.selling OR k.entry = 0) THEN f.op WHEN k.selling THEN 0 ELSE k.entry END AS e2,
+        CASE WHEN k.buying AND (k.selling OR k.entry = 0) THEN f.d WHEN k.selling THEN NULL ELSE k.ed END AS ed2,
+        CASE WHEN k.buying AND (k.selling OR k.entry = 0) OR k.selling THEN 0 ELSE k.days END AS days2
+      FROM book k JOIN fs f ON f.code = k.code AND f.j = k.j + 1))),
+played AS (
+  SELECT code, d, 'SELL' AS action, s1 AS price, ed1 AS entry_date, e1 AS entry_price, days1 AS days_held FROM book WHERE s1 IS NOT NULL UNION ALL
+  SELECT code, d, 'BUY', buy, d, buy, 0 FROM book WHERE buy IS NOT NULL UNION ALL
+  SELECT code, d, 'SELL', s2, ed2, e2, days2 FROM book WHERE s2 IS NOT NULL UNION ALL
+  SELECT code, d, 'HOLD', kept, ed2, e2, days2 + 1 FROM book WHERE kept IS NOT NULL)"""
+
+
 def over(select: str, *parts: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
 
@@ -216,7 +275,7 @@ FROM (SELECT *, entry * (1 + (-7.0)::DOUBLE / 100) AS st, entry * (1 + 10.0::DOU
     "indicator_override": over(f"""SELECT s.code, s.d, {rnd("CASE WHEN e.code IS NOT NULL THEN e.xt ELSE s.t END", 6)} AS t, {rnd("CASE WHEN e.code IS NOT NULL THEN e.xb ELSE s.b END", 6)} AS b FROM s0 s LEFT JOIN (
   SELECT code, i, CASE WHEN i % 5 <> 0 THEN c % 90 END AS xt, h % 70 AS xb FROM x1 WHERE code % 3 = 0) e ON s.code = e.code AND s.i = e.i""", *FULL),
     "latest_trading_days": over("SELECT DISTINCT d FROM bars WHERE code = (SELECT code FROM bars GROUP BY code ORDER BY count(*) DESC, code LIMIT 1) AND d <= DATE '1998-06-30' ORDER BY d DESC LIMIT 20", *BASE),
-    "date_difference": over("SELECT DISTINCT d FROM bars WHERE d NOT IN (SELECT d FROM bars WHERE code % 2 = 0)", *BASE),
+    "date_difference": over("SELECT DISTINCT d FROM bars WHERE d NOT IN (SELECT d FROM bars WHERE code <= 2)", *BASE),
     "ordered_union": over("""SELECT code, row_number() OVER (ORDER BY part, pos, code)::INTEGER AS place FROM (
   SELECT code, part, pos, row_number() OVER (PARTITION BY code ORDER BY part, pos) AS k FROM (
     SELECT code, CASE strategy WHEN 'TB' THEN 0 ELSE 1 END AS part, min(rank) AS pos FROM ranked GROUP BY ALL)) WHERE k = 1""", *FULL, CANDS),
@@ -230,8 +289,25 @@ FROM (SELECT *, entry * (1 + (-7.0)::DOUBLE / 100) AS st, entry * (1 + 10.0::DOU
     "stats_by_strategy": over(f"SELECT CASE WHEN grouping(strategy) = 1 THEN 'ALL' ELSE strategy END AS strategy, {STATS} FROM trades GROUP BY GROUPING SETS ((strategy), ())", *FULL, CANDS, TRADES),
     "by_reason": over(f"SELECT key, n, avg, win, row_number() OVER (ORDER BY n DESC, f)::INTEGER AS rank FROM (SELECT {KEY} AS key, count(*) AS n, {rnd('avg(pnl)', 2)} AS avg, {rnd('count_if(pnl > 0) * 100.0 / count(*)', 0)} AS win, min(seq) AS f FROM trades GROUP BY 1)", *FULL, CANDS, TRADES),
     "equity_curve": over(f"SELECT strategy, seq, {rnd('(product(1 + pnl / 100 / 10) OVER (PARTITION BY strategy ORDER BY exit_date, code, seq ROWS UNBOUNDED PRECEDING) - 1) * 100', 2)} AS cum FROM trades", *FULL, CANDS, TRADES),
-    "breadth_gate": over(f"SELECT d, {rnd('avg(CASE WHEN chg20 > 0 THEN 1.0 ELSE 0.0 END)', 4)} AS breadth, avg(CASE WHEN chg20 > 0 THEN 1.0 ELSE 0.0 END) >= 0.55 AS open FROM s1 WHERE chg20 IS NOT NULL GROUP BY d", *FULL),
+    "breadth_gate": over(f"""SELECT d, {rnd('avg(CASE WHEN chg20 > 0 THEN 1.0 ELSE 0.0 END)', 4)} AS breadth, avg(CASE WHEN chg20 > 0 THEN 1.0 ELSE 0.0 END) >= 0.55 AS open FROM s1 WHERE chg20 IS NOT NULL AND code IN (
+  SELECT code FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY marcap DESC, code) AS rank FROM (SELECT *, CASE WHEN starts_with(market, 'KOSPI') THEN 'KOSPI' WHEN starts_with(market, 'KOSDAQ') THEN 'KOSDAQ' END AS m FROM listing
+    WHERE marcap > 0 AND code::VARCHAR LIKE '%0' AND NOT regexp_matches(name, '스팩|리츠|우$|우B$|우C$'))) WHERE rank <= CASE m WHEN 'KOSPI' THEN 200 ELSE 150 END ORDER BY trunc(marcap)::BIGINT DESC, code LIMIT 200) GROUP BY d""", *FULL, LISTING),
     "weekly_signals": over(f"SELECT code, d, {rnd('gb', 6)} AS gb, row_number() OVER (PARTITION BY d ORDER BY gb DESC, code)::INTEGER AS rank FROM (SELECT s.code, s.d, s.gb FROM s0 s JOIN wg ON s.code = wg.code AND wg.w = date_trunc('week', s.d)::DATE - 7 WHERE s.gs <= 5 AND wg.wgs <= 5 AND s.gb >= 15 AND wg.wgb >= 15)", *FULL, WEEKS),
+    "evaluate_strict": over(f"SELECT code, d, score FROM (SELECT code, d, {LEGACY_SCORE} AS score, {REJECT} AS no FROM s4 WHERE i >= 119 AND t IS NOT NULL AND b IS NOT NULL AND u IS NOT NULL AND ma30 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code ORDER BY d DESC) = 1) WHERE NOT no", *FULL),
+    "timing_60m": over(f"SELECT code, d, n, {r6('gb', 'gs')}, hold, {r6('std')}, hold >= 4 AND std <= 2 AND gb >= 10 AND gb > gb4 AS ready FROM h4", HOURS),
+    "chart_documents": over("""SELECT code, count(*)::INTEGER AS n, string_agg(strftime(d, '%Y-%m-%d'), ',' ORDER BY d) AS t, """ + ", ".join(f"string_agg(trunc({x})::BIGINT::VARCHAR, ',' ORDER BY d) AS {x}" for x in "ohlcv") + """
+FROM (SELECT *, count(*) OVER (PARTITION BY code) AS n, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS r FROM bars) WHERE n >= 30 AND r <= 160 GROUP BY code""", *BASE),
+    "chart_codes": over("""SELECT code, row_number() OVER (ORDER BY part, pos, code)::INTEGER AS place FROM (
+  SELECT code, part, pos, row_number() OVER (PARTITION BY code ORDER BY part, pos) AS k FROM (
+    SELECT code, CASE strategy WHEN 'TB' THEN 0 ELSE 1 END AS part, min(rank) AS pos FROM ranked GROUP BY ALL)) WHERE k = 1 QUALIFY place <= 20""", *FULL, CANDS),
+    "date_tail": over("SELECT d FROM (SELECT d FROM bars WHERE code <= 2 UNION SELECT d FROM bars WHERE code BETWEEN 3 AND 4) ORDER BY d DESC LIMIT 260", *BASE),
+    "candidate_lists": over("""SELECT strategy, d, count(*) AS total, count_if(grade = '홈런') AS homeruns, string_agg(CASE WHEN rank <= most THEN code::VARCHAR END, ',' ORDER BY rank) AS codes
+FROM ranked JOIN (SELECT d, CASE WHEN row_number() OVER (ORDER BY d DESC) = 1 THEN 5 ELSE 2 END AS most FROM (SELECT DISTINCT d FROM ranked) QUALIFY row_number() OVER (ORDER BY d DESC) <= 40) USING (d) GROUP BY strategy, d""", *FULL, CANDS),
+    "day_counters": over("SELECT * FROM counted", *FULL, CANDS, TRADES, LOGGED),
+    "day_report": over(f"""SELECT d, to_json({{date: d::VARCHAR, strategies: list({{strategy: strategy, counts: counts, buys: buys, sells: sells, holds: holds, order_buy: []::VARCHAR[], order_sell: []::VARCHAR[]}} ORDER BY strategy)}})::VARCHAR AS doc FROM (
+  SELECT l.strategy, l.d, any_value({{buys: c.buys, sells: c.sells, holds: c.holds, fills: c.fills, positions: c.positions}}) AS counts, {rows_of('BUY')} AS buys, {rows_of('SELL')} AS sells, {rows_of('HOLD')} AS holds
+  FROM logged l JOIN counted c USING (strategy, d) GROUP BY ALL) GROUP BY d""", *FULL, CANDS, TRADES, LOGGED),
+    "replay_one_slot": over(f"SELECT *, {rnd('(price / entry_price - 1) * 100', 4)} AS pnl FROM played", *FULL, SNAP, ONE_SLOT),
     "universe_counts": over("SELECT CASE WHEN starts_with(market, 'KOSPI') THEN 'KOSPI' ELSE 'KOSDAQ' END AS market, count(*) AS n FROM listing GROUP BY 1", LISTING),
     "similarity_windows": over(f"""SELECT a.code, a.d, {rnd('(a.c / a.hi - 1) * 100', 6)} AS from_high, {rnd('(a.c / a.lo - 1) * 100', 6)} AS from_low, a.i - b.i AS bars_since_low
 FROM (SELECT *, max(c) OVER {last(250)} AS hi, min(c) OVER {last(250)} AS lo FROM x0 QUALIFY row_number() OVER (PARTITION BY code ORDER BY d DESC) = 1) a,
@@ -241,8 +317,8 @@ LATERAL (SELECT max(i) AS i FROM x0 WHERE x0.code = a.code AND x0.i > a.i - 250
 #: Dates are compared as texts, so that both engines' results hash alike.
 DATES = {
     "weekly_bars": ("w",), "sign_runs": ("first", "last"), "fifo_closed": ("buy_d", "sell_d"), "ledger_kpis": ("first", "last"), "closed_trades": ("entry_date", "exit_date"),
-    "trade_stats": ("first", "last"), "stats_by_strategy": ("first", "last"),
-    **dict.fromkeys(("hourly_bars", "universe_topn", "universe_counts", "common_share_filter", "extents", "ordered_union", "keyed_upsert", "by_reason", "equity_curve"), ()),
+    "trade_stats": ("first", "last"), "stats_by_strategy": ("first", "last"), "replay_one_slot": ("d", "entry_date"),
+    **dict.fromkeys(("timing_60m", "chart_documents", "chart_codes", "hourly_bars", "universe_topn", "universe_counts", "common_share_filter", "extents", "ordered_union", "keyed_upsert", "by_reason", "equity_curve"), ()),
 }
 
 

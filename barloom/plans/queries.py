@@ -18,6 +18,7 @@ from .oracle import told
 
 FLOOR = 3e5  # the fixture's prices and sizes are small; the rule's own floor is config.LIMITS.min_amount
 RISE = 15.0  # the fixture's moves are small; the rule's own rise line is config.WEEKLY.gb_min
+WEEKLY_RISE = 8.0  # both lines of a week rise less still
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -50,20 +51,18 @@ def ranked(spark: SparkSession, sf: str) -> DataFrame:
 
 def held(spark: SparkSession, sf: str) -> DataFrame:
     """Snapshots with made-up positions, opened ten bars before."""
-    s = shaped(spark, sf)
     entry = ind.back("o", 10)
     peak = F.greatest(entry, F.max("c").over(ind.rows(10)))
     days = 10 + (F.col("code") + F.col("i")) % 40
-    pos = ind.indexed(bars(spark, sf)).select("code", "d", entry.cast("long").alias("entry"), days.alias("days"), peak.cast("long").alias("peak"))
-    return signals.snapshot(s).join(pos.where("entry is not null"), ["code", "d"])
+    s = shaped(spark, sf).withColumns({"entry": entry.cast("long"), "days": days, "peak": peak.cast("long")})
+    return signals.snapshot(s, "entry", "days", "peak").where("entry is not null")
 
 
 def trades(spark: SparkSession, sf: str) -> DataFrame:
     """Closed trades out of every signal: bought at the next open, sold ten opens later."""
-    b = ind.indexed(bars(spark, sf))
     ahead = lambda x, k: F.lead(x, k).over(ind.in_order())
-    b = b.select("code", "d", "i", ahead("o", 1).cast("long").alias("entry"), ahead("o", 11).cast("long").alias("exit"), ahead("d", 1).alias("entry_date"), ahead("d", 11).alias("exit_date"))
-    t = ranked(spark, sf).join(b, ["code", "d"]).where("exit is not null")
+    new = {"entry": ahead("o", 1).cast("long"), "exit": ahead("o", 11).cast("long"), "entry_date": ahead("d", 1), "exit_date": ahead("d", 11)}
+    t = signals.both(shaped(spark, sf).withColumns(new), FLOOR, also=("i", *new)).where("ok and exit is not null")
     reasons = F.array(*[F.lit(x) for x in ("장중 손절 (기준)", "장중 익절", "청선 8.1 — 5선 이탈", "보유 40일 경과 — 기간 청산", "T 19.9 < 20 이탈", "강제")])
     t = t.select("strategy", "grade", "code", "entry_date", "exit_date", "entry", "exit", rnd((F.col("exit") / F.col("entry") - 1) * 100, 2).alias("pnl"), (10 + F.col("i") % 3).cast("int").alias("days"), F.get(reasons, (F.col("i") % 6).cast("int")).alias("reason"))
     # the log's order, without numbering all rows in one place
@@ -115,10 +114,15 @@ def overridden(spark: SparkSession, sf: str) -> DataFrame:
     return six(ind.override(s, ext.unionByName(short)), "t", "b")
 
 
-def ordered(spark: SparkSession, sf: str) -> DataFrame:
+def union_parts(spark: SparkSession, sf: str) -> tuple:
+    """Each rule's codes by their best rank, the key and the order."""
     r = ranked(spark, sf)
     part = lambda tag: r.where(F.col("strategy") == tag).groupBy("code").agg(F.min("rank").alias("at"))
-    return sets.ordered_union([part(TB_TAG), part(LEGACY_TAG)], "code", "at")
+    return [part(TB_TAG), part(LEGACY_TAG)], "code", "at"
+
+
+def ordered(spark: SparkSession, sf: str) -> DataFrame:
+    return sets.ordered_union(*union_parts(spark, sf))
 
 
 def upserted(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,8 +132,8 @@ def upserted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def breadth(spark: SparkSession, sf: str) -> DataFrame:
-    up = F.avg(F.when(F.col("chg20") > 0, 1.0).otherwise(0.0))
-    return ind.returns(bars(spark, sf)).where("chg20 is not null").groupBy("d").agg(rnd(up, 4).alias("breadth"), (up >= 0.55).alias("open"))
+    codes = signals.largest(listing(spark, sf), min_price=0.0)
+    return signals.breadth(ind.returns(bars(spark, sf)), codes).withColumn("breadth", rnd("breadth", 4))
 
 
 def weekly_signals(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,6 +143,41 @@ def weekly_signals(spark: SparkSession, sf: str) -> DataFrame:
     return signals.weekly_entries(ind.with_golden(b), week, RISE).select("code", "d", rnd("gb", 6).alias("gb"), "rank")
 
 
+def weekly_replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """The weekly rule from entry to exit, with the fixture's rise line and the gate over all of its few companies."""
+    b = bars(spark, sf)
+    week = ind.with_golden(src.weekly_bars(b).withColumnRenamed("w", "d"))
+    gate = signals.breadth(ind.returns(b), listing(spark, sf).select("code"))
+    return replay.replay(signals.weekly_days(ind.with_golden(b), week, gate, WEEKLY_RISE))
+
+
+def alone(spark: SparkSession, sf: str) -> DataFrame:
+    """The momentum rule with a book of one position for each code."""
+    days = replay_days(spark, sf).where(F.col("strategy") == TB_TAG)
+    log = replay.replay_alone(days)
+    return log.select("code", "d", "action", "price", "entry_date", "entry_price", "days_held", rnd((F.col("price") / F.col("entry_price") - 1) * 100, 4).alias("pnl"))
+
+
+def fixed_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A log of purchase, hold and sale of each of the trades."""
+    row = lambda k, action, d, price, pnl, reason: F.struct(F.lit(k).alias("k"), F.lit(action).alias("action"), d.alias("d"), price.alias("price"), pnl.alias("pnl_pct"), reason.alias("reason"))
+    zero, none = F.lit(0.0), F.lit("")
+    rows = F.array(row(0, "BUY", F.col("entry_date"), F.col("entry"), zero, none), row(1, "HOLD", F.date_add("entry_date", 1), F.col("entry"), zero, none), row(2, "SELL", F.col("exit_date"), F.col("exit"), F.col("pnl"), F.col("reason")))
+    t = trades(spark, sf).select("strategy", "code", "seq", F.inline(rows))
+    return t.withColumns({"seq": F.col("seq") * 3 + F.col("k"), "severity": F.lit("-"), "rank": F.lit(None).cast("int")}).drop("k")
+
+
+def chart_texts(b: DataFrame) -> DataFrame:
+    """Charts with their arrays as texts."""
+    c = report.charts(b)
+    return c.select("code", "n", *[F.array_join(F.transform(x, lambda v: v.cast("string")), ",").alias(x) for x in "tohlcv"])
+
+
+def candidate_lists(spark: SparkSession, sf: str) -> DataFrame:
+    c = report.candidate_lists(ranked(spark, sf), 5, 2, 40)
+    return c.withColumn("codes", F.array_join(F.transform("codes", lambda v: v.cast("string")), ","))
+
+
 def not_held(spark: SparkSession, sf: str) -> DataFrame:
     r = ranked(spark, sf)
     pos = r.where((F.col("code") + F.dayofmonth("d")) % 4 == 0).select("code", "strategy", "d")
@@ -152,7 +191,7 @@ def with_ordered(spark: SparkSession, sf: str) -> DataFrame:
 
 def timing(spark: SparkSession, sf: str) -> DataFrame:
     h = src.hourly_bars(src.table(spark, sf, "events")).withColumnRenamed("hour", "d")
-    return signals.timing(h)
+    return signals.timing(h).withColumns({x: rnd(x, 6) for x in ("gb", "gs", "std")})
 
 
 def _registry() -> dict[str, Query]:
@@ -205,7 +244,7 @@ def _registry() -> dict[str, Query]:
         "ordered_flag": with_ordered,
         "indicator_override": overridden,
         "latest_trading_days": b(lambda f: sets.latest_days(f, 20, F.lit("1998-06-30").cast("date"))),
-        "date_difference": b(lambda f: sets.minus(f.select("d").distinct(), f.where(F.col("code") % 2 == 0), ["d"])),
+        "date_difference": b(lambda f: sets.minus(f.select("d").distinct(), f.where(F.col("code") <= 2), ["d"])),
         "ordered_union": ordered,
         "keyed_upsert": upserted,
         "fifo_closed": lambda s, d: ledger.fifo_closed(src.fills(src.table(s, d, "lineitem"))),
@@ -219,12 +258,18 @@ def _registry() -> dict[str, Query]:
         "breadth_gate": breadth,
         "weekly_signals": weekly_signals,
         "similarity_windows": b(lambda f: report.windows(f).select("code", "d", rnd("from_high", 6).alias("from_high"), rnd("from_low", 6).alias("from_low"), "bars_since_low")),
-        "chart_documents": b(report.charts),
+        "chart_documents": b(chart_texts),
+        "chart_codes": lambda s, d: sets.first_codes(*union_parts(s, d), most=20),
+        "date_tail": b(lambda f: sets.date_tail([f.where(F.col("code") <= 2), f.where(F.col("code").between(3, 4))])),
+        "candidate_lists": candidate_lists,
+        "evaluate_strict": x(lambda f: signals.evaluate(f).select("code", "d", "score")),
         "replay_legacy": replayed(LEGACY_TAG),
         "replay_tb": replayed(TB_TAG),
         "trade_log": replayed(LEGACY_TAG, TB_TAG),
-        "day_counters": lambda s, d: report.counters(replayed(LEGACY_TAG, TB_TAG)(s, d)),
-        "day_report": lambda s, d: report.day_report(replayed(LEGACY_TAG, TB_TAG)(s, d)),
+        "replay_weekly": weekly_replayed,
+        "replay_one_slot": alone,
+        "day_counters": lambda s, d: report.counters(fixed_log(s, d)),
+        "day_report": lambda s, d: report.day_report(fixed_log(s, d)),
     }
 
 

@@ -61,8 +61,17 @@ def minute_ticks(pages: DataFrame, text: str = "text", least: int = 20) -> DataF
     return rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("code"))).where(F.col("n") >= least).drop("n")
 
 
+def read_listing(spark: SparkSession, path: str) -> DataFrame:
+    """Listed companies out of a CSV: code, name, market, marcap, close; codes stay texts, numbers that can't be read and
+    blanks are null."""
+    raw = spark.read.csv(path, header=True, nullValue="", encoding="UTF-8")
+    raw = raw.toDF(*[c.lstrip("\ufeff").strip().lower() for c in raw.columns])
+    return raw.select("code", "name", "market", F.col("marcap").try_cast("double").alias("marcap"), F.col("close").try_cast("double").alias("close"))
+
+
 def read_vendor_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Vendor CSV: code, date (yyyyMMdd), open, high, low, close, volume; leading As of codes go."""
+    """Vendor CSV: code, date (yyyyMMdd), open, high, low, close, volume; leading As of codes go. The rows' order in the
+    file, newest first as a rule, doesn't matter: bars are ordered by date wherever order counts."""
     raw = spark.read.csv(path, header=True, nullValue="")
     return raw.select(F.regexp_replace("code", "^A+", "").alias("code"), F.to_date("date", "yyyyMMdd").alias("d"), *[F.col(a).cast("double").alias(b) for a, b in (("open", "o"), ("high", "h"), ("low", "l"), ("close", "c"), ("volume", "v"))])
 
@@ -83,13 +92,15 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_or(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON rows of a schema; an empty table where there is nothing to read."""
+    """JSON rows of a schema; an empty table where there is nothing to read, or a row that is no JSON."""
     from pyspark.errors import AnalysisException
 
+    empty = spark.createDataFrame([], schema)
     try:
-        return spark.read.schema(schema).json(path)
+        rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
     except AnalysisException:
-        return spark.createDataFrame([], schema)
+        return empty
+    return rows.drop("_bad") if rows.where("_bad is not null").select("*").limit(1).collect() == [] else empty
 
 
 def fills(lineitem: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barloom.operators.replay import LOG, play
+from barloom.operators.report import deleted
+from barloom.operators.replay import LOG, columns_of, play
 
 
 def hourly(ticks: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -37,6 +38,7 @@ def upsert_batches(path: str, key: list[str], day: str):
         side = f"{path}-batch-{batch_id}"
         merged.write.mode("overwrite").parquet(side)
         spark.read.parquet(side).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+        deleted(spark, side)
 
     return run
 
@@ -46,8 +48,7 @@ def replay_stream(days: DataFrame) -> DataFrame:
     A day that is not after the last one played is passed over, so a day delivered twice is played once."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = [r for f in frames for r in f.drop(columns="strategy").to_dict("records")]
-        out, text = play(key[0], state.get[0] if state.exists else None, rows)
+        out, text = play(key[0], state.get[0] if state.exists else None, columns_of(pd.concat(list(frames), ignore_index=True)))
         state.update((text,))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in LOG.split(", ")])
 

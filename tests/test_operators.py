@@ -340,3 +340,88 @@ def test_weekly_entries_ask_for_the_documented_rise(spark):
     got = signals.weekly_entries(day, week).collect()
     assert sorted((r.rank, r.code) for r in got) == [(1, 3), (2, 1)]
     assert {r.code for r in signals.weekly_entries(day, week, 15.0).collect()} == {1, 2, 3, 5}
+
+
+def test_vendor_bars_listing_and_json_with_a_default(spark, tmp_path):
+    (tmp_path / "px.csv").write_text("code,date,open,high,low,close,volume\nA005930,20240103,3,4,2,3.5,9\nA005930,20240102,1,2,1,1.5,7\n000660,20240102,5,5,5,5,\n")
+    got = src.read_vendor_bars(spark, str(tmp_path / "px.csv")).orderBy("code", "d").collect()
+    assert [(r.code, str(r.d), r.c, r.v) for r in got] == [("000660", "2024-01-02", 5.0, None), ("005930", "2024-01-02", 1.5, 7.0), ("005930", "2024-01-03", 3.5, 9.0)]
+    assert [r.i for r in indicators.indexed(src.read_vendor_bars(spark, str(tmp_path / "px.csv")).where("code = '005930'")).orderBy("d").collect()] == [0, 1]
+    (tmp_path / "list.csv").write_text("\ufeffCode,Name,Market,Marcap,Close\n005930,Big,KOSPI,900,70000\n000660,Other,KOSPI,800,n/a\n005935,Big우,KOSPI,700,60000\n")
+    listing = src.read_listing(spark, str(tmp_path / "list.csv"))
+    assert [(r.code, r.close) for r in listing.orderBy("code").collect()] == [("000660", None), ("005930", 70000.0), ("005935", 60000.0)]
+    assert [r.code for r in signals.universe(listing).collect()] == ["005930"]
+    (tmp_path / "ok.json").write_text('{"a": 1}\n{"a": 2}\n')
+    (tmp_path / "bad.json").write_text('{"a": 1}\n{"a": oops\n')
+    counts = [src.read_json_or(spark, str(tmp_path / f), "a int").count() for f in ("ok.json", "bad.json", "none.json")]
+    assert counts == [2, 0, 0]
+
+
+def test_csv_log_is_appended_with_one_header(spark, tmp_path):
+    path = str(tmp_path / "signals")
+    log = spark.createDataFrame([("2024-01-02", "TB", 1, 'a, "b"', None, 3.5, True)], "date string, strategy string, code int, reason string, score double, pnl_pct double, red boolean")
+    report.append_csv(log, path)
+    report.append_csv(log.limit(0), path)
+    report.append_csv(log.withColumn("code", F.lit(2)), path)
+    files = [f.read_bytes() for f in (tmp_path / "signals").glob("part-*")]
+    assert sum(b"date,strategy" in f for f in files) == 1 and b"\xef\xbb\xbf" + ",".join(report.CSV_COLUMNS).encode() + b"\n" in files
+    got = report.read_csv(spark, path).orderBy("code").collect()
+    assert [(r.code, r.reason, r.score, r.pnl_pct, r.red, r.amount) for r in got] == [("1", 'a, "b"', "", "3.5", "true", ""), ("2", 'a, "b"', "", "3.5", "true", "")]
+
+
+def test_weekly_rule_from_entry_to_exit(spark):
+    from barloom.config import WEEKLY_TAG
+
+    def week(code, k, price, low=None):
+        d = datetime.date(2024, 1, 1) + datetime.timedelta(days=k)
+        return (code, d, price, price, low or price, price, 1.0)
+
+    # code 1 rises by half over ten weeks, is calm, then falls for weeks: the week's drop line sells, at the next open
+    rows = [week(1, k, 100.0 + 2 * k) for k in range(0, 70)] + [week(1, k, 238.0 - 2.5 * (k - 69)) for k in range(70, 110)]
+    # code 2 rises as far, then falls at once: the stop sells within the day
+    rows += [week(2, k, 100.0 + 2 * k) for k in range(0, 60)] + [week(2, 60, 219.0, 120.0)]
+    bars = spark.createDataFrame(rows, "code long, d date, o double, h double, l double, c double, v double")
+    weeks = indicators.with_golden(src.weekly_bars(bars).withColumnRenamed("w", "d"))
+    open_, shut = (bars.select("d").distinct().withColumn("open", F.lit(x)) for x in (True, False))
+    log = replay.replay(signals.weekly_days(indicators.with_golden(bars), weeks, open_), orders=True).orderBy("code", "seq").collect()
+    done = [(r.code, r.action, r.severity, r.price) for r in log if r.action in ("BUY", "SELL")]
+    assert [x[:2] for x in done if x[0] == 1][:2] == [(1, "BUY"), (1, "SELL")] and [x[:2] for x in done if x[0] == 2][:2] == [(2, "BUY"), (2, "SELL")]
+    assert {x[2] for x in done if x[:2] == (1, "SELL")} == {"청산"} and {x[2] for x in done if x[:2] == (2, "SELL")} == {"손절"}
+    assert any(r.action == "ORDER BUY" for r in log) and any(r.action == "ORDER SELL" and r.code == 1 for r in log)
+    assert replay.replay(signals.weekly_days(indicators.with_golden(bars), weeks, shut)).count() == 0
+    assert {r.strategy for r in log} == {WEEKLY_TAG}
+
+
+def test_breadth_counts_the_largest_only(spark):
+    listing = spark.createDataFrame([("0010", "a", "KOSPI", 9.0, 2000.0), ("0020", "b", "KOSDAQ", 8.0, 2000.0), ("0030", "c", "KOSPI", 7.0, 2000.0), ("0031", "d", "KOSPI", 99.0, 2000.0)], "code string, name string, market string, marcap double, close double")
+    codes = signals.largest(listing, 2)
+    assert sorted(r.code for r in codes.collect()) == ["0010", "0020"]
+    moves = spark.createDataFrame([("0010", DAY, 1.0), ("0020", DAY, -1.0), ("0030", DAY, 5.0), ("0010", DAY + datetime.timedelta(days=1), 2.0), ("0020", DAY + datetime.timedelta(days=1), None)], "code string, d date, chg20 double")
+    assert [(r.breadth, r.open) for r in signals.breadth(moves, codes).orderBy("d").collect()] == [(0.5, False), (1.0, True)]
+
+
+def test_a_run_that_failed_after_its_state_is_finished(spark, sf, tmp_path, monkeypatch):
+    from barloom.plans import daily
+    from barloom.plans.queries import bars
+
+    b, out = bars(spark, sf).persist(), str(tmp_path / "run")
+    days = [r.d for r in sets.latest_days(b, 60).orderBy("d").collect()]
+    whole = daily.publish
+    first = []
+
+    def broken(spark, out):
+        first.append(1)
+        if len(first) > 1:
+            raise RuntimeError("lost")
+        whole(spark, out)
+
+    monkeypatch.setattr(daily, "publish", broken)
+    with pytest.raises(RuntimeError):
+        daily.run(spark, b, out, until=str(days[29]), backfill=30, min_amount=3e5)
+    monkeypatch.setattr(daily, "publish", whole)
+    assert daily.run(spark, b, out, backfill=30, min_amount=3e5) == 30
+    clean = str(tmp_path / "clean")
+    daily.run(spark, b, clean, until=str(days[29]), backfill=30, min_amount=3e5)
+    daily.run(spark, b, clean, backfill=30, min_amount=3e5)
+    read = lambda p: sorted(map(str, spark.read.parquet(f"{p}/log").select("strategy", "seq", "d", "code", "action", "price").collect()))
+    assert read(out) == read(clean) and not list((tmp_path / "run").glob("work-*"))
