@@ -92,3 +92,52 @@ def test_credentials_inside_long_words():
         assert len(spans) == 1 and spans[0][0] <= before + 256 and spans[0][1] == len(text)
     plain = "some-plain-words/and-more-of-them/page-12/" * 60
     assert secrets.more_spans(plain, [], model) == []
+
+
+def test_credentials_in_their_surroundings():
+    model, (found, plain) = secrets.default_model(), secrets.labelled(seed=91, each=100)
+    for around in ("{}", "auth={}", "https://h.example/{}/x", "Use {}. It works", '{{"k":"{}"}}', "Bearer {},"):
+        for kind, words in found.items():
+            n = 0
+            for w in words:
+                text = around.format(w)
+                at, spans = text.index(w), secrets.all_spans(text, model)
+                # a base span may hold the key, one of hexadecimal digits say; an `=` that fills it up may be left out
+                n += any(a <= at and b >= at + len(w.rstrip("=")) and (base or (at - a <= 1 and b - at - len(w) <= 1)) for a, b, _, base in spans)
+            assert n >= 0.97 * len(words), (around, kind, n)
+    for words in plain.values():
+        assert sum(bool(secrets.more_spans(w, secrets.base_spans(w), model)) for w in words) <= 1
+
+
+def test_plain_words_that_look_alike():
+    model = secrets.default_model()
+    words = ["3f2504e0-4f89-11d3-9a0c-0305e82c3301", "IMG_20230514_173425-EFFECTS.jpg", "v1.2.3-alpha+build20240101T120000", "2024-05-14T17-34-25.123456", "https://en.example.org/wiki/List_of_1990s_films_12345", "manylinux_2_17_x86_64.manylinux2014_x86_64.whl", "org.example.project2.http.ResponseHandler3Test"]
+    assert [w for w in words if secrets.more_spans(w, secrets.base_spans(w), model)] == []
+
+
+def test_a_credential_beside_a_base_span_in_one_run():
+    model, other = secrets.default_model(), "0a" * 14
+    text = f"x {other}/{KEY} y {KEY}/{other}"
+    got = {(text[a:b], base) for a, b, _, base in secrets.all_spans(text, model)}
+    assert got == {(other, True), (KEY, False)}
+
+
+def test_added_spans_equal_plain_readings():
+    """Every way to cut a short word at its marks, the likeliest one taken, against the recursion."""
+    model, r = secrets.default_model(), random.Random(3)
+    found, plain = secrets.labelled(seed=5, each=40)
+    pool = [w for ws in found.values() for w in ws if len(w) < 80 and not set("=/.") & set(w)]
+    rest = [w for ws in plain.values() for w in ws if len(w) < 60 and not set("=/.") & set(w)]
+    for _ in range(150):
+        words = [r.choice(pool if r.random() < 0.4 else rest) for _ in range(r.randint(1, 3))]
+        mark = r.choice("=/.")
+        text = mark.join(words)
+        marks = {(a, b) for a, b, _ in secrets.more_spans(text, [], model)}
+        at, single = 0, set()
+        for w in words:
+            a, b = secrets.trimmed(w)
+            if model.kind(w[a:b]):
+                single.add((at + a, at + b))
+            at += len(w) + 1
+        a, b = secrets.trimmed(text)
+        assert marks == single or marks == {(a, b)} and model.kind(text[a:b]) or any(b - a in model.joined for a, b in marks - single), text
