@@ -76,7 +76,6 @@ class Limits:
     history_days: int = 260
     chart_bars: int = 160
     hourly_bars: int = 240
-    hourly_codes: int = 160
     chart_codes: int = 60
     per_market: tuple = (("KOSPI", 200), ("KOSDAQ", 150))
     min_price: float = 1000.0

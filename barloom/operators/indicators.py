@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,28 +91,55 @@ def returns(bars: DataFrame) -> DataFrame:
 
 
 def recursive(bars: DataFrame, fast: int = 10, slow: int = 30, signal: int = 8, rsi: int = 35, ema: int = 10) -> DataFrame:
-    """Adds ema (of closes), t, t_sig and b. A value depends on the one before it, which no window gives: a code's bars,
-    an array of bounded size in order of date, are passed once for all seven averages. Only closes are unpacked; the
-    other columns go through as they came."""
-    rest = ["d", *[c for c in bars.columns if c not in ("code", "d")]]
-    packed = bars.groupBy("code").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("bars"))
+    """Adds ema (of closes), t, t_sig and b. A value depends on the one before it, which no window gives: bars are dealt by
+    code and put in order, and a task passes over them once for all seven averages, with at most one code's bars and a
+    batch in hand. Only closes are unpacked; the other columns go through as they came, as Arrow's."""
     names = ("ema", "t", "t_sig", "b")
+    code, close = bars.columns.index("code"), bars.columns.index("c")
+
+    def lists(c: list) -> tuple:
+        t, t_sig = tsi_lists(c, fast, slow, signal)
+        return ema_list(c, ema), t, t_sig, rsi_list(c, rsi)
+
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """Whole codes' bars, with the averages."""
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        starts = [0, *_changes(rows.column(code).chunk(0)), rows.num_rows]
+        c, cols = rows.column(close).to_pylist(), [[] for _ in names]
+        for x, y in zip(starts, starts[1:], strict=False):
+            for col_, v in zip(cols, lists(c[x:y]), strict=True):
+                col_ += v
+        return pa.record_batch([*(x.chunk(0) for x in rows.columns), *(pa.array(v, pa.float64()) for v in cols)], [*rows.column_names, *names])
 
     def run(batches):
+        held: list[pa.RecordBatch] = []  # the latest code's bars so far
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            for one in batch.column(1):
-                c = one.values.field("c").to_pylist()
-                t, t_sig = tsi_lists(c, fast, slow, signal)
-                for col_, v in zip(cols, (ema_list(c, ema), t, t_sig, rsi_list(c, rsi)), strict=True):
-                    col_.append(v)
-            kind = pa.list_(pa.float64())
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(v, kind) for v in cols)], ["code", "bars", *names])
-
-    code, arrays = (packed.schema[c].dataType.simpleString() for c in ("code", "bars"))
-    out = packed.mapInArrow(run, f"code {code}, bars {arrays}, " + ", ".join(f"{n} array<double>" for n in names))
-    z = out.select("code", F.explode(F.arrays_zip("bars", *names)).alias("z"))
-    return z.select("code", *[F.col(f"z.bars.{c}").alias(c) for c in rest], *[F.col(f"z.{n}").alias(n) for n in names])
+            if not batch.num_rows:
+                continue
+            cuts = _changes(batch.column(code))
+            if held and held[-1].column(code)[-1] != batch.column(code)[0]:
+                cuts = [0, *cuts]
+            if cuts:
+                parts = [*held, *([batch.slice(0, cuts[-1])] if cuts[-1] else [])]
+                yield done(parts)
+                held = [batch.slice(cuts[-1])]
+            else:
+                held.append(batch)
+        if held:
+            yield done(held)
+
+    rows = bars.repartition("code").sortWithinPartitions("code", "d")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields]
+    return rows.mapInArrow(run, ", ".join([*kinds, *(f"{n} double" for n in names)]))
+
+
+def _changes(codes: pa.Array) -> list[int]:
+    """Where a value differs from the one before; nulls are equal."""
+    if len(codes) < 2:
+        return []
+    a, b = codes.slice(1), codes.slice(0, len(codes) - 1)
+    differ = pc.if_else(pc.and_(pc.is_valid(a), pc.is_valid(b)), pc.not_equal(a, b).fill_null(True), pc.xor(pc.is_valid(a), pc.is_valid(b)))
+    return (np.flatnonzero(differ.to_numpy(zero_copy_only=False)) + 1).tolist()
 
 
 def override(series: DataFrame, external: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.config import LEGACY_TAG, TB_TAG
+from barloom.config import LEGACY_TAG, LIMITS, TB_TAG
 from barloom.functions.numeric import rnd
 from barloom.operators import exits, ledger, replay, report, sets, shape, signals
 from barloom.operators import indicators as ind
@@ -128,7 +128,7 @@ def ordered(spark: SparkSession, sf: str) -> DataFrame:
 def upserted(spark: SparkSession, sf: str) -> DataFrame:
     e = src.table(spark, sf, "events").select(F.col("event_type").alias("code"), F.date_trunc("hour", "ts").alias("hour"), "value", "event_id")
     bar = lambda df: df.groupBy("code", "hour").agg(F.max("value").alias("px"))
-    return sets.upsert(bar(e), bar(e.where(F.col("event_id") % 2 == 1)), "code", "hour", 240)
+    return sets.upsert(bar(e), bar(e.where(F.col("event_id") % 2 == 1)), "code", "hour", LIMITS.hourly_bars)
 
 
 def breadth(spark: SparkSession, sf: str) -> DataFrame:
