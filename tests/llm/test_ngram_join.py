@@ -116,3 +116,68 @@ def test_stored_tables_can_be_dropped(spark):
     common.forget(df)
     assert not os.path.exists(where)
     assert common.own_dir(spark).startswith(common.shared_dir(spark))
+
+
+def test_a_long_chain_of_candidates_is_parted(spark):
+    r = random.Random(12)
+    words = [f"v{r.randrange(10**6)}" for _ in range(16_000)]
+    rows, at = [], 0
+    for k in range(1200):
+        rows.append((k, " ".join(words[at : at + 60])))
+        at += r.choice((6, 9, 12))  # linked to the one before, or only likely to share a band with it
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {g.doc_id: (g.class_id, g.n_links) for g in ngram_join.near_duplicates(df, block=32).collect()}
+    links, comp = brute(rows)
+    assert got == {k: (c, links[i]) for i, ((k, _), c) in enumerate(zip(rows, comp, strict=True))}
+    assert max(Counter(c for c, _ in got.values()).values()) < 32 < len(rows)
+
+
+def test_sketches_join_what_is_plausible():
+    a = np.zeros((6, 200), np.uint8)
+    a[1, :30], a[2, :60], a[3] = 1, 1, np.arange(200)
+    a[4], a[5] = a[3], a[3]
+    a[5, :150] += 7
+    got = ngram_join.sketch_links(list("abcdef"), a, ngram_join.plausible(0.8, 200))
+    forest = common.Forest(6)
+    for x, y in got:
+        forest.join("abcdef".index(x), "abcdef".index(y))
+    assert [forest.find(k) for k in range(6)] == [0, 0, 0, 3, 3, 5]
+
+
+def test_hot_join_equals_a_join(spark):
+    left = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(2000)] + [(None, -1), (99, -2)], "k int, x int")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(5)], "k int, y string")
+    counts = left.where("k is not null").groupBy("k").count().withColumnRenamed("count", "rows")
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right, "k", how).select("k", "x", "y").collect()))
+        assert sorted(map(str, common.hot_join(left, right, "k", counts, how).select("k", "x", "y").collect())) == want
+    assert common.hot_keys(counts, "k").collect() and common.hot_keys(counts.where("k > 90"), "k") is None
+    lost = left.where("k = 0")
+    assert common.hot_join(lost, right.where("k > 0"), "k", counts, "left").where("y is null").count() == lost.count()
+
+
+def test_components_of_a_hub(spark):
+    edges = [(0, k) for k in range(1, 1500)] + [(2000 + k, 2001 + k) for k in range(40)]
+    got = {r.node: r.comp for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[k] for k in range(1500)} == {0} and {got[2000 + k] for k in range(41)} == {2000}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda k, d=None: d)
+
+    try:
+        common.shared_dir(Session())
+    except ValueError as e:
+        assert "spark.checkpoint.dir" in str(e)
+    else:
+        raise AssertionError

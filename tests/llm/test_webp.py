@@ -324,3 +324,22 @@ def test_references_spell_the_data():
             else:
                 out.append(x)
         assert bytes(out) == data
+
+
+def test_feature_equals_plain_loops():
+    import math
+    from collections import Counter
+
+    r = random.Random(5)
+    for _ in range(30):
+        rows, cols = r.randint(1, 6), r.randint(1, 9)
+        image = np.array([[r.randrange(r.choice((2, 256))) for _ in range(cols)] for _ in range(rows)], np.uint8)
+        flat = [int(x) for x in image.reshape(-1)]
+        mean = sum(flat) / len(flat)
+        spread = math.sqrt(sum((x - mean) ** 2 for x in flat) / len(flat))
+        bits = -sum(n / len(flat) * math.log2(n / len(flat)) for n in Counter(flat).values())
+        steps = [abs(int(a) - int(b)) for row in image for a, b in zip(row, row[1:], strict=False)]
+        size, *numbers = media.feature(image).split(";")
+        assert size == f"{cols}x{rows}"
+        for got, want in zip(numbers, (mean, spread, bits, sum(steps) / len(steps) if steps else 0.0), strict=True):
+            assert abs(float(got) - want) <= 5.1e-5
