@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.config import HOMERUN, LIMITS
+from barloom.config import HOMERUN, LEGACY, LIMITS
+from barloom.functions.numeric import over
+
+from .shape import streak
 
 
 def counters(log: DataFrame) -> DataFrame:
@@ -126,3 +129,23 @@ def windows(bars: DataFrame, n: int = 250) -> DataFrame:
     at = out.select(F.col("code").alias("ac"), F.col("d").alias("ad"), F.col("i").alias("ai"))
     last = out.withColumn("r", F.row_number().over(W.partitionBy("code").orderBy(F.desc("d")))).where("r = 1")
     return last.join(at, (F.col("code") == F.col("ac")) & (F.col("low_at") == F.col("ad"))).select("code", "d", ((F.col("c") / F.col("hi") - 1) * 100).alias("from_high"), ((F.col("c") / F.col("lo") - 1) * 100).alias("from_low"), (F.col("i") - F.col("ai")).alias("bars_since_low"))
+
+
+def observable(shaped: DataFrame, week: DataFrame) -> DataFrame:
+    """Each code's latest bar with the columns of the shipped reports whose meaning is plain: changes over 20 and 60 bars,
+    distances from the mesh and from means of 30 and 200 bars, the rise line's change over 3 and 5 bars, the calm run's
+    length, mean, spread and largest value, and the last whole week's lines and calm weeks. Scores, grades and stages of
+    those reports have no known formula. shaped: series with shapes; week: indexed weekly bars with gb and gs, d a Monday."""
+    w = W.partitionBy("code").orderBy("d")
+    away = lambda x: over(F.col("c"), F.col(x)) * 100 - 100
+    ma200 = F.when(F.col("i") >= 199, F.avg("c").over(w.rowsBetween(-199, 0)))
+    run = F.collect_list("gs").over(w.rowsBetween(-14, 0))
+    out = shaped.withColumns({"chg60": over(F.col("c"), F.lag("c", 60).over(w)) * 100 - 100, "ma200": ma200, "slope3": F.col("gb") - F.lag("gb", 3).over(w), "calm": run, "last": F.row_number().over(W.partitionBy("code").orderBy(F.desc("d"))) == 1}).where("last")
+    held = F.greatest("gs_hold", F.lit(1))
+    week = week.withColumn("week_hold", streak(F.col("gs") <= LEGACY.gs_max, 15)).select("code", F.date_add("d", 7).alias("wk"), F.col("gb").alias("week_gb"), F.col("gs").alias("week_gs"), "week_hold")
+    out = out.withColumn("wk", F.to_date(F.date_trunc("week", "d"))).join(week, ["code", "wk"], "left")
+    return out.select(
+        "code", "d", "c", "chg1", "chg20", "chg60", "gb", "gs", "slope3", "slope5", "t", "b", "u", "u_sig", "red",
+        away("top").alias("from_mesh"), (over(F.col("top"), F.col("bottom")) * 100 - 100).alias("mesh_width"), away("ma30").alias("from_ma30"), away("ma200").alias("from_ma200"),
+        (F.col("c") > F.col("ma200")).alias("above_ma200"), "gs_hold", "gs_mean", "gs_std", F.array_max(F.slice("calm", -held, held)).alias("gs_max"), "week_gb", "week_gs", "week_hold",
+    )

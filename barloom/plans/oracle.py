@@ -303,6 +303,14 @@ FROM (SELECT *, count(*) OVER (PARTITION BY code) AS n, row_number() OVER (PARTI
     "date_tail": over("SELECT d FROM (SELECT d FROM bars WHERE code <= 2 UNION SELECT d FROM bars WHERE code BETWEEN 3 AND 4) ORDER BY d DESC LIMIT 260", *BASE),
     "candidate_lists": over("""SELECT strategy, d, count(*) AS total, count_if(grade = '홈런') AS homeruns, string_agg(CASE WHEN rank <= most THEN code::VARCHAR END, ',' ORDER BY rank) AS codes
 FROM ranked JOIN (SELECT d, CASE WHEN row_number() OVER (ORDER BY d DESC) = 1 THEN 5 ELSE 2 END AS most FROM (SELECT DISTINCT d FROM ranked) QUALIFY row_number() OVER (ORDER BY d DESC) <= 40) USING (d) GROUP BY strategy, d""", *FULL, CANDS),
+    "observed_reports": over(f"""SELECT a.code, a.d, {', '.join(f"{rnd('a.' + x, 6)} AS {x}" for x in ('c', 'chg1', 'chg20', 'chg60', 'gb', 'gs', 'slope3', 'slope5', 't', 'b', 'u', 'u_sig'))}, a.red,
+  {rnd('a.c / a.top * 100 - 100', 6)} AS from_mesh, {rnd('a.top / a.bottom * 100 - 100', 6)} AS mesh_width, {rnd('a.c / a.ma30 * 100 - 100', 6)} AS from_ma30, {rnd('a.c / a.ma200 * 100 - 100', 6)} AS from_ma200,
+  a.c > a.ma200 AS above_ma200, a.gs_hold, {rnd('a.gs_mean', 6)} AS gs_mean, {rnd('a.gs_std', 6)} AS gs_std, {rnd('list_max(a.seg)', 6)} AS gs_max, {rnd('k.wgb', 6)} AS week_gb, {rnd('k.wgs', 6)} AS week_gs, k.hold AS week_hold
+FROM (SELECT *, c / lag(c, 60) OVER ({W}) * 100 - 100 AS chg60, CASE WHEN i >= 199 THEN avg(c) OVER {last(200)} END AS ma200, gb - lag(gb, 3) OVER ({W}) AS slope3, CASE WHEN count(u) OVER {last(8)} = 8 THEN avg(u) OVER {last(8)} END AS u_sig,
+    CASE WHEN ma35 IS NOT NULL THEN greatest(ma10, ma15, ma20, ma25, ma30, ma35) END AS top, CASE WHEN ma35 IS NOT NULL THEN least(ma10, ma15, ma20, ma25, ma30, ma35) END AS bottom
+  FROM s4 QUALIFY row_number() OVER (PARTITION BY code ORDER BY d DESC) = 1) a
+LEFT JOIN (SELECT *, least(15, i - coalesce(max(CASE WHEN wgs > 5 THEN i END) OVER (PARTITION BY code ORDER BY w ROWS UNBOUNDED PRECEDING), -1))::INTEGER AS hold FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY w) - 1 AS i FROM wg)) k
+  ON a.code = k.code AND k.w = date_trunc('week', a.d)::DATE - 7""", *FULL, WEEKS),
     "day_counters": over("SELECT * FROM counted", *FULL, CANDS, TRADES, LOGGED),
     "day_report": over(f"""SELECT d, to_json({{date: d::VARCHAR, strategies: list({{strategy: strategy, counts: counts, buys: buys, sells: sells, holds: holds, order_buy: []::VARCHAR[], order_sell: []::VARCHAR[]}} ORDER BY strategy)}})::VARCHAR AS doc FROM (
   SELECT l.strategy, l.d, any_value({{buys: c.buys, sells: c.sells, holds: c.holds, fills: c.fills, positions: c.positions}}) AS counts, {rows_of('BUY')} AS buys, {rows_of('SELL')} AS sells, {rows_of('HOLD')} AS holds

@@ -173,6 +173,14 @@ def chart_texts(b: DataFrame) -> DataFrame:
     return c.select("code", "n", *[F.array_join(F.transform(x, lambda v: v.cast("string")), ",").alias(x) for x in "tohlcv"])
 
 
+def observed(spark: SparkSession, sf: str) -> DataFrame:
+    b = bars(spark, sf)
+    week = ind.indexed(ind.with_golden(src.weekly_bars(b).withColumnRenamed("w", "d")))
+    out = report.observable(shape.with_shape(ind.series(b)), week)
+    numbers = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
+    return out.withColumns({c: rnd(c, 6) for c in numbers})
+
+
 def candidate_lists(spark: SparkSession, sf: str) -> DataFrame:
     c = report.candidate_lists(ranked(spark, sf), 5, 2, 40)
     return c.withColumn("codes", F.array_join(F.transform("codes", lambda v: v.cast("string")), ","))
@@ -262,6 +270,7 @@ def _registry() -> dict[str, Query]:
         "chart_codes": lambda s, d: sets.first_codes(*union_parts(s, d), most=20),
         "date_tail": b(lambda f: sets.date_tail([f.where(F.col("code") <= 2), f.where(F.col("code").between(3, 4))])),
         "candidate_lists": candidate_lists,
+        "observed_reports": observed,
         "evaluate_strict": x(lambda f: signals.evaluate(f).select("code", "d", "score")),
         "replay_legacy": replayed(LEGACY_TAG),
         "replay_tb": replayed(TB_TAG),
