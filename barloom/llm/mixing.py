@@ -94,11 +94,11 @@ def mix(docs: DataFrame, evenness: float | None = None, max_repeats: float | Non
 
     A null source is a source like others, a null text has no tokens, a document without tokens comes in every pass
     including the last. Repeated rows are documents of their own; rows equal in key and text may take either's
-    place. An empty table gives an empty mixture."""
-    tokens, block, doc, epoch, place, run, full, rest, blocks, total, before, same, here = fresh(docs, *(f"mx_{n}" for n in ("tokens", "block", "doc", "epoch", "place", "run", "full", "rest", "blocks", "total", "before", "same", "here")))
+    place. An empty table gives an empty mixture. With carry, whole rows aren't shuffled: a document's passes are told
+    by its block and by a cut in the order of the one block in which its source's budget ends."""
+    tokens, block, doc, epoch, place, run, full, rest, blocks, total, before, same, here, inside, cut = fresh(docs, *(f"mx_{n}" for n in ("tokens", "block", "doc", "epoch", "place", "run", "full", "rest", "blocks", "total", "before", "same", "here", "inside", "cut")))
     sized = long_rows(docs).withColumn(tokens, words(F.col(text))).withColumn(doc, order_key(F.col(key), F.col(text)))
-    if not carry:
-        sized = sized.select(key, source, tokens, doc)
+    sized = sized.select(key, source, tokens, doc)
     base = stored(sized.select(source, tokens, doc), "sizes")
     shares = stored(plan(base, source, tokens, evenness, max_repeats, keep_all, block_docs), "plan")
     # a row a source: sent to all only if counted few
@@ -112,15 +112,36 @@ def mix(docs: DataFrame, evenness: float | None = None, max_repeats: float | Non
     totals = with_plan(base).groupBy(source, block, full).agg(F.sum(tokens).alias(total))
     by = W.partitionBy(source).orderBy(order_key(F.lit(seed), F.col(source), F.col(full), F.col(block)), block)
     sums = F.sum(total).over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col(total)
-    starts = stored(totals.select(F.col(source).alias(same), F.col(block).alias(here), sums.alias(before)), "blocks")
+    starts = stored(totals.select(F.col(source).alias(same), F.col(block).alias(here), sums.alias(before), F.col(total).alias(inside)), "blocks")
     starts = F.broadcast(starts) if starts.count() <= MOST_SOURCES else starts
-    rows = with_plan(sized).join(starts, F.col(source).eqNullSafe(F.col(same)) & (F.col(block) == F.col(here)))
+    with_block = lambda df: with_plan(df).join(starts, F.col(source).eqNullSafe(F.col(same)) & (F.col(block) == F.col(here))).drop(same, here)
+    if carry:
+        # which documents come is told by their block and, in the one block of a source where its budget ends, by a cut in
+        # the order of documents; so that order is made of that block's short rows, and whole rows stay where they are
+        edge = (F.col(before) <= F.col(rest)) & (F.col(rest) < F.col(before) + F.col(inside))
+        order = order_key(F.lit(seed), F.col(full), F.col(doc))
+        ends = with_block(base).where(edge).withColumn(place, order)
+        spent = F.sum(tokens).over(W.partitionBy(source, block).orderBy(place, doc).rowsBetween(W.unboundedPreceding, 0))
+        ends = ends.withColumn(run, (F.col(before) + spent <= F.col(rest)).cast("int")).groupBy(source, place).agg(F.sum(run).alias("taken"), F.count(F.lit(1)).alias("there"))
+        cuts = ends.where("taken > 0").groupBy(source).agg(F.max(F.struct(F.col(place).alias("at"), "taken", "there")).alias(cut))
+        cuts = stored(cuts.select(F.col(source).alias(same), cut), "cuts", MOST_SOURCES)
+        rows = with_block(docs.withColumn(doc, order_key(F.col(key), F.col(text))))
+        rows = rows.join(small(cuts), F.col(source).eqNullSafe(F.col(same)), "left").drop(same).withColumn(place, order)
+        tie = F.coalesce(edge & (F.col(place) == F.col(cut)["at"]), F.lit(False))
+        under = F.coalesce(edge & (F.col(place) < F.col(cut)["at"]), F.lit(False))
+        last = F.when((F.col(before) + F.col(inside) <= F.col(rest)) | under | tie, 1).otherwise(0)
+        times = lambda df, n: df.where(n > 0).withColumn(epoch, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
+        if not cuts.where(F.col(cut)["taken"] < F.col(cut)["there"]).limit(1).count():
+            return times(rows, F.col(full) + last)
+        # of equal rows at a cut only some come
+        split = tie & (F.col(cut)["taken"] < F.col(cut)["there"])
+        some = rows.where(split).withColumn(run, F.row_number().over(W.partitionBy(source).orderBy(key)))
+        return times(rows.where(~split), F.col(full) + last).unionByName(times(some, F.col(full) + (F.col(run) <= F.col(cut)["taken"]).cast("int")))
+    rows = with_block(sized)
     # a block that begins beyond the last pass's budget needs no copy for it
     last = F.col(full) - F.when(F.col(before) <= F.col(rest), 0).otherwise(1)
     rows = rows.where(last >= 0).withColumn(epoch, F.explode(F.sequence(F.lit(0), last)))
     w = W.partitionBy(source, block, epoch).orderBy(order_key(F.lit(seed), F.col(epoch), F.col(doc)), key)
     rows = rows.withColumn(place, F.row_number().over(w)).withColumn(run, F.sum(tokens).over(w.rowsBetween(W.unboundedPreceding, 0)))
     rows = rows.where((F.col(epoch) < F.col(full)) | (F.col(before) + F.col(run) <= F.col(rest)))
-    if carry:
-        return rows.select(*docs.columns)
     return rows.select(key, source, F.col(tokens).alias("tokens"), F.col(epoch).alias("epoch"), F.col(block).alias("block"), F.col(place).alias("place"))

@@ -138,6 +138,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     A null text, an empty one or one of white space has no n-grams and links with nothing. Rows with equal keys stay
     rows of their own. A null key counts as none when the smallest is chosen; a class of only such has a null class_id.
     Other columns of docs are ignored, whatever their names."""
+    done = classified(docs, key, text, n, threshold, rows, miss, block)
+    return done.select(F.col("id").alias(key), "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def classified(docs: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, rows: int = 6, miss: float = 1e-5, block: int = 1024) -> DataFrame:
+    """near_duplicates as id, tk (a hash of the text), class_id and n_links."""
     bands = bands_for(threshold, rows, miss)
     rest = long_rows(docs).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).withColumn("tk", F.xxhash64("text"))
     id_type = rest.schema["id"].dataType.simpleString()
@@ -237,15 +243,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     of = stored(of.select("set", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("comp", "set").alias("comp"), "low"), "answers", total)
     least = of.groupBy("comp").agg(F.min("low").alias("class"), F.count(F.lit(1)).alias("rows"))
     of = hot_join(of.drop("low"), least.drop("rows"), "comp", least).select("set", "n_links", "class")
-    done = hot_join(signed.select("id", "set"), of, "set", classes, "left", "size")
-    done = done.select(F.col("id").alias(key), F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("class")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return done.withColumn("kept", F.col(key).eqNullSafe(F.col("class_id")))
+    done = hot_join(signed.select("id", "tk", "set"), of, "set", classes, "left", "size")
+    return done.select("id", "tk", F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("class")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """docs with one row of each class of near_duplicates, the one with the smallest key. Rows that are equal in key and
-    text become one. Texts without n-grams stay, and so do rows with a null key, which no class can be named after."""
-    (k,) = fresh(docs, "kept_key")
-    kept = near_duplicates(docs, key, text, **more).where("kept").select(F.col(key).alias(k)).where(F.col(k).isNotNull()).distinct()
-    one = docs.join(kept, F.col(key) == F.col(k), "left_semi").dropDuplicates([key, text])
-    return one.unionByName(docs.where(F.col(key).isNull()))
+    text become one. Texts without n-grams stay, and so do rows with a null key, which no class can be named after. Rows
+    are shuffled once; only those whose key and text come more than once are compared in full."""
+    k, h, times, own = fresh(docs, "kept_key", "kept_text", "kept_times", "own_text")
+    kept = classified(docs, key, text, **more).where("id = class_id")
+    kept = stored(kept.groupBy(F.col("id").alias(k), F.col("tk").alias(h)).agg(F.count(F.lit(1)).alias(times)), "kept")
+    rows = docs.where(F.col(key).isNotNull()).withColumn(own, F.xxhash64(F.col(text).cast("string")))
+    one = rows.join(kept, (F.col(key) == F.col(k)) & (F.col(own) == F.col(h)))
+    if kept.where(F.col(times) > 1).limit(1).count():
+        one = one.where(F.col(times) == 1).unionByName(one.where(F.col(times) > 1).dropDuplicates([key, text]))
+    return one.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))

@@ -231,5 +231,6 @@ def pack(pieces: DataFrame, docs_hint: int, room: int = 2048, islands: int = 3,
 
 
 def pack_documents(docs: DataFrame, room: int = 2048, vocabulary: str | None = None, **more) -> DataFrame:
-    """token_pieces, packed. docs needs doc_id and text; other columns are ignored."""
+    """token_pieces, packed. docs needs doc_id and text; other columns are ignored. doc_ids are whole numbers; a text that is
+    none is refused by the cast to long."""
     return pack(token_pieces(docs, room, vocabulary), docs.count(), room, **more)

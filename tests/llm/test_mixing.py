@@ -60,6 +60,25 @@ def test_mixture_equals_loops(spark, how):
         assert {r.doc_id for r in got} == {k for k, _, _ in rows}
 
 
+@pytest.mark.parametrize("how", [{"evenness": 0.95}, {"max_repeats": 1.5, "keep_all": True}, {"max_repeats": 3.0}])
+def test_whole_rows_come_as_often_as_short_ones(spark, how):
+    rows = corpus(random.Random(4), {"a": 150, "b": 25, "c": 7, None: 9}) + [(900, "b", None), (901, "c", ""), (902, "empty", None)]
+    rows += [(7000, "b", "same row " * 3)] * 9 + [(7001, "c", "w " * 12)] * 5 + [(None, "c", "no key " * 4)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "doc_id + 1 as more")
+    for block_docs in (8, 4096):
+        short = mixing.mix(df, block_docs=block_docs, **how).groupBy("doc_id", "source").count().collect()
+        whole = mixing.mix(df, block_docs=block_docs, carry=True, **how)
+        assert whole.columns == df.columns
+        assert sorted(map(str, short)) == sorted(map(str, whole.groupBy("doc_id", "source").count().collect()))
+        assert whole.join(df, ["doc_id", "source", "text", "more"], "left_anti").where("doc_id is not null and source is not null and text is not null").count() == 0
+
+
+def test_whole_rows_are_not_shuffled(spark):
+    df = spark.createDataFrame(corpus(random.Random(4), {"a": 150, "b": 25}), "doc_id long, source string, text string")
+    plan = mixing.mix(df, max_repeats=1.5, keep_all=True, carry=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan and "Python" not in plan
+
+
 def test_targets_are_met(spark):
     df = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10), ("d", 1)], "source string, n long")
     even = mixing.plan(df, "source", "n", evenness=0.9).collect()
