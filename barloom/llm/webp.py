@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+from functools import cache
 
 import numpy as np
 
@@ -54,15 +55,29 @@ class Bits:
 # --- prefix codes
 
 
+@cache
+def mirrored(width: int) -> np.ndarray:
+    """Each number of so many bits with its bits in the other order."""
+    n = np.arange(1 << width, dtype=np.int64)
+    out = np.zeros_like(n)
+    for _ in range(width):
+        out, n = out << 1 | n & 1, n >> 1
+    return out
+
+
+def in_code_order(lengths: np.ndarray) -> np.ndarray:
+    """The symbols of a code by length, then by number."""
+    used = np.flatnonzero(lengths)
+    return used[np.argsort(lengths[used], kind="stable")]
+
+
 def canonical(lengths: np.ndarray) -> np.ndarray:
-    """The code of each symbol, with its first bit lowest, as the stream has it."""
+    """The code of each symbol, with its first bit lowest, as the stream has it. Codes in order lie end to end: each
+    begins where the shares of those before it end."""
+    order = in_code_order(lengths)
+    share = 1 << (LONGEST - lengths[order])
     codes = np.zeros(len(lengths), np.int64)
-    code = 0
-    for n in range(1, LONGEST + 1):
-        for s in np.flatnonzero(lengths == n):
-            codes[s] = int(format(code, f"0{n}b")[::-1], 2)
-            code += 1
-        code <<= 1
+    codes[order] = mirrored(LONGEST)[(np.cumsum(share) - share) & ((1 << LONGEST) - 1)]
     return codes
 
 
@@ -70,21 +85,19 @@ class Prefix:
     """Look-up by the next `width` bits: symbol and length. A code of one symbol takes no bits."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
-        if not len(used):
+        order = in_code_order(lengths)
+        if not len(order):
             raise Damaged("a prefix code without symbols")
-        self.only = int(used[0]) if len(used) == 1 else None
-        self.width = 0 if self.only is not None else int(lengths.max())
+        self.only = int(order[0]) if len(order) == 1 else None
+        self.width = 0 if self.only is not None else int(lengths[order[-1]])
+        self.most = int(order.max())
         if self.only is None:
-            if (1 << (LONGEST - lengths[used])).sum() != 1 << LONGEST:
+            own = lengths[order]
+            if (1 << (LONGEST - own)).sum() != 1 << LONGEST:
                 raise Damaged("a prefix code that isn't complete")
-            self.symbol = np.zeros(1 << self.width, np.uint16)
-            self.length = np.zeros(1 << self.width, np.uint8)
-            codes = canonical(lengths)
-            for s in used:
-                self.symbol[codes[s] :: 1 << lengths[s]] = s
-                self.length[codes[s] :: 1 << lengths[s]] = lengths[s]
-        self.used = used
+            at, times = mirrored(self.width), 1 << (self.width - own)
+            self.symbol = np.repeat(order.astype(np.uint16), times)[at]
+            self.length = np.repeat(own.astype(np.uint8), times)[at]
 
     def next(self, bits: Bits) -> int:
         if self.only is not None:
@@ -205,7 +218,7 @@ def _pixels(bits: Bits, width: int, height: int, spatial: bool) -> np.ndarray:
     codes = [[read_prefix(bits, s) for s in sizes] for _ in range(groups)]
     n = width * height
     green, red, blue, alpha, _ = codes[0]
-    if groups == 1 and not cache_bits and all(c.only is not None for c in (red, blue, alpha)) and green.used[-1] < 256:
+    if groups == 1 and not cache_bits and all(c.only is not None for c in (red, blue, alpha)) and green.most < 256:
         g = _lone_channel(bits, green, n).astype(np.uint32)
         return g << np.uint32(8) | np.uint32(alpha.only << 24 | red.only << 16 | blue.only)
     out, cache, at = [0] * n, [0] * (1 << cache_bits), 0
@@ -491,12 +504,26 @@ def put_prefix(w: Writer, lengths: np.ndarray) -> None:
         w.put(extra, bits)
 
 
-def put_lone(w: Writer, *symbols: int) -> None:
-    """Prefix codes of one symbol each, which take no bits later."""
+@cache
+def _lone(symbols: tuple[int, ...]) -> tuple[int, int]:
+    w = Writer()
     for only in symbols:
         one = np.zeros(256, np.int64)
         one[only] = 1
         put_prefix(w, one)
+    return w.value, w.n
+
+
+def put_lone(w: Writer, *symbols: int) -> None:
+    """Prefix codes of one symbol each, which take no bits later."""
+    w.put(*_lone(symbols))
+
+
+@cache
+def _fast():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1)
 
 
 def put_flat(w: Writer, green: int) -> None:
@@ -619,8 +646,6 @@ def encode_grey(samples: np.ndarray, width: int) -> bytes:
     - otherwise the samples with a prefix code made for them.
 
     In all but the first red and blue are green, by the transform that takes green from both, so their codes take no bits."""
-    import zstandard
-
     height = len(samples) // width
     if width * height != len(samples) or not 0 < width <= MOST_SIDE or not 0 < height <= MOST_SIDE:
         raise ValueError("samples don't fill an image")
@@ -640,7 +665,7 @@ def encode_grey(samples: np.ndarray, width: int) -> bytes:
         image = np.bitwise_or.reduce(index.reshape(height, -1, 1 << packed) << steps, 2)
     else:
         data = samples.tobytes()
-        if len(zstandard.ZstdCompressor(level=1).compress(data)) * REPEATS < len(data):
+        if len(_fast().compress(data)) * REPEATS < len(data):
             lead = w.value, w.n
             w.put(1 | GREEN << 1, 3)
             w.put(0, 3)
