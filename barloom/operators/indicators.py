@@ -91,11 +91,12 @@ def returns(bars: DataFrame) -> DataFrame:
 
 
 def recursive(bars: DataFrame, fast: int = 10, slow: int = 30, signal: int = 8, rsi: int = 35, ema: int = 10) -> DataFrame:
-    """Adds ema (of closes), t, t_sig and b. A value depends on the one before it, which no window gives: bars are dealt by
-    code and put in order, and a task passes over them once for all seven averages, with at most one code's bars and a
-    batch in hand. Only closes are unpacked; the other columns go through as they came, as Arrow's."""
+    """Adds ema (of closes), t, t_sig and b. A value depends on the one before it, which no window gives: a window's place
+    in its code has bars come by code and in order, without a shuffle where they lie so already, and a task passes over
+    them once for all seven averages, with at most one code's bars and a batch in hand. Only closes are unpacked; the
+    other columns go through as they came, as Arrow's."""
     names = ("ema", "t", "t_sig", "b")
-    code, close = bars.columns.index("code"), bars.columns.index("c")
+    code, close, own = bars.columns.index("code"), bars.columns.index("c"), len(bars.columns)
 
     def lists(c: list) -> tuple:
         t, t_sig = tsi_lists(c, fast, slow, signal)
@@ -109,7 +110,7 @@ def recursive(bars: DataFrame, fast: int = 10, slow: int = 30, signal: int = 8,
         for x, y in zip(starts, starts[1:], strict=False):
             for col_, v in zip(cols, lists(c[x:y]), strict=True):
                 col_ += v
-        return pa.record_batch([*(x.chunk(0) for x in rows.columns), *(pa.array(v, pa.float64()) for v in cols)], [*rows.column_names, *names])
+        return pa.record_batch([*(x.chunk(0) for x in rows.columns[:own]), *(pa.array(v, pa.float64()) for v in cols)], [*rows.column_names[:own], *names])
 
     def run(batches):
         held: list[pa.RecordBatch] = []  # the latest code's bars so far
@@ -128,7 +129,8 @@ def recursive(bars: DataFrame, fast: int = 10, slow: int = 30, signal: int = 8,
         if held:
             yield done(held)
 
-    rows = bars.repartition("code").sortWithinPartitions("code", "d")
+    place = next(n for n in ("i", "place", "place_in_code") if n not in bars.columns)
+    rows = bars.withColumn(place, F.row_number().over(in_order()))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields]
     return rows.mapInArrow(run, ", ".join([*kinds, *(f"{n} double" for n in names)]))
 
