@@ -292,7 +292,7 @@ FROM (SELECT *, entry * (1 + (-7.0)::DOUBLE / 100) AS st, entry * (1 + 10.0::DOU
     "breadth_gate": over(f"""SELECT d, {rnd('avg(CASE WHEN chg20 > 0 THEN 1.0 ELSE 0.0 END)', 4)} AS breadth, avg(CASE WHEN chg20 > 0 THEN 1.0 ELSE 0.0 END) >= 0.55 AS open FROM s1 WHERE chg20 IS NOT NULL AND code IN (
   SELECT code FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY marcap DESC, code) AS rank FROM (SELECT *, CASE WHEN starts_with(market, 'KOSPI') THEN 'KOSPI' WHEN starts_with(market, 'KOSDAQ') THEN 'KOSDAQ' END AS m FROM listing
     WHERE marcap > 0 AND code::VARCHAR LIKE '%0' AND NOT regexp_matches(name, '스팩|리츠|우$|우B$|우C$'))) WHERE rank <= CASE m WHEN 'KOSPI' THEN 200 ELSE 150 END ORDER BY trunc(marcap)::BIGINT DESC, code LIMIT 200) GROUP BY d""", *FULL, LISTING),
-    "weekly_signals": over(f"SELECT code, d, {rnd('gb', 6)} AS gb, row_number() OVER (PARTITION BY d ORDER BY gb DESC, code)::INTEGER AS rank FROM (SELECT s.code, s.d, s.gb FROM s0 s JOIN wg ON s.code = wg.code AND wg.w = date_trunc('week', s.d)::DATE - 7 WHERE s.gs <= 5 AND wg.wgs <= 5 AND s.gb >= 15 AND wg.wgb >= 15)", *FULL, WEEKS),
+    "weekly_signals": over(f"SELECT code, d, {rnd('gb', 6)} AS gb, row_number() OVER (PARTITION BY d ORDER BY gb DESC, code)::INTEGER AS rank FROM (SELECT s.code, s.d, s.gb FROM s0 s JOIN wg ON s.code = wg.code AND wg.w = date_trunc('week', s.d)::DATE - 7 WHERE s.gs <= 5 AND wg.wgs <= 5 AND s.gb >= 8 AND wg.wgb >= 8)", *FULL, WEEKS),
     "evaluate_strict": over(f"SELECT code, d, score FROM (SELECT code, d, {LEGACY_SCORE} AS score, {REJECT} AS no FROM s4 WHERE i >= 119 AND t IS NOT NULL AND b IS NOT NULL AND u IS NOT NULL AND ma30 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code ORDER BY d DESC) = 1) WHERE NOT no", *FULL),
     "timing_60m": over(f"SELECT code, d, n, {r6('gb', 'gs')}, hold, {r6('std')}, hold >= 4 AND std <= 2 AND gb >= 10 AND gb > gb4 AS ready FROM h4", HOURS),
     "chart_documents": over("""SELECT code, count(*)::INTEGER AS n, string_agg(strftime(d, '%Y-%m-%d'), ',' ORDER BY d) AS t, """ + ", ".join(f"string_agg(trunc({x})::BIGINT::VARCHAR, ',' ORDER BY d) AS {x}" for x in "ohlcv") + """

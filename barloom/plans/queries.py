@@ -17,8 +17,7 @@ from barloom.sources import bars as src
 from .oracle import told
 
 FLOOR = 3e5  # the fixture's prices and sizes are small; the rule's own floor is config.LIMITS.min_amount
-RISE = 15.0  # the fixture's moves are small; the rule's own rise line is config.WEEKLY.gb_min
-WEEKLY_RISE = 8.0  # both lines of a week rise less still
+RISE = 8.0  # the fixture's moves are small; the rule's own rise line is config.WEEKLY.gb_min
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -148,7 +147,7 @@ def weekly_replayed(spark: SparkSession, sf: str) -> DataFrame:
     b = bars(spark, sf)
     week = ind.with_golden(src.weekly_bars(b).withColumnRenamed("w", "d"))
     gate = signals.breadth(ind.returns(b), listing(spark, sf).select("code"))
-    return replay.replay(signals.weekly_days(ind.with_golden(b), week, gate, WEEKLY_RISE))
+    return replay.replay(signals.weekly_days(ind.with_golden(b), week, gate, RISE))
 
 
 def alone(spark: SparkSession, sf: str) -> DataFrame:
