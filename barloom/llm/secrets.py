@@ -254,16 +254,20 @@ class Model:
         return max(a.score(word) for a in self.plain.values())
 
     def best(self, word: str) -> tuple[str | None, float]:
-        """The format of which the word is typical and that leads the likeliest plain kind by most, and by enough, a symbol;
-        or None. Its log likelihood, or that of the plain kind."""
-        own = self.typical(word) if looks(word) else {}
+        """kind, and its log likelihood, or that of the likeliest plain kind where there is none."""
         none = self.none(word)
+        return self._among(word, self.typical(word) if looks(word) else {}, none)
+
+    def _among(self, word: str, own: dict[str, float], none: float) -> tuple[str | None, float]:
         most = {k: x for k, x in own.items() if (x - none) / (len(word) + 1) > self.least[k]}
         kind = max(most, key=lambda k: most[k] - self.least[k] * (len(word) + 1)) if most else None
         return kind, most[kind] if kind else none
 
     def kind(self, word: str) -> str | None:
-        return self.best(word)[0]
+        """The format of which the word is typical and that leads the likeliest plain kind by most, and by enough, a symbol;
+        or None."""
+        own = self.typical(word) if looks(word) else {}
+        return self._among(word, own, self.none(word))[0] if own else None
 
 
 def fit(secrets: dict[str, list[str]] | None = None, plain: dict[str, list[str]] | None = None) -> Model:
@@ -364,9 +368,9 @@ def read_parts(word: str, parts: list[tuple[int, str]], model: Model, cuts: str)
             n = end - parts[i][0]
             if n > most:
                 break
-            if n in model.joined:
-                kind, x = model.best(word[parts[i][0] : end])
-                if kind and best[i][0] + x + MARK > step[0]:
+            if n in model.joined and (kind := model.kind(one := word[parts[i][0] : end])):
+                x = model.best(one)[1]
+                if best[i][0] + x + MARK > step[0]:
                     step = (best[i][0] + x + MARK, i, [(parts[i][0], end, kind)])
         best.append(step)
     out, j = [], len(parts)
