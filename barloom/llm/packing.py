@@ -201,16 +201,18 @@ def pack(pieces: DataFrame, docs_hint: int, room: int = 2048, islands: int = 3,
                 out.append((r.blk, r.isle, fitness(best, lengths, room), best.astype("<i4").tobytes()))
             yield pd.DataFrame(out, columns=["blk", "isle", "fit", "best"])
 
-    def place(key, frame: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable").reset_index(drop=True)
-        whole = frame["length"].to_numpy() >= room
-        seq, offset = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
+    def place(key, table: pa.Table, best: pa.Table) -> pa.Table:
+        # Arrow and not pandas, which would turn doc_ids beside a null into floats
+        table = table.select(order).sort_by([(c, "ascending") for c in order])
+        every = table["length"].to_numpy().astype(np.int64)
+        whole = every >= room
+        seq, offset = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
         part = np.flatnonzero(~whole)
         bins = 0
         if len(part):
-            lengths = frame["length"].to_numpy(np.int64)[part]
+            lengths = every[part]
             by = np.argsort(-lengths, kind="stable")  # solutions list items by falling length
-            of = np.frombuffer(best["best"].iloc[0], "<i4")
+            of = np.frombuffer(best["best"][0].as_py(), "<i4")
             bins = int(of.max()) + 1
             rank = np.argsort(of, kind="stable")
             run = np.cumsum(lengths[by][rank]) - lengths[by][rank]
@@ -218,8 +220,8 @@ def pack(pieces: DataFrame, docs_hint: int, room: int = 2048, islands: int = 3,
             run -= np.repeat(run[first], np.diff(np.r_[np.flatnonzero(first), len(rank)]))
             seq[part[by][rank]], offset[part[by][rank]] = of[rank], run
         seq[whole] = bins + np.arange(whole.sum())
-        frame["sequence_id"], frame["offset"] = (int(key[0]) << 32) + seq, offset
-        return frame[[*order, "sequence_id", "offset"]]
+        blk = key[0].as_py()
+        return table.append_column("sequence_id", pa.array((blk << 32) + seq)).append_column("offset", pa.array(offset))
 
     isles = F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))
     short = items.where(F.col("length") < room).select("blk", "length", isles.alias("isle"))
@@ -227,7 +229,7 @@ def pack(pieces: DataFrame, docs_hint: int, room: int = 2048, islands: int = 3,
     guests = first.select("blk", F.pmod(F.col("isle") + 1, F.lit(islands)).alias("isle"), F.col("people")[0].alias("guest"))
     second = first.join(guests, ["blk", "isle"], "left").mapInPandas(again, "blk int, isle int, fit double, best binary")
     best = second.groupBy("blk").agg(F.max_by("best", F.struct("fit", -F.col("isle"))).alias("best"))
-    return items.groupBy("blk").cogroup(best.groupBy("blk")).applyInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    return items.groupBy("blk").cogroup(best.groupBy("blk")).applyInArrow(place, f"{PIECES}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, room: int = 2048, vocabulary: str | None = None, **more) -> DataFrame:

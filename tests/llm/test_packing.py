@@ -27,7 +27,8 @@ def test_pieces_and_packing(spark, vocabulary):
 
     whole = Tokenizer.from_file(vocabulary)
     rows = list(enumerate(TEXTS)) + [(90, None), (1, "hello world"), (None, "no key")]
-    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), rounds=3).toPandas()
+    packed = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), rounds=3)
+    rows_, got = packed.collect(), packed.toPandas()
     want = []
     for k, t in rows:
         ids = [*whole.encode(t or "", add_special_tokens=False).ids, 0]
@@ -37,13 +38,21 @@ def test_pieces_and_packing(spark, vocabulary):
             to = len(ids) - (n - 1 - p) * 2048
             want.append((k, p, at, to - at, zlib.crc32(np.array(ids[at:to], "<u4").tobytes())))
             at = to
-    have = [(None if x.doc_id != x.doc_id else int(x.doc_id), x.piece, x.start, x.length, x.ids_crc32) for x in got.itertuples()]
+    have = [(x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in rows_]
     assert sorted(have, key=repr) == sorted(want, key=repr)
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert (g["offset"] == g["length"].cumsum() - g["length"]).all() and g["length"].sum() <= 2048
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 1
 
 
+def test_large_ids_stay_whole_beside_nulls(spark):
+    ids = [None, (1 << 53) + 1, (1 << 53) + 3, (1 << 63) - 1, -(1 << 63), None]
+    df = spark.createDataFrame([(k, f"text {i}") for i, k in enumerate(ids)], "doc_id long, text string")
+    got = packing.pack_documents(df).collect()  # all in one block
+    assert sorted((r.doc_id for r in got), key=repr) == sorted(ids, key=repr) and len({r.sequence_id for r in got}) == 1
+    assert sorted(r.offset for r in got)[0] == 0 and len({r.offset for r in got}) == len(ids)
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
