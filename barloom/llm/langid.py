@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import bucket, hash_share, long_rows, tidy
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # by category: fractions, superscripts and marks are no letters
 BITS = 15  # of a hashed n-gram
 ORDERS = (2, 3, 4)
 

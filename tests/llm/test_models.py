@@ -51,6 +51,14 @@ def test_language_edges(spark, docs):
     assert {r.lang_pred for r in langid.predict(docs.limit(5), none).collect()} == {"und"}
 
 
+def test_no_letter_is_und(spark, docs):
+    model = langid.fit(docs.limit(300))
+    bare = ["½", "²", "①", "\u0301\u0308", "٣", "_ª"[:1], "Ⅷ"]  # numbers, marks, digits, an underscore
+    df = spark.createDataFrame(list(enumerate([*bare, "ª", "ж"])), "doc_id long, text string")
+    got = {r.text: r.lang_pred for r in langid.predict(df, model).collect()}
+    assert {got[t] for t in bare} == {"und"} and "und" not in (got["ª"], got["ж"])  # ª is category Lo
+
+
 def test_quality_held_out_accuracy(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.classify(docs, labels).join(labels, "doc_id").toPandas()
