@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid, media, mixing, ngram_join, packing, quality, secrets, token_output, warc
+from . import embedding_dedup, langid, media, mixing, ngram_join, packing, quality, row_patterns, secrets, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +54,14 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), evenness=0.95)
 
 
+def op13_row_pattern_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = row_patterns.find(table(spark, sf_dir, "clicks"))
+    return found.withColumn("labels_sha256", F.sha2("labels", 256)).drop("labels")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_ngram_jaccard_join, op2_best_fit_packing, op3_language_id, op4_embedding_near_dedup, op5_quality_classifier)
-    ops += (op6_media_lossless_webp, op7_warc_normaliser, op8_token_training_order, op9_secret_scans, op10_temperature_mixing)
+    ops += (op6_media_lossless_webp, op7_warc_normaliser, op8_token_training_order, op9_secret_scans, op10_temperature_mixing, op13_row_pattern_matching)
     return {f.__name__: f for f in ops}
 
 
@@ -121,5 +127,36 @@ SELECT doc_id, source, tokens::BIGINT AS tokens, epoch::INTEGER AS epoch, block,
 WHERE epoch < passes OR before + run <= rest"""
 
 
+#: Segments as in the operator; the last goal high enough in a start's stretch of D and U; then the chain of matches.
+_OP13 = """
+WITH RECURSIVE r AS (
+  SELECT client_id, ts, click_id, CASE WHEN isfinite(value) THEN floor(100 * value + 0.5)::BIGINT END AS c, coalesce(kind = 'view', false) AS view, coalesce(kind <> 'error', false) AS good
+  FROM (SELECT DISTINCT * FROM clicks) WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+o AS (
+  SELECT *, row_number() OVER w AS i, lag(ts) OVER w AS before, lag(c) OVER w AS last
+  FROM r WINDOW w AS (PARTITION BY client_id ORDER BY ts, click_id NULLS FIRST, c NULLS FIRST, good, view)),
+k AS (
+  SELECT *, coalesce(near AND good AND c < last, false) AS d, coalesce(near AND good AND c > last, false) AS u, coalesce(near AND view AND last IS NOT NULL, false) AS p
+  FROM (SELECT *, c IS NOT NULL AND ts - before <= INTERVAL 15 MINUTE AS near FROM o)),
+s AS (SELECT *, sum((NOT (d OR u))::INT) OVER (PARTITION BY client_id ORDER BY i) AS run FROM k),
+-- a row that is P only ends the run before it; as a start it begins its own
+g AS (SELECT client_id, i, c, CASE WHEN d OR u THEN run ELSE run - 1 END AS run FROM s WHERE p),
+f AS (SELECT client_id, i, sum((NOT d)::INT) OVER (PARTITION BY client_id ORDER BY i) AS falls FROM s),
+fe AS (SELECT client_id, falls, max(i) AS upto FROM f GROUP BY ALL),
+m AS (
+  SELECT s.client_id, s.i, max(g.i) AS p FROM s JOIN g ON s.client_id = g.client_id AND s.run = g.run AND g.i > s.i AND g.c >= s.c GROUP BY ALL),
+e AS (
+  SELECT m.client_id, m.i, m.p, CASE WHEN n.d THEN fe.upto ELSE m.p END AS e
+  FROM m LEFT JOIN s n ON n.client_id = m.client_id AND n.i = m.p + 1 LEFT JOIN f ON f.client_id = m.client_id AND f.i = m.p + 1 LEFT JOIN fe ON fe.client_id = f.client_id AND fe.falls = f.falls),
+-- the next match begins at the first start that matches from this one's last row on
+nxt AS MATERIALIZED (SELECT a.client_id, a.i, min(b.i) AS to_ FROM e a JOIN e b ON a.client_id = b.client_id AND a.e <= b.i GROUP BY ALL),
+v AS (
+  SELECT client_id, min(i) AS i, 1 AS no FROM e GROUP BY client_id
+  UNION ALL SELECT v.client_id, nxt.to_, v.no + 1 FROM v JOIN nxt ON v.client_id = nxt.client_id AND v.i = nxt.i)
+SELECT v.client_id, v.no::BIGINT AS match_no, min(s.click_id) FILTER (s.i = e.i) AS first_id, min(s.click_id) FILTER (s.i = e.e) AS last_id, count(*) AS n_rows, sum(s.c)::BIGINT AS sum_cents,
+  sha256(string_agg(CASE WHEN s.i = e.i THEN 'A' WHEN s.i = e.p THEN 'P' WHEN s.d THEN 'D' ELSE 'U' END, '' ORDER BY s.i)) AS labels_sha256
+FROM v JOIN e ON v.client_id = e.client_id AND v.i = e.i JOIN s ON s.client_id = v.client_id AND s.i BETWEEN e.i AND e.e GROUP BY v.client_id, v.no"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _OP1, "op4_embedding_near_dedup": _OP4, "op7_warc_normaliser": _OP7, "op10_temperature_mixing": _OP10}
+    return {"op1_ngram_jaccard_join": _OP1, "op4_embedding_near_dedup": _OP4, "op7_warc_normaliser": _OP7, "op10_temperature_mixing": _OP10, "op13_row_pattern_matching": _OP13}
