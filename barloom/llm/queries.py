@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid, media, mixing, ngram_join, packing, quality, row_patterns, secrets, token_output, tree_bpe, warc
+from . import alignment, embedding_dedup, langid, media, mixing, ngram_join, packing, quality, row_patterns, secrets, token_output, tree_bpe, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), evenness=0.95)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked(table(spark, sf_dir, "documents"))
+
+
 def op12_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.digest(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op13_row_pattern_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_ngram_jaccard_join, op2_best_fit_packing, op3_language_id, op4_embedding_near_dedup, op5_quality_classifier)
-    ops += (op6_media_lossless_webp, op7_warc_normaliser, op8_token_training_order, op9_secret_scans, op10_temperature_mixing, op12_bpe_tree, op13_row_pattern_matching)
+    ops += (op6_media_lossless_webp, op7_warc_normaliser, op8_token_training_order, op9_secret_scans, op10_temperature_mixing, op11_tokenizer_alignment, op12_bpe_tree, op13_row_pattern_matching)
     return {f.__name__: f for f in ops}
 
 

@@ -36,7 +36,7 @@ class Ids:
     def __init__(self, vocabulary: str):
         import tiktoken
 
-        self.vocabulary, self._whole = vocabulary, None
+        self.vocabulary, self._whole, self._literal = vocabulary, None, None
         of = byte_of()
         with open(vocabulary, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
@@ -51,17 +51,31 @@ class Ids:
             self._whole = Tokenizer.from_file(self.vocabulary)
         return self._whole.encode(text, add_special_tokens=False).ids
 
+    def plain(self, text: str) -> bytes:
+        """The same with the special token's string taken as plain text."""
+        if text.isascii() or _latin(text):
+            return array("I", (self.ordinary if RUN.search(text) else self.single)(text)).tobytes()
+        if self._literal is None:
+            from tokenizers import Tokenizer
+
+            self._literal = Tokenizer.from_file(self.vocabulary)
+            self._literal.encode_special_tokens = True
+        return array("I", self._literal.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        try:
-            text.encode("latin-1")
-            plain = SPECIAL not in text
-        except UnicodeEncodeError:
-            plain = False
-        if not plain:
-            return array("I", self.whole(text)).tobytes()
-        return array("I", (self.ordinary if RUN.search(text) else self.single)(text)).tobytes()
+        if SPECIAL not in text and (text.isascii() or _latin(text)):
+            return array("I", (self.ordinary if RUN.search(text) else self.single)(text)).tobytes()
+        return array("I", self.whole(text)).tobytes()
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _loaded: dict[str, Ids] = {}
