@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.functions import recurrences
 from barloom.functions.numeric import change, col, over
-from barloom.functions.recurrences import ema_list, rsi_list, tsi_lists
+
 
 def in_order() -> W:
     """A code's bars by date."""
@@ -90,49 +91,69 @@ def returns(bars: DataFrame) -> DataFrame:
 # --- recursive averages: one pass over a code's bars
 
 
-def recursive(bars: DataFrame, fast: int = 10, slow: int = 30, signal: int = 8, rsi: int = 35, ema: int = 10) -> DataFrame:
-    """Adds ema (of closes), t, t_sig and b. A value depends on the one before it, which no window gives: a window's place
-    in its code has bars come by code and in order, without a shuffle where they lie so already, and a task passes over
-    them once for all seven averages, with at most one code's bars and a batch in hand. Only closes are unpacked; the
-    other columns go through as they came, as Arrow's."""
-    names = ("ema", "t", "t_sig", "b")
-    code, close, own = bars.columns.index("code"), bars.columns.index("c"), len(bars.columns)
+BLOCK = 1 << 17  # rows that a task walks over together, if they are whole codes
+
 
-    def lists(c: list) -> tuple:
-        t, t_sig = tsi_lists(c, fast, slow, signal)
-        return ema_list(c, ema), t, t_sig, rsi_list(c, rsi)
+def recursive(bars: DataFrame, fast: int = 10, slow: int = 30, signal: int = 8, rsi: int = 35, ema: int = 10, hold: tuple[float, float, int] | None = None) -> DataFrame:
+    """Adds ema (of closes), t, t_sig and b; with hold = (least t, least b, cap) also tb_ok, whether both are reached, and
+    tb_hold, for how many bars in a row, capped.
+
+    A value depends on the one before it, which no window gives: a window's place in its code has bars come by code and in
+    order, without a shuffle where they lie so already, and a task walks over blocks of whole codes, all codes of a block a
+    step at a time. Only closes are unpacked; the other columns go through as they came, as Arrow's. What windows add
+    is best added before: after this pass Spark knows nothing of the rows' order and would shuffle again. A code whose
+    bars don't suit one task goes through scans.spread_averages."""
+    kinds = {"ema": "double", "t": "double", "t_sig": "double", "b": "double"} | ({"tb_ok": "boolean", "tb_hold": "int"} if hold else {})
+    code, close, own = bars.columns.index("code"), bars.columns.index("c"), len(bars.columns)
 
-    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def done(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
         """Whole codes' bars, with the averages."""
-        rows = pa.Table.from_batches(parts).combine_chunks()
-        starts = [0, *_changes(rows.column(code).chunk(0)), rows.num_rows]
-        c, cols = rows.column(close).to_pylist(), [[] for _ in names]
-        for x, y in zip(starts, starts[1:], strict=False):
-            for col_, v in zip(cols, lists(c[x:y]), strict=True):
-                col_ += v
-        return pa.record_batch([*(x.chunk(0) for x in rows.columns[:own]), *(pa.array(v, pa.float64()) for v in cols)], [*rows.column_names[:own], *names])
+        rows = pa.Table.from_batches(parts)
+        cuts = np.array([0, *_changes(rows.column(code).combine_chunks()), rows.num_rows])
+        c = rows.column(close).to_numpy()
+        t, t_sig = recurrences.tsi(c, cuts, fast, slow, signal)
+        new = [recurrences.ema(c, cuts, ema), t, t_sig, recurrences.rsi(c, cuts, rsi)]
+        if hold:
+            ok = (t >= hold[0]) & (new[3] >= hold[1])
+            new += [ok, recurrences.streak(ok, cuts, hold[2]).astype(np.int32)]
+        rows = rows.select(range(own))
+        for name, v in zip(kinds, new, strict=True):
+            rows = rows.append_column(name, pa.array(v, from_pandas=True))
+        return rows.to_batches(max_chunksize=1 << 14)
 
     def run(batches):
-        held: list[pa.RecordBatch] = []  # the latest code's bars so far
+        held: list[pa.RecordBatch] = []  # whole codes' bars, and the latest code's so far
+        n, start = 0, 0  # rows held; those before the latest code's first
         for batch in batches:
             if not batch.num_rows:
                 continue
             cuts = _changes(batch.column(code))
-            if held and held[-1].column(code)[-1] != batch.column(code)[0]:
+            if held and _differ(held[-1].column(code)[-1], batch.column(code)[0]):
                 cuts = [0, *cuts]
-            if cuts:
-                parts = [*held, *([batch.slice(0, cuts[-1])] if cuts[-1] else [])]
-                yield done(parts)
-                held = [batch.slice(cuts[-1])]
-            else:
-                held.append(batch)
+            start = n + cuts[-1] if cuts else start
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BLOCK and start:
+                rest = n - start
+                last = [batch.slice(cuts[-1])] if cuts else []
+                if not last:  # the latest code began in an earlier batch
+                    whole = pa.Table.from_batches(held)
+                    last, held = whole.slice(start).to_batches(), whole.slice(0, start).to_batches()
+                else:
+                    held[-1] = batch.slice(0, cuts[-1])
+                yield from done(held)
+                held, n, start = last, rest, 0
         if held:
-            yield done(held)
+            yield from done(held)
 
     place = next(n for n in ("i", "place", "place_in_code") if n not in bars.columns)
     rows = bars.withColumn(place, F.row_number().over(in_order()))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields]
-    return rows.mapInArrow(run, ", ".join([*kinds, *(f"{n} double" for n in names)]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields]
+    return rows.mapInArrow(run, ", ".join([*fields, *(f"{n} {k}" for n, k in kinds.items())]))
+
+
+def _differ(a: pa.Scalar, b: pa.Scalar) -> bool:
+    return a.is_valid != b.is_valid or (a.is_valid and a.as_py() != b.as_py())
 
 
 def _changes(codes: pa.Array) -> list[int]:
@@ -155,10 +176,15 @@ def override(series: DataFrame, external: DataFrame) -> DataFrame:
     return out.withColumns({"t": F.when(F.col("use"), F.col("xt")).otherwise(F.col("t")), "b": F.when(F.col("use"), F.col("xb")).otherwise(F.col("b"))}).drop("xt", "xb", "use")
 
 
+def rolling(bars: DataFrame) -> DataFrame:
+    """The indicators that windows give, unrounded: i, meshes (ma30 is one of their lengths), top, bottom, red, u, u_sig,
+    gb, gs."""
+    return with_golden(ultimate(mesh(indexed(bars))))
+
+
 def series(bars: DataFrame) -> DataFrame:
-    """All indicators of a code's bars, unrounded: i, gb, gs, meshes, ma30, u, t, t_sig, b."""
-    out = with_golden(ultimate(mesh(indexed(recursive(bars)))))
-    return out  # ma30 is one of the mesh's lengths
+    """All indicators of a code's bars, unrounded: those of rolling, then ema, t, t_sig, b."""
+    return recursive(rolling(bars))
 
 
 def signs(df: DataFrame, x: Column | str, base: float = 0.0) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barloom.config import LEGACY, MOMENTUM, TB, Legacy
 from barloom.functions.numeric import change
 
-from .indicators import back, in_order, rows
+from .indicators import back, in_order, recursive, rolling, rows
 
 
 def wick() -> Column:
@@ -61,3 +61,10 @@ def with_shape(series: DataFrame, p: Legacy = LEGACY, tb: TB = MOMENTUM) -> Data
     if "t" in series.columns:
         out = out.withColumn("tb_ok", tb_ok(tb)).withColumn("tb_hold", streak(F.col("tb_ok"), tb.hold_cap))
     return out.drop("gs_last", "seg", "before")
+
+
+def shaped(bars: DataFrame, also=None, p: Legacy = LEGACY, tb: TB = MOMENTUM) -> DataFrame:
+    """All indicators and shapes of bars, by one shuffle: windows first, and also(rows), which may add further ones, then
+    the recursive averages with their streak."""
+    out = with_shape(rolling(bars), p, tb)
+    return recursive(also(out) if also else out, hold=(tb.t_min, tb.b_min, tb.hold_cap))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.config import LIMITS
-from barloom.operators import indicators, ledger, replay, report, sets, shape, signals
+from barloom.operators import ledger, replay, report, sets, shape, signals
 from barloom.sources.bars import enough
 
 STATE = "strategy string, state string, version string"
@@ -45,7 +45,7 @@ def run(spark: SparkSession, bars: DataFrame, out: str, until: str | None = None
     publish(spark, out)
     if reset:
         report.reset(spark, f"{replay.LOG}, day string", logs)
-    shaped = shape.with_shape(indicators.series(enough(bars, LIMITS.min_bars).drop("n")))
+    shaped = shape.shaped(enough(bars, LIMITS.min_bars).drop("n"))
     days = replay.ever(signals.both(shaped, min_amount))
     targets = sets.latest_days(bars, backfill, F.lit(until).cast("date") if until else None)
     done = _read(spark, logs, f"{replay.LOG}, day string").select(F.col("day").cast("date").alias("d")).distinct()

@@ -238,6 +238,7 @@ SELECT code, d, event_id, total, greatest(total - coalesce(lag(total) OVER (PART
     "returns": over(f"SELECT code, d, {r6('chg1', 'chg5', 'chg20')} FROM s1", *FULL),
     "slope5": over(f"SELECT code, d, {r6('slope5')} FROM s1", *FULL),
     "ema": over(f"SELECT code, d, {r6('ema')} FROM s0", *FULL),
+    "spread_averages": over(f"SELECT code, d, {r6('ema', 't', 't_sig', 'b')} FROM s0", *FULL),
     "tsi": over(f"SELECT code, d, {r6('t', 't_sig')} FROM s0", *FULL),
     "rsi_b": over(f"SELECT code, d, {r6('b')} FROM s0", *FULL),
     "wick": over(f"SELECT code, d, {r6('wick')} FROM s1", *FULL),

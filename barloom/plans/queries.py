@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import LEGACY_TAG, LIMITS, TB_TAG
 from barloom.functions.numeric import rnd
-from barloom.operators import exits, ledger, replay, report, sets, shape, signals
+from barloom.operators import exits, ledger, replay, report, scans, sets, shape, signals
 from barloom.operators import indicators as ind
 from barloom.sources import bars as src
 
@@ -25,8 +25,8 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
     return src.daily_bars(src.table(spark, sf, "lineitem"))
 
 
-def shaped(spark: SparkSession, sf: str) -> DataFrame:
-    return shape.with_shape(ind.series(bars(spark, sf)))
+def shaped(spark: SparkSession, sf: str, also=None) -> DataFrame:
+    return shape.shaped(bars(spark, sf), also)
 
 
 def six(df: DataFrame, *cols: str, also: tuple = ()) -> DataFrame:
@@ -53,7 +53,7 @@ def held(spark: SparkSession, sf: str) -> DataFrame:
     entry = ind.back("o", 10)
     peak = F.greatest(entry, F.max("c").over(ind.rows(10)))
     days = 10 + (F.col("code") + F.col("i")) % 40
-    s = shaped(spark, sf).withColumns({"entry": entry.cast("long"), "days": days, "peak": peak.cast("long")})
+    s = shaped(spark, sf, lambda f: f.withColumns({"entry": entry.cast("long"), "days": days, "peak": peak.cast("long")}))
     return signals.snapshot(s, "entry", "days", "peak").where("entry is not null")
 
 
@@ -61,7 +61,7 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
     """Closed trades out of every signal: bought at the next open, sold ten opens later."""
     ahead = lambda x, k: F.lead(x, k).over(ind.in_order())
     new = {"entry": ahead("o", 1).cast("long"), "exit": ahead("o", 11).cast("long"), "entry_date": ahead("d", 1), "exit_date": ahead("d", 11)}
-    t = signals.both(shaped(spark, sf).withColumns(new), FLOOR, also=("i", *new)).where("ok and exit is not null")
+    t = signals.both(shaped(spark, sf, lambda f: f.withColumns(new)), FLOOR, also=("i", *new)).where("ok and exit is not null")
     reasons = F.array(*[F.lit(x) for x in ("장중 손절 (기준)", "장중 익절", "청선 8.1 — 5선 이탈", "보유 40일 경과 — 기간 청산", "T 19.9 < 20 이탈", "강제")])
     t = t.select("strategy", "grade", "code", "entry_date", "exit_date", "entry", "exit", rnd((F.col("exit") / F.col("entry") - 1) * 100, 2).alias("pnl"), (10 + F.col("i") % 3).cast("int").alias("days"), F.get(reasons, (F.col("i") % 6).cast("int")).alias("reason"))
     # the log's order, without numbering all rows in one place
@@ -175,7 +175,7 @@ def chart_texts(b: DataFrame) -> DataFrame:
 def observed(spark: SparkSession, sf: str) -> DataFrame:
     b = bars(spark, sf)
     week = ind.indexed(ind.with_golden(src.weekly_bars(b).withColumnRenamed("w", "d")))
-    out = report.observable(shape.with_shape(ind.series(b)), week)
+    out = report.observable(shape.shaped(b), week)
     numbers = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
     return out.withColumns({c: rnd(c, 6) for c in numbers})
 
@@ -223,6 +223,7 @@ def _registry() -> dict[str, Query]:
         "ema": b(lambda f: six(ind.recursive(f), "ema")),
         "tsi": b(lambda f: six(ind.recursive(f), "t", "t_sig")),
         "rsi_b": b(lambda f: six(ind.recursive(f), "b")),
+        "spread_averages": b(lambda f: six(scans.spread_averages(f, F.year("d")), "ema", "t", "t_sig", "b")),
         "wick": b(lambda f: six(f.withColumn("wick", shape.wick()), "wick")),
         "bad_wick": b(lambda f: f.withColumn("wick", shape.wick()).select("code", "d", shape.lately((F.col("wick") > 0.5) & (F.col("h") > F.col("c")), 3).alias("bad_wick"))),
         "big_down": b(lambda f: ind.returns(f).select("code", "d", shape.lately(F.col("chg1") <= -4, 3).alias("big_down"))),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from barloom.config import LEGACY_TAG, TB_TAG
 from barloom.functions.numeric import clean, hhmm, rnd
-from barloom.functions.recurrences import ema_dense, ema_list, rsi_list, tsi_lists
 from barloom.operators import exits, indicators, ledger, replay, report, sets, shape, signals
 from barloom.sources import bars as src
 
@@ -79,19 +78,6 @@ def test_wick_of_a_bar_without_body(spark):
     assert [r.w for r in df.collect()] == [999.0, 0.0, 2.0]
 
 
-def test_recurrences_warm_up_and_nulls():
-    assert ema_list([1.0, 2.0], 3) == [None, None]
-    assert ema_list([1.0, 2.0, 3.0, 7.0], 3) == [None, None, 2.0, 4.5]
-    assert ema_dense([None, 1.0, None, 3.0], 2) == [None, None, None, 2.0]
-    t, sig = tsi_lists([100.0] * 80)
-    assert all(x is None for x in t + sig)  # a flat price has no momentum
-    assert all(x is None for x in rsi_list([100.0] * 80))
-    t, sig = tsi_lists(walk(100))
-    assert [i for i, x in enumerate(t) if x is not None][0] == 38 and [i for i, x in enumerate(sig) if x is not None][0] == 45
-    assert [i for i, x in enumerate(rsi_list(walk(100))) if x is not None][0] == 34
-    assert tsi_lists([]) == ([], []) and rsi_list([]) == []
-
-
 def test_no_look_ahead(spark):
     c = walk(170, 9)
     whole = signals.snapshot(shape.with_shape(indicators.series(series(spark, c)))).where(F.col("d") < DAY + datetime.timedelta(days=150))
