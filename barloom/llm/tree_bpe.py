@@ -221,7 +221,10 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", vocabulary:
 
 
 def text_of(ids: pa.Array, table: list[bytes]) -> str:
-    return b"".join([table[i] for i in ids.to_pylist() if i is not None and 0 <= i < len(table)]).decode("utf-8", "replace")
+    ids = ids.drop_null().to_numpy()
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(table)):
+        ids = ids[(ids >= 0) & (ids < len(table))]
+    return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 def digest(docs: DataFrame, vocabulary: str | None = None, **more) -> DataFrame:
@@ -236,9 +239,9 @@ def digest(docs: DataFrame, vocabulary: str | None = None, **more) -> DataFrame:
         for batch in batches:
             n, one, two = [], [], []
             for ids, text in zip(batch.column(1), batch.column(2), strict=True):
-                ids, h = ids.values, hashlib.sha256()
+                ids, h = ids.values.to_numpy(), hashlib.sha256()
                 for at in range(0, len(ids), LEAF):
-                    h.update(("," * (at > 0) + ",".join(map(shown.__getitem__, ids.slice(at, LEAF).to_pylist()))).encode())
+                    h.update(("," * (at > 0) + ",".join(map(shown.__getitem__, ids[at : at + LEAF].tolist()))).encode())
                 n.append(len(ids))
                 one.append(h.hexdigest())
                 two.append(hashlib.sha256(text.as_buffer()).hexdigest())
