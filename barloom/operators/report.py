@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.config import HOMERUN, LEGACY, LIMITS
 from barloom.functions.numeric import over
+from barloom.sources import versions
 
 from .shape import streak
 
@@ -71,36 +74,30 @@ MARK = "\ufeff"
 
 
 def append_csv(rows: DataFrame, path: str, columns: tuple = CSV_COLUMNS) -> None:
-    """Appends rows to a log in CSV: a folder of text files, of which the first begins with a byte order mark and the
-    header. Columns come in the file's order, others are left out, missing ones and nulls are empty; fields with commas,
-    quotes or line ends are quoted."""
+    """Appends rows to a log in CSV: folders append-000000, ... of text files, of which the first begins with a byte order
+    mark and the header. One job writes header and rows aside; a rename puts them in place, so that they are there whole or
+    not at all. Columns come in the file's order, others are left out, missing ones and nulls are empty; fields with
+    commas, quotes or line ends are quoted."""
     spark = rows.sparkSession
     have = set(rows.columns)
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("") for c in columns]
     quoted = [F.when(t.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t) for t in texts]
     lines = rows.select(F.concat_ws(",", *quoted).alias("value"))
-    if not exists(spark, path):
-        spark.createDataFrame([(MARK + ",".join(columns),)], "value string").coalesce(1).write.text(path)
-    lines.write.mode("append").text(path)
+    there = [n for n in versions.names(spark, path) if n.startswith("append-")]
+    if not there:  # the first partition's file comes first by name
+        lines = spark.createDataFrame([(MARK + ",".join(columns),)], "value string").coalesce(1).union(lines)
+    side = f"{path}/_side-{uuid.uuid4().hex}"
+    lines.write.text(side)
+    versions.put(spark, side, f"{path}/append-{max((int(n[7:]) for n in there), default=-1) + 1:06d}")
 
 
 def read_csv(spark, path: str, columns: tuple = CSV_COLUMNS) -> DataFrame:
     """What append_csv has written, as texts."""
     header = ",".join(columns)  # readers of text take a byte order mark away
-    lines = spark.read.text(path).where(~F.col("value").isin(header, MARK + header))
+    lines = spark.read.text(f"{path}/append-*").where(~F.col("value").isin(header, MARK + header))
     return lines.select(F.from_csv("value", ", ".join(f"`{c}` string" for c in columns), {"escape": '"'}).alias("r")).select("r.*").fillna("")
 
 
-def exists(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def deleted(spark, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import LIMITS
 from barloom.operators import ledger, replay, report, sets, shape, signals
+from barloom.sources import versions
 from barloom.sources.bars import enough
 
 STATE = "strategy string, state string, version string"
@@ -28,13 +29,13 @@ def publish(spark: SparkSession, out: str) -> None:
     so a run that failed after its state was written is finished by the next one."""
     found = _read(spark, f"{out}/state", STATE).select("version").distinct().collect()  # a row a strategy
     for (work,) in found:
-        if not work or not report.exists(spark, work):
+        if not work or not versions.exists(spark, work):
             continue
         log = spark.read.parquet(work).where("action is not null").drop("state")
         done = log.where(~F.col("action").startswith("ORDER"))
         report.write_days(done.withColumn("day", F.col("d").cast("string")), f"{out}/log", "day")
         report.write_json(report.day_report(log), f"{out}/report")
-        report.deleted(spark, work)
+        versions.deleted(spark, work)
 
 
 def run(spark: SparkSession, bars: DataFrame, out: str, until: str | None = None, backfill: int = 1, force: bool = False, reset: bool = False, min_amount: float = LIMITS.min_amount) -> int:

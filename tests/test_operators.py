@@ -248,17 +248,6 @@ def test_hourly_stream(spark, tmp_path):
     assert [(r.code, r.o, r.h, r.l, r.c, r.v) for r in got] == [("a", 1.0, 59.0, 1.0, 59.0, 3)]
 
 
-def test_upsert_batches_are_idempotent(spark, tmp_path):
-    from barloom.streaming.jobs import upsert_batches
-
-    run = upsert_batches(str(tmp_path / "t"), ["code"], "d")
-    a = spark.createDataFrame([("x", DAY, 1), ("y", DAY, 2)], "code string, d date, n int")
-    b = spark.createDataFrame([("x", DAY, 5)], "code string, d date, n int")
-    for k, batch in enumerate((a, b, b)):
-        run(batch, k)
-    assert sorted((r.code, r.n) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [("x", 5), ("y", 2)]
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "fills.csv").write_text('﻿date,side,code,reason\n2024-01-01,매수,A1,"say ""hi"", now"\n\n2024-01-02,매도,,\n', encoding="utf-8")
     got = src.read_ledger(spark, str(tmp_path / "fills.csv")).collect()
