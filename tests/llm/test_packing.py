@@ -102,7 +102,7 @@ def test_islands_migrate_and_results_are_whole(spark):
 def test_islands_beat_best_fit_where_it_is_not_the_best(spark):
     rng = np.random.default_rng(8)
     rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(300, 1400, 600))]
-    got = packing.pack(spark.createDataFrame(rows, packing.PIECES), 600, block=150, rounds=150).toPandas()
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES), 600, block=150).toPandas()  # the query's own islands and rounds for blocks of this size
     assert sorted(got.doc_id) == list(range(600)) and got.groupby("sequence_id").length.sum().max() <= 2048
     fewer = 0
     for _, g in got.groupby(got.sequence_id.to_numpy() >> 32):
