@@ -114,3 +114,67 @@ def by_reason(trades: DataFrame) -> DataFrame:
     """n, avg and win by the first keyword that a reason holds; rank by falling n, ties as they first come in the log."""
     out = trades.withColumn("key", reason_key()).groupBy("key").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("pnl"), 2).alias("avg"), rnd(F.count_if(F.col("pnl") > 0) * 100.0 / F.count(F.lit(1)), 0).alias("win"), F.min("seq").alias("first"))
     return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "first"))).drop("first")  # a row a keyword
+
+
+# --- the same kept up a day at a time: mergeable states, a row a strategy and day, merged when they are read
+
+
+def _merged(strategy: str | None) -> dict[str, Column]:
+    """How states become one: from trades (strategy None) or from states."""
+    hr = F.col("grade") == HOMERUN
+    add = lambda name, of: F.sum(name) if strategy else of
+    return {
+        "n": add("n", F.count("pnl")), "rows": add("rows", F.count(F.lit(1))), "total": add("total", F.sum("pnl")), "wins": add("wins", F.count_if(F.col("pnl") > 0)),
+        "best": F.max("best" if strategy else "pnl"), "worst": F.min("worst" if strategy else "pnl"),
+        "days_sum": add("days_sum", F.sum("days")), "days_n": add("days_n", F.count("days")),
+        "first": F.min("first" if strategy else F.struct("seq", "exit_date")), "last": F.max("last" if strategy else F.struct("seq", "exit_date")),
+        "hr_n": add("hr_n", F.count_if(hr)), "hr_sum": add("hr_sum", F.sum(F.when(hr, F.col("pnl")))), "hr_k": add("hr_k", F.count(F.when(hr, F.col("pnl")))),
+        "hr_wins": add("hr_wins", F.count_if(hr & (F.col("pnl") > 0))), "hr_best": F.max("hr_best") if strategy else F.max(F.when(hr, F.col("pnl"))),
+        "factor": F.product("factor") if strategy else F.product(1 + F.col("pnl") / 100 / SLOTS),
+    }
+
+
+SLOTS = LIMITS.max_positions
+
+
+def day_states(trades: DataFrame) -> DataFrame:
+    """What trade_stats and equity need of each strategy's day: counts, sums, extremes, first and last trade by seq, and the
+    product of growth. States of several days, or of parts of one, merge to the state of all."""
+    return trades.groupBy("strategy", F.col("exit_date").alias("day")).agg(*[c.alias(k) for k, c in _merged(None).items()])
+
+
+def stats_of(states: DataFrame) -> DataFrame:
+    """stats_by_strategy out of day_states."""
+    s = states.groupingSets([["strategy"], []], "strategy").agg(F.grouping("strategy").alias("g"), *[c.alias(k) for k, c in _merged("strategy").items()])
+    per = lambda a, b: over(F.col(a), F.col(b).cast("double"))
+    return s.select(
+        F.when(F.col("g") == 1, "ALL").otherwise(F.col("strategy")).alias("strategy"), F.coalesce("n", F.lit(0)).alias("trades"), rnd(per("total", "n"), 2).alias("avg"), rnd(over(F.col("wins") * 100.0, F.col("n").cast("double")), 1).alias("winrate"),
+        rnd("best", 1).alias("best"), rnd("worst", 1).alias("worst"), rnd((F.col("factor") - 1) * 100, 2).alias("cum"), rnd(per("days_sum", "days_n"), 1).alias("avg_days"),
+        F.col("first.exit_date").alias("first"), F.col("last.exit_date").alias("last"),
+        F.coalesce("hr_n", F.lit(0)).alias("hr_n"), rnd(per("hr_sum", "hr_k"), 2).alias("hr_avg"), rnd(over(F.col("hr_wins") * 100.0, F.col("hr_n").cast("double")), 1).alias("hr_win"), rnd("hr_best", 1).alias("hr_best"),
+    )
+
+
+def reason_states(trades: DataFrame) -> DataFrame:
+    """What by_reason needs of each day."""
+    return trades.groupBy(F.col("exit_date").alias("day"), reason_key().alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("total"), F.count("pnl").alias("k"), F.count_if(F.col("pnl") > 0).alias("wins"), F.min("seq").alias("first"))
+
+
+def reasons_of(states: DataFrame) -> DataFrame:
+    """by_reason out of reason_states."""
+    s = states.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "total", "k", "wins")], F.min("first").alias("first"))
+    s = s.select("key", "n", rnd(over(F.col("total"), F.col("k").cast("double")), 2).alias("avg"), rnd(F.col("wins") * 100.0 / F.col("n"), 0).alias("win"), "first")
+    return s.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "first"))).drop("first")  # a row a keyword
+
+
+def day_growth(trades: DataFrame) -> DataFrame:
+    """trades with within: what a strategy has grown by since the day began, this trade included."""
+    w = W.partitionBy("strategy", "exit_date").orderBy("code", "seq").rowsBetween(W.unboundedPreceding, 0)
+    return trades.withColumn("within", F.product(1 + F.col("pnl") / 100 / SLOTS).over(w))
+
+
+def equity_of(grown: DataFrame, states: DataFrame) -> DataFrame:
+    """equity out of day_growth and day_states: what was before a day comes from its states. Strategies have names."""
+    w = W.partitionBy("strategy").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    base = states.groupBy("strategy", "day").agg(F.product("factor").alias("factor")).select("strategy", F.col("day").alias("exit_date"), F.coalesce(F.product("factor").over(w), F.lit(1.0)).alias("base"))  # a row a day
+    return grown.join(base, ["strategy", "exit_date"]).withColumn("cum", rnd((F.col("base") * F.col("within") - 1) * 100, 2)).drop("base", "within")

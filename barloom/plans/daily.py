@@ -24,9 +24,15 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def sold(log: DataFrame) -> DataFrame:
+    """The closed trades of a log's rows."""
+    return log.where("action = 'SELL'").select("strategy", "grade", "code", "entry_date", F.col("d").alias("exit_date"), F.col("entry_price").alias("entry"), F.col("price").alias("exit"), F.col("pnl_pct").alias("pnl"), F.col("days_held").alias("days"), F.split_part("reason", F.lit(" → "), F.lit(1)).alias("reason"), "severity", "seq")
+
+
 def publish(spark: SparkSession, out: str) -> None:
-    """Puts in place what the run that the state names has played: log, CSV log and report. Doing it again changes nothing,
-    so a run that failed after its state was written is finished by the next one."""
+    """Puts in place what the run that the state names has played: log, CSV log, report and the states of performance, of
+    its days only. Doing it again changes nothing, so a run that failed after its state was written is finished by the
+    next one."""
     found = _read(spark, f"{out}/state", STATE).select("version").distinct().collect()  # a row a strategy
     for (work,) in found:
         if not work or not versions.exists(spark, work):
@@ -34,18 +40,36 @@ def publish(spark: SparkSession, out: str) -> None:
         log = spark.read.parquet(work).where("action is not null").drop("state")
         done = log.where(~F.col("action").startswith("ORDER"))
         report.write_days(done.withColumn("day", F.col("d").cast("string")), f"{out}/log", "day")
+        days = [r[0] for r in log.select(F.col("d").cast("string")).distinct().collect()]  # the days played
+        trades = sold(log)
+        for name, df, day in ((TRADES, ledger.day_growth(trades), "exit_date"), (STATES, ledger.day_states(trades), "day"), (WHY, ledger.reason_states(trades), "day")):
+            versions.write(df, f"{out}/{name}", day, "days", clear=days)
+            versions.prune(spark, f"{out}/{name}")
         report.write_json(report.day_report(log), f"{out}/report")
         versions.deleted(spark, work)
 
 
+TRADES, STATES, WHY = "trades", "day-states", "day-reasons"
+
+
+def performance(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(trades with the running return, statistics by strategy, reasons) of all days played so far, out of the states that
+    each day has left: a day's work doesn't grow with the days before it."""
+    trades, states, why = (versions.read(spark, f"{out}/{name}") for name in (TRADES, STATES, WHY))
+    return ledger.equity_of(trades, states), ledger.stats_of(states), ledger.reasons_of(why)
+
+
 def run(spark: SparkSession, bars: DataFrame, out: str, until: str | None = None, backfill: int = 1, force: bool = False, reset: bool = False, min_amount: float = LIMITS.min_amount) -> int:
     """Plays the latest `backfill` days up to `until` that haven't been played; how many those are. force and reset begin
     with empty books (reset also drops the log). Writes state (the books, and where the run's rows are), then from those
-    log (a folder a day; a day played again replaces itself) and report (JSON); then trades, stats and reasons."""
+    log (a folder a day; a day played again replaces itself), report (JSON) and each day's states of performance, which
+    performance() reads."""
     logs = f"{out}/log"
     publish(spark, out)
     if reset:
         report.reset(spark, f"{replay.LOG}, day string", logs)
+        for name in (TRADES, STATES, WHY):
+            versions.deleted(spark, f"{out}/{name}")
     shaped = shape.shaped(enough(bars, LIMITS.min_bars).drop("n"))
     days = replay.ever(signals.both(shaped, min_amount))
     targets = sets.latest_days(bars, backfill, F.lit(until).cast("date") if until else None)
@@ -61,10 +85,6 @@ def run(spark: SparkSession, bars: DataFrame, out: str, until: str | None = None
         kept = spark.read.parquet(work).where("state is not null").select("strategy", "state", F.lit(work).alias("version"))
         kept.coalesce(1).write.mode("overwrite").parquet(f"{out}/state")  # a row a strategy
         publish(spark, out)
-    whole = _read(spark, logs, f"{replay.LOG}, day string")
-    sold = whole.where("action = 'SELL'").select("strategy", "grade", "code", "entry_date", F.col("d").alias("exit_date"), F.col("entry_price").alias("entry"), F.col("price").alias("exit"), F.col("pnl_pct").alias("pnl"), F.col("days_held").alias("days"), F.split_part("reason", F.lit(" → "), F.lit(1)).alias("reason"), "severity", "seq")
-    for name, df in (("trades", ledger.equity(sold)), ("stats", ledger.stats_by_strategy(sold)), ("reasons", ledger.by_reason(sold))):
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
     return n
 
 

@@ -292,7 +292,12 @@ def test_daily_run_resumes_and_is_idempotent(spark, sf, tmp_path):
     assert whole and read(two) == whole
     n = daily.run(spark, b, one, backfill=60, min_amount=3e5)
     assert read(one) == whole and n < 60
-    assert spark.read.parquet(f"{one}/stats").where("strategy = 'ALL'").count() == 1
+    sales = daily.sold(spark.read.parquet(f"{one}/log"))
+    same = lambda a, b: sorted(map(tuple, a.select(*b.columns).collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    for out in (one, two):
+        curve, stats, why = daily.performance(spark, out)
+        assert same(stats, ledger.stats_by_strategy(sales)) and same(why, ledger.by_reason(sales)) and same(curve, ledger.equity(sales))
+    assert stats.where("strategy = 'ALL'").count() == 1
 
 
 def test_full_log_rows_and_labels(spark, sf):
