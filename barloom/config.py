@@ -1,10 +1,13 @@
-"""Parameters of the rules. Defaults are fixed values: the rules' own numbers."""
+"""Parameters of the rules."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 
+# The defaults of the classes below are the rules' own numbers.
+
+
 @dataclass(frozen=True)
 class Legacy:
     """The older rule: a calm drop line, a rising rise line, no long wick and no large fall."""
@@ -76,6 +79,7 @@ class Limits:
     history_days: int = 260
     chart_bars: int = 160
     hourly_bars: int = 240
+    hourly_codes: int = 160
     chart_codes: int = 60
     per_market: tuple = (("KOSPI", 200), ("KOSDAQ", 150))
     min_price: float = 1000.0

@@ -199,6 +199,42 @@ def month_marks(df: DataFrame) -> DataFrame:
     return df.withColumn("new_month", F.coalesce(F.trunc("d", "month") != F.lag(F.trunc("d", "month")).over(in_order()), F.lit(False)))
 
 
+#: A chart's width and left edge, the least space between two labels, and what stays free at the right, in pixels.
+CHART = {"width": 900, "left": 56, "gap": 44, "right": 18}
+
+
+def month_labels(df: DataFrame, width: int = CHART["width"], left: int = CHART["left"], gap: int = CHART["gap"], right: int = CHART["right"]) -> DataFrame:
+    """(code, d, x): where a chart's months are labelled: the marks of month_marks, at the middle of their bar, from the
+    first on, each at least `gap` beyond the last one labelled, and none at the right edge. A code's bars share the width."""
+    from .sets import thinned
+
+    n = F.count(F.lit(1)).over(W.partitionBy("code"))
+    x = F.lit(float(left)) + (F.row_number().over(in_order()) - 0.5) * F.lit(float(width)) / n
+    marks = month_marks(df).withColumn("x", x).where(F.col("new_month") & (F.col("x") < left + width - right))
+    return thinned(marks.select("code", "d", "x"), "code", "x", gap)
+
+
+def extremes(df: DataFrame, n: int, lows: dict[str, Column], highs: dict[str, Column]) -> DataFrame:
+    """Adds the least and the largest of the last n bars' values, at a cost that doesn't grow with n.
+
+    A code's bars are cut into blocks of n. The last n bars are the end of one block and the start of the next, so their
+    extreme is that of two running ones: from a block's start on, and from its end back. Spark looks through all of a sliding
+    frame for each row; running frames take one step. Values may be of any ordered type, structs too. Needs i."""
+    block = F.floor(F.col("i") / n)
+    own = {k: c for k, c in (lows | highs).items()}
+    best = {k: F.min if k in lows else F.max for k in own}
+    pick = {k: F.least if k in lows else F.greatest for k in own}
+    out = df.withColumn("block_", block).withColumns({f"v_{k}": c for k, c in own.items()})
+    ahead = W.partitionBy("code", "block_").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
+    behind = W.partitionBy("code", "block_").orderBy(F.desc("d")).rowsBetween(W.unboundedPreceding, 0)
+    out = out.withColumns({f"s_{k}": best[k](f"v_{k}").over(behind) for k in own})
+    out = out.withColumns({f"p_{k}": best[k](f"v_{k}").over(ahead) for k in own})
+    out = out.withColumns({f"s_{k}": back(f"s_{k}", n - 1) for k in own})  # the running extreme back from the block's end, at the oldest of the n bars
+    # fewer than n bars so far lie in the first block
+    out = out.withColumns({k: F.when(F.col("i") < n - 1, F.col(f"p_{k}")).otherwise(pick[k](f"p_{k}", f"s_{k}")) for k in own})
+    return out.drop("block_", *[f"{a}_{k}" for a in "vsp" for k in own])
+
+
 def extent(df: DataFrame, x: str) -> DataFrame:
     """(code, low, high) of a column without nulls and NaNs; one value alone is spread by 1 either way."""
     v = F.when(~F.isnan(x), F.col(x))

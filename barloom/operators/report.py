@@ -12,6 +12,7 @@ from barloom.config import HOMERUN, LEGACY, LIMITS
 from barloom.functions.numeric import over
 from barloom.sources import versions
 
+from .indicators import extremes, indexed
 from .shape import streak
 
 
@@ -121,11 +122,17 @@ def reset(spark, schema: str, *paths: str) -> None:
 def windows(bars: DataFrame, n: int = 250) -> DataFrame:
     """Observed columns of the similarity report at each code's last bar: fall from the high and rise from the low of
     closes in n bars, and bars since that low."""
-    w = W.partitionBy("code").orderBy("d").rowsBetween(-(n - 1), 0)
-    out = bars.withColumns({"i": F.row_number().over(W.partitionBy("code").orderBy("d")) - 1, "hi": F.max("c").over(w), "lo": F.min("c").over(w), "low_at": F.min_by("d", F.struct("c", -F.unix_date("d"))).over(w)})
-    at = out.select(F.col("code").alias("ac"), F.col("d").alias("ad"), F.col("i").alias("ai"))
+    out = distances(indexed(bars), n)
     last = out.withColumn("r", F.row_number().over(W.partitionBy("code").orderBy(F.desc("d")))).where("r = 1")
-    return last.join(at, (F.col("code") == F.col("ac")) & (F.col("low_at") == F.col("ad"))).select("code", "d", ((F.col("c") / F.col("hi") - 1) * 100).alias("from_high"), ((F.col("c") / F.col("lo") - 1) * 100).alias("from_low"), (F.col("i") - F.col("ai")).alias("bars_since_low"))
+    return last.select("code", "d", "from_high", "from_low", "bars_since_low")
+
+
+def distances(bars: DataFrame, n: int = 250) -> DataFrame:
+    """Adds, for every bar, the fall from the high and the rise from the low of closes in n bars, and bars since that low,
+    the latest one of equal ones. Needs i."""
+    out = extremes(bars, n, {"low": F.struct(F.col("c").alias("c"), (-F.col("i")).alias("back"))}, {"high": F.col("c")})
+    rise = lambda x: (F.col("c") / x - 1) * 100
+    return out.withColumns({"from_high": rise(F.col("high")), "from_low": rise(F.col("low.c")), "bars_since_low": F.col("i") + F.col("low.back")}).drop("low", "high")
 
 
 def observable(shaped: DataFrame, week: DataFrame) -> DataFrame:

@@ -67,6 +67,47 @@ def upsert(old: DataFrame, new: DataFrame, group: str, key: str, keep: int | Non
     return rows.withColumn("r", F.row_number().over(W.partitionBy(group).orderBy(F.desc(key)))).where(F.col("r") <= keep).drop("r")
 
 
+def capped(store: DataFrame, current: DataFrame, since: str, most: int = LIMITS.hourly_codes, code: str = "code") -> DataFrame:
+    """The store's rows of the codes that stay: all current ones, and as many of those that came into the store last as
+    leave `most`; where the current ones are that many, they alone. since: when a row's code first came, larger being
+    later; ties by code, larger first. current: code, few enough to count; rows with a null code go."""
+    now = current.select(code).where(F.col(code).isNotNull()).distinct()
+    left = max(0, most - now.count())
+    first = store.where(F.col(code).isNotNull()).groupBy(code).agg(F.min(since).alias("since_"))
+    last = first.orderBy(F.desc("since_"), F.desc(code)).limit(left).select(code)  # each task brings its own last ones
+    keep = now.unionByName(last).distinct()
+    return store.join(small(keep), code, "left_semi")
+
+
+def thinned(points: DataFrame, key: str, at: str, gap: int) -> DataFrame:
+    """Of each key's places, those that a walk from the smallest on keeps: each place that is at least `gap` beyond the one
+    kept before. at: numbers, without nulls; equal ones are one.
+
+    What follows a place, were it kept, doesn't depend on what was kept before, so each place points to the next one, and
+    the walk is found by doubling: pointers of twice the length each round, and what is reached by them. Rounds are the
+    logarithm of the longest walk; each is stored, and none holds a key's places in one task but the window that finds the
+    pointers."""
+    from barloom.sources.shared import kept
+
+    follows = F.min("a").over(W.partitionBy("k").orderBy("a").rangeBetween(gap, W.unboundedFollowing))
+    places = points.select(F.col(key).alias("k"), F.col(at).alias("a")).distinct()
+    jump = kept(places.withColumn("b", follows).where("b is not null"), "jumps")
+    reached = places.groupBy("k").agg(F.min("a").alias("a"))
+    n = -1
+    while True:
+        j = jump.alias("j")
+        more = reached.alias("r").join(j, F.col("r.k").eqNullSafe(F.col("j.k")) & (F.col("r.a") == F.col("j.a"))).select("r.k", F.col("j.b").alias("a"))
+        reached = kept(reached.unionByName(more).distinct(), "reached")
+        now = reached.count()
+        if now == n:
+            break
+        n = now
+        one, two = jump.alias("x"), jump.alias("y")
+        jump = kept(one.join(two, F.col("x.k").eqNullSafe(F.col("y.k")) & (F.col("x.b") == F.col("y.a"))).select("x.k", "x.a", "y.b"), "jumps")
+    r = reached.select(F.col("k").alias("k_"), F.col("a").alias("a_"))
+    return points.join(r, F.col(key).eqNullSafe(F.col("k_")) & (F.col(at) == F.col("a_")), "left_semi")
+
+
 def not_held(candidates: DataFrame, positions: DataFrame, keys: list[str], rank: str, room: int) -> DataFrame:
     """Candidates that aren't held, the best `room` of each day and strategy in keys[1:]."""
     free = candidates.join(positions.select(*keys).distinct(), keys, "left_anti")

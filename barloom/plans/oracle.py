@@ -301,7 +301,7 @@ FROM (SELECT *, count(*) OVER (PARTITION BY code) AS n, row_number() OVER (PARTI
     "chart_codes": over("""SELECT code, row_number() OVER (ORDER BY part, pos, code)::INTEGER AS place FROM (
   SELECT code, part, pos, row_number() OVER (PARTITION BY code ORDER BY part, pos) AS k FROM (
     SELECT code, CASE strategy WHEN 'TB' THEN 0 ELSE 1 END AS part, min(rank) AS pos FROM ranked GROUP BY ALL)) WHERE k = 1 QUALIFY place <= 20""", *FULL, CANDS),
-    "date_tail": over("SELECT d FROM (SELECT d FROM bars WHERE code <= 2 UNION SELECT d FROM bars WHERE code BETWEEN 3 AND 4) ORDER BY d DESC LIMIT 260", *BASE),
+    "date_tail": over("SELECT d FROM (SELECT d FROM bars WHERE code % 2 = 0 UNION SELECT d FROM bars WHERE code % 2 = 1) ORDER BY d DESC LIMIT 260", *BASE),
     "candidate_lists": over("""SELECT strategy, d, count(*) AS total, count_if(grade = '홈런') AS homeruns, string_agg(CASE WHEN rank <= most THEN code::VARCHAR END, ',' ORDER BY rank) AS codes
 FROM ranked JOIN (SELECT d, CASE WHEN row_number() OVER (ORDER BY d DESC) = 1 THEN 5 ELSE 2 END AS most FROM (SELECT DISTINCT d FROM ranked) QUALIFY row_number() OVER (ORDER BY d DESC) <= 40) USING (d) GROUP BY strategy, d""", *FULL, CANDS),
     "observed_reports": over(f"""SELECT a.code, a.d, {', '.join(f"{rnd('a.' + x, 6)} AS {x}" for x in ('c', 'chg1', 'chg20', 'chg60', 'gb', 'gs', 'slope3', 'slope5', 't', 'b', 'u', 'u_sig'))}, a.red,
@@ -318,16 +318,41 @@ LEFT JOIN (SELECT *, least(15, i - coalesce(max(CASE WHEN wgs > 5 THEN i END) OV
   FROM logged l JOIN counted c USING (strategy, d) GROUP BY ALL) GROUP BY d""", *FULL, CANDS, TRADES, LOGGED),
     "replay_one_slot": over(f"SELECT *, {rnd('(price / entry_price - 1) * 100', 4)} AS pnl FROM played", *FULL, SNAP, ONE_SLOT),
     "universe_counts": over("SELECT CASE WHEN starts_with(market, 'KOSPI') THEN 'KOSPI' ELSE 'KOSDAQ' END AS market, count(*) AS n FROM listing GROUP BY 1", LISTING),
+    "vendor_scan": over("SELECT * FROM (SELECT * FROM bars WHERE d >= '1996-12-01') QUALIFY count(*) OVER (PARTITION BY code) >= 130", *BASE),
+    "long_extremes": over(f"""SELECT code, d, {rnd('(c / hi - 1) * 100', 6)} AS from_high, {rnd('(c / lo - 1) * 100', 6)} AS from_low, i - bi AS bars_since_low FROM (
+  SELECT a.code, a.d, a.c, a.hi, a.lo, a.i, max(b.i) AS bi
+  FROM (SELECT *, max(c) OVER {last(250)} AS hi, min(c) OVER {last(250)} AS lo FROM x0) a JOIN x0 b ON b.code = a.code AND b.i > a.i - 250 AND b.i <= a.i AND b.c = a.lo GROUP BY ALL)""", *BASE),
+    "month_labels": over(f"""SELECT code, d, {rnd('x', 6)} AS x FROM walked""", *BASE, """marks AS MATERIALIZED (SELECT code, d, 56.0::DOUBLE + (i + 1 - 0.5::DOUBLE) * 900.0::DOUBLE / n AS x FROM (
+  SELECT *, count(*) OVER (PARTITION BY code) AS n, coalesce(date_trunc('month', d) <> lag(date_trunc('month', d)) OVER (PARTITION BY code ORDER BY d), false) AS new_month FROM x0) WHERE new_month AND x < 56 + 900 - 18),
+walked AS (SELECT code, min(d) AS d, min(x) AS x FROM marks GROUP BY code UNION ALL
+  SELECT code, d, x FROM (SELECT m.code, m.d, m.x, row_number() OVER (PARTITION BY m.code ORDER BY m.x) AS k FROM walked w JOIN marks m ON m.code = w.code AND m.x >= w.x + 44) WHERE k = 1)"""),
+    "hourly_runs": """WITH r AS (SELECT DISTINCT * FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL AND arrived_at IS NOT NULL AND click_id IS NOT NULL AND value IS NOT NULL),
+t AS (SELECT client_id AS code, date_trunc('hour', ts) AS hour, value, row_number() OVER (PARTITION BY client_id ORDER BY arrived_at, click_id) AS k FROM r),
+u AS (SELECT *, coalesce(lag(hour) OVER (PARTITION BY code ORDER BY k) <> hour, true) AS new FROM t),
+v AS (SELECT *, sum(new::INT) OVER (PARTITION BY code ORDER BY k) AS run FROM u),
+bar AS (SELECT code, hour, run, min_by(value, k) AS o, max(value) AS h, min(value) AS l, max_by(value, k) AS c, count(*) AS v FROM v GROUP BY ALL)
+SELECT code, hour, o, h, l, c, v FROM bar QUALIFY row_number() OVER (PARTITION BY code, hour ORDER BY run DESC) = 1""",
+    "capped_upsert": """WITH c AS (SELECT client_id AS code, date_trunc('hour', ts) AS hour, value FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+bar AS (SELECT code, hour, max(value) AS px FROM c WHERE hour < '2024-04-01' OR hour >= '2024-04-27' GROUP BY ALL),
+cur AS (SELECT DISTINCT code FROM bar WHERE hour >= '2024-04-27'),
+late AS (SELECT code FROM bar GROUP BY code ORDER BY min(hour) DESC, code DESC LIMIT (SELECT greatest(0, 160 - count(*)) FROM cur))
+SELECT code, hour, px FROM bar WHERE code IN (SELECT code FROM cur UNION SELECT code FROM late) QUALIFY row_number() OVER (PARTITION BY code ORDER BY hour DESC) <= 240""",
+    "stream_hourly_bars": """WITH e AS (SELECT event_type AS code, CAST(ts AS DATE) AS d, ts, event_id, value, sum(event_id % 7) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT - CASE WHEN event_id % 11 = 0 THEN 9 ELSE 0 END AS total FROM events),
+s AS (SELECT *, greatest(total - coalesce(lag(total) OVER (PARTITION BY code, d ORDER BY ts, event_id), 0), 0) AS step FROM e)
+SELECT code, date_trunc('hour', ts) AS hour, min_by(value, (ts, event_id)) AS o, max(value) AS h, min(value) AS l, max_by(value, (ts, event_id)) AS c, sum(step)::BIGINT AS v FROM s GROUP BY ALL""",
     "similarity_windows": over(f"""SELECT a.code, a.d, {rnd('(a.c / a.hi - 1) * 100', 6)} AS from_high, {rnd('(a.c / a.lo - 1) * 100', 6)} AS from_low, a.i - b.i AS bars_since_low
 FROM (SELECT *, max(c) OVER {last(250)} AS hi, min(c) OVER {last(250)} AS lo FROM x0 QUALIFY row_number() OVER (PARTITION BY code ORDER BY d DESC) = 1) a,
 LATERAL (SELECT max(i) AS i FROM x0 WHERE x0.code = a.code AND x0.i > a.i - 250 AND x0.c = a.lo) b""", *BASE),
 }
 
+# the same rows, kept up
+SQL |= {"stream_volume_steps": SQL["cum_to_delta_volume"], "stats_kept_up": SQL["stats_by_strategy"], "reasons_kept_up": SQL["by_reason"], "equity_kept_up": SQL["equity_curve"]}
+
 #: Dates are compared as texts, so that both engines' results hash alike.
 DATES = {
     "weekly_bars": ("w",), "sign_runs": ("first", "last"), "fifo_closed": ("buy_d", "sell_d"), "ledger_kpis": ("first", "last"), "closed_trades": ("entry_date", "exit_date"),
-    "trade_stats": ("first", "last"), "stats_by_strategy": ("first", "last"), "replay_one_slot": ("d", "entry_date"),
-    **dict.fromkeys(("timing_60m", "chart_documents", "chart_codes", "hourly_bars", "universe_topn", "universe_counts", "common_share_filter", "extents", "ordered_union", "keyed_upsert", "by_reason", "equity_curve"), ()),
+    "trade_stats": ("first", "last"), "stats_by_strategy": ("first", "last"), "stats_kept_up": ("first", "last"), "replay_one_slot": ("d", "entry_date"),
+    **dict.fromkeys(("timing_60m", "chart_documents", "chart_codes", "hourly_bars", "universe_topn", "universe_counts", "common_share_filter", "extents", "ordered_union", "keyed_upsert", "by_reason", "equity_curve", "reasons_kept_up", "equity_kept_up", "hourly_runs", "capped_upsert", "stream_hourly_bars"), ()),
 }
 
 

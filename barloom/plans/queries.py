@@ -13,7 +13,9 @@ from barloom.functions.numeric import rnd
 from barloom.operators import exits, ledger, replay, report, scans, sets, shape, signals
 from barloom.operators import indicators as ind
 from barloom.sources import bars as src
+from barloom.sources import versions
 
+from . import kept
 from .oracle import told
 
 FLOOR = 3e5  # the fixture's prices and sizes are small; the rule's own floor is config.LIMITS.min_amount
@@ -86,12 +88,16 @@ def replayed(*tags: str) -> Query:
     return run
 
 
-def cum_volume(spark: SparkSession, sf: str) -> DataFrame:
+def running_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as rows of a running total by type and day, which sometimes falls."""
     e = src.table(spark, sf, "events")
     w = W.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
     total = F.sum(F.col("event_id") % 7).over(w) - F.when(F.col("event_id") % 11 == 0, 9).otherwise(0)
-    e = e.select(F.col("event_type").alias("code"), F.to_date("ts").alias("d"), "ts", "event_id", total.alias("total"))
-    return src.volume_steps(e, "total", ["code", "d"], ["ts", "event_id"]).drop("ts")
+    return e.select(F.col("event_type").alias("code"), F.to_date("ts").alias("d"), "ts", "event_id", F.col("value").alias("price"), total.alias("total"))
+
+
+def cum_volume(spark: SparkSession, sf: str) -> DataFrame:
+    return src.volume_steps(running_totals(spark, sf).drop("price"), "total", ["code", "d"], ["ts", "event_id"]).drop("ts")
 
 
 def universe_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,6 +207,35 @@ def timing(spark: SparkSession, sf: str) -> DataFrame:
     return signals.timing(h).withColumns({x: rnd(x, 6) for x in ("gb", "gs", "std")})
 
 
+def streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """cum_volume's steps, out of a stream of rows that come late and more than once."""
+    e = running_totals(spark, sf).select("code", "ts", F.col("event_id").alias("id"), "price", F.col("total").cast("double").alias("total"))
+    steps, _ = kept.streamed_steps(e, "12 days")
+    out = versions.read(spark, steps).where("code <> ''")
+    return out.select("code", "d", F.col("id").alias("event_id"), F.col("total").cast("long").alias("total"), F.col("step").cast("long").alias("step"))
+
+
+def streamed_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly bars kept up from such a stream, their volume the steps'."""
+    e = running_totals(spark, sf).select("code", "ts", F.col("event_id").alias("id"), "price", F.col("total").cast("double").alias("total"))
+    _, bars_ = kept.streamed_steps(e, "12 days")
+    return versions.read(spark, bars_).where("code <> ''").select("code", F.col("hour").cast("timestamp_ntz").alias("hour"), "o", "h", "l", "c", F.col("v").cast("long").alias("v"))
+
+
+def capped(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly clicks of clients: a store up to April, then what came on the last three days; of the codes those stay that
+    came then and the last ones that came before, 160 in all, of each the last 240 hours."""
+    c = src.table(spark, sf, "clicks").where("client_id is not null and ts is not null")
+    c = c.select(F.col("client_id").alias("code"), F.date_trunc("hour", "ts").alias("hour"), "value")
+    bar = lambda df: df.groupBy("code", "hour").agg(F.max("value").alias("px"))
+    new = bar(c.where("hour >= timestamp_ntz'2024-04-27 00:00:00'"))
+    old = bar(c.where("hour < timestamp_ntz'2024-04-01 00:00:00'"))
+    first = F.min("hour").over(W.partitionBy("code"))
+    store = sets.upsert(old, new, "code", "hour").withColumn("since", first)
+    store = sets.capped(store, new, "since").drop("since")
+    return store.withColumn("r", F.row_number().over(W.partitionBy("code").orderBy(F.desc("hour")))).where(F.col("r") <= LIMITS.hourly_bars).drop("r")
+
+
 def _registry() -> dict[str, Query]:
     b = lambda f: lambda s, d: f(bars(s, d))
     x = lambda f: lambda s, d: f(shaped(s, d))
@@ -268,7 +303,7 @@ def _registry() -> dict[str, Query]:
         "similarity_windows": b(lambda f: report.windows(f).select("code", "d", rnd("from_high", 6).alias("from_high"), rnd("from_low", 6).alias("from_low"), "bars_since_low")),
         "chart_documents": b(chart_texts),
         "chart_codes": lambda s, d: sets.first_codes(*union_parts(s, d), most=20),
-        "date_tail": b(lambda f: sets.date_tail([f.where(F.col("code") <= 2), f.where(F.col("code").between(3, 4))])),
+        "date_tail": b(lambda f: sets.date_tail([f.where(F.col("code") % 2 == 0), f.where(F.col("code") % 2 == 1)])),
         "candidate_lists": candidate_lists,
         "observed_reports": observed,
         "evaluate_strict": x(lambda f: signals.evaluate(f).select("code", "d", "score")),
@@ -277,6 +312,16 @@ def _registry() -> dict[str, Query]:
         "trade_log": replayed(LEGACY_TAG, TB_TAG),
         "replay_weekly": weekly_replayed,
         "replay_one_slot": alone,
+        "vendor_scan": lambda s, d: kept.vendor_scan(s, bars(s, d), "1996-12-01"),
+        "stream_volume_steps": streamed,
+        "stream_hourly_bars": streamed_bars,
+        "stats_kept_up": lambda s, d: kept.stats(trades(s, d)),
+        "reasons_kept_up": lambda s, d: kept.reasons(trades(s, d)),
+        "equity_kept_up": lambda s, d: kept.equity(trades(s, d)).select("strategy", "seq", "cum"),
+        "hourly_runs": lambda s, d: kept.hourly_runs(src.table(s, d, "clicks")),
+        "capped_upsert": capped,
+        "long_extremes": b(lambda f: six(report.distances(ind.indexed(f)), "from_high", "from_low", also=("bars_since_low",))),
+        "month_labels": b(lambda f: ind.month_labels(f).select("code", "d", rnd("x", 6).alias("x"))),
         "day_counters": lambda s, d: report.counters(fixed_log(s, d)),
         "day_report": lambda s, d: report.day_report(fixed_log(s, d)),
     }

@@ -40,6 +40,23 @@ def volume_steps(df: DataFrame, total: str, keys: list[str], order: list[str]) -
     return df.withColumn("step", F.greatest(F.col(total) - F.coalesce(F.lag(total).over(w), F.lit(0)), F.lit(0)))
 
 
+def run_bars(ticks: DataFrame, code: str = "code", period: str = "hour", order: str = "at", price: str = "price", volume: str = "size", chunk: str = "chunk") -> DataFrame:
+    """Bars of runs: rows of a code that come one after the other in the same period are a run, and of a period's runs the
+    last one counts, as if each run's bar were put in place of the one before it.
+
+    order: the order of arrival, without ties in a code; chunk: a column that never falls in that order, such as the day
+    of arrival, whose rows suit a task. No window holds a code's whole history: a run begins where the row before, be it
+    in the chunk before, has another period; a period's last run begins at the last such row of the period; rows from
+    there on make the bar."""
+    from barloom.operators.scans import before
+
+    df, prev = before(ticks, code, order, chunk, period)
+    began = df.withColumn("new", ~F.col(period).eqNullSafe(prev)).where("new")
+    last = began.groupBy(code, period).agg(F.max(order).alias("from_"))
+    rows = ticks.join(last, [code, period]).where(F.col(order) >= F.col("from_"))
+    return to_bars(rows, [code, period], order, price, volume)
+
+
 def weekly_bars(bars: DataFrame) -> DataFrame:
     """Bars of weeks that begin on Monday."""
     week = F.to_date(F.date_trunc("week", "d"))

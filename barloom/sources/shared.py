@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -19,3 +19,10 @@ def place(spark: SparkSession, name: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="barloom-")
         sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to such a folder and read again: what follows builds on files, not on what led to them."""
+    path = place(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

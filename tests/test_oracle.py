@@ -7,7 +7,7 @@ import pytest
 
 from barloom.plans.queries import oracle_sql, queries
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events clicks".split()
 
 
 @pytest.fixture(scope="module")
