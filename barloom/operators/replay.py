@@ -238,21 +238,142 @@ def columns_of(pdf: pd.DataFrame) -> dict[str, list]:
     return {c: pdf[c].tolist() for c in pdf.columns if c != "strategy"}
 
 
-def replay(days: DataFrame, orders: bool = False) -> DataFrame:
-    """The log of each strategy's book over all days, with orders also what is ordered at each close. days: strategy and
-    DAY (or WEEK), only of codes that are ever candidates (see ever): capacity couples codes, so a strategy is one
-    sequence of days, and its rows must be few."""
+# --- the replay in three steps. What becomes of a position follows from its code's bars alone; only which candidates get one
+# of the few slots couples codes, and for that a day's best candidates suffice
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        book = books(pdf["strategy"].iloc[0])
-        out: list[tuple] = []
-        for d, day in days_of(columns_of(pdf)).items():
-            out += book.step(d, day)
-            if orders:
-                out += book.orders(d)
-        return _log_frame(out)
 
-    return days.groupBy("strategy").applyInPandas(run, LOG)
+class One(Day):
+    """A day of one code, or of none."""
+
+    def __init__(self, row: dict | None):
+        self.row = row
+
+    def get(self, code: int) -> dict | None:
+        return self.row if self.row is not None and self.row["code"] == code else None
+
+    def ranked(self) -> list[int]:
+        return []
+
+
+ROW = "d date, action string, severity string, reason string, price long, score double, rank int, grade string, entry_date date, entry_price long, days_held int, pnl_pct double"
+#: A candidate as a position: signal and fill are numbers of days (fill null if its code has no bar on the next day);
+#: kinds has a letter a day from the fill on: h held, s ordered to be sold, - no bar; leaves is the day on which it is
+#: sold, at the open or within the day; log its rows in order.
+TRADE = f"strategy string, code long, signal int, rank int, fill int, kinds string, leaves int, at_open boolean, log array<struct<{', '.join(x.replace(' ', ': ', 1) for x in ROW.split(', '))}>>"
+
+
+def trade_of(strategy: str, rows: list[dict], at: int) -> tuple:
+    """What becomes of the candidate rows[at] if it is bought at the next day's open. rows: a code's bars in order, with
+    the number k of their day."""
+    s = rows[at]
+    code, signal = s["code"], s["k"]
+    head = (strategy, code, signal, s["rank"])
+    if at + 1 == len(rows) or rows[at + 1]["k"] != signal + 1:
+        return (*head, None, "", None, None, [])
+    order = {"code": code, "score": s["score"], "rank": s["rank"], "grade": s["grade"] or "", "signal_date": str(s["d"])}
+    book, log, kinds, k = books(strategy, {"buying": [order]}, 1), [], "", signal
+    for row in rows[at + 1 :]:
+        if row["k"] > k + 1:
+            book.step(None, One(None))  # days without a bar: an order to sell lapses
+            kinds += "-" * (row["k"] - k - 1)
+        k, ordered = row["k"], bool(book.selling)
+        log += book.step(row["d"], One(row))
+        if not book.held:
+            return (*head, signal + 1, kinds, k, ordered, _rows(log))
+        kinds += "s" if book.selling else "h"
+    return (*head, signal + 1, kinds, None, None, _rows(log))
+
+
+def _rows(log: list[tuple]) -> list[tuple]:
+    """Log rows without strategy, number and code."""
+    return [(r[2], *r[4:]) for r in log]
+
+
+def chosen(trades: Iterable[tuple], last: int, slots: int = LIMITS.max_positions) -> list[tuple]:
+    """(code, signal, numbers of its log rows) of the candidates that get a slot. trades: (signal, rank, code, fill, kinds,
+    leaves, at_open) of each day's best candidates; last: the number of the last day. A day: orders to sell, then to buy
+    while there are slots; sales within the day; at the close held codes are judged, and as many of the best candidates
+    that aren't held are ordered as there are slots, those to be sold counting as free."""
+    by_day: dict[int, list] = {}
+    for t in sorted(trades):
+        by_day.setdefault(t[0], []).append(t)
+    held: dict[int, tuple] = {}
+    seqs: dict[tuple, list] = {}
+    selling, buying, seq = [], [], 0
+
+    def told(t: tuple) -> None:
+        nonlocal seq
+        seqs.setdefault((t[2], t[0]), []).append(seq)
+        seq += 1
+
+    for k in range(last + 1):
+        for t in selling:
+            if t[5] == k and t[6]:
+                del held[t[2]]
+                told(t)
+        for t in buying:
+            if t[3] == k and t[2] not in held and len(held) < slots:
+                held[t[2]] = t
+                told(t)
+        for t in list(held.values()):
+            if t[5] == k and not t[6]:
+                del held[t[2]]
+                told(t)
+        selling, buying = [], []
+        for t in held.values():
+            kind = t[4][k - t[3] : k - t[3] + 1]  # empty after its code's last bar
+            if kind == "s":
+                selling.append(t)
+            elif kind == "h":
+                told(t)
+        room = slots - len(held) + len(selling)
+        for t in by_day.get(k, ()):
+            if len(buying) >= room:
+                break
+            if t[2] not in held:
+                buying.append(t)
+    return [(code, signal, numbers) for (code, signal), numbers in seqs.items()]
+
+
+def replay(days: DataFrame, slots: int = LIMITS.max_positions) -> DataFrame:
+    """The log of each strategy's book over all days. days: strategy and DAY (or WEEK), only of codes that are ever
+    candidates (see ever); ranks of a day are 1, 2, 3 and so on.
+
+    Of a day's candidates no more than the best 2 * slots can be ordered: slots may be free or become free, and as many
+    codes may be held already. Each of those is played apart, code by code, as if it got a slot; then one task a strategy
+    walks over its days and the at most 2 * slots candidates of each, whatever the number of codes and bars, and tells
+    which ones do, and the places of their rows in the log; then those rows are put together."""
+    from barloom.sources.shared import kept
+
+    from .sets import small
+
+    days = kept(days, "days")
+    calendar = days.select("strategy", "d").distinct()  # a row a strategy and day
+    calendar = calendar.withColumn("k", (F.row_number().over(W.partitionBy("strategy").orderBy("d")) - 1).cast("int"))
+    best = days.where(F.col("rank") <= 2 * slots).groupBy("strategy", "code").agg(F.min("d").alias("from_"))
+    rows = days.join(small(best), ["strategy", "code"]).where("d >= from_").drop("from_").join(small(calendar), ["strategy", "d"])
+
+    def play_code(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        cols = columns_of(pdf)
+        bars = [{k: _value(v[i]) for k, v in cols.items()} for i in range(len(pdf))]
+        bars = [r | {k: int(r[k]) for k in (WHOLE | {"k"}) & r.keys() if r[k] is not None} for r in bars]
+        out = [trade_of(key[0], bars, i) for i, r in enumerate(bars) if r["rank"] is not None and r["rank"] <= 2 * slots]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in TRADE.split(", ")[:8]] + ["log"]).astype({c: "Int64" for c in ("rank", "fill", "leaves")} | {"at_open": "boolean"})
+
+    trades = kept(rows.groupBy("strategy", "code").applyInPandas(play_code, TRADE), "trades")
+    last = calendar.groupBy("strategy").agg(F.max("k").alias("last"))
+
+    def choose(key: tuple, pdf: pd.DataFrame, end: pd.DataFrame) -> pd.DataFrame:
+        whole = lambda c: [None if x is None or x != x else int(x) for x in pdf[c].tolist()]
+        found = list(zip(*(whole(c) for c in ("signal", "rank", "code", "fill")), pdf["kinds"].tolist(), whole("leaves"), [x is True or x == 1 for x in pdf["at_open"].tolist()], strict=True))
+        return pd.DataFrame([(key[0], *x) for x in (chosen(found, int(end["last"].iloc[0]), slots) if len(end) else [])], columns=["strategy", "code", "signal", "seqs"])
+
+    slim = trades.select("strategy", "code", "signal", "rank", "fill", "kinds", "leaves", "at_open")
+    got = slim.groupBy("strategy").cogroup(last.groupBy("strategy")).applyInPandas(choose, "strategy string, code long, signal int, seqs array<long>")
+    out = trades.select("strategy", "code", "signal", "log").join(got, ["strategy", "code", "signal"])
+    out = out.select("strategy", "code", F.inline(F.arrays_zip("log", "seqs")))
+    return out.select("strategy", F.col("seqs").alias("seq"), "log.d", "code", *[f"log.{c.split()[0]}" for c in ROW.split(", ")[1:]])
 
 
 def replay_alone(days: DataFrame, slots: int = 1) -> DataFrame:
