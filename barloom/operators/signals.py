@@ -143,6 +143,17 @@ def universe(listing: DataFrame, per_market: tuple = LIMITS.per_market, min_pric
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("code", "name", "market", F.col("marcap").cast("long").alias("marcap"), "rank")
 
 
+def in_universe_order(candidates: DataFrame, members: DataFrame, per_market: tuple = LIMITS.per_market) -> DataFrame:
+    """candidates with place, by which ranked() may settle ties: the order in which a universe lists its members, market
+    after market, each by rank; codes that aren't in it come last, by code. members: what universe() gives."""
+    from .sets import small
+
+    market = F.coalesce(*[F.when(F.col("market") == m, i) for i, (m, _) in enumerate(per_market)])
+    listed = members.select("code", F.struct(F.lit(0).alias("out"), market.alias("market"), F.col("rank").cast("long").alias("at")).alias("listed"))
+    bare = F.struct(F.lit(1).alias("out"), F.lit(0).alias("market"), F.col("code").cast("long").alias("at"))
+    return candidates.join(small(listed), "code", "left").withColumn("place", F.coalesce("listed", bare)).drop("listed")
+
+
 def weekly_entries(day: DataFrame, week: DataFrame, gb_min: float = WEEKLY.gb_min, gs_max: float = WEEKLY.gs_max) -> DataFrame:
     """Days on which both the day's and the last whole week's lines are calm and have risen to `gb_min`, ranked by the
     day's rise line. day, week: code, d, gb and gs; a week's d is its Monday."""

@@ -7,12 +7,13 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.config import LIMITS
-from barloom.operators import ledger, replay, report, sets, shape, signals
-from barloom.sources import versions
-from barloom.sources.bars import enough
+from barloom.operators import indicators, ledger, replay, report, sets, shape, signals
+from barloom.sources import vendor, versions
+from barloom.sources.bars import enough, minute_ticks, read_external, run_bars, volume_steps
 
 STATE = "strategy string, state string, version string"
 
@@ -59,18 +60,19 @@ def performance(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame, Da
     return ledger.equity_of(trades, states), ledger.stats_of(states), ledger.reasons_of(why)
 
 
-def run(spark: SparkSession, bars: DataFrame, out: str, until: str | None = None, backfill: int = 1, force: bool = False, reset: bool = False, min_amount: float = LIMITS.min_amount) -> int:
+def run(spark: SparkSession, bars: DataFrame, out: str, until: str | None = None, backfill: int = 1, force: bool = False, reset: bool = False, min_amount: float = LIMITS.min_amount, external: DataFrame | None = None) -> int:
     """Plays the latest `backfill` days up to `until` that haven't been played; how many those are. force and reset begin
     with empty books (reset also drops the log). Writes state (the books, and where the run's rows are), then from those
     log (a folder a day; a day played again replaces itself), report (JSON) and each day's states of performance, which
-    performance() reads."""
+    performance() reads. external: indicators in place of our own (indicators.override)."""
     logs = f"{out}/log"
     publish(spark, out)
     if reset:
         report.reset(spark, f"{replay.LOG}, day string", logs)
         for name in (TRADES, STATES, WHY):
             versions.deleted(spark, f"{out}/{name}")
-    shaped = shape.shaped(enough(bars, LIMITS.min_bars).drop("n"))
+    whole = enough(bars, LIMITS.min_bars).drop("n")
+    shaped = shape.shaped(whole) if external is None else shape.with_shape(indicators.override(indicators.series(whole), external))
     days = replay.ever(signals.both(shaped, min_amount))
     targets = sets.latest_days(bars, backfill, F.lit(until).cast("date") if until else None)
     done = _read(spark, logs, f"{replay.LOG}, day string").select(F.col("day").cast("date").alias("d")).distinct()
@@ -88,18 +90,55 @@ def run(spark: SparkSession, bars: DataFrame, out: str, until: str | None = None
     return n
 
 
+HOURS = "code string, hour timestamp, o double, h double, l double, c double, v double, since long"
+
+
+def keep_hours(spark: SparkSession, bars: DataFrame, out: str, codes: int = LIMITS.hourly_codes, most: int = LIMITS.hourly_bars) -> int:
+    """Puts a run's 60-minute bars (code, hour, o, h, l, c, v) into the store of such bars, which is one versioned table: an
+    hour that is there already is replaced, each code keeps its last `most` bars, and of the codes those of this run stay
+    and the ones that came last before, `codes` in all. since tells the version in which a code came. The store's size is
+    bounded by those two limits. Returns the version."""
+    path = f"{out}/hours"
+    new = bars.withColumn("since", F.lit(versions.manifest(spark, path)["version"] + 1).cast("long")).select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in HOURS.split(", ")])
+    whole = sets.upsert(versions.read(spark, path, HOURS), new, "code", "hour", most)
+    whole = whole.withColumn("since", F.min("since").over(W.partitionBy("code")))
+    version = versions.write(sets.capped(whole, new, "since", codes), path, mode="replace")
+    versions.prune(spark, path)
+    return version
+
+
+def hours_of(pages: DataFrame) -> DataFrame:
+    """60-minute bars out of pages of minute ticks (code, text)."""
+    ticks = minute_ticks(pages).withColumn("d", F.to_date("ts"))
+    ticks = volume_steps(ticks, "total", ["code", "d"], ["ts"]).withColumns({"hour": F.date_trunc("hour", "ts"), "at": F.struct("ts"), "chunk": F.col("d")})
+    return run_bars(ticks, volume="step")
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("bars", help="Parquet of bars: code, d, o, h, l, c, v")
+    p.add_argument("bars", help="Parquet of bars: code, d, o, h, l, c, v; with --cyprice a vendor's pages")
     p.add_argument("out", help="folder of the run's tables")
     p.add_argument("--date")
     p.add_argument("--backfill", type=int, default=1)
     p.add_argument("--force", action="store_true")
     p.add_argument("--reset", action="store_true")
     p.add_argument("--min-amount", type=float, default=LIMITS.min_amount)
+    p.add_argument("--cyprice", action="store_true", help="bars come from a vendor's pages")
+    p.add_argument("--cyindi", metavar="CSV", help="external indicators in place of our own")
+    p.add_argument("--minutes", metavar="PARQUET", help="pages of minute ticks (code, text) for the 60-minute bars")
+    p.add_argument("--no-m60", action="store_true", help="leaves out the 60-minute bars")
     a = p.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
-    return run(spark, spark.read.parquet(a.bars), a.out, a.date, a.backfill, a.force, a.reset, a.min_amount)
+    if a.cyprice:
+        spark.dataSource.register(vendor.VendorBars)
+        bars = spark.read.format("vendor_bars").option("path", a.bars).load().withColumn("code", F.col("code").cast("long"))
+    else:
+        bars = spark.read.parquet(a.bars)
+    external = read_external(spark, a.cyindi).withColumn("code", F.col("code").cast("long")) if a.cyindi else None
+    n = run(spark, bars, a.out, a.date, a.backfill, a.force, a.reset, a.min_amount, external)
+    if a.minutes and not a.no_m60:
+        keep_hours(spark, hours_of(spark.read.parquet(a.minutes)), a.out)
+    return n
 
 
 if __name__ == "__main__":

@@ -258,6 +258,9 @@ SELECT code, d, event_id, total, greatest(total - coalesce(lag(total) OVER (PART
     "tb_score": over(f"SELECT code, d, {TB_SCORE} AS score FROM full_", *FULL),
     "tb_grade": over("SELECT code, d, CASE WHEN gs <= 5 THEN '홈런' ELSE '일반' END AS grade FROM full_ WHERE tb_ok", *FULL),
     "evaluate_lenient": over(f"SELECT code, d, {LEGACY_SCORE} AS score, CASE WHEN gs_hold < 3 THEN 'hold' WHEN gs_std > 2 THEN 'std' WHEN gb < 10 THEN 'rise' WHEN slope5 < 1 THEN 'slope' WHEN bad_wick THEN 'wick' WHEN big_down THEN 'down' WHEN c < ma30 THEN 'ma30' END AS reject FROM s4 WHERE i >= 119 AND t IS NOT NULL AND b IS NOT NULL AND u IS NOT NULL AND ma30 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code ORDER BY d DESC) = 1", *FULL),
+    "day_rank_universe": over("""SELECT strategy, d, code, score, row_number() OVER (PARTITION BY strategy, d ORDER BY score DESC, m IS NULL, m, coalesce(r, code))::INTEGER AS rank FROM cands LEFT JOIN members USING (code)""", *FULL, CANDS, LISTING, """members AS (
+  SELECT code, m, row_number() OVER (PARTITION BY m ORDER BY marcap DESC, code) AS r FROM (SELECT *, CASE WHEN starts_with(market, 'KOSPI') THEN 0 WHEN starts_with(market, 'KOSDAQ') THEN 1 END AS m FROM listing WHERE marcap > 0 AND close >= 0 AND code::VARCHAR LIKE '%0' AND NOT regexp_matches(name, '스팩|리츠|우$|우B$|우C$'))
+  QUALIFY r <= CASE m WHEN 0 THEN 200 ELSE 150 END)"""),
     "day_rank": over("SELECT strategy, d, code, score, rank FROM ranked", *FULL, CANDS),
     "topk_per_day": over("SELECT strategy, d, code, rank FROM ranked WHERE rank <= 3", *FULL, CANDS),
     "legacy_exit_flags": over("""SELECT code, d, rule, CASE WHEN rule IS NULL THEN 'HOLD' ELSE 'SELL' END AS action,

@@ -46,6 +46,13 @@ def candidates(s: DataFrame) -> DataFrame:
     return signals.ranked(signals.both(s, FLOOR).where("ok"), ["strategy", "d"]).select("strategy", "code", "d", "score", "grade", "rank")
 
 
+def universe_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates ranked with ties in the universe's order; the fixture's companies count at any price."""
+    found = signals.both(shaped(spark, sf), FLOOR).where("ok").select("strategy", "code", "d", "score")
+    placed = signals.in_universe_order(found, signals.universe(listing(spark, sf), min_price=0.0))
+    return signals.ranked(placed, ["strategy", "d"], tie="place").select("strategy", "d", "code", "score", "rank")
+
+
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
     return candidates(shaped(spark, sf))
 
@@ -278,6 +285,7 @@ def _registry() -> dict[str, Query]:
         "evaluate_lenient": x(lambda f: signals.evaluate(f, strict=False).select("code", "d", "score", "reject")),
         "timing_60m": timing,
         "day_rank": lambda s, d: ranked(s, d).select("strategy", "d", "code", "score", "rank"),
+        "day_rank_universe": universe_ranked,
         "topk_per_day": lambda s, d: ranked(s, d).where("rank <= 3").select("strategy", "d", "code", "rank"),
         "legacy_exit_flags": lambda s, d: exits.with_legacy_exit(held(s, d)).select("code", "d", "rule", "action", "severity"),
         "tb_exit_flags": lambda s, d: exits.with_tb_exit(held(s, d)).select("code", "d", "action", "reason", "severity"),

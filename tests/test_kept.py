@@ -77,3 +77,39 @@ def test_states_of_parts_merge_to_those_of_all(spark):
     assert same(ledger.reasons_of(union(states[3:])), ledger.by_reason(t))
     assert same(ledger.equity_of(ledger.day_growth(t), union(states[:3])), ledger.equity(t))
     assert ledger.reasons_of(ledger.reason_states(t.limit(0))).count() == 0
+
+
+def test_ties_go_by_the_universe(spark):
+    from barloom.operators import signals
+
+    members = spark.createDataFrame([(30, "a", "KOSDAQ", 9, 1), (10, "b", "KOSPI", 5, 2), (20, "c", "KOSPI", 7, 1)], "code long, name string, market string, marcap long, rank int")
+    cands = spark.createDataFrame([(c, 50.0, "d") for c in (5, 10, 20, 30, 4)] + [(99, 60.0, "d")], "code long, score double, d string")
+    got = signals.ranked(signals.in_universe_order(cands, members), ["d"], tie="place").orderBy("rank").collect()
+    assert [r.code for r in got] == [99, 20, 10, 30, 4, 5]
+
+
+def page(day, minutes, start=0):
+    return "".join(f'<i data="{day}{9 + m // 60:02d}{m % 60:02d}|a|b|c|{start + m}|{(m + 1) * 10}">' for m in range(minutes))
+
+
+def test_daily_switches(spark, sf, tmp_path):
+    from barloom.plans import daily
+    from barloom.plans.queries import bars
+    from barloom.sources import vendor, versions
+
+    b = bars(spark, sf).where("code <= 6").persist()
+    vendor.write_pages(b, str(tmp_path / "pages"), page=300)
+    b.write.parquet(str(tmp_path / "bars"))
+    spark.createDataFrame([("1", page("20240102", 90, 100)), ("2", page("20240102", 25, 500))], "code string, text string").write.parquet(str(tmp_path / "minutes"))
+    args = ["--backfill", "3", "--min-amount", "3e5"]
+    assert daily.main([str(tmp_path / "pages"), str(tmp_path / "one"), "--cyprice", "--no-m60", "--minutes", str(tmp_path / "minutes"), *args]) == 3
+    assert versions.manifest(spark, str(tmp_path / "one/hours"))["version"] == -1
+    code = b.groupBy("code").count().first()
+    rows = "\n".join(f"A{code[0]},{i},90,80,1,1,1" for i in range(code[1]))
+    (tmp_path / "ext.csv").write_text("code,seq,B,T,T_sig,U,U_sig\n" + rows + "\n")
+    assert daily.main([str(tmp_path / "bars"), str(tmp_path / "two"), "--cyindi", str(tmp_path / "ext.csv"), "--minutes", str(tmp_path / "minutes"), *args]) == 3
+    hours = versions.read(spark, str(tmp_path / "two/hours")).orderBy("code", "hour").collect()
+    assert [(r.code, r.hour.hour, r.o, r.h, r.c, r.v, r.since) for r in hours] == [("1", 9, 100.0, 159.0, 159.0, 600.0, 0), ("1", 10, 160.0, 189.0, 189.0, 300.0, 0), ("2", 9, 500.0, 524.0, 524.0, 250.0, 0)]
+    daily.keep_hours(spark, daily.hours_of(spark.createDataFrame([("3", page("20240103", 30))], "code string, text string")), str(tmp_path / "two"), codes=2, most=1)
+    hours = versions.read(spark, str(tmp_path / "two/hours")).orderBy("code").collect()
+    assert [(r.code, r.since) for r in hours] == [("3", 1)]  # the one that came last is this run's own
