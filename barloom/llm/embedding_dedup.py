@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Forest, components, hot_join, pair_blocks, stored, tidy
 
-CODE = 512  # bits of a code at least
+CODE = 192  # bits of a code at least
 
 
 def unit_of(v: np.ndarray) -> np.ndarray:
@@ -59,26 +59,32 @@ def rounded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class Codes:
     """What stands for vectors until a pair needs exact work: for each rotation bits and correction factors, and the
-    vector itself rounded to bytes, as the other side of estimates."""
-
-    def __init__(self, bits: np.ndarray, factor: np.ndarray, small: np.ndarray, step: np.ndarray):
-        self.bits, self.factor, self.unit, self.step = bits, factor, small.astype(np.float32) * step[:, None].astype(np.float32), step
-        self.dim = small.shape[1]
-
-    def may(self, rows: slice, cols: slice, threshold: float, sure: float) -> np.ndarray:
-        """Which pairs of rows and columns reach the threshold, as far as estimates and their bounds can tell: the mean of
-        the rotations' unbiased estimates, plus a bound that falls with the root of their number, plus what rounding
-        takes at most."""
-        dim, wide = self.dim, -(-self.dim // 8)
-        total, off = 0.0, 0.0
-        for k in range(self.factor.shape[1]):
-            factor = self.factor[rows, k]
-            total = total + estimates(self.bits[rows, k * wide : (k + 1) * wide], factor, self.unit[cols] @ rotation(dim, 3 + k).T, dim)
-            off = off + bound(factor, dim, sure) ** 2
-        n = self.factor.shape[1]
+    vector itself rounded to bytes, as the other side of estimates.
+
+    The mean of the rotations' unbiased estimates, plus what rounding takes at most, is one inner product of a row for the
+    coded side (signs over factors, rotation after rotation, and a last entry for rounding) and one for the other side
+    (the rotated vector, as often, and its step); the rows are made once, and so is the least product, `need`, that a
+    coded vector's confidence bound asks for."""
+
+    def __init__(self, bits: np.ndarray, factor: np.ndarray, small: np.ndarray, step: np.ndarray, threshold: float, sure: float):
+        dim, n = small.shape[1], factor.shape[1]
+        wide, unit = -(-dim // 8), small.astype(np.float32) * step[:, None].astype(np.float32)
+        self.coded, self.other = (np.empty((len(step), n * dim + 1), np.float32) for _ in range(2))
+        off = 0.0
+        for k in range(n):
+            at = slice(k * dim, (k + 1) * dim)
+            signs = np.unpackbits(bits[:, k * wide : (k + 1) * wide], axis=1, count=dim).astype(np.float32) * 2 - 1
+            self.coded[:, at] = signs / (n * np.sqrt(dim) * factor[:, k, None]).astype(np.float32)
+            self.other[:, at] = unit @ rotation(dim, 3 + k).T.astype(np.float32)
+            off = off + bound(factor[:, k], dim, sure) ** 2
         # a rounded vector lies within half a step of each coordinate, and a code estimates by a vector of length 1 / factor
-        rest = self.step[cols][None, :] / 2 * np.sqrt(dim) / self.factor[rows].min(1)[:, None]
-        return total / n + (np.sqrt(off) / n)[:, None] + rest + 1e-5 >= threshold
+        self.coded[:, -1], self.other[:, -1] = np.sqrt(dim) / 2 / factor.min(1), step
+        self.need = (threshold - np.sqrt(off) / n - 1e-5).astype(np.float32)[:, None]
+
+    def may(self, rows: slice, cols: slice) -> np.ndarray:
+        """Which pairs of rows and columns reach the threshold, as far as estimates and their bounds, which fall with the
+        root of the rotations' number, can tell."""
+        return self.coded[rows] @ self.other[cols].T >= self.need[rows]
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, sure: float = 6.0, block: int = 1024) -> DataFrame:
@@ -127,7 +133,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     def codes_of(g: pd.DataFrame) -> Codes:
         whole = lambda c, kind: np.frombuffer(b"".join(g[c]), kind).reshape(len(g), -1)
-        return Codes(whole("bits", np.uint8), whole("factor", np.float64), whole("small", np.int8), g["step"].to_numpy())
+        return Codes(whole("bits", np.uint8), whole("factor", np.float64), whole("small", np.int8), g["step"].to_numpy(), threshold, sure)
 
     def blocks(g: pd.DataFrame):
         """(first row, first column, which pairs may reach the threshold), some rows at a time. g: by side."""
@@ -137,7 +143,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
             to = min(cut, at + 512)
             first = at if inside else cut
             if first < len(g):
-                may = c.may(slice(at, to), slice(first, len(g)), threshold, sure)
+                may = c.may(slice(at, to), slice(first, len(g)))
                 yield at, first, np.triu(may, 1) if inside else may
 
     def look(frame: pd.DataFrame) -> pd.DataFrame:
