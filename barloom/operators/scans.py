@@ -97,12 +97,13 @@ def means(x: np.ndarray, count: int, total: float, p: float, n: int) -> np.ndarr
 
 
 def before(df: DataFrame, key: str, order: str, chunk: str, value: str) -> tuple[DataFrame, Column]:
-    """df with the last value of the key's chunk before, and a column of the value of the row before: no window holds more
-    than a chunk's rows, or a row a chunk."""
-    last = df.groupBy(F.col(key).alias("k_"), F.col(chunk).alias("c_")).agg(F.max_by(value, order).alias("end_"))
-    last = last.withColumn("last_", F.lag("end_").over(W.partitionBy("k_").orderBy("c_"))).drop("end_")
-    out = df.join(last, F.col(key).eqNullSafe(F.col("k_")) & F.col(chunk).eqNullSafe(F.col("c_"))).drop("k_", "c_")
-    return out, F.coalesce(F.lag(value).over(W.partitionBy(key, chunk).orderBy(order)), "last_")
+    """df with last_, the last value of the key's chunk before, and kc_, key and chunk; and a column of the value of the row
+    before. No window holds more than a chunk's rows, or a row a chunk; rows are shuffled once, by kc_."""
+    kc = F.struct(F.col(key).alias("k"), F.col(chunk).alias("c"))  # nulls within are equal
+    last = df.groupBy(kc.alias("kc_")).agg(F.max_by(value, order).alias("end_"))
+    last = last.withColumn("last_", F.lag("end_").over(W.partitionBy("kc_.k").orderBy("kc_.c"))).drop("end_")
+    out = df.withColumn("kc_", kc).join(last, "kc_").select(*df.columns, "kc_", "last_")
+    return out, F.coalesce(F.lag(value).over(W.partitionBy("kc_").orderBy(order)), "last_")
 
 
 def spread_averages(bars: DataFrame, chunk: Column, key: str = "code", order: str = "d", close: str = "c", fast: int = 10, slow: int = 30, signal: int = 8, rsi: int = 35, ema: int = 10) -> DataFrame:
@@ -111,7 +112,7 @@ def spread_averages(bars: DataFrame, chunk: Column, key: str = "code", order: st
     t has a null after its first value (no move in thousands of bars), that null stays where it is here."""
     df, prev = before(bars.withColumn("chunk_", chunk), key, order, "chunk_", close)
     step = F.coalesce(F.col(close) - prev, F.lit(0.0))
-    df = df.withColumn("s_", step).drop("last_")
+    df = df.withColumn("s_", step).drop("last_", "kc_")
     df = df.withColumns({"a_": F.abs("s_"), "u_": F.greatest("s_", F.lit(0.0)), "n_": F.greatest(-F.col("s_"), F.lit(0.0))})
     df = ema_over(df, key, order, "chunk_", {"ema": (close, ema), "ms_": ("s_", fast), "ma_": ("a_", fast), "up_": ("u_", rsi), "dn_": ("n_", rsi)})
     df = ema_over(df, key, order, "chunk_", {"top_": ("ms_", slow), "low_": ("ma_", slow)})

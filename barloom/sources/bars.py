@@ -46,15 +46,21 @@ def run_bars(ticks: DataFrame, code: str = "code", period: str = "hour", order:
 
     order: the order of arrival, without ties in a code; chunk: a column that never falls in that order, such as the day
     of arrival, whose rows suit a task. No window holds a code's whole history: a run begins where the row before, be it
-    in the chunk before, has another period; a period's last run begins at the last such row of the period; rows from
-    there on make the bar."""
+    in the chunk before, has another period; a period's last run begins at the last such row of the period, and what runs
+    have in a chunk is put together from there on. Rows with a null code or period make no bar, but end runs."""
     from barloom.operators.scans import before
 
     df, prev = before(ticks, code, order, chunk, period)
-    began = df.withColumn("new", ~F.col(period).eqNullSafe(prev)).where("new")
-    last = began.groupBy(code, period).agg(F.max(order).alias("from_"))
-    rows = ticks.join(last, [code, period]).where(F.col(order) >= F.col("from_"))
-    return to_bars(rows, [code, period], order, price, volume)
+    df = df.withColumn("new_", (~F.col(period).eqNullSafe(prev)).cast("int"))
+    df = df.withColumn("run_", F.sum("new_").over(W.partitionBy("kc_").orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    # what a run has in a chunk, without a shuffle
+    parts = df.groupBy("kc_", "run_", code, period).agg(
+        F.min_by(price, order).alias("o"), F.max(price).alias("h"), F.min(price).alias("l"), F.max_by(price, order).alias("c"), F.sum(volume).alias("v"),
+        F.min(order).alias("first_"), F.max(order).alias("last_"), F.max("new_").alias("new_"),
+    )
+    start = F.max(F.when(F.col("new_") == 1, F.col("first_"))).over(W.partitionBy(code, period))
+    parts = parts.withColumn("from_", start).where("first_ >= from_")
+    return parts.groupBy(code, period).agg(F.min_by("o", "first_").alias("o"), F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", "last_").alias("c"), F.sum("v").alias("v")).where(F.col(period).isNotNull() & F.col(code).isNotNull())
 
 
 def weekly_bars(bars: DataFrame) -> DataFrame:
