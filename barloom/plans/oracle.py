@@ -204,6 +204,84 @@ played AS (
   SELECT code, d, 'HOLD', kept, ed2, e2, days2 + 1 FROM book WHERE kept IS NOT NULL)"""
 
 
+# --- the replay: candidates walked apart, then one walk over the days that tells which get one of ten slots
+
+PLAYED = """ev AS MATERIALIZED (
+  SELECT f.strategy, s.code, s.d, s.open AS op, s.high AS hi, s.low AS lo, s.close AS cl, s.gsell, s.gb_slope5, s.t, s.b, s.chg1, s.above_ma30, s.ma30, s.red, s.wick, r.score, r.rank, coalesce(r.grade, '') AS grade
+  FROM snap s JOIN (SELECT strategy, code, min(d) AS first FROM ranked GROUP BY ALL) f ON s.code = f.code AND s.d >= f.first LEFT JOIN ranked r ON r.strategy = f.strategy AND r.code = s.code AND r.d = s.d),
+cal AS MATERIALIZED (SELECT strategy, d, row_number() OVER (PARTITION BY strategy ORDER BY d) - 1 AS k FROM (SELECT DISTINCT strategy, d FROM ev)),
+er AS MATERIALIZED (SELECT ev.*, k, row_number() OVER (PARTITION BY strategy, code ORDER BY d) AS j FROM ev JOIN cal USING (strategy, d)),
+walk AS (
+  SELECT strategy, code, k AS signal, j, k, 0::BIGINT AS entry, d AS ed, 0::BIGINT AS peak, 0 AS days, '0' AS kind, NULL::BIGINT AS price FROM er WHERE rank <= 20
+  UNION ALL
+  SELECT strategy, code, signal, j, k, entry, ed, CASE WHEN sold IS NULL THEN top ELSE peak END, CASE WHEN sold IS NULL THEN days + 1 ELSE days END,
+    CASE WHEN at_open THEN 'O' WHEN sold IS NOT NULL THEN 'W' WHEN weak THEN 's' ELSE 'h' END, CASE WHEN at_open THEN op ELSE sold END
+  FROM (
+    SELECT *, CASE WHEN strategy = 'TB' THEN t < 20 OR b < 60
+      ELSE gsell > 8 OR chg1 <= -4 OR NOT above_ma30 OR gsell > 5 OR gb_slope5 <= -3 OR (cl::DOUBLE / top::DOUBLE - 1) * 100 <= -8 OR days + 1 >= 40 END AS weak
+    FROM (
+      SELECT *, greatest(peak, cl) AS top, CASE WHEN at_open THEN op WHEN lo <= entry * (1 + stop / 100) THEN trunc(least(entry * (1 + stop / 100), op::DOUBLE))::BIGINT
+        WHEN hi >= entry * (1 + 30.0::DOUBLE / 100) THEN trunc(greatest(entry * (1 + 30.0::DOUBLE / 100), op::DOUBLE))::BIGINT END AS sold
+      FROM (
+        SELECT r.*, w.signal, CASE WHEN w.kind = '0' THEN r.op ELSE w.entry END AS entry, CASE WHEN w.kind = '0' THEN r.d ELSE w.ed END AS ed, CASE WHEN w.kind = '0' THEN r.op ELSE w.peak END AS peak, w.days,
+          w.kind = 's' AND r.k = w.k + 1 AS at_open, CASE WHEN r.strategy = 'TB' THEN -10.0::DOUBLE ELSE -7.0::DOUBLE END AS stop
+        FROM walk w JOIN er r ON r.strategy = w.strategy AND r.code = w.code AND r.j = w.j + 1 WHERE w.kind IN ('h', 's') OR w.kind = '0' AND r.k = w.k + 1)))),
+steps AS MATERIALIZED (SELECT *, lag(k) OVER (PARTITION BY strategy, code, signal ORDER BY k) AS before FROM walk),
+tr AS MATERIALIZED (
+  SELECT strategy, signal AS k, list({code: code, signal: signal, fill: fill, kinds: kinds, leaves: leaves, at_open: at_open} ORDER BY rank) AS cands FROM (
+    SELECT s.strategy, s.code, s.signal, min(s.k) FILTER (s.kind <> '0') AS fill, coalesce(string_agg(repeat('-', (s.k - s.before - 1)::INTEGER) || s.kind, '' ORDER BY s.k) FILTER (s.kind IN ('h', 's')), '') AS kinds,
+      min(s.k) FILTER (s.kind IN ('O', 'W')) AS leaves, coalesce(bool_or(s.kind = 'O'), false) AS at_open, min(r.rank) AS rank
+    FROM steps s JOIN er r ON r.strategy = s.strategy AND r.code = s.code AND r.k = s.signal GROUP BY s.strategy, s.code, s.signal) GROUP BY ALL),
+dl AS MATERIALIZED (SELECT cal.strategy, cal.k, coalesce(tr.cands, []) AS cands FROM cal LEFT JOIN tr USING (strategy, k)),
+slots AS (
+  SELECT strategy, -1::BIGINT AS k, 0::BIGINT AS base, 0::BIGINT AS seq, cands[:0] AS held, cands[:0] AS buying, cands[:0] AS so, cands[:0] AS bu, cands[:0] AS wi, cands[:0] AS ho FROM dl WHERE k = 0
+  UNION ALL
+  SELECT strategy, k, seq, seq + len(so) + len(bu) + len(wi) + len(ho), h3, list_filter(cands, lambda x: NOT list_contains(c3, x.code))[:10 - len(h3) + len(se)], so, bu, wi, ho
+  FROM (
+    SELECT *, list_transform(h3, lambda x: x.code) AS c3, list_filter(h3, lambda x: substr(x.kinds, (k - x.fill + 1)::INTEGER, 1) = 'h') AS ho, list_filter(h3, lambda x: substr(x.kinds, (k - x.fill + 1)::INTEGER, 1) = 's') AS se
+    FROM (
+      SELECT *, list_filter(h2, lambda x: coalesce(x.leaves = k, false) AND NOT x.at_open) AS wi, list_filter(h2, lambda x: NOT (coalesce(x.leaves = k, false) AND NOT x.at_open)) AS h3
+      FROM (
+        SELECT *, list_concat(h1, bu) AS h2
+        FROM (
+          SELECT *, list_filter(buying, lambda x: coalesce(x.fill = k, false) AND NOT list_contains(c1, x.code))[:10 - len(h1)] AS bu
+          FROM (
+            SELECT *, list_transform(h1, lambda x: x.code) AS c1
+            FROM (
+              SELECT s.strategy, d.k, d.cands, s.seq, s.buying, list_filter(s.held, lambda x: coalesce(x.leaves = d.k, false) AND x.at_open) AS so, list_filter(s.held, lambda x: NOT (coalesce(x.leaves = d.k, false) AND x.at_open)) AS h1
+              FROM slots s JOIN dl d ON d.strategy = s.strategy AND d.k = s.k + 1))))))),
+done AS (
+  SELECT strategy, k, base + i - 1 AS seq, 'O' AS kind, so[i] AS x FROM slots, unnest(range(1, len(so) + 1)) AS u(i) UNION ALL
+  SELECT strategy, k, base + len(so) + i - 1, 'B', bu[i] FROM slots, unnest(range(1, len(bu) + 1)) AS u(i) UNION ALL
+  SELECT strategy, k, base + len(so) + len(bu) + i - 1, 'W', wi[i] FROM slots, unnest(range(1, len(wi) + 1)) AS u(i) UNION ALL
+  SELECT strategy, k, base + len(so) + len(bu) + len(wi) + i - 1, 'h', ho[i] FROM slots, unnest(range(1, len(ho) + 1)) AS u(i)),
+said AS (
+  SELECT s.*, r.d, r.op, r.cl,
+    CASE WHEN s.strategy = 'TB' THEN CASE WHEN s.kind = 's' THEN concat_ws(' · ', CASE WHEN t < 20 THEN 'T ' || printf('%.1f', t) || ' < 20' END, CASE WHEN b < 60 THEN 'B ' || printf('%.1f', b) || ' < 60' END) || ' 이탈'
+      ELSE concat_ws(' · ', CASE WHEN t < 25 THEN 'T ' || printf('%.1f', t) || ' 기준선 근접' END, CASE WHEN b < 63 THEN 'B ' || printf('%.1f', b) || ' 기준선 근접' END, CASE WHEN gsell > 1 THEN '청선 ' || printf('%.1f', gsell) END) END
+    WHEN s.kind = 's' THEN CASE WHEN gsell > 8 THEN '청선 ' || printf('%.1f', gsell) || ' — 8.0선 초과 급이탈' WHEN chg1 <= -4 THEN '장대음봉 ' || printf('%+.1f', chg1) || '%'
+      WHEN NOT above_ma30 THEN '30일선 이탈 (종가 ' || format('{:,}', r.cl) || ' < ' || format('{:,}', ma30) || ')' WHEN gsell > 5 THEN '청선 ' || printf('%.1f', gsell) || ' — 5선 이탈'
+      WHEN gb_slope5 <= -3 THEN '적선 5일 기울기 ' || printf('%+.1f', gb_slope5) || ' — 상승탄력 꺾임' WHEN (r.cl::DOUBLE / s.peak::DOUBLE - 1) * 100 <= -8 THEN '고점 대비 ' || printf('%+.1f', (r.cl::DOUBLE / s.peak::DOUBLE - 1) * 100) || '% 되밀림'
+      ELSE '보유 ' || s.days || '일 경과 — 기간 청산' END
+    ELSE concat_ws(' · ', CASE WHEN wick > 0.5 THEN '위꼬리 ' || wick::VARCHAR END, CASE WHEN gsell > 3.5 THEN '청선 ' || printf('%.1f', gsell) || ' 상승' END, CASE WHEN NOT red THEN '그물망 상승배열 아님' END) END AS said,
+    gsell > 8 OR chg1 <= -4 OR NOT above_ma30 OR gsell > 5 OR gb_slope5 <= -3 OR (r.cl::DOUBLE / s.peak::DOUBLE - 1) * 100 <= -8 AS broke
+  FROM steps s JOIN er r ON r.strategy = s.strategy AND r.code = s.code AND r.k = s.k WHERE s.kind <> '0'),
+told AS (
+  SELECT d.strategy, d.seq, w.d, w.code, d.kind, w.said, w.price, w.entry, w.ed, w.op, w.cl, w.days, w.broke, c.d AS sd, c.score, c.rank, c.grade, o.d AS od, o.said AS osaid, o.broke AS obroke
+  FROM done d JOIN said w ON w.strategy = d.strategy AND w.code = d.x.code AND w.signal = d.x.signal AND w.k = d.k
+  JOIN er c ON c.strategy = d.strategy AND c.code = w.code AND c.k = d.x.signal
+  LEFT JOIN said o ON d.kind = 'O' AND o.strategy = d.strategy AND o.code = w.code AND o.signal = w.signal AND o.k = w.k - 1),
+logged_ AS (
+  SELECT strategy, seq, d, code, CASE kind WHEN 'B' THEN 'BUY' WHEN 'h' THEN 'HOLD' ELSE 'SELL' END AS action,
+    CASE kind WHEN 'B' THEN CASE WHEN grade = '' THEN '진입' ELSE grade END WHEN 'h' THEN CASE WHEN said = '' THEN '정상' ELSE '주의' END
+      WHEN 'O' THEN CASE WHEN strategy = 'TB' THEN '이탈' WHEN obroke THEN '청산' ELSE '기간' END ELSE CASE WHEN pnl < 0 THEN '손절' ELSE '익절' END END AS severity,
+    CASE kind WHEN 'B' THEN sd || ' 종가신호 ' || printf('%.1f', score) || '점 ' || rank || '위 → 시가 체결' WHEN 'h' THEN CASE WHEN said <> '' THEN said WHEN strategy = 'TB' THEN 'T·B 유지' ELSE '조건 유지' END
+      WHEN 'O' THEN osaid || ' → ' || od || ' 종가신호, 시가 체결'
+      ELSE CASE WHEN pnl < 0 THEN '장중 손절 (기준 ' || CASE WHEN strategy = 'TB' THEN '-10.0' ELSE '-7.0' END || '%) ' ELSE '장중 익절 (목표 +30%) ' END || printf('%+.1f', pnl) || '%' END AS reason,
+    paid AS price, CASE WHEN kind = 'B' THEN score END AS score, CASE WHEN kind = 'B' THEN rank END AS rank, grade, ed AS entry_date, entry AS entry_price, CASE WHEN kind = 'B' THEN 0 ELSE days END AS days_held, pnl AS pnl_pct
+  FROM (SELECT *, CASE WHEN kind = 'B' THEN 0.0 ELSE round((paid::DOUBLE / entry::DOUBLE - 1) * 100, 2) END AS pnl FROM (SELECT *, CASE kind WHEN 'B' THEN op WHEN 'h' THEN cl ELSE price END AS paid FROM told)))"""
+
+
 def over(select: str, *parts: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
 
@@ -319,6 +397,7 @@ LEFT JOIN (SELECT *, least(15, i - coalesce(max(CASE WHEN wgs > 5 THEN i END) OV
     "day_report": over(f"""SELECT d, to_json({{date: d::VARCHAR, strategies: list({{strategy: strategy, counts: counts, buys: buys, sells: sells, holds: holds, order_buy: []::VARCHAR[], order_sell: []::VARCHAR[]}} ORDER BY strategy)}})::VARCHAR AS doc FROM (
   SELECT l.strategy, l.d, any_value({{buys: c.buys, sells: c.sells, holds: c.holds, fills: c.fills, positions: c.positions}}) AS counts, {rows_of('BUY')} AS buys, {rows_of('SELL')} AS sells, {rows_of('HOLD')} AS holds
   FROM logged l JOIN counted c USING (strategy, d) GROUP BY ALL) GROUP BY d""", *FULL, CANDS, TRADES, LOGGED),
+    **{k: over(f"SELECT * FROM logged_{where}", *FULL, SNAP, CANDS, PLAYED) for k, where in (("trade_log", ""), ("replay_tb", " WHERE strategy = 'TB'"), ("replay_legacy", " WHERE strategy = '기존'"))},
     "replay_one_slot": over(f"SELECT *, {rnd('(price / entry_price - 1) * 100', 4)} AS pnl FROM played", *FULL, SNAP, ONE_SLOT),
     "universe_counts": over("SELECT CASE WHEN starts_with(market, 'KOSPI') THEN 'KOSPI' ELSE 'KOSDAQ' END AS market, count(*) AS n FROM listing GROUP BY 1", LISTING),
     "vendor_scan": over("SELECT * FROM (SELECT * FROM bars WHERE d >= '1996-12-01') QUALIFY count(*) OVER (PARTITION BY code) >= 130", *BASE),
@@ -354,7 +433,7 @@ SQL |= {"stream_volume_steps": SQL["cum_to_delta_volume"], "stats_kept_up": SQL[
 #: Dates are compared as texts, so that both engines' results hash alike.
 DATES = {
     "weekly_bars": ("w",), "sign_runs": ("first", "last"), "fifo_closed": ("buy_d", "sell_d"), "ledger_kpis": ("first", "last"), "closed_trades": ("entry_date", "exit_date"),
-    "trade_stats": ("first", "last"), "stats_by_strategy": ("first", "last"), "stats_kept_up": ("first", "last"), "replay_one_slot": ("d", "entry_date"),
+    "trade_stats": ("first", "last"), "stats_by_strategy": ("first", "last"), "stats_kept_up": ("first", "last"), "replay_one_slot": ("d", "entry_date"), **dict.fromkeys(("trade_log", "replay_tb", "replay_legacy"), ("d", "entry_date")),
     **dict.fromkeys(("timing_60m", "chart_documents", "chart_codes", "hourly_bars", "universe_topn", "universe_counts", "common_share_filter", "extents", "ordered_union", "keyed_upsert", "by_reason", "equity_curve", "reasons_kept_up", "equity_kept_up", "hourly_runs", "capped_upsert", "stream_hourly_bars"), ()),
 }
 
