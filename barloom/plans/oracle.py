@@ -206,10 +206,23 @@ played AS (
 
 # --- the replay: candidates walked apart, then one walk over the days that tells which get one of ten slots
 
-PLAYED = """ev AS MATERIALIZED (
-  SELECT f.strategy, s.code, s.d, s.open AS op, s.high AS hi, s.low AS lo, s.close AS cl, s.gsell, s.gb_slope5, s.t, s.b, s.chg1, s.above_ma30, s.ma30, s.red, s.wick, r.score, r.rank, coalesce(r.grade, '') AS grade
-  FROM snap s JOIN (SELECT strategy, code, min(d) AS first FROM ranked GROUP BY ALL) f ON s.code = f.code AND s.d >= f.first LEFT JOIN ranked r ON r.strategy = f.strategy AND r.code = s.code AND r.d = s.d),
-cal AS MATERIALIZED (SELECT strategy, d, row_number() OVER (PARTITION BY strategy ORDER BY d) - 1 AS k FROM (SELECT DISTINCT strategy, d FROM ev)),
+DAYS = """ev AS MATERIALIZED (
+  SELECT f.strategy, s.code, s.d, s.open AS op, s.high AS hi, s.low AS lo, s.close AS cl, s.gsell, s.gb_slope5, s.t, s.b, s.chg1, s.above_ma30, s.ma30, s.red, s.wick, NULL::DOUBLE AS wgs, r.score, r.rank, coalesce(r.grade, '') AS grade
+  FROM snap s JOIN (SELECT strategy, code, min(d) AS first FROM ranked GROUP BY ALL) f ON s.code = f.code AND s.d >= f.first LEFT JOIN ranked r ON r.strategy = f.strategy AND r.code = s.code AND r.d = s.d)"""
+
+# the weekly rule's days, with its gate over all companies
+WEEK_DAYS = f"""gate AS (SELECT d, avg(CASE WHEN chg20 > 0 THEN 1.0 ELSE 0.0 END) >= 0.55 AS open FROM s1 WHERE chg20 IS NOT NULL GROUP BY d),
+entry AS (
+  SELECT code, d, rank FROM (
+    SELECT s.code, s.d, row_number() OVER (PARTITION BY s.d ORDER BY s.gb DESC, s.code)::INTEGER AS rank FROM s0 s JOIN wg ON s.code = wg.code AND wg.w = date_trunc('week', s.d)::DATE - 7
+    WHERE s.gs <= 5 AND wg.wgs <= 5 AND s.gb >= 8 AND wg.wgb >= 8) JOIN gate USING (d) WHERE open),
+ev AS MATERIALIZED (
+  SELECT '주봉' AS strategy, s.code, s.d, trunc(s.o)::BIGINT AS op, trunc(s.h)::BIGINT AS hi, trunc(s.l)::BIGINT AS lo, trunc(s.c)::BIGINT AS cl, NULL::DOUBLE AS gsell, NULL::DOUBLE AS gb_slope5, NULL::DOUBLE AS t, NULL::DOUBLE AS b,
+    NULL::DOUBLE AS chg1, NULL::BOOLEAN AS above_ma30, NULL::BIGINT AS ma30, NULL::BOOLEAN AS red, NULL::DOUBLE AS wick, {rnd('wg.wgs', 1)} AS wgs, CASE WHEN e.rank IS NOT NULL THEN {rnd('s.gb', 1)} END AS score, e.rank, '' AS grade
+  FROM s0 s JOIN (SELECT code, min(d) AS first FROM entry GROUP BY code) f ON s.code = f.code AND s.d >= f.first
+  LEFT JOIN wg ON s.code = wg.code AND wg.w = date_trunc('week', s.d)::DATE - 7 LEFT JOIN entry e ON e.code = s.code AND e.d = s.d)"""
+
+PLAYED = """cal AS MATERIALIZED (SELECT strategy, d, row_number() OVER (PARTITION BY strategy ORDER BY d) - 1 AS k FROM (SELECT DISTINCT strategy, d FROM ev)),
 er AS MATERIALIZED (SELECT ev.*, k, row_number() OVER (PARTITION BY strategy, code ORDER BY d) AS j FROM ev JOIN cal USING (strategy, d)),
 walk AS (
   SELECT strategy, code, k AS signal, j, k, 0::BIGINT AS entry, d AS ed, 0::BIGINT AS peak, 0 AS days, '0' AS kind, NULL::BIGINT AS price FROM er WHERE rank <= 20
@@ -217,14 +230,14 @@ walk AS (
   SELECT strategy, code, signal, j, k, entry, ed, CASE WHEN sold IS NULL THEN top ELSE peak END, CASE WHEN sold IS NULL THEN days + 1 ELSE days END,
     CASE WHEN at_open THEN 'O' WHEN sold IS NOT NULL THEN 'W' WHEN weak THEN 's' ELSE 'h' END, CASE WHEN at_open THEN op ELSE sold END
   FROM (
-    SELECT *, CASE WHEN strategy = 'TB' THEN t < 20 OR b < 60
+    SELECT *, CASE WHEN strategy = 'TB' THEN t < 20 OR b < 60 WHEN strategy = '주봉' THEN coalesce(wgs > 25, false)
       ELSE gsell > 8 OR chg1 <= -4 OR NOT above_ma30 OR gsell > 5 OR gb_slope5 <= -3 OR (cl::DOUBLE / top::DOUBLE - 1) * 100 <= -8 OR days + 1 >= 40 END AS weak
     FROM (
       SELECT *, greatest(peak, cl) AS top, CASE WHEN at_open THEN op WHEN lo <= entry * (1 + stop / 100) THEN trunc(least(entry * (1 + stop / 100), op::DOUBLE))::BIGINT
-        WHEN hi >= entry * (1 + 30.0::DOUBLE / 100) THEN trunc(greatest(entry * (1 + 30.0::DOUBLE / 100), op::DOUBLE))::BIGINT END AS sold
+        WHEN strategy <> '주봉' AND hi >= entry * (1 + 30.0::DOUBLE / 100) THEN trunc(greatest(entry * (1 + 30.0::DOUBLE / 100), op::DOUBLE))::BIGINT END AS sold
       FROM (
         SELECT r.*, w.signal, CASE WHEN w.kind = '0' THEN r.op ELSE w.entry END AS entry, CASE WHEN w.kind = '0' THEN r.d ELSE w.ed END AS ed, CASE WHEN w.kind = '0' THEN r.op ELSE w.peak END AS peak, w.days,
-          w.kind = 's' AND r.k = w.k + 1 AS at_open, CASE WHEN r.strategy = 'TB' THEN -10.0::DOUBLE ELSE -7.0::DOUBLE END AS stop
+          w.kind = 's' AND r.k = w.k + 1 AS at_open, CASE r.strategy WHEN 'TB' THEN -10.0::DOUBLE WHEN '주봉' THEN -12.0::DOUBLE ELSE -7.0::DOUBLE END AS stop
         FROM walk w JOIN er r ON r.strategy = w.strategy AND r.code = w.code AND r.j = w.j + 1 WHERE w.kind IN ('h', 's') OR w.kind = '0' AND r.k = w.k + 1)))),
 steps AS MATERIALIZED (SELECT *, lag(k) OVER (PARTITION BY strategy, code, signal ORDER BY k) AS before FROM walk),
 tr AS MATERIALIZED (
@@ -259,6 +272,7 @@ said AS (
   SELECT s.*, r.d, r.op, r.cl,
     CASE WHEN s.strategy = 'TB' THEN CASE WHEN s.kind = 's' THEN concat_ws(' · ', CASE WHEN t < 20 THEN 'T ' || printf('%.1f', t) || ' < 20' END, CASE WHEN b < 60 THEN 'B ' || printf('%.1f', b) || ' < 60' END) || ' 이탈'
       ELSE concat_ws(' · ', CASE WHEN t < 25 THEN 'T ' || printf('%.1f', t) || ' 기준선 근접' END, CASE WHEN b < 63 THEN 'B ' || printf('%.1f', b) || ' 기준선 근접' END, CASE WHEN gsell > 1 THEN '청선 ' || printf('%.1f', gsell) END) END
+    WHEN s.strategy = '주봉' THEN CASE WHEN s.kind = 's' THEN '주봉 청선 ' || printf('%.1f', wgs) || ' > 25' ELSE '' END
     WHEN s.kind = 's' THEN CASE WHEN gsell > 8 THEN '청선 ' || printf('%.1f', gsell) || ' — 8.0선 초과 급이탈' WHEN chg1 <= -4 THEN '장대음봉 ' || printf('%+.1f', chg1) || '%'
       WHEN NOT above_ma30 THEN '30일선 이탈 (종가 ' || format('{:,}', r.cl) || ' < ' || format('{:,}', ma30) || ')' WHEN gsell > 5 THEN '청선 ' || printf('%.1f', gsell) || ' — 5선 이탈'
       WHEN gb_slope5 <= -3 THEN '적선 5일 기울기 ' || printf('%+.1f', gb_slope5) || ' — 상승탄력 꺾임' WHEN (r.cl::DOUBLE / s.peak::DOUBLE - 1) * 100 <= -8 THEN '고점 대비 ' || printf('%+.1f', (r.cl::DOUBLE / s.peak::DOUBLE - 1) * 100) || '% 되밀림'
@@ -274,10 +288,10 @@ told AS (
 logged_ AS (
   SELECT strategy, seq, d, code, CASE kind WHEN 'B' THEN 'BUY' WHEN 'h' THEN 'HOLD' ELSE 'SELL' END AS action,
     CASE kind WHEN 'B' THEN CASE WHEN grade = '' THEN '진입' ELSE grade END WHEN 'h' THEN CASE WHEN said = '' THEN '정상' ELSE '주의' END
-      WHEN 'O' THEN CASE WHEN strategy = 'TB' THEN '이탈' WHEN obroke THEN '청산' ELSE '기간' END ELSE CASE WHEN pnl < 0 THEN '손절' ELSE '익절' END END AS severity,
-    CASE kind WHEN 'B' THEN sd || ' 종가신호 ' || printf('%.1f', score) || '점 ' || rank || '위 → 시가 체결' WHEN 'h' THEN CASE WHEN said <> '' THEN said WHEN strategy = 'TB' THEN 'T·B 유지' ELSE '조건 유지' END
+      WHEN 'O' THEN CASE WHEN strategy = 'TB' THEN '이탈' WHEN strategy = '주봉' OR obroke THEN '청산' ELSE '기간' END ELSE CASE WHEN pnl < 0 THEN '손절' ELSE '익절' END END AS severity,
+    CASE kind WHEN 'B' THEN sd || ' 종가신호 ' || printf('%.1f', score) || '점 ' || rank || '위 → 시가 체결' WHEN 'h' THEN CASE WHEN said <> '' THEN said WHEN strategy = 'TB' THEN 'T·B 유지' WHEN strategy = '주봉' THEN '주봉 유지' ELSE '조건 유지' END
       WHEN 'O' THEN osaid || ' → ' || od || ' 종가신호, 시가 체결'
-      ELSE CASE WHEN pnl < 0 THEN '장중 손절 (기준 ' || CASE WHEN strategy = 'TB' THEN '-10.0' ELSE '-7.0' END || '%) ' ELSE '장중 익절 (목표 +30%) ' END || printf('%+.1f', pnl) || '%' END AS reason,
+      ELSE CASE WHEN pnl < 0 THEN '장중 손절 (기준 ' || CASE strategy WHEN 'TB' THEN '-10.0' WHEN '주봉' THEN '-12.0' ELSE '-7.0' END || '%) ' ELSE '장중 익절 (목표 +30%) ' END || printf('%+.1f', pnl) || '%' END AS reason,
     paid AS price, CASE WHEN kind = 'B' THEN score END AS score, CASE WHEN kind = 'B' THEN rank END AS rank, grade, ed AS entry_date, entry AS entry_price, CASE WHEN kind = 'B' THEN 0 ELSE days END AS days_held, pnl AS pnl_pct
   FROM (SELECT *, CASE WHEN kind = 'B' THEN 0.0 ELSE round((paid::DOUBLE / entry::DOUBLE - 1) * 100, 2) END AS pnl FROM (SELECT *, CASE kind WHEN 'B' THEN op WHEN 'h' THEN cl ELSE price END AS paid FROM told)))"""
 
@@ -397,7 +411,8 @@ LEFT JOIN (SELECT *, least(15, i - coalesce(max(CASE WHEN wgs > 5 THEN i END) OV
     "day_report": over(f"""SELECT d, to_json({{date: d::VARCHAR, strategies: list({{strategy: strategy, counts: counts, buys: buys, sells: sells, holds: holds, order_buy: []::VARCHAR[], order_sell: []::VARCHAR[]}} ORDER BY strategy)}})::VARCHAR AS doc FROM (
   SELECT l.strategy, l.d, any_value({{buys: c.buys, sells: c.sells, holds: c.holds, fills: c.fills, positions: c.positions}}) AS counts, {rows_of('BUY')} AS buys, {rows_of('SELL')} AS sells, {rows_of('HOLD')} AS holds
   FROM logged l JOIN counted c USING (strategy, d) GROUP BY ALL) GROUP BY d""", *FULL, CANDS, TRADES, LOGGED),
-    **{k: over(f"SELECT * FROM logged_{where}", *FULL, SNAP, CANDS, PLAYED) for k, where in (("trade_log", ""), ("replay_tb", " WHERE strategy = 'TB'"), ("replay_legacy", " WHERE strategy = '기존'"))},
+    **{k: over(f"SELECT * FROM logged_{where}", *FULL, SNAP, CANDS, DAYS, PLAYED) for k, where in (("trade_log", ""), ("replay_tb", " WHERE strategy = 'TB'"), ("replay_legacy", " WHERE strategy = '기존'"))},
+    "replay_weekly": over("SELECT * FROM logged_", *FULL, WEEKS, WEEK_DAYS, PLAYED),
     "replay_one_slot": over(f"SELECT *, {rnd('(price / entry_price - 1) * 100', 4)} AS pnl FROM played", *FULL, SNAP, ONE_SLOT),
     "universe_counts": over("SELECT CASE WHEN starts_with(market, 'KOSPI') THEN 'KOSPI' ELSE 'KOSDAQ' END AS market, count(*) AS n FROM listing GROUP BY 1", LISTING),
     "vendor_scan": over("SELECT * FROM (SELECT * FROM bars WHERE d >= '1996-12-01') QUALIFY count(*) OVER (PARTITION BY code) >= 130", *BASE),
@@ -433,7 +448,7 @@ SQL |= {"stream_volume_steps": SQL["cum_to_delta_volume"], "stats_kept_up": SQL[
 #: Dates are compared as texts, so that both engines' results hash alike.
 DATES = {
     "weekly_bars": ("w",), "sign_runs": ("first", "last"), "fifo_closed": ("buy_d", "sell_d"), "ledger_kpis": ("first", "last"), "closed_trades": ("entry_date", "exit_date"),
-    "trade_stats": ("first", "last"), "stats_by_strategy": ("first", "last"), "stats_kept_up": ("first", "last"), "replay_one_slot": ("d", "entry_date"), **dict.fromkeys(("trade_log", "replay_tb", "replay_legacy"), ("d", "entry_date")),
+    "trade_stats": ("first", "last"), "stats_by_strategy": ("first", "last"), "stats_kept_up": ("first", "last"), "replay_one_slot": ("d", "entry_date"), **dict.fromkeys(("trade_log", "replay_tb", "replay_legacy", "replay_weekly"), ("d", "entry_date")),
     **dict.fromkeys(("timing_60m", "chart_documents", "chart_codes", "hourly_bars", "universe_topn", "universe_counts", "common_share_filter", "extents", "ordered_union", "keyed_upsert", "by_reason", "equity_curve", "reasons_kept_up", "equity_kept_up", "hourly_runs", "capped_upsert", "stream_hourly_bars"), ()),
 }
 
