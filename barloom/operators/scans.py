@@ -109,13 +109,23 @@ def before(df: DataFrame, key: str, order: str, chunk: str, value: str) -> tuple
 def spread_averages(bars: DataFrame, chunk: Column, key: str = "code", order: str = "d", close: str = "c", fast: int = 10, slow: int = 30, signal: int = 8, rsi: int = 35, ema: int = 10) -> DataFrame:
     """indicators.recursive for codes whose bars don't suit one task: adds ema, t, t_sig and b. chunk never falls in a
     code's order, as a year or a count's quotient does. Equal to recursive but for rounding in the last places; where
-    t has a null after its first value (no move in thousands of bars), that null stays where it is here."""
+    t has a null after its first value (no move in thousands of bars), that null stays where it is here. What a pass has
+    found is stored before the next pass reads it twice."""
+    from barloom.sources.shared import kept
+
+    clash = {c.lower() for c in bars.columns} & {"chunk_", "last_", "kc_", "s_", "a_", "u_", "n_", "ms_", "ma_", "up_", "dn_", "top_", "low_", "ema", "t", "t_sig", "b"}
+    names = {c: f"in_{i}" for i, c in enumerate(bars.columns) if c.lower() in clash}
+    bars = bars.withColumnsRenamed(names)
     df, prev = before(bars.withColumn("chunk_", chunk), key, order, "chunk_", close)
     step = F.coalesce(F.col(close) - prev, F.lit(0.0))
     df = df.withColumn("s_", step).drop("last_", "kc_")
-    df = df.withColumns({"a_": F.abs("s_"), "u_": F.greatest("s_", F.lit(0.0)), "n_": F.greatest(-F.col("s_"), F.lit(0.0))})
+    df = kept(df.withColumns({"a_": F.abs("s_"), "u_": F.greatest("s_", F.lit(0.0)), "n_": F.greatest(-F.col("s_"), F.lit(0.0))}), "steps")
     df = ema_over(df, key, order, "chunk_", {"ema": (close, ema), "ms_": ("s_", fast), "ma_": ("a_", fast), "up_": ("u_", rsi), "dn_": ("n_", rsi)})
+    df = kept(df.drop("s_", "a_", "u_", "n_"), "means")
     df = ema_over(df, key, order, "chunk_", {"top_": ("ms_", slow), "low_": ("ma_", slow)})
     df = df.withColumns({"t": over(F.col("top_") * 100, F.col("low_")), "b": over(F.col("up_") * 100, F.col("up_") + F.col("dn_"))})
+    df = kept(df.drop("ms_", "ma_", "top_", "low_", "up_", "dn_"), "means")
     df = ema_over(df, key, order, "chunk_", {"t_sig": ("t", signal)})
-    return df.select(*bars.columns, "ema", "t", "t_sig", "b")
+    new = ["ema", "t", "t_sig", "b"]  # in place of columns of these names
+    back = {v: k for k, v in names.items()}
+    return df.select(*[F.col(c).alias(back.get(c, c)) for c in bars.columns if back.get(c, c) not in new], *new)

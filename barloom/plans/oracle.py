@@ -293,7 +293,7 @@ logged_ AS (
       WHEN 'O' THEN osaid || ' → ' || od || ' 종가신호, 시가 체결'
       ELSE CASE WHEN pnl < 0 THEN '장중 손절 (기준 ' || CASE strategy WHEN 'TB' THEN '-10.0' WHEN '주봉' THEN '-12.0' ELSE '-7.0' END || '%) ' ELSE '장중 익절 (목표 +30%) ' END || printf('%+.1f', pnl) || '%' END AS reason,
     paid AS price, CASE WHEN kind = 'B' THEN score END AS score, CASE WHEN kind = 'B' THEN rank END AS rank, grade, ed AS entry_date, entry AS entry_price, CASE WHEN kind = 'B' THEN 0 ELSE days END AS days_held, pnl AS pnl_pct
-  FROM (SELECT *, CASE WHEN kind = 'B' THEN 0.0 ELSE round((paid::DOUBLE / entry::DOUBLE - 1) * 100, 2) END AS pnl FROM (SELECT *, CASE kind WHEN 'B' THEN op WHEN 'h' THEN cl ELSE price END AS paid FROM told)))"""
+  FROM (SELECT *, CASE WHEN kind = 'B' THEN 0.0 ELSE round_even((paid::DOUBLE / entry::DOUBLE - 1) * 100, 2) END AS pnl FROM (SELECT *, CASE kind WHEN 'B' THEN op WHEN 'h' THEN cl ELSE price END AS paid FROM told)))"""
 
 
 def over(select: str, *parts: str) -> str:
