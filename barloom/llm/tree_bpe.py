@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +90,7 @@ def halves(piece: str, leaf: int) -> list[str]:
     return halves(piece[:middle], leaf) + halves(piece[middle:], leaf)
 
 
-def joined(left: list[int], right: list[int], of: callable, shown: list[str], window: int = 4) -> list[int]:
+def joined(left: list[int], right: list[int], of: Callable[[str], list[int]], shown: list[str], window: int = 4) -> list[int]:
     """The ids of two parts' bytes in a row, from each part's own ids. The last `window` ids of the left and the first of
     the right are encoded anew together; if the new ids begin with the left's and end with the right's, all neighbours
     are such as the encoder leaves next to each other, which makes the whole the encoder's result, since in this
@@ -105,7 +105,7 @@ def joined(left: list[int], right: list[int], of: callable, shown: list[str], wi
         window *= 2
 
 
-def tree(parts: list[list[int]], of: callable, shown: list[str]) -> list[int]:
+def tree(parts: list[list[int]], of: Callable[[str], list[int]], shown: list[str]) -> list[int]:
     """Joins neighbours, then neighbours of those, up to one list."""
     while len(parts) > 1:
         parts = [joined(*parts[i : i + 2], of, shown) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
