@@ -165,15 +165,21 @@ def _changes(codes: pa.Array) -> list[int]:
     return (np.flatnonzero(differ.to_numpy(zero_copy_only=False)) + 1).tolist()
 
 
+def counted(bars: DataFrame) -> DataFrame:
+    """Adds n_own, how many bars the code has; best before the recursive pass, where bars lie by code."""
+    return bars.withColumn("n_own", F.count(F.lit(1)).over(W.partitionBy("code")))
+
+
 def override(series: DataFrame, external: DataFrame) -> DataFrame:
     """series with external t and b in place of its own, for codes of which there are as many external rows as bars. An
-    external null replaces a value too; a code with another count keeps its own. external: code, seq, T, B."""
-    n = series.groupBy("code").agg(F.count(F.lit(1)).alias("n_own"))
-    m = external.groupBy("code").agg(F.count(F.lit(1)).alias("n_ext"))
-    use = n.join(m, "code").where("n_own = n_ext").select("code", F.lit(True).alias("use"))
-    ext = external.join(use, "code", "left_semi").select("code", F.col("seq").alias("i"), F.col("T").alias("xt"), F.col("B").alias("xb"), F.lit(True).alias("use"))
-    out = series.join(ext, ["code", "i"], "left")
-    return out.withColumns({"t": F.when(F.col("use"), F.col("xt")).otherwise(F.col("t")), "b": F.when(F.col("use"), F.col("xb")).otherwise(F.col("b"))}).drop("xt", "xb", "use")
+    external null replaces a value too; a code with another count keeps its own. external: code, seq, T, B. series may
+    have n_own (counted), which spares a shuffle, and loses it here."""
+    own = series if "n_own" in series.columns else counted(series)
+    rows = F.count(F.lit(1)).over(W.partitionBy("code"))
+    ext = external.select("code", F.col("seq").alias("i"), rows.alias("n_own"), F.col("T").alias("xt"), F.col("B").alias("xb"), F.lit(True).alias("use"))
+    out = own.join(ext, ["code", "i", "n_own"], "left")
+    out = out.withColumns({"t": F.when(F.col("use"), F.col("xt")).otherwise(F.col("t")), "b": F.when(F.col("use"), F.col("xb")).otherwise(F.col("b"))})
+    return out.select(*[c for c in series.columns if c != "n_own"])
 
 
 def rolling(bars: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def run(spark: SparkSession, bars: DataFrame, out: str, until: str | None = None
         for name in (TRADES, STATES, WHY):
             versions.deleted(spark, f"{out}/{name}")
     whole = enough(bars, LIMITS.min_bars).drop("n")
-    shaped = shape.shaped(whole) if external is None else shape.with_shape(indicators.override(indicators.series(whole), external))
+    shaped = shape.shaped(whole) if external is None else shape.with_shape(indicators.override(indicators.recursive(indicators.counted(indicators.rolling(whole))), external))
     days = replay.ever(signals.both(shaped, min_amount))
     targets = sets.latest_days(bars, backfill, F.lit(until).cast("date") if until else None)
     done = _read(spark, logs, f"{replay.LOG}, day string").select(F.col("day").cast("date").alias("d")).distinct()

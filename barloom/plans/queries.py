@@ -119,11 +119,13 @@ def common_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def overridden(spark: SparkSession, sf: str) -> DataFrame:
-    s = ind.series(bars(spark, sf))
-    ext = ind.indexed(bars(spark, sf)).where(F.col("code") % 3 == 0)
-    ext = ext.select("code", F.col("i").alias("seq"), F.when(F.col("i") % 5 != 0, F.col("c") % 90).alias("T"), (F.col("h") % 70).alias("B"))
-    short = ind.indexed(bars(spark, sf)).where((F.col("code") % 3 == 1) & (F.col("i") > 0)).select("code", F.col("i").alias("seq"), F.lit(1.0).alias("T"), F.lit(1.0).alias("B"))
-    return six(ind.override(s, ext.unionByName(short)), "t", "b")
+    b = ind.counted(ind.indexed(bars(spark, sf)))
+    # of every third code as many rows as bars, of every other third one fewer
+    ours = F.col("code") % 3 == 0
+    ext = b.where(ours | ((F.col("code") % 3 == 1) & (F.col("i") > 0)))
+    t, b_ = F.when(F.col("i") % 5 != 0, F.col("c") % 90), F.col("h") % 70
+    ext = ext.select("code", F.col("i").alias("seq"), F.when(ours, t).otherwise(1.0).alias("T"), F.when(ours, b_).otherwise(1.0).alias("B"))
+    return six(ind.override(ind.recursive(b), ext), "t", "b")
 
 
 def union_parts(spark: SparkSession, sf: str) -> tuple:
