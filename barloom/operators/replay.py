@@ -262,7 +262,23 @@ ROW = "d date, action string, severity string, reason string, price long, score
 TRADE = f"strategy string, code long, signal int, rank int, fill int, kinds string, leaves int, at_open boolean, log array<struct<{', '.join(x.replace(' ', ': ', 1) for x in ROW.split(', '))}>>"
 
 
-def trade_of(strategy: str, rows: list[dict], at: int) -> tuple:
+class Bars:
+    """A code's bars in order, made to rows when they are asked for."""
+
+    def __init__(self, cols: dict[str, list]):
+        self.cols, self.rows = cols, [None] * len(cols["k"])
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> dict:
+        if self.rows[i] is None:
+            row = {k: _value(v[i]) for k, v in self.cols.items()}
+            self.rows[i] = row | {k: int(row[k]) for k in (WHOLE | {"k"}) & row.keys() if row[k] is not None}
+        return self.rows[i]
+
+
+def trade_of(strategy: str, rows: Bars, at: int) -> tuple:
     """What becomes of the candidate rows[at] if it is bought at the next day's open. rows: a code's bars in order, with
     the number k of their day."""
     s = rows[at]
@@ -272,7 +288,8 @@ def trade_of(strategy: str, rows: list[dict], at: int) -> tuple:
         return (*head, None, "", None, None, [])
     order = {"code": code, "score": s["score"], "rank": s["rank"], "grade": s["grade"] or "", "signal_date": str(s["d"])}
     book, log, kinds, k = books(strategy, {"buying": [order]}, 1), [], "", signal
-    for row in rows[at + 1 :]:
+    for i in range(at + 1, len(rows)):
+        row = rows[i]
         if row["k"] > k + 1:
             book.step(None, One(None))  # days without a bar: an order to sell lapses
             kinds += "-" * (row["k"] - k - 1)
@@ -356,9 +373,8 @@ def replay(days: DataFrame, slots: int = LIMITS.max_positions) -> DataFrame:
     def play_code(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
         cols = columns_of(pdf)
-        bars = [{k: _value(v[i]) for k, v in cols.items()} for i in range(len(pdf))]
-        bars = [r | {k: int(r[k]) for k in (WHOLE | {"k"}) & r.keys() if r[k] is not None} for r in bars]
-        out = [trade_of(key[0], bars, i) for i, r in enumerate(bars) if r["rank"] is not None and r["rank"] <= 2 * slots]
+        bars = Bars(cols)
+        out = [trade_of(key[0], bars, i) for i, r in enumerate(cols["rank"]) if r is not None and r <= 2 * slots]  # NaN isn't
         return pd.DataFrame(out, columns=[c.split()[0] for c in TRADE.split(", ")[:8]] + ["log"]).astype({c: "Int64" for c in ("rank", "fill", "leaves")} | {"at_open": "boolean"})
 
     trades = kept(rows.groupBy("strategy", "code").applyInPandas(play_code, TRADE), "trades")
