@@ -57,6 +57,22 @@ def carried(x: np.ndarray, p: float, k: float, walk: int = WALK) -> np.ndarray:
     return walked(_matrix(x, cuts[:-1], lens), start, k).T[np.arange(walk) < lens[:, None]]
 
 
+def onward(x: np.ndarray, starts: np.ndarray, lens: np.ndarray, p: np.ndarray, k: float) -> np.ndarray:
+    """x * k + p * (1 - k) from value to value of the series x[starts[j]:starts[j] + lens[j]], each after its own p; NaN
+    where no series lies."""
+    out = np.full(len(x), np.nan)
+    size = np.ceil(np.log2(np.maximum(lens, 1)))  # series of about one length are walked together
+    for e in np.unique(size[(lens > 0) & (lens <= LONG)]):
+        some = np.flatnonzero((lens > 0) & (size == e))
+        sizes = lens[some]
+        m = walked(_matrix(x, starts[some], sizes), p[some], k)
+        row = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out[np.repeat(starts[some], sizes) + row] = m[row, np.repeat(np.arange(len(some)), sizes)]
+    for j in np.flatnonzero(lens > LONG):
+        out[starts[j] : starts[j] + lens[j]] = carried(x[starts[j] : starts[j] + lens[j]], p[j], k)
+    return out
+
+
 def ema(x: np.ndarray, cuts: np.ndarray, n: int) -> np.ndarray:
     """Exponential means of the series x[cuts[j]:cuts[j + 1]]: NaN before place n - 1, there the plain mean of the first n
     values, then x * k + p * (1 - k) with k = 2 / (n + 1)."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from barloom.functions.numeric import over
-from barloom.functions.recurrences import carried, composed, weight
+from barloom.functions.recurrences import composed, onward, weight
 
 
 def ema_over(df: DataFrame, key: str, order: str, chunk: str, columns: dict[str, tuple[str, int]]) -> DataFrame:
@@ -20,56 +23,100 @@ def ema_over(df: DataFrame, key: str, order: str, chunk: str, columns: dict[str,
     chunk is a column that never falls in the order of a key; the rows of a key's chunk suit a task, and no task has a
     key's rows. For each chunk one task composes the maps p -> (1 - k) p + k v of its values; the few chunks of a key
     are gone through in order, each map applied to where the last one led; and each chunk is walked from its own start.
-    Both passes read the same shuffle. A null key is a key; order has no two equal values in a key."""
+    A task walks over blocks of whole chunks, all chunks of a block a step at a time, so chunks may be few or very many.
+    A null key is a key; order has no two equal values in a key."""
     names, ns = list(columns), [n for _, n in columns.values()]
     values = [v for v, _ in columns.values()]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    both = f"`{key}` {kinds[key]}, `{chunk}` {kinds[chunk]}"
-
-    def real(table: pa.Table, name: str) -> np.ndarray:
-        return table[name].cast(pa.float64()).fill_null(np.nan).to_numpy()
-
-    def summary(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        m, head, b = [], [], []
-        for v, n in zip(values, ns, strict=True):
-            x = real(table, v)
-            x = x[~np.isnan(x)]
-            m.append(len(x))
-            head.append(x[:n].tolist())
-            b.append(float(composed(x, weight(n), np.array([0, len(x)]))[0]) if len(x) <= 1 << 12 else float(carried(x, 0.0, weight(n))[-1]))
-        one = [[m], [head], [b]]
-        types = [pa.list_(pa.int64()), pa.list_(pa.list_(pa.float64())), pa.list_(pa.float64())]
-        return pa.table([table[key].slice(0, 1), table[chunk].slice(0, 1), *(pa.array(x, t) for x, t in zip(one, types, strict=True))], names=[key, chunk, "m", "head", "b"])
-
-    def starts(table: pa.Table) -> pa.Table:
+    own, each, where = len(df.columns), range(len(ns)), [df.columns.index(v) for v in values]
+    taken = {c.lower() for c in [*df.columns, *names]}
+    kc, place, state = (next(x for x in (f"{n}{i}" for i in count()) if x not in taken) for n in ("kc_", "place_", "state_"))
+    both = F.struct(F.col(key).alias("k"), F.col(chunk).alias("c"))  # nulls within are equal
+    in_chunk = F.row_number().over(W.partitionBy(kc).orderBy(order))
+
+    def summary(batches):
+        for table in whole(batches, 1):
+            cuts = starts_of(table.column(1))
+            cols = [table.column(0).take(pa.array(cuts[:-1]))]
+            for j, n in enumerate(ns):
+                x, dense = real(table.column(2 + j), cuts)
+                lens = np.diff(dense)
+                b = np.append(onward(x, dense[:-1], lens, np.zeros(len(lens)), weight(n)), 0.0)[dense[1:] - 1]
+                size = np.minimum(lens, n)
+                head = np.append(0, np.cumsum(size))
+                at = np.repeat(dense[:-1] - head[:-1], size) + np.arange(head[-1])
+                cols += [pa.array(lens), pa.array(np.where(lens > 0, b, 0.0)), pa.ListArray.from_arrays(pa.array(head, pa.int32()), pa.array(x[at]))]
+            yield from pa.table(cols, names=[kc, *(f"{c}{j}" for j in each for c in ("m", "b", "head"))]).to_batches(max_chunksize=1 << 14)
+
+    def starts(batches):
         """(values before it, the sum of those that make the first mean, the mean) of each chunk: a row a chunk."""
-        table = table.sort_by(chunk)
-        state = [(0, 0.0, 0.0)] * len(ns)
-        rows = []
-        for m, head, b in zip(table["m"].to_pylist(), table["head"].to_pylist(), table["b"].to_pylist(), strict=True):
-            rows.append(state)
-            state = [after(*s, *x, n) for s, *x, n in zip(state, m, head, b, ns, strict=True)]
-        cols = [pa.array([[s[j] for s in r] for r in rows], pa.list_(t)) for j, t in enumerate((pa.int64(), pa.float64(), pa.float64()))]
-        return pa.table([table[key], table[chunk], *cols], names=[key, chunk, "count", "sum", "p"])
-
-    def final(rows: pa.Table, start: pa.Table) -> pa.Table:
-        rows = rows.sort_by(order)
-        for j, (name, v, n) in enumerate(zip(names, values, ns, strict=True)):
-            x = real(rows, v)
-            out, full = np.full(len(x), np.nan), ~np.isnan(x)
-            out[full] = means(x[full], start["count"][0].as_py()[j], start["sum"][0].as_py()[j], start["p"][0].as_py()[j], n)
-            rows = rows.append_column(name, pa.array(out, from_pandas=True))
-        return rows
-
-    slim = list(dict.fromkeys([key, chunk, order, *values]))
-    sums = df.select(*slim).groupBy(key, chunk).applyInArrow(summary, f"{both}, m array<bigint>, head array<array<double>>, b array<double>")
-    at = sums.groupBy(key).applyInArrow(starts, f"{both}, count array<bigint>, sum array<double>, p array<double>")
-    at = at.select(F.col(key).alias("k_"), F.col(chunk).alias("c_"), "count", "sum", "p")
+        now: list[tuple] = []
+        for batch in batches:
+            rows = []
+            for first, *x in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if first == 1:
+                    now = [(0, 0.0, 0.0)] * len(ns)
+                rows.append([v for s in now for v in map(float, s)])
+                now = [after(*now[j], x[3 * j], x[3 * j + 2], x[3 * j + 1], n) for j, n in enumerate(ns)]
+            yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], [kc, state])
+
+    def final(batches):
+        for table in whole(batches, own):
+            cuts = starts_of(table.column(own))
+            first = table.column(own + 1).take(pa.array(cuts[:-1])).to_pylist()
+            at = np.array(first, float).reshape(len(first), len(ns), 3)
+            out = table.select(range(own))
+            for j, (name, v, n) in enumerate(zip(names, where, ns, strict=True)):
+                x, dense = real(table.column(v), cuts)
+                new = np.full(table.num_rows, np.nan)
+                new[~np.isnan(real(table.column(v)))] = means(x, dense, at[:, j, 0].astype(np.int64), at[:, j, 1], at[:, j, 2], n)
+                out = out.append_column(name, pa.array(new, from_pandas=True))
+            yield from out.to_batches(max_chunksize=1 << 14)
+
+    rows = df.select(both.alias(kc), F.col(order), *values).withColumn(place, in_chunk)
+    found = f"`{kc}` struct<k:{kinds[key]},c:{kinds[chunk]}>"
+    per = ", ".join(f"m{j} bigint, b{j} double, head{j} array<double>" for j in each)
+    sums = rows.select(kc, place, *[F.col(v).cast("double") for v in values]).mapInArrow(summary, f"{found}, {per}")
+    sums = sums.withColumn(place, F.row_number().over(W.partitionBy(f"{kc}.k").orderBy(f"{kc}.c")))
+    at = sums.select(kc, place, *[f"{c}{j}" for j in each for c in ("m", "b", "head")]).mapInArrow(starts, f"{found}, `{state}` array<double>")
+    rows = df.withColumn(kc, both).join(at, kc).withColumn(place, in_chunk)
+    rows = rows.select(*[F.col(f"`{c}`") for c in df.columns], place, F.when(F.col(place) == 1, F.col(state)).alias(state))
     schema = StructType(list(df.schema.fields))
     for name in names:
         schema = schema.add(name, DoubleType())
-    return df.groupBy(key, chunk).cogroup(at.groupBy("k_", "c_")).applyInArrow(final, schema)
+    return rows.mapInArrow(final, schema)
+
+
+BLOCK = 1 << 17  # rows that a task walks over together, if they are whole chunks
+
+
+def whole(batches: Iterable[pa.RecordBatch], place: int) -> Iterator[pa.Table]:
+    """The rows as tables of whole chunks, of BLOCK rows or little more; a chunk begins where the column `place` is 1."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        at = np.flatnonzero(batch.column(place).to_numpy(zero_copy_only=False) == 1) if n >= BLOCK else ()
+        if len(at):
+            yield pa.Table.from_batches([*held, batch.slice(0, at[-1])])
+            held, n, batch = [], 0, batch.slice(at[-1])
+        held.append(batch)
+        n += batch.num_rows
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def starts_of(place: pa.ChunkedArray) -> np.ndarray:
+    """Where chunks begin, and the end."""
+    return np.append(np.flatnonzero(place.to_numpy() == 1), len(place))
+
+
+def real(column: pa.ChunkedArray, cuts: np.ndarray | None = None) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """A column's values, null as NaN; with cuts only those that aren't NaN, and where chunks begin among them."""
+    x = column.cast(pa.float64()).fill_null(np.nan).to_numpy()
+    if cuts is None:
+        return x
+    full = ~np.isnan(x)
+    return x[full], np.append(0, np.cumsum(full))[cuts]
 
 
 def after(count: int, total: float, p: float, m: int, head: list[float], b: float, n: int) -> tuple[int, float, float]:
@@ -84,16 +131,16 @@ def after(count: int, total: float, p: float, m: int, head: list[float], b: floa
     return count + m, total, rest * seed + b - rest * before
 
 
-def means(x: np.ndarray, count: int, total: float, p: float, n: int) -> np.ndarray:
-    """A chunk's means, from the state before it."""
-    need = max(0, n - count)
-    if need == 0:
-        return carried(x, p, weight(n))
-    out = np.full(len(x), np.nan)
-    if len(x) >= need:
-        out[need - 1] = (total + x[:need].sum()) / n
-        out[need:] = carried(x[need:], out[need - 1], weight(n))
-    return out
+def means(x: np.ndarray, cuts: np.ndarray, count: np.ndarray, total: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
+    """The means of chunks x[cuts[j]:cuts[j + 1]], each from the state before it."""
+    out, lens, need = np.full(len(x), np.nan), np.diff(cuts), np.maximum(0, n - count)
+    p = p.copy()
+    for j in np.flatnonzero((need > 0) & (lens >= need)):  # chunks in which a first mean lies
+        a, b = cuts[j], cuts[j] + need[j]
+        out[b - 1] = p[j] = (total[j] + x[a:b].sum()) / n
+    size = np.maximum(0, lens - need)
+    new = onward(x, cuts[:-1] + need, size, p, weight(n))
+    return np.where(np.isnan(new), out, new)
 
 
 def before(df: DataFrame, key: str, order: str, chunk: str, value: str) -> tuple[DataFrame, Column]:

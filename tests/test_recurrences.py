@@ -156,3 +156,25 @@ def test_nulls_and_empty_tables(spark):
     want = iter(ema_list([v for *_, v in rows if v is not None], 4))
     same(got.m.to_numpy(), [None if v is None else next(want) for *_, v in rows], 1e-9)
     assert scans.ema_over(df.limit(0), "code", "d", "chunk", {"m": ("c", 4)}).count() == 0
+
+
+def test_blocks_of_whole_chunks(monkeypatch):
+    """A pass takes many chunks at a time, and never a part of one."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(scans, "BLOCK", 50)
+    sizes = [3, 60, 1, 20, 20, 20, 7]
+    place = np.concatenate([np.arange(1, n + 1) for n in sizes])
+    rows = pa.table({"v": np.arange(len(place)), "place": place})
+    blocks = list(scans.whole(rows.to_batches(max_chunksize=8), 1))
+    assert 1 < len(blocks) < len(sizes) and pa.concat_tables(blocks).equals(rows)
+    assert [b.column(1)[0].as_py() for b in blocks] == [1] * len(blocks)
+    x, cuts = np.random.default_rng(1).normal(size=len(place)), np.append(0, np.cumsum(sizes))
+    count = np.array([0, 3, 63, 64, 0, 20, 40])
+    got = scans.means(x, cuts, count, np.array([0, x[:3].sum(), 0, 0, 0, 1.5, 0]), np.full(7, 0.25), 25)
+    for j, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        p, total, n = 0.25, [0, x[:3].sum(), 0, 0, 0, 1.5, 0][j], count[j]
+        for i in range(a, b):
+            n, total = n + 1, total + x[i]
+            p = total / 25 if n == 25 else p + (x[i] - p) * rec.weight(25)
+            assert (np.isnan(got[i]) and n < 25) or abs(got[i] - p) < 1e-12
