@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.sources import bars as src
 from barloom.sources import vendor
@@ -118,3 +119,19 @@ def test_data_source(spark, sf, tmp_path):
     # within the limit: each of three readers may ask 20 times in a second
     began = datetime.datetime.now()
     assert load(requests=60, seconds=1, codes=str(code[0])).count() == code[1] and (datetime.datetime.now() - began).total_seconds() < 60
+
+
+def test_pages_are_read_once(spark, tmp_path, monkeypatch):
+    """Row groups are read once, however many pages are asked for in their order."""
+    import pyarrow.parquet as pq
+
+    days = spark.range(3000).select((F.col("id") % 30).alias("code"), F.date_add(F.lit("2020-01-01").cast("date"), F.floor(F.col("id") / 30).cast("int")).alias("d"), *[F.col("id").cast("double").alias(x) for x in "ohlcv"])
+    vendor.write_pages(days, str(tmp_path / "p"), 10, 1)
+    reads = []
+    plain = pq.ParquetFile.read_row_group
+    monkeypatch.setattr(pq.ParquetFile, "read_row_group", lambda self, k, **more: reads.append(more["columns"]) or plain(self, k, **more))
+    store = vendor.PageStore(str(tmp_path / "p"), 0)
+    free = vendor.Limiter(0, 1.0, None, None)
+    assert sorted(store.codes(), key=int) == [str(k) for k in range(30)]
+    assert [len(vendor.bars_of(store.get, c, free)) for c in store.codes()] == [100] * 30
+    assert len(reads) == 2 and store.get("0", 10) is None and store.get("none", 0) is None
