@@ -120,6 +120,15 @@ def shared_bands(bands: np.ndarray) -> np.ndarray:
     return out
 
 
+def starred(links: DataFrame, node: str, other: str) -> DataFrame:
+    """(a, b): links with the same components, none between nodes that a smaller one joins already: what a node is linked
+    with is linked with the smallest of it instead. Near copies share most of their bands' roots, so where each has a link a
+    band before, about one a text stays."""
+    met = links.groupBy(node).agg(F.min(other).alias("b"), F.collect_set(other).alias("all"))
+    ends = F.explode(F.array_union(F.array(node), "all"))
+    return met.select(ends.alias("a"), "b").where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, rows: int = 6, miss: float = 1e-5, block: int = 1024) -> DataFrame:
     """key, class_id, n_links, kept: one row a row of docs.
 
@@ -171,7 +180,7 @@ def classified(docs: DataFrame, key: str, text: str, n: int = 5, threshold: floa
     keyed = classes.select("set", F.explode("bands").alias("band"))
     shared = stored(keyed.groupBy("band").agg(F.min("set").alias("root"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "shared", total * bands // 2)
     linked = stored(hot_join(keyed, shared.select("band", "root"), "band", shared), "linked", total * bands // 2)
-    near = components(linked.select(F.col("set").alias("a"), F.col("root").alias("b")))
+    near = components(starred(linked, "set", "root"))
 
     groups = stored(near.groupBy("comp").agg(F.count(F.lit(1)).alias("rows")), "groups", total)
     large = groups.where(F.col("rows") > block)
@@ -187,7 +196,7 @@ def classified(docs: DataFrame, key: str, text: str, n: int = 5, threshold: floa
             return pd.DataFrame(out, columns=["a", "b"])
 
         close = stored(pair_blocks(stored(again, "again", total * bands // 2), "band", "set", max(1, block // 2), part, "a binary, b binary").distinct(), "close")
-        near = inside.where("large is null").select("node", "comp").unionByName(components(close))
+        near = inside.where("large is null").select("node", "comp").unionByName(components(starred(close, "b", "a")))
 
     nodes = classes.join(near, F.col("set") == F.col("node")).select("set", "size", "comp", "bands", F.col("of.id").alias("id"), F.col("of.tk").alias("tk"))
     nodes = stored(nodes, "nodes", total)

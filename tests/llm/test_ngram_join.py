@@ -181,3 +181,16 @@ def test_a_cluster_without_a_shared_folder_is_refused():
         assert "spark.checkpoint.dir" in str(e)
     else:
         raise AssertionError
+
+
+def test_links_of_near_copies_become_a_star(spark):
+    """Components stay; a link a text stays of those that texts have a band each."""
+    from barloom.llm.common import components
+    from barloom.llm.ngram_join import starred
+
+    links = [(f"t{i:03d}", f"r{k}") for i in range(200) for k in range(6)] + [("t000", "t000"), ("x", "y"), ("y", "y"), ("z", "y"), ("z", "w"), ("lone", "lone")]
+    df = spark.createDataFrame(links, "a string, b string")
+    star = starred(df, "a", "b")
+    assert star.count() <= 210
+    groups = lambda edges: sorted((r.node, r.comp) for r in components(edges).collect())
+    assert groups(star) == groups(df)
