@@ -139,3 +139,42 @@ def streak(ok: np.ndarray, cuts: np.ndarray, cap: int) -> np.ndarray:
     first = cuts[:-1][np.diff(cuts) > 0]
     bad[first] = np.maximum(bad[first], first - 1)
     return np.minimum(cap, at - np.maximum.accumulate(bad)) if len(ok) else at
+
+
+def trailing(x: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the last n values at each place, added from the oldest on; of all so far at the first places."""
+    out = np.zeros(len(x))
+    for k in range(min(n, len(x)) - 1, -1, -1):
+        out[k:] += x[: len(x) - k]
+    return out
+
+
+def _sums(x: np.ndarray, full: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray | int]:
+    """The sum and the number of the last n values that are there; NaN before place n - 1 and where none is."""
+    count = n if full.all() else trailing(full.astype(float), n)
+    with np.errstate(invalid="ignore"):
+        return np.where((place >= n - 1) & (count > 0), trailing(np.where(full, x, 0.0), n), np.nan), count
+
+
+def mesh(c: np.ndarray, full: np.ndarray, place: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    """Means of the last bars for each length, the largest and the least of them, and whether the first is above the last.
+    full: where there is a value; place: a value's place in its series. As indicators.mesh, to the last bit."""
+    means = []
+    for n in lengths:
+        total, count = _sums(c, full, place, n)
+        means.append(total / np.maximum(count, 1))
+    none = np.isnan(means[-1])
+    ends = [np.where(none, np.nan, f.reduce(means)) for f in (np.fmax, np.fmin)]
+    return [*means, *ends, means[0] > means[-1]]
+
+
+def ultimate(bp: np.ndarray, tr: np.ndarray, full: tuple[np.ndarray, np.ndarray], place: np.ndarray, lengths: tuple[int, int, int] = (7, 14, 28), signal: int = 8) -> list[np.ndarray]:
+    """u and u_sig of indicators.ultimate, to the last bit. bp, tr: buying pressure and true range."""
+    legs = []
+    for n in lengths:
+        a, b = _sums(bp, full[0], place, n)[0], _sums(tr, full[1], place, n)[0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            legs.append(np.where(b != 0, a / b, np.nan))
+    u = (legs[0] * 4 + legs[1] * 2 + legs[2]) * 100 / 7
+    # u begins late enough in a series for a frame that reaches into the one before to hold a NaN
+    return [u, np.where(place >= signal - 1, trailing(u, signal) / signal, np.nan)]

@@ -65,14 +65,19 @@ def with_golden(bars: DataFrame, n: int = 32, variant: str = "ratio") -> DataFra
     return bars.withColumns({"gb": up, "gs": down})
 
 
+def pressed(bars: DataFrame) -> DataFrame:
+    """Adds bp and tr, buying pressure and true range; the first bar's previous close is its own."""
+    before = F.lag("c").over(in_order())
+    prev = F.coalesce(before, F.col("c"))
+    low, high = F.least("l", prev), F.greatest("h", prev)
+    return bars.withColumn("bp", F.col("c") - low).withColumn("tr", high - low)
+
+
 def ultimate(bars: DataFrame, lengths: tuple[int, int, int] = (7, 14, 28), signal: int = 8) -> DataFrame:
     """Adds u and u_sig. Buying pressure over true range, summed over three lengths and weighted 4, 2, 1; the first bar's
     previous close is its own. Null until the longest sum is full or if a sum of ranges is 0. u_sig is the mean of the
     last `signal` values of u."""
-    before = F.lag("c").over(in_order())
-    prev = F.coalesce(before, F.col("c"))
-    low, high = F.least("l", prev), F.greatest("h", prev)
-    out = bars.withColumn("bp", F.col("c") - low).withColumn("tr", high - low)
+    out = pressed(bars)
     legs = [F.when(F.col("i") >= n - 1, over(F.sum("bp").over(rows(n - 1)), F.sum("tr").over(rows(n - 1)))) for n in lengths]
     out = out.withColumn("u", (legs[0] * 4 + legs[1] * 2 + legs[2]) * 100 / 7)
     seen = F.count("u").over(rows(signal - 1))
@@ -91,12 +96,14 @@ def returns(bars: DataFrame) -> DataFrame:
 # --- recursive averages: one pass over a code's bars
 
 
+MESH = [10 + 5 * k for k in range(6)]
 BLOCK = 1 << 17  # rows that a task walks over together, if they are whole codes
 
 
-def recursive(bars: DataFrame, fast: int = 10, slow: int = 30, signal: int = 8, rsi: int = 35, ema: int = 10, hold: tuple[float, float, int] | None = None) -> DataFrame:
+def recursive(bars: DataFrame, fast: int = 10, slow: int = 30, signal: int = 8, rsi: int = 35, ema: int = 10, hold: tuple[float, float, int] | None = None, sliding: bool = False) -> DataFrame:
     """Adds ema (of closes), t, t_sig and b; with hold = (least t, least b, cap) also tb_ok, whether both are reached, and
-    tb_hold, for how many bars in a row, capped.
+    tb_hold, for how many bars in a row, capped. With sliding also what mesh and ultimate add, from columns bp and tr
+    (pressed), which go: a sliding frame costs Spark a step a value of the frame and bar, here all bars take a step at once.
 
     A value depends on the one before it, which no window gives: a window's place in its code has bars come by code and in
     order, without a shuffle where they lie so already, and a task walks over blocks of whole codes, all codes of a block a
@@ -104,7 +111,10 @@ def recursive(bars: DataFrame, fast: int = 10, slow: int = 30, signal: int = 8,
     is best added before: after this pass Spark knows nothing of the rows' order and would shuffle again. A code whose
     bars don't suit one task goes through scans.spread_averages."""
     kinds = {"ema": "double", "t": "double", "t_sig": "double", "b": "double"} | ({"tb_ok": "boolean", "tb_hold": "int"} if hold else {})
-    code, close, own = bars.columns.index("code"), bars.columns.index("c"), len(bars.columns)
+    if sliding:
+        kinds = {f"ma{n}": "double" for n in MESH} | {"top": "double", "bottom": "double", "red": "boolean", "u": "double", "u_sig": "double"} | kinds
+        bars = bars.select(*[c for c in bars.columns if c not in ("bp", "tr")], "bp", "tr")
+    code, close, own = bars.columns.index("code"), bars.columns.index("c"), len(bars.columns) - 2 * sliding
 
     def done(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
         """Whole codes' bars, with the averages."""
@@ -113,8 +123,15 @@ def recursive(bars: DataFrame, fast: int = 10, slow: int = 30, signal: int = 8,
         c = rows.column(close).to_numpy()
         t, t_sig = recurrences.tsi(c, cuts, fast, slow, signal)
         new = [recurrences.ema(c, cuts, ema), t, t_sig, recurrences.rsi(c, cuts, rsi)]
+        if sliding:
+            place = np.arange(rows.num_rows) - np.repeat(cuts[:-1], np.diff(cuts))
+            x = [rows.column(k).cast(pa.float64()) for k in (close, own, own + 1)]
+            full = [v.is_valid().to_numpy() for v in x]
+            x = [v.fill_null(0.0).to_numpy() for v in x]
+            new = [*recurrences.mesh(x[0], full[0], place, MESH), *recurrences.ultimate(x[1], x[2], full[1:], place), *new]
         if hold:
-            ok = (t >= hold[0]) & (new[3] >= hold[1])
+            b = new[-1]
+            ok = (t >= hold[0]) & (b >= hold[1])
             new += [ok, recurrences.streak(ok, cuts, hold[2]).astype(np.int32)]
         rows = rows.select(range(own))
         for name, v in zip(kinds, new, strict=True):
@@ -148,7 +165,7 @@ def recursive(bars: DataFrame, fast: int = 10, slow: int = 30, signal: int = 8,
 
     place = next(n for n in ("i", "place", "place_in_code") if n not in bars.columns)
     rows = bars.withColumn(place, F.row_number().over(in_order()))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields[:own]]
     return rows.mapInArrow(run, ", ".join([*fields, *(f"{n} {k}" for n, k in kinds.items())]))
 
 

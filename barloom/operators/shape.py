@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barloom.config import LEGACY, MOMENTUM, TB, Legacy
 from barloom.functions.numeric import change
 
-from .indicators import back, in_order, recursive, rolling, rows
+from .indicators import back, in_order, indexed, pressed, recursive, rows, with_golden
 
 
 def wick() -> Column:
@@ -65,6 +65,6 @@ def with_shape(series: DataFrame, p: Legacy = LEGACY, tb: TB = MOMENTUM) -> Data
 
 def shaped(bars: DataFrame, also=None, p: Legacy = LEGACY, tb: TB = MOMENTUM) -> DataFrame:
     """All indicators and shapes of bars, by one shuffle: windows first, and also(rows), which may add further ones, then
-    the recursive averages with their streak."""
-    out = with_shape(rolling(bars), p, tb)
-    return recursive(also(out) if also else out, hold=(tb.t_min, tb.b_min, tb.hold_cap))
+    the means and sums of sliding frames and the recursive averages with their streak. also() finds no mesh and no u."""
+    out = with_shape(with_golden(indexed(bars)), p, tb)
+    return recursive(pressed(also(out) if also else out), hold=(tb.t_min, tb.b_min, tb.hold_cap), sliding=True)

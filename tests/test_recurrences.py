@@ -178,3 +178,20 @@ def test_blocks_of_whole_chunks(monkeypatch):
             n, total = n + 1, total + x[i]
             p = total / 25 if n == 25 else p + (x[i] - p) * rec.weight(25)
             assert (np.isnan(got[i]) and n < 25) or abs(got[i] - p) < 1e-12
+
+
+def test_sliding_frames_in_the_averages_pass(spark):
+    """shaped's means and sums are those of Spark's windows, bit by bit, nulls included."""
+    from barloom.operators import shape
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for code, size in (("a", 90), ("b", 40), (None, 60), ("c", 3), ("d", 50)):
+        for i in range(size):
+            o, c = rng.uniform(10, 20, 2).tolist()
+            flat = code == "d" and i < 45
+            rows.append((code, i, 10.0 if flat else o, 10.0 if flat else max(o, c) + rng.uniform(), 10.0 if flat else min(o, c) - rng.uniform(), None if code == "b" and i % 7 == 3 else 10.0 if flat else c, 1.0))
+    df = spark.createDataFrame(rows, "code string, d int, o double, h double, l double, c double, v double")
+    names = ["code", "d", *[f"ma{n}" for n in ind.MESH], "top", "bottom", "red", "u", "u_sig", "gb", "gs", "i"]
+    got = shape.shaped(df).select(names).orderBy("code", "d").collect()
+    assert got == ind.rolling(df).select(names).orderBy("code", "d").collect()
