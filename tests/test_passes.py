@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from barloom.plans import kept
+from barloom.plans import kept, queries
 
 
 def counted(df):
@@ -17,6 +17,19 @@ def counted(df):
     return df.repartition(2).where(told.asNondeterministic()(F.lit(1))), seen
 
 
+def test_candidates_are_made_once(spark, sf, monkeypatch):
+    rows = [(s, i % 7, f"2024-01-{1 + i % 9:02d}", "일반", i) for i in range(40) for s in ("TB", "LEGACY")]
+    from barloom.config import LEGACY_TAG, TB_TAG
+
+    df = spark.createDataFrame(rows, "strategy string, code long, d string, grade string, rank int").withColumn("d", F.to_date("d"))
+    df = df.withColumn("strategy", F.when(F.col("strategy") == "TB", TB_TAG).otherwise(LEGACY_TAG))
+    for query in (queries.ordered, queries.not_held, queries.candidate_lists):
+        found, seen = counted(df)
+        monkeypatch.setattr(queries, "ranked", lambda s, d, found=found: found)
+        assert query(spark, sf).count() > 0
+        assert seen.value == 80
+
+
 def test_trades_are_made_once(spark):
     rows = [("x", "일반", i, "2024-01-01", f"2024-01-{2 + i % 9:02d}", i / 10, 3, "익절", i) for i in range(30)]
     df = spark.createDataFrame(rows, "strategy string, grade string, code long, entry_date string, exit_date string, pnl double, days int, reason string, seq long").withColumn("exit_date", F.to_date("exit_date"))
