@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from barloom.plans import kept, queries
+from barloom.sources import bars as src
 
 
 def counted(df):
@@ -37,3 +38,12 @@ def test_trades_are_made_once(spark):
         found, seen = counted(df)
         assert query(found).count() > 0
         assert seen.value == 30
+
+
+def test_tasks_keep_their_size(spark):
+    df = spark.range(4000).withColumn("k", F.col("id") % 400)
+    for n in (1000, 2000, 4000):
+        got = src.dealt(df.where(F.col("id") < n), "k", 50)
+        assert got.rdd.getNumPartitions() == n // 50
+        assert got.count() == n and got.select("k", F.spark_partition_id()).distinct().count() == 400
+    assert src.dealt(df, "k", 2000) is df
