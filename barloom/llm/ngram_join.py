@@ -124,9 +124,9 @@ def starred(links: DataFrame, node: str, other: str) -> DataFrame:
     """(a, b): links with the same components, none between nodes that a smaller one joins already: what a node is linked
     with is linked with the smallest of it instead. Near copies share most of their bands' roots, so where each has a link a
     band before, about one a text stays."""
-    met = links.groupBy(node).agg(F.min(other).alias("b"), F.collect_set(other).alias("all"))
-    ends = F.explode(F.array_union(F.array(node), "all"))
-    return met.select(ends.alias("a"), "b").where("a <> b").distinct()
+    met = links.groupBy(F.col(node).alias("of")).agg(F.min(other).alias("least"), F.collect_set(other).alias("all"))
+    ends = F.explode(F.array_union(F.array("of"), "all"))
+    return met.select(ends.alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, rows: int = 6, miss: float = 1e-5, block: int = 1024) -> DataFrame:
