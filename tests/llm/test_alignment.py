@@ -1,6 +1,7 @@
 """Alignment against a plain comparison of all token pairs' byte ranges."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -68,3 +69,36 @@ def test_labels_cut_groups():
     marks = alignment.labels(6, alignment.np.array([2, 3, 6]), alignment.np.array([3, 4, 5, 6]))
     assert alignment.groups(marks) == [(2, 1), (1, 3)]
     assert [(x >> 32, x & 0xFFFFFFFF) for x in alignment.links(marks, alignment.np.array([7, 8, 9]), alignment.np.array([1, 2, 3, 4])).tolist()] == [(7, 1), (8, 1), (9, 2), (9, 3), (9, 4)]
+
+
+def test_a_cell_is_tokenised_once(monkeypatch):
+    both, given = alignment.Pair(tokens.default_vocabulary(), alignment.default_pieces()), []
+    ids = both.ids
+    monkeypatch.setattr(both, "ids", lambda spaced: given.append(len(spaced)) or ids(spaced))
+    cells, rng = alignment.Cells(both), random.Random(1)
+    texts = [" ".join(rng.choices(["alignment", "token,", "été.", "a", "the", "(x)", "end.\nNew"], k=100)) for _ in range(50)]
+    found = [cells.of(t) for t in texts]
+    assert sum(given) < 200 < sum(map(len, texts))
+    assert found[-1][4] == plain(texts[-1:])[1][0]
+
+
+@pytest.mark.parametrize("kept", [1 << 27, 2000])
+def test_cells_in_a_row_equal_the_whole(monkeypatch, kept):
+    monkeypatch.setattr(alignment, "KEPT", kept)
+    monkeypatch.setattr(alignment, "PART", 30)
+    cells, rng = alignment.Cells(alignment.Pair(tokens.default_vocabulary(), alignment.default_pieces())), random.Random(2)
+    some = [*" \n\t\x1c\xa0\u3000▁aé²½٣дª.,'_-(0<\0", "  ", "foo", "don't", "'s", "l'été", "12", "日本", "😀", "...", "</s>", "<|endoftext|>", "<0x41>", "tion"]
+    texts = TEXTS + ["".join(rng.choices(some, k=rng.randint(1, 20))) for _ in range(1500)]
+    want, told = plain(texts)
+    for text, row, groups in zip(texts, want, told, strict=True):
+        found = cells.of(text)
+        assert (found is None) == (groups is None), text
+        assert found is None or (found[:5] == (*row[:4], groups) and len(found[5]) == row[3]), text
+
+
+def test_a_space_after_a_long_text_is_a_token(monkeypatch):
+    monkeypatch.setattr(alignment, "PART", 40)
+    both = alignment.Pair(tokens.default_vocabulary(), alignment.default_pieces())
+    for n in range(36, 46):
+        raw, a, b = both.of("x" * n + " ")
+        assert raw == b" " + b"x" * n + b" " and both.size_a[a].sum() == both.size_b[b].sum() == n + 2
