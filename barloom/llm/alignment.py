@@ -48,12 +48,12 @@ class Pair:
         self.bytes_a = bytes_table(vocabulary)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in known)]
         self.size_a, self.size_b = (np.array(list(map(len, t)), np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.shown = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.ids_most = max(len(self.bytes_a), len(self.bytes_b))
         whole = [self.b.id_to_piece(i) for i in known if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         #: No piece has a space after another character; none has a mark after a word's either.
         self.apart = not any("▁" in p.lstrip("▁") for p in whole)
         self.celled = self.apart and not any(re.search(f"[{WORD}][{MARK}]", p) for p in whole)
-        self.named = [f"{sign}{i}" for sign in ";,|" for i in range(len(self.shown))]
+        self.named = [f"{sign}{i}" for sign in ";,|" for i in range(self.ids_most)]
 
     def parts(self, spaced: str) -> Iterator[str]:
         """space+text in parts, each with its space: long texts are cut between a letter or digit and a space, where both
@@ -94,17 +94,29 @@ def labels(n: int, ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Counts(dict):
+    """Spans' counts; those of short spans, which come often, are kept."""
+
+    def __missing__(self, span: bytes) -> tuple[int, int]:
+        found = span.count(b"a") + 1, span.count(b"b") + 1
+        if len(span) <= 32 and len(self) < 1 << 16:
+            self[span] = found
+        return found
+
+
+COUNTS = _Counts()
+
+
 def groups(marks: np.ndarray) -> list[tuple[int, int]]:
     """(tokens of A, tokens of B) of each group: spans of the label string up to each shared end, and their labels' counts."""
-    return [(1, 1) if len(s) == 1 else (s.count(b"a") + 1, s.count(b"b") + 1) for s in SPAN.findall(NAMES[marks].tobytes())]
+    return list(map(COUNTS.__getitem__, SPAN.findall(NAMES[marks].tobytes())))
 
 
-def order(marks: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+def order(spans: list[tuple[int, int]], a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     """The ids in the order in which groups are written, A's of a group before B's, as places in Pair.named: `size` names
     with ; for the first of a group, as many with , and with | for the first of B."""
-    shared = marks == 3
     out = np.empty(len(a) + len(b), np.int64)
-    ends_a, ends_b = np.cumsum(marks & 1, dtype=np.int64)[shared], np.cumsum(marks >> 1, dtype=np.int64)[shared]
+    ends_a, ends_b = np.array(spans, np.int64).cumsum(0).T
     first_a, first_b = np.concatenate([[0], ends_a[:-1]]), np.concatenate([[0], ends_b[:-1]])
     coded_a, coded_b = a + size, b + size
     coded_a[first_a] -= size
@@ -174,11 +186,11 @@ class Cells:
             return None
         raw, a, b = found
         marks = labels(len(raw), self.both.size_a[a].cumsum(), self.both.size_b[b].cumsum())
-        pairs = links(marks, a, b)
-        return len(a), len(b), int((marks == 3).sum()), len(pairs), "".join(self._names(marks, a, b))[1:], pairs
+        spans, pairs = groups(marks), links(marks, a, b)
+        return len(a), len(b), len(spans), len(pairs), "".join(self._names(spans, a, b))[1:], pairs
 
-    def _names(self, marks: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[str]:
-        return list(map(self.both.named.__getitem__, order(marks, a, b, len(self.both.shown)).tolist()))
+    def _names(self, spans: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> list[str]:
+        return list(map(self.both.named.__getitem__, order(spans, a, b, self.both.ids_most).tolist()))
 
     def _add(self, new: set[str], last: str) -> None:
         """A part's last cell may end with white space, so it stays last. What B can't be given alone comes after a word:
@@ -210,7 +222,7 @@ class Cells:
         if not (marks[last] == 3).all():
             return False
         sums = np.stack([np.cumsum(x, dtype=np.int64)[last] for x in (marks & 1, marks >> 1, marks == 3, marks > 0)], 1)
-        names, ends = self._names(marks, a, b), (sums[:, 0] + sums[:, 1]).tolist()
+        names, ends = self._names(groups(marks), a, b), (sums[:, 0] + sums[:, 1]).tolist()
         told = ["".join(names[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
         self._keep(cells, told, np.diff(sums, axis=0, prepend=0), links(marks, a, b))
         return True
